@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from siltstone.llm import bpe, chat
+from siltstone.llm import bpe, chat, multiset, simhash
 
 
 def queries() -> dict:
     return {
         "op2_chat_formatting": chat.op2_chat_formatting,
+        "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
+        "op9_document_fingerprints": multiset.op9_document_fingerprints,
         "op10_bpe_codec": bpe.op10_bpe_codec,
     }
 
