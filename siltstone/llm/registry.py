@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from siltstone.llm import bpe, chat, multiset, simhash
+from siltstone.llm import bpe, chat, html, language, multiset, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_chat_formatting": chat.op2_chat_formatting,
+        "op4_language_id": language.op4_language_id,
+        "op5_toxicity": toxicity.op5_toxicity,
+        "op6_html_extraction": html.op6_html_extraction,
         "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
         "op9_document_fingerprints": multiset.op9_document_fingerprints,
         "op10_bpe_codec": bpe.op10_bpe_codec,
