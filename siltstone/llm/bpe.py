@@ -50,40 +50,47 @@ class Vocabulary:
         self.raw = lambda token: bytes(self.alphabet[c] for c in token)
         ids = model["vocab"]
         self.ids = {self.raw(t): i for t, i in ids.items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.bits = len(ids).bit_length()
+        #: Of a pair, first id << bits | second id: rank << bits | merged id.
+        self.merges: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+            self.merges[ids[a] << self.bits | ids[b]] = rank << self.bits | ids[a + b]
         self.special = {x["content"]: x["id"] for x in d["added_tokens"]}
         self.bytes_of = dict(zip(self.ids.values(), self.ids, strict=True)) | {i: s.encode() for s, i in self.special.items()}
         self.unit = [self.ids[bytes([b])] for b in range(256)]
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word: the lowest-ranked pair is merged first, the leftmost of equals."""
-        merges, ids = self.merges, [self.unit[b] for b in word]
-        if len(ids) <= 48:
-            while len(ids) > 1:
-                best = min(((m[0], i, m[1]) for i, pair in enumerate(zip(ids, ids[1:], strict=False)) if (m := merges.get(pair))), default=None)
-                if best is None:
-                    break
-                ids[best[1] : best[1] + 2] = [best[2]]
+        bits, mask, never = self.bits, (1 << self.bits) - 1, 1 << 62
+        find, ids = self.merges.get, [self.unit[b] for b in word]
+        n = len(ids)
+        best = [find(a << bits | b, never) for a, b in zip(ids, ids[1:], strict=False)]
+        if n <= 64:
+            while best and (least := min(best)) != never:
+                i = best.index(least)
+                ids[i] = least & mask
+                del ids[i + 1], best[i]
+                if i < len(best):
+                    best[i] = find(ids[i] << bits | ids[i + 1], never)
+                if i:
+                    best[i - 1] = find(ids[i - 1] << bits | ids[i], never)
             return ids
-        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        heap = [(m[0], i, m[1], pair) for i, pair in enumerate(zip(ids, ids[1:], strict=False)) if (m := merges.get(pair))]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(m, i, ids[i], ids[i + 1]) for i, m in enumerate(best) if m != never]
         heapq.heapify(heap)
-        n = len(ids)
         while heap:
-            _, i, new, pair = heapq.heappop(heap)
+            m, i, first, second = heapq.heappop(heap)
             j = after[i]
-            if ids[i] != pair[0] or j >= n or ids[j] != pair[1]:
+            if ids[i] != first or j >= n or ids[j] != second:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = m & mask, -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
             for k in (before[i], i):
-                if k >= 0 and after[k] < n and (m := merges.get((ids[k], ids[after[k]]))):
-                    heapq.heappush(heap, (m[0], k, m[1], (ids[k], ids[after[k]])))
+                if k >= 0 and after[k] < n and (m := find(ids[k] << bits | ids[after[k]], never)) != never:
+                    heapq.heappush(heap, (m, k, ids[k], ids[after[k]]))
         return [x for x in ids if x >= 0]
 
 
@@ -134,20 +141,24 @@ class Lexicon:
 
 
 class Coder(dict):
-    """Text to ids and back. As a dictionary it is the bounded cache of words."""
+    """Text to ids and back. As a dictionary it is the bounded cache of words; what it held before is its second chance."""
 
     def __init__(self, spec: str, block: bytes):
         super().__init__()
+        self.older: dict[str, tuple[int, ...]] = {}
         self.vocabulary, self.lexicon = Vocabulary(spec), Lexicon(block)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.vocabulary.special, key=len, reverse=True))) or r"(?!)")
         self.table = [self.vocabulary.bytes_of.get(i, b"") for i in range(max(self.vocabulary.bytes_of) + 1)]
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        raw = word.encode()
-        ids = self.lexicon.get(raw)
-        found = tuple(self.vocabulary.merge(raw) if ids is None else ids)
+        found = self.older.get(word)
+        if found is None:
+            raw = word.encode()
+            ids = self.lexicon.get(raw)
+            found = tuple(self.vocabulary.merge(raw) if ids is None else ids)
         if len(word) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[word] = found
         return found
