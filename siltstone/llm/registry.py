@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from siltstone.llm import bpe, chat, html, language, multiset, simhash, toxicity
+from siltstone.llm import bpe, chat, decontaminate, html, language, multiset, secrets, simhash, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
         "op2_chat_formatting": chat.op2_chat_formatting,
         "op4_language_id": language.op4_language_id,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_html_extraction": html.op6_html_extraction,
+        "op7_secret_scans": secrets.op7_secret_scans,
         "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
         "op9_document_fingerprints": multiset.op9_document_fingerprints,
         "op10_bpe_codec": bpe.op10_bpe_codec,
