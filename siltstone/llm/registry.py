@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from siltstone.llm import bpe, chat, decontaminate, html, language, multiset, secrets, simhash, toxicity
+from siltstone.llm import bpe, chat, decontaminate, html, language, multiset, secrets, simhash, substring, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
         "op2_chat_formatting": chat.op2_chat_formatting,
+        "op3_substring_dedup": substring.op3_substring_dedup,
         "op4_language_id": language.op4_language_id,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_html_extraction": html.op6_html_extraction,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat.OP2_SQL}
+    return {"op2_chat_formatting": chat.OP2_SQL, "op3_substring_dedup": substring.OP3_SQL}
