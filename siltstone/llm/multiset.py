@@ -97,9 +97,11 @@ def fingerprint(docs: DataFrame, keys: list[str], text: str = "text") -> DataFra
     ``keys`` must identify a row. Sums are combined before any shuffle.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    runs = docs.select(*keys, identity_lanes(body).alias("identity"), F.explode(word_runs(body)).alias("h"))
-    sums = lane_sums()
-    return runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_runs"), F.first("identity").alias("identity"), *sums).select(*keys, "n_runs", "identity", F.array(*(f"s{i}" for i in range(len(sums)))).alias("packed"))
+    own = docs.select(*keys, identity_lanes(body).alias("identity"), word_runs(body).alias("runs"))
+    runs = own.select(*keys, *(F.col("identity")[i].alias(f"i{i}") for i in range(8)), F.explode_outer("runs").alias("h"))  # outer: else a filter repeats the work
+    sums = lane_sums()  # fixed-width buffers only, so the sums stay in a hash map
+    found = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_runs"), *(F.max(f"i{i}").alias(f"i{i}") for i in range(8)), *sums)
+    return found.select(*keys, "n_runs", F.array(*(f"i{i}" for i in range(8))).alias("identity"), F.array(*(f"s{i}" for i in range(len(sums)))).alias("packed"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -121,7 +123,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next", F.lit(1), half))
     both = near.withColumn("edited", F.when(F.col("guest") == 0, edited)).select(
         "bucket", "rn", "guest", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("body")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("body")))).alias("v"),
+        F.explode_outer(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("body")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("body")))).alias("v"),
     ).select("bucket", "rn", "guest", "doc_id", "n_chars", "edited_sha256", "v.kind", "v.body")
     prints = fingerprint(both, ["bucket", "rn", "guest", "kind", "doc_id", "n_chars", "edited_sha256"], "body")
     seq = Window.partitionBy("bucket").orderBy("rn", "kind")
