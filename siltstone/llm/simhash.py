@@ -203,6 +203,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def keep_first(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """``docs`` with one row of each component: that of the least doc_id."""
+    found = near_duplicates(docs, shingle).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id"))
+    found = written(found.groupBy("first_id").agg(F.count(F.lit(1)).alias("n")), "firsts")
+    kept = docs.join(found.select("first_id"), docs["doc_id"].eqNullSafe(F.col("first_id")), "left_semi")
+    repeated = found.filter("n > 1").select("first_id").limit(1).count()
+    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
