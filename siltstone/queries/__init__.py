@@ -1,6 +1,6 @@
 """Registered queries of the engine: importing the package fills the registry."""
 
-from siltstone.queries import extract, text
+from siltstone.queries import extract, relational, text
 from siltstone.queries.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "extract", "text"]
+__all__ = ["ORACLES", "QUERIES", "extract", "relational", "text"]
