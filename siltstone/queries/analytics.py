@@ -97,7 +97,7 @@ query("win04_blended_rank", f"WITH {H}, r AS (SELECT *, {_r} AS rank FROM hits),
 query("win05_section_cap", f"WITH {H}, b AS (SELECT query_id, chunk_id, doc_id, max(score) AS score FROM hits GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM b), s AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank) > 2 AS late FROM r) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY late, rank) AS position FROM s QUALIFY position <= 10")(
     lambda t: fusion.cap_and_fill(fusion.rank(hits(t).groupBy("query_id", "chunk_id", "doc_id").agg(F.max("score").alias("score")), ["query_id"]), ["query_id"], "doc_id", 2, 10).select("query_id", "chunk_id", F.col("position").cast("long").alias("position"))
 )
-query("win06_retrieval_quality", f"WITH {H}, b AS (SELECT query_id, count(*) AS n, max(score) AS top, sum(score) AS total, count(DISTINCT doc_id) AS docs FROM hits GROUP BY 1) SELECT query_id, round(least(1.0, 0.45 * (list_sum(list_transform(range(1, n + 1), lambda i: 1.0 / i)) / n) + 0.35 * CASE WHEN top > 0 THEN total / top / n ELSE 0 END + 0.2 * docs / CAST(least(n, 5) AS DOUBLE)), 3) AS quality FROM b")(lambda t: fusion.retrieval_quality(hits(t), "doc_id", "score").select("query_id", F.round("quality", 3).alias("quality")))
+query("win06_retrieval_quality", f"WITH {H}, b AS (SELECT query_id, count(*) AS n, max(score) AS top, sum(score) AS total, count(DISTINCT doc_id) AS docs FROM hits GROUP BY 1) SELECT query_id, round(least(1.0, 0.45 * (list_sum(list_transform(range(1, n + 1), lambda i: 1.0 / i)) / n) + 0.35 * CASE WHEN top > 0 THEN total / top / n ELSE 0 END + 0.2 * docs / CAST(least(n, 5) AS DOUBLE)), 4) AS quality FROM b")(lambda t: fusion.retrieval_quality(hits(t), "doc_id", "score"))
 query("win08_greedy_diversity")(lambda t: fusion.diversify(fusion.reciprocal_rank(hits(t)).withColumn("text", F.concat("chunk_id", F.lit(" "), "doc_id", F.lit(" "), "source"))))
 query("win09_section_carry", f"WITH {C} SELECT chunk_id, coalesce(last_value(CASE WHEN content_type = 'table' THEN section WHEN ordinal % 4 = 0 THEN section END IGNORE NULLS) OVER (PARTITION BY paper_id ORDER BY ordinal ROWS UNBOUNDED PRECEDING), 'body') AS current FROM chunks")(
     lambda t: chunks(t).select("chunk_id", F.coalesce(F.last(F.when((F.col("content_type") == "table") | (F.pmod("ordinal", F.lit(4)) == 0), F.col("section")), True).over(Window.partitionBy("paper_id").orderBy("ordinal")), F.lit("body")).alias("current"))
