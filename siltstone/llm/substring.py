@@ -1,20 +1,21 @@
-"""Substring deduplication: word windows that an earlier document already has are removed.
+"""Substring deduplication by suffix automata of reference shards.
 
 Two operators:
 
-``remove_known`` is the method of broadcast suffix automata: a bounded reference collection is cut into shards, an automaton
-of each is broadcast, documents are streamed past it for matching statistics, and maximal spans at or above the length
-threshold go.
-
-``remove_repeats`` takes all earlier documents as the reference. Automata of the whole corpus have no size bound, and streaming
-every document past every shard grows with the square of the corpus, so there the matching statistics are cut at the one length
-that decides, the window, and windows meet by their 64-bit hashes instead:
-1. documents are dealt once into batches of neighbouring ids (so batches are ordered as ids are);
-2. a batch hashes its windows and sends each distinct hash once, sorted and packed by hash range (a hot passage costs one hash
-   per batch, however many documents hold it);
-3. a hash range finds for every hash the first batch and answers each batch with one bit per hash;
-4. a batch joins the answers with its own order of documents, covers the words and drops them.
-All of 2 to 4 is array code over bounded groups.
+``remove_known`` broadcasts automata of a bounded reference, cut into shards; documents are streamed past each for matching
+statistics, and maximal spans at or above the length threshold go.
+
+``remove_repeats`` takes all earlier documents as the reference. Their automata have no bound to broadcast, and streaming every
+document past every shard grows with the square of the corpus; so documents' spans travel to the one shard that can match them:
+1. documents are dealt once into batches of neighbouring ids; a batch is a shard, and batches are ordered as ids are;
+2. a batch hashes its windows of words and sends each distinct hash once, packed by hash range (a hot passage costs one hash a
+   batch, however many documents hold it); a range answers which hashes an earlier batch has, and the last such batch (so
+   that each batch is asked about a passage by one other batch, however many hold it);
+3. a batch cuts its candidate spans at points that their content defines, and asks that shard about each distinct piece once;
+4. a shard builds the suffix automaton of the passages that are asked for, streams the pieces through it, and answers where
+   the matching statistics reach the window: equal words are told from equal hashes;
+5. a batch does the same for its own documents, joins the answers, covers the words of maximal spans and drops them.
+Every group is one batch or one hash range; all that is gathered about a repeated passage is bounded by its length, not its copies.
 
 Defined results: null and empty texts have no words (digest of the empty string); rows of one doc_id are judged apart but never
 against each other; null ids come first; repeated rows are kept; an empty table gives no rows; other columns are ignored.
@@ -37,8 +38,10 @@ from siltstone.llm.ordering import bucket_bounds, bucket_of
 
 WINDOW = 13
 #: Documents of a batch, windows of a hash range, bytes of a partition of texts (all about).
-BATCH_DOCS, RANGE_WINDOWS, PARTITION_BYTES = 2048, 4_000_000, 24 << 20
+BATCH_DOCS, RANGE_WINDOWS, PARTITION_BYTES = 1024, 1_000_000, 24 << 20
 SHARD_WORDS = 200_000
+#: Spans are cut after windows whose hash has these bits clear: every 64 windows or so.
+CUT = np.uint64(63)
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 _R = np.uint64(0x9E3779B97F4A7C15)
@@ -94,31 +97,72 @@ def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
 class Batch:
     """The windows of some documents, in ascending order of (key, text)."""
 
-    def __init__(self, keys: np.ndarray, texts: list[bytes], window: int):
-        hashes = [word_hashes(t) for t in texts]
+    def __init__(self, frame: pd.DataFrame, window: int):
+        self.frame = frame.sort_values(["k", "text"], kind="stable")
+        self.texts = [t.encode("utf-8", "surrogatepass") for t in self.frame["text"]]
+        self.window = window
+        hashes = [word_hashes(t) for t in self.texts]
         self.sizes = np.array([len(h) for h in hashes], np.int64)
         self.offsets = np.r_[0, np.cumsum(self.sizes)]
         windows = [window_hashes(h, window) for h in hashes]
         counts = [len(w) for w in windows]
         every = np.concatenate([np.zeros(0, np.uint64), *windows])
         self.starts = np.concatenate([np.zeros(0, np.int64), *(o + np.arange(n) for o, n in zip(self.offsets, counts, strict=False))]).astype(np.int64)
-        owner = np.repeat(np.asarray(keys, np.int64), counts)
-        self.distinct, first, self.which = np.unique(every, return_index=True, return_inverse=True)
-        self.inside = owner > owner[first][self.which] if len(every) else np.zeros(0, bool)
-
-    def covered(self, earlier: np.ndarray, window: int) -> np.ndarray:
-        """Which words to remove; ``earlier`` marks the distinct hashes that an earlier batch has."""
-        at = self.starts[self.inside | earlier[self.which]]
-        change = np.zeros(int(self.offsets[-1]) + window + 1, np.int64)
-        np.add.at(change, at, 1)
-        np.add.at(change, at + window, -1)
-        return np.cumsum(change)[: int(self.offsets[-1])] > 0
-
-
-def _batch_of(frame: pd.DataFrame, window: int) -> tuple[pd.DataFrame, list[bytes], Batch]:
-    frame = frame.sort_values(["k", "text"], kind="stable")
-    texts = [t.encode("utf-8", "surrogatepass") for t in frame["text"]]
-    return frame, texts, Batch(frame["k"].to_numpy(), texts, window)
+        self.doc = np.repeat(np.arange(len(counts)), counts)
+        owner = self.frame["k"].to_numpy(np.int64)[self.doc]
+        self.cut = (every & CUT) == 0
+        self.distinct, self.first, self.which = np.unique(every, return_index=True, return_inverse=True)
+        self.inside = owner > owner[self.first][self.which]
+        self._held: tuple[int, list[bytes]] = (-1, [])
+
+    def words(self, doc: int, at: int, n: int) -> list[bytes]:
+        """``n`` words from the place ``at`` in the batch, all of one document."""
+        if self._held[0] != doc:
+            self._held = (doc, self.texts[doc].split())
+        at -= int(self.offsets[doc])
+        return self._held[1][at : at + n]
+
+    def pieces(self, chosen: np.ndarray, label: np.ndarray) -> dict[tuple[int, bytes], list[int]]:
+        """Runs of chosen windows with one label, cut where their content says: (label, text) to the places of its first words."""
+        i = np.flatnonzero(chosen)
+        out: dict[tuple[int, bytes], list[int]] = {}
+        if not len(i):
+            return out
+        new = np.r_[True, (i[1:] != i[:-1] + 1) | (self.doc[i[1:]] != self.doc[i[:-1]]) | (label[i[1:]] != label[i[:-1]]) | self.cut[i[:-1]]]
+        begins = np.flatnonzero(new)
+        sizes = np.diff(np.r_[begins, len(i)])
+        for b, n in zip(i[begins].tolist(), sizes.tolist(), strict=True):
+            at = int(self.starts[b])
+            text = b" ".join(self.words(int(self.doc[b]), at, n + self.window - 1))
+            out.setdefault((int(label[b]), text), []).append(at)
+        return out
+
+    def automaton(self, wanted: np.ndarray) -> SuffixAutomaton:
+        """The automaton of the first passages that hold the wanted distinct hashes; None parts them."""
+        edge = np.flatnonzero(np.diff(np.r_[False, self.cover(self.starts[self.first[wanted]]), False]))
+        found = SuffixAutomaton()
+        docs = np.searchsorted(self.offsets, edge[::2], "right") - 1
+        for doc, a, b in zip(docs.tolist(), edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            while a < b:  # neighbouring passages of two documents make one stretch of covered words
+                stop = min(b, int(self.offsets[doc + 1]))
+                for w in self.words(doc, a, stop - a):
+                    found.add(w)
+                found.add(None)
+                a, doc = stop, doc + 1
+        return found
+
+    def cover(self, places: np.ndarray) -> np.ndarray:
+        """The words of windows that begin at the places."""
+        total = int(self.offsets[-1])
+        change = np.zeros(total + self.window + 1, np.int64)
+        np.add.at(change, places, 1)
+        np.add.at(change, places + self.window, -1)
+        return np.cumsum(change)[:total] > 0
+
+
+def matched(automaton: SuffixAutomaton, text: bytes, window: int) -> np.ndarray:
+    """Which windows of a piece have a matching statistic of the window or more at their end."""
+    return np.array(automaton.statistics(text.split()), np.int64)[window - 1 :] >= window
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, digests: bool = False) -> DataFrame:
@@ -143,7 +187,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digests: bool = False)
 
     def send(frame: pd.DataFrame) -> pd.DataFrame:
         own = int(frame["batch"].iloc[0])
-        found = _batch_of(frame, window)[2].distinct
+        found = Batch(frame, window).distinct
         cuts = np.searchsorted(found >> shift, np.arange((1 << bits) + 1).astype(np.uint64))
         out = [(i, own, found[a:b].astype("<u8").tobytes()) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
         return pd.DataFrame(out, columns=["range", "batch", "hashes"])
@@ -151,26 +195,59 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digests: bool = False)
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("batch", kind="stable")
         own = [np.frombuffer(h, "<u8") for h in frame["hashes"]]
+        sizes = [len(h) for h in own]
+        batch = np.repeat(frame["batch"].to_numpy(np.int64), sizes)
         every = np.concatenate(own)
-        _, first = np.unique(every, return_index=True)
-        seen = np.ones(len(every), bool)
-        seen[first] = False
-        cuts = np.cumsum([0, *(len(h) for h in own)])
-        packed = [np.packbits(seen[a:b]).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-        return pd.DataFrame({"batch": frame["batch"].to_numpy(), "range": frame["range"].to_numpy(), "bits": packed})
-
-    def drop(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(every, kind="stable")  # equal hashes stay in the order of their batches
+        again = np.r_[False, every[order][1:] == every[order][:-1]]
+        seen, origin = np.zeros(len(every), bool), np.zeros(len(every), np.int64)
+        seen[order] = again
+        origin[order[1:]] = batch[order[:-1]]
+        cuts = np.cumsum([0, *sizes])
+        out = [(int(r.batch), int(r.range), np.packbits(seen[a:b]).tobytes(), origin[a:b][seen[a:b]].astype("<i8").tobytes()) for r, a, b in zip(frame.itertuples(), cuts, cuts[1:], strict=False)]
+        return pd.DataFrame([x for x in out if x[3]], columns=["batch", "range", "bits", "origin"])
+
+    def ask(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        columns = ["shard", "batch", "piece", "places"]
+        if not len(frame) or not len(answers):
+            return pd.DataFrame([], columns=columns)
+        own = Batch(frame, window)
+        origin = np.full(len(own.distinct), -1, np.int64)
+        cuts = np.searchsorted(own.distinct >> shift, np.arange((1 << bits) + 1).astype(np.uint64))
+        for r in answers.itertuples():
+            a, b = int(cuts[r.range]), int(cuts[r.range + 1])
+            seen = np.unpackbits(np.frombuffer(r.bits, np.uint8), count=b - a).astype(bool)
+            origin[a:b][seen] = np.frombuffer(r.origin, "<i8")
+        label = origin[own.which]
+        here = int(frame["batch"].iloc[0])
+        asked = own.pieces((label >= 0) & ~own.inside, label)
+        return pd.DataFrame([(shard, here, text, np.asarray(at, "<i8").tobytes()) for (shard, text), at in asked.items()], columns=columns)
+
+    def verify(frame: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(frame) or not len(asked):
+            return pd.DataFrame([], columns=["batch", "places", "bits"])
+        own = Batch(frame, window)
+        pieces = dict.fromkeys(bytes(x) for x in asked["piece"])
+        hashes = np.concatenate([window_hashes(word_hashes(x), window) for x in pieces])
+        found = own.automaton(np.isin(own.distinct, hashes))
+        for x in pieces:
+            pieces[x] = np.packbits(matched(found, x, window)).tobytes()
+        return pd.DataFrame({"batch": asked["batch"], "places": asked["places"], "bits": [pieces[bytes(x)] for x in asked["piece"]]})
+
+    def drop(frame: pd.DataFrame, verified: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):
             return pd.DataFrame({"doc_id": pd.Series([], dtype="Int64"), "n_words": [], "n_removed": [], last: []})
-        frame, texts, own = _batch_of(frame, window)
-        earlier = np.zeros(len(own.distinct), bool)
-        cuts = np.searchsorted(own.distinct >> shift, np.arange((1 << bits) + 1).astype(np.uint64))
-        for i, packed in zip(answers["range"], answers["bits"], strict=True):
-            a, b = cuts[i], cuts[i + 1]
-            earlier[a:b] = np.unpackbits(np.frombuffer(packed, np.uint8), count=int(b - a)).astype(bool)
-        covered = own.covered(earlier, window)
+        own = Batch(frame, window)
+        places = [(np.frombuffer(r.places, "<i8")[:, None] + np.flatnonzero(np.unpackbits(np.frombuffer(r.bits, np.uint8)))[None, :]).ravel() for r in verified.itertuples()]
+        if own.inside.any():
+            wanted = np.zeros(len(own.distinct), bool)
+            wanted[own.which[own.inside]] = True
+            found = own.automaton(wanted)
+            for (_, text), at in own.pieces(own.inside, np.zeros(len(own.inside), np.int64)).items():
+                places.append((np.asarray(at, np.int64)[:, None] + np.flatnonzero(matched(found, text, window))[None, :]).ravel())
+        covered = own.cover(np.concatenate([np.zeros(0, np.int64), *places]))
         kept, removed = [], []
-        for t, a, b in zip(texts, own.offsets, own.offsets[1:], strict=False):
+        for t, a, b in zip(own.texts, own.offsets, own.offsets[1:], strict=False):
             words = t.split()
             gone = covered[a:b]
             removed.append(int(gone.sum()))
@@ -178,13 +255,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digests: bool = False)
                 words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
             joined = b" ".join(words)
             kept.append(hashlib.sha256(joined).hexdigest() if digests else joined.decode("utf-8", "surrogatepass"))
-        ids = pd.Series(frame["doc_id"].to_numpy(), dtype="Float64" if frame["doc_id"].dtype.kind == "f" else "Int64").astype("Int64")
+        ids = own.frame["doc_id"]
+        ids = pd.Series(ids.to_numpy(), dtype="Float64" if ids.dtype.kind == "f" else "Int64").astype("Int64")
         return pd.DataFrame({"doc_id": ids, "n_words": own.sizes, "n_removed": removed, last: kept})
 
     last = "kept_sha256" if digests else "kept"
-    sent = dealt.groupBy("batch").applyInPandas(send, "range int, batch long, hashes binary")
-    answers = sent.groupBy("range").applyInPandas(answer, "batch long, range int, bits binary")
-    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(drop, f"doc_id long, n_words long, n_removed long, {last} string")
+    batches = dealt.groupBy("batch")
+    sent = batches.applyInPandas(send, "range int, batch long, hashes binary")
+    answers = sent.groupBy("range").applyInPandas(answer, "batch long, range int, bits binary, origin binary")
+    asked = batches.cogroup(answers.groupBy("batch")).applyInPandas(ask, "shard long, batch long, piece binary, places binary")
+    verified = batches.cogroup(asked.groupBy("shard")).applyInPandas(verify, "batch long, places binary, bits binary")
+    return batches.cogroup(verified.groupBy("batch")).applyInPandas(drop, f"doc_id long, n_words long, n_removed long, {last} string")
 
 
 def remove_known(docs: DataFrame, reference: list[str], window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
