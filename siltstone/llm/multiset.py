@@ -8,7 +8,7 @@ vectors, so the order of paragraphs does not matter and one can be added or take
   of two such vectors estimates that of the documents' multisets of word runs.
 Runs of words cross paragraphs only within the likeness lanes of one call (a text is read as a whole); identity lanes never do.
 
-Defined results: null text counts as empty; empty text has the fingerprint of one empty paragraph; a text of fewer
+Defined results: a likeness word whose sum leaves 63 bits (texts of millions of words) is 0; null text counts as empty; empty text has the fingerprint of one empty paragraph; a text of fewer
 than three words is one run; repeated rows and ties in doc_id are kept, ordered by (doc_id, text), null ids first; the only document
 is its own next one; no rows give no rows; other columns are ignored.
 """
@@ -67,7 +67,7 @@ def combine(left: Column, right: Column, sign: int = 1) -> Column:
 def lane_sums(h: str = "h") -> list[Column]:
     """42 packed sums over rows of word-run hashes."""
     hashes = [F.col(h), F.xxhash64(F.col(h), F.lit(1))]
-    return [F.sum(F.shiftrightunsigned(x, j).bitwiseAND(F.lit(PACK))).alias(f"s{21 * k + j}") for k, x in enumerate(hashes) for j in range(SHIFTS)]
+    return [F.coalesce(F.try_sum(F.shiftrightunsigned(x, j).bitwiseAND(F.lit(PACK))), F.lit(0)).alias(f"s{21 * k + j}") for k, x in enumerate(hashes) for j in range(SHIFTS)]
 
 
 def likeness(a: Column, na: Column, b: Column, nb: Column, same: Column) -> Column:

@@ -208,7 +208,7 @@ def keep_first(docs: DataFrame, shingle: int = 4) -> DataFrame:
     found = near_duplicates(docs, shingle).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id"))
     found = written(found.groupBy("first_id").agg(F.count(F.lit(1)).alias("n")), "firsts")
     ids = found.select("first_id").hint("merge")  # one plan at every size: the ids are not bounded
-    kept = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("first_id")), "left_semi")
+    kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["first_id"]), "left_semi")
     repeated = found.filter("n > 1").select("first_id").limit(1).count()
     return kept.dropDuplicates(["doc_id"]) if repeated else kept
 
