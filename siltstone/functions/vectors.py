@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import tokens, unique_words
@@ -26,10 +26,11 @@ def token_weights(token: Column, dim: int, weighted: bool) -> Column:
 
 def hash_embedding(df: DataFrame, key: str, text: str, dim: int = 1024, weighted: bool = False) -> DataFrame:
     """key, idx, w: the non-zero places of the L2-normalised hash embedding. Equal tokens are counted before they are hashed."""
-    words = df.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+    dealt = df.select(key, text).repartition(F.col(key))  # the only exchange: both sums and the norm stay within a key
+    words = dealt.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
     places = words.select(key, "n", token_weights(F.col("token"), dim, weighted).alias("t")).groupBy(key, F.col("t.idx").alias("idx")).agg(F.sum(F.col("t.w") * F.col("n")).alias("w"))
-    norms = places.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return places.join(norms, key).filter("norm > 0 AND w <> 0").select(key, "idx", (F.col("w") / F.col("norm")).alias("w"))
+    norm_ = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return places.withColumn("norm", norm_).filter("norm > 0 AND w <> 0").select(key, "idx", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def sparse_cosine(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str) -> DataFrame:

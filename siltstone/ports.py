@@ -109,3 +109,35 @@ class KeyRing:
             except PermissionError:
                 self.at = (self.at + 1) % len(self.keys)
         raise PermissionError("every key is out of quota")
+
+
+def generated(questions: DataFrame, generator: Generator | None, contexts: DataFrame | None = None) -> DataFrame:
+    """query_id, answer, provider: a generator's answers (null where it gives none); without one the provider is extractive."""
+    if generator is None:
+        return questions.select("query_id", F.lit(None).cast("string").alias("answer"), F.lit("extractive").alias("provider"))
+    asked = questions.join(contexts, "query_id", "left") if contexts is not None else questions.withColumn("context", F.lit(""))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            said = [generator.generate(f"{c or ''}\n\n{q}") or None for q, c in zip(b["question"], b["context"], strict=True)]
+            yield pd.DataFrame({"query_id": b["query_id"], "answer": said, "provider": [generator.name] * len(b)})
+
+    return asked.select("query_id", "question", "context").mapInPandas(run, "query_id long, answer string, provider string")
+
+
+def refine(chunks: DataFrame, hook) -> DataFrame:
+    """What a caller's hook makes of rejected chunks; nothing where none is set."""
+    return hook(chunks) if hook else chunks.limit(0)
+
+
+def fetched(addresses: DataFrame, fetcher: Fetcher | None) -> DataFrame:
+    """``addresses`` (url, held) with ``content``: what a fetcher gets, or what the table already holds."""
+    if fetcher is None:
+        return addresses.withColumn("content", F.col("held"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(content=[fetcher.fetch(u) for u in b["url"]])
+
+    kinds = ", ".join(f"{n} {k}" for n, k in addresses.dtypes)
+    return addresses.mapInPandas(run, f"{kinds}, content binary")

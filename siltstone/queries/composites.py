@@ -169,7 +169,9 @@ def _boxes(t):
 BX = f"b AS (SELECT doc_id AS page, generate_subscripts({_sw}, 1) - 1 AS n, unnest({_sw}) AS token FROM documents), bx AS (SELECT page, n, token, (n % 2) * 560.0 + ((n % 8) // 2) * 60.0 + 40.0 AS x0, (n // 8) * 12.0 + (n % 3) * 0.5 AS y0, (n % 2) * 560.0 + ((n % 8) // 2) * 60.0 + 90.0 AS x1, (n // 8) * 12.0 + 10.0 AS y1, (n % 2) + 1 AS block, n // 8 AS line FROM b)"
 query("src09_column_count", f"WITH {BX}, h AS (SELECT page, least(greatest(floor(x0 / 1000 * 20), 0), 19) AS bin, count(*) AS n FROM bx GROUP BY 1, 2), f AS (SELECT p.page, g.bin, coalesce(h.n, 0) AS n FROM (SELECT DISTINCT page FROM bx) p CROSS JOIN (SELECT unnest(range(20)) AS bin) g LEFT JOIN h ON h.page = p.page AND h.bin = g.bin) SELECT page, CAST(CASE WHEN sum(n) >= 20 AND min(n) FILTER (bin BETWEEN 8 AND 11) < 0.45 * least(max(n) FILTER (bin < 8), max(n) FILTER (bin >= 12)) THEN 2 ELSE 1 END AS BIGINT) AS columns FROM f GROUP BY 1")(lambda t: layout.columns(_boxes(t), _PW).select("page", F.col("columns").cast("long").alias("columns")))
 query("src10_row_groups", f"WITH {BX}, j AS (SELECT *, CASE WHEN y0 - lag(y0) OVER (PARTITION BY page ORDER BY y0, x0, n) > 3 THEN 1 ELSE 0 END AS jump FROM bx) SELECT page, n AS word, CAST(sum(jump) OVER (PARTITION BY page ORDER BY y0, x0, n) AS BIGINT) AS row FROM j")(lambda t: layout.rows(_boxes(t).withColumn("column", F.lit(0))).select("page", F.col("word").cast("long").alias("word"), "row"))
-query("src11_lines")(lambda t: layout.lines(_boxes(t), _PW))
+_two = "(SELECT page, sum(n) >= 20 AND min(n) FILTER (bin BETWEEN 8 AND 11) < 0.45 * least(max(n) FILTER (bin < 8), max(n) FILTER (bin >= 12)) AS two FROM (SELECT p.page, g.bin, coalesce(h.n, 0) AS n FROM (SELECT DISTINCT page FROM bx) p CROSS JOIN (SELECT unnest(range(20)) AS bin) g LEFT JOIN (SELECT page, least(greatest(floor(x0 / 1000 * 20), 0), 19) AS bin, count(*) AS n FROM bx GROUP BY 1, 2) h ON h.page = p.page AND h.bin = g.bin) GROUP BY 1)"
+LN = f"{BX}, t2 AS {_two}, j2 AS (SELECT bx.*, CASE WHEN two AND x0 > 500 THEN 1 ELSE 0 END AS col FROM bx JOIN t2 USING (page)), j3 AS (SELECT *, CASE WHEN y0 - lag(y0) OVER (PARTITION BY page, col ORDER BY y0, x0, n) > 3 THEN 1 ELSE 0 END AS jump FROM j2), j4 AS (SELECT *, sum(jump) OVER (PARTITION BY page, col ORDER BY y0, x0, n) AS row FROM j3)"
+query("src11_lines", f"WITH {LN} SELECT page, CAST(col AS INT) AS column, CAST(row AS BIGINT) AS row, string_agg(token, ' ' ORDER BY x0, n) AS text, CAST(min(x0) AS DOUBLE) AS x0, CAST(max(y1) AS DOUBLE) AS y1 FROM j4 GROUP BY 1, 2, 3")(lambda t: layout.lines(_boxes(t), _PW).select("page", "column", "row", "text", "x0", "y1"))
 query("src12_median", f"WITH {BX} SELECT page, round(median(CAST(y1 - y0 AS DOUBLE)), 6) AS height FROM bx GROUP BY 1")(lambda t: _boxes(t).groupBy("page").agg(F.round(F.median(F.col("y1") - F.col("y0")), 6).alias("height")))
 for name in ("src08_bbox_text", "src13_bbox_pages"):
     query(name)(lambda t: layout.page_text(_boxes(t), _PW))
@@ -191,12 +193,51 @@ def _setup(t):
     return questions(t), c, chunking.extract_claims(c), bm25.build(c)
 
 
-query("cmp17_hybrid_retrieve")(lambda t: retrieve.hybrid(*_setup(t), k=10).select("query_id", "position", "chunk_id", "rrf_score", "rerank_score"))
+_CL = f"""ck AS (SELECT chunk_id, section, generate_subscripts({s_sentences("text")}, 1) - 1 AS i, unnest({s_sentences("text")}) AS text FROM chunks), cl AS (SELECT sha1(chunk_id || ':' || i || ':' || text) AS claim_id, chunk_id, text FROM ck WHERE {_plain_claim})"""
+_EMC = _embedding_sql(False, 1024, "cl", "claim_id").replace("tk AS", "tk3 AS").replace("FROM tk)", "FROM tk3)").replace("hh AS", "hh3 AS").replace("FROM hh ", "FROM hh3 ").replace("pl AS", "pl3 AS").replace("FROM pl ", "FROM pl3 ").replace("nm AS", "nm3 AS").replace("JOIN nm ", "JOIN nm3 ").replace("emb AS", "emb3 AS")
+_BMQ = _BM[_BM.index("w AS (SELECT chunk_id") :]
+_map = "MAP {" + ", ".join(f"'{k}': {sql_list(v)}" for k, v in e.EXPANSIONS.items()) + "}"
+_exp = f"list_distinct(list_concat({s_tokens('question')}, flatten(list_transform({s_tokens('question')}, lambda w: coalesce(({_map})[w], [])))))"
+_intent = " UNION ALL ".join(f"SELECT query_id, unnest({sql_list(names)}) AS section, {w} AS weight FROM questions WHERE {s_any('lower(question)', *words)}" for words, names, w in e.INTENTS)
+_tabular = f"(regexp_matches(question, '\\d') OR {s_any('lower(question)', *e.TABLE_MARKERS)})"
+_rk = "row_number() OVER (PARTITION BY query_id ORDER BY {} DESC, {})"
+HYBRID = f"""WITH {D}, {_BMQ}, {_CL}, {_EMC}, dc AS (SELECT query_id, claim_id, round(sum(a.w * b.w), 9) AS score FROM emb2 a JOIN emb3 b USING (idx) GROUP BY 1, 2),
+ l1 AS (SELECT query_id, chunk_id, {_rk.format("score", "chunk_id")} AS rank, CAST(NULL AS VARCHAR) AS claim, 1.0 AS weight FROM ds QUALIFY rank <= 30),
+ l2 AS (SELECT query_id, chunk_id, {_rk.format("score", "chunk_id")} AS rank, CAST(NULL AS VARCHAR) AS claim, 1.0 AS weight FROM sc WHERE score <> 0 QUALIFY rank <= 30),
+ l3a AS (SELECT query_id, claim_id, {_rk.format("score", "claim_id")} AS rank FROM dc QUALIFY rank <= 30), l3 AS (SELECT query_id, chunk_id, min(rank) AS rank, arg_min(text, rank) AS claim, 1.3 AS weight FROM l3a JOIN cl USING (claim_id) GROUP BY 1, 2),
+ ev AS (FROM l1 UNION ALL FROM l2 UNION ALL FROM l3), fu AS (SELECT query_id, chunk_id, sum(CAST(weight AS DOUBLE) / (60 + rank)) AS fused, max(claim) AS claim FROM ev GROUP BY 1, 2),
+ iw AS (SELECT query_id, section, CAST(max(weight) AS DOUBLE) AS weight FROM ({_intent}) GROUP BY 1, 2),
+ rr AS (SELECT f.*, c.section, c.text, q.question, coalesce(w.weight, 0.0) AS bonus, round(CASE WHEN {_tabular} AND c.content_type = 'table' THEN f.fused * 1.2 ELSE f.fused END + coalesce(w.weight, 0.0), 9) AS rrf_score FROM fu f JOIN chunks c USING (chunk_id) JOIN questions q USING (query_id) LEFT JOIN iw w ON w.query_id = f.query_id AND w.section = c.section),
+ r1 AS (SELECT *, {_rk.format("rrf_score", "chunk_id")} AS rrf_rank FROM rr QUALIFY rrf_rank <= 20),
+ r2 AS (SELECT *, {_rk.format(f"len(list_intersect(list_distinct({s_tokens('question')}), list_distinct({s_tokens('CASE WHEN claim IS NULL THEN text ELSE claim || chr(10) || chr(10) || text END')})))", "rrf_rank")} AS rerank_rank FROM r1),
+ r3 AS (SELECT *, round(1.2 / (60.0 + rerank_rank) + 1.0 / (60.0 + rrf_rank) + 0.10 * least(1.0, len(list_intersect({_exp}, list_distinct({s_tokens("text")}))) / CAST(greatest(4, len({_exp})) AS DOUBLE)) + bonus + CASE WHEN claim IS NULL THEN 0.0 ELSE 0.025 END, 9) AS rerank_score FROM r2),
+ r4 AS (SELECT *, {_rk.format("rerank_score", "chunk_id")} AS rank FROM r3), r5 AS (SELECT *, row_number() OVER (PARTITION BY query_id, section ORDER BY rank) > 3 AS late FROM r4)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY late, rank) AS position, chunk_id FROM r5 QUALIFY position <= 10"""
+query("cmp17_hybrid_retrieve", HYBRID)(lambda t: retrieve.hybrid(*_setup(t), k=10).select("query_id", F.col("position").cast("long").alias("position"), "chunk_id"))
 query("cmp18_advanced_retrieve")(lambda t: retrieve.advanced(questions(t), chunks(t), bm25.build(chunks(t))).select("query_id", "position", "chunk_id", "score"))
 query("jn07_citation_chain")(lambda t: retrieve.cited(questions(t), retrieve.lexical(questions(t), bm25.build(chunks(t)), 10).join(chunks(t).select("chunk_id", "paper_id", "text"), "chunk_id"), papers(t), chunks(t)))
-query("cmp27_extractive_query")(lambda t: answer.extractive(questions(t), retrieve.dense(questions(t), chunks(t), 5, 384).join(chunks(t).select("chunk_id", "text"), "chunk_id")).select("query_id", "answer", F.array_join("cited", "|").alias("cited")))
-for name, run in (("cmp26_extractive_answer", lambda t: answer.extractive(questions(t), retrieve.lexical(questions(t), bm25.build(chunks(t)), 5).join(chunks(t).select("chunk_id", "text"), "chunk_id")).select("query_id", "answer")), ("cmp24_fallback_answer", lambda t: answer.fallback(questions(t), retrieve.hybrid(*_setup(t), k=8)))):
-    query(name)(run)
+def _extractive_sql(scored: str) -> str:
+    """Answers from ``scored`` (query_id, chunk_id, score), five hits a question."""
+    terms = f"list_distinct(list_filter({{0}}, lambda w: length(w) > 2 AND NOT {s_in('w', x.STOPWORDS_ANSWER)}))"
+    q, own = terms.format(s_tokens("q.question")), terms.format(s_tokens("s.s"))
+    return f"""hit AS (SELECT query_id, chunk_id, score FROM {scored} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 5),
+ sn AS (SELECT h.query_id, h.chunk_id, h.score, generate_subscripts({s_sentences("c.text")}, 1) - 1 AS i, unnest({s_sentences("c.text")}) AS s FROM hit h JOIN chunks c USING (chunk_id)),
+ va AS (SELECT s.*, round(0.75 * s.score + 0.25 * len(list_intersect({q}, {own})), 9) AS value FROM sn s JOIN questions q USING (query_id)),
+ fi AS (SELECT * FROM va QUALIFY row_number() OVER (PARTITION BY query_id, lower(s) ORDER BY value DESC, score DESC, chunk_id, i) = 1),
+ to3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY value DESC, score DESC, chunk_id, i) AS rn FROM fi QUALIFY rn <= 3),
+ an AS (SELECT q.query_id, coalesce(string_agg(t.s, ' ' ORDER BY t.rn), '{answer.NOTHING}') AS answer FROM questions q LEFT JOIN to3 t USING (query_id) GROUP BY 1)"""
+
+
+D384 = D.replace("% 1024", "% 384")
+query("cmp27_extractive_query", f"WITH {D384}, {_extractive_sql('ds')} SELECT query_id, answer FROM an")(lambda t: answer.extractive(questions(t), retrieve.dense(questions(t), chunks(t), 5, 384).join(chunks(t).select("chunk_id", "text"), "chunk_id")).select("query_id", "answer"))
+query("cmp26_extractive_answer", f"WITH {_BM}, {_extractive_sql('(SELECT query_id, chunk_id, score FROM sc WHERE score <> 0)')} SELECT query_id, answer FROM an")(lambda t: answer.extractive(questions(t), retrieve.lexical(questions(t), bm25.build(chunks(t)), 5).join(chunks(t).select("chunk_id", "text"), "chunk_id")).select("query_id", "answer"))
+_ss, _sets = s_sentences("a.answer"), "len(list_intersect({0}, {1})) / CAST(greatest(len(list_distinct(list_concat({0}, {1}))), 1) AS DOUBLE)"
+_wa, _wb = f"list_distinct({s_words('lower(a.s)')})", f"list_distinct({s_words('lower(c.text)')})"
+CITED = f"""WITH {_BM}, {_extractive_sql('(SELECT query_id, chunk_id, score FROM sc WHERE score <> 0)')}, st2 AS (SELECT query_id, generate_subscripts({_ss}, 1) - 1 AS i, unnest({_ss}) AS s FROM an a),
+ pr AS (SELECT a.query_id, a.i, a.s, h.chunk_id, round({_sets.format(_wa, _wb)}, 9) AS score FROM st2 a JOIN hit h USING (query_id) JOIN chunks c USING (chunk_id)),
+ bs AS (SELECT query_id, i, any_value(s) AS s, arg_max(chunk_id, (score, chunk_id)) AS chunk_id, max(score) AS score FROM pr GROUP BY 1, 2)
+SELECT query_id, string_agg(CASE WHEN score >= 0.3 THEN s || ' [' || chunk_id || ']' ELSE s END, ' ' ORDER BY i) AS annotated, count(*) FILTER (score >= 0.3) AS cited, count(*) FILTER (score < 0.3) AS uncited FROM bs GROUP BY 1"""
+query("cmp24_fallback_answer")(lambda t: answer.fallback(questions(t), retrieve.hybrid(*_setup(t), k=8)))
 query("cmp25_overview_answer")(lambda t: answer.overview(retrieve.hybrid(*_setup(t), k=8)))
 query("cmp38_answer_loop")(lambda t: answer.answer_batch(*_setup(t)))
 query("cmp39_adaptive_quality")(lambda t: answer.quality(questions(t), retrieve.advanced(questions(t), chunks(t), bm25.build(chunks(t)))).select("query_id", *(F.round(c, 6).alias(c) for c in ("relevance", "diversity", "coverage", "completeness", "overall")), F.array_join("issues", "|").alias("issues")))
@@ -210,7 +251,7 @@ def _answers(t):
 
 
 for name in ("cmp35_cited_answer", "jn08_sentence_argmax"):
-    query(name)(lambda t: answer.cite(*_answers(t), threshold=0.3))
+    query(name, CITED)(lambda t: answer.cite(*_answers(t), threshold=0.3))
 query("hlp13_citation_markers", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '(' || source || ', p.1)' WHEN 1 THEN '(' || source || ' 1)' ELSE '[' || doc_id || ']' END AS marker FROM documents")(lambda t: t("documents").select("doc_id", F.when(F.pmod("doc_id", F.lit(3)) == 0, F.concat(F.lit("("), "source", F.lit(", p.1)"))).when(F.pmod("doc_id", F.lit(3)) == 1, F.concat(F.lit("("), "source", F.lit(" 1)"))).otherwise(F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("]"))).alias("marker")))
 query("hlp02_rank_by_overlap", f"WITH {C}, s AS (SELECT paper_id, chunk_id, {_big.format(s_tokens(_short))} AS q, list_distinct({s_tokens('text')}) AS c FROM chunks), o AS (SELECT paper_id, chunk_id, round(len(list_intersect(q, c)) / CAST(greatest(len(q), 1) AS DOUBLE), 9) AS score FROM s) SELECT paper_id, chunk_id, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, chunk_id) AS rank FROM o WHERE score > 0")(lambda t: fusion.rank(chunks(t).withColumn("score", F.round(check.alignment(_asked(), F.col("text")), 9)).filter("score > 0"), ["paper_id"]).select("paper_id", "chunk_id", F.col("rank").cast("long").alias("rank")))
 query("hlp01_paper_match", f"WITH {P}, s AS (SELECT paper_id, list_distinct({s_tokens('title')}) AS t, ['the', 'tion', 'vaswani'] AS c, ['der', 'and', 'edth'] AS q FROM papers), o AS (SELECT paper_id, len(list_intersect(c, t)) / 3.0 AS best, len(list_intersect(q, t)) / 3.0 AS share FROM s) SELECT paper_id, round(CAST(CASE WHEN best > 0 THEN 0.7 * best + 0.3 * share WHEN share >= 0.2 THEN share ELSE 0 END AS DOUBLE), 6) AS score FROM o")(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import extract as e
-from siltstone.queries.corpus import QUESTIONS, SQL_CHUNKS, SQL_QUESTIONS, chunks, questions, s_any, s_clean_claim, s_count, s_sentences, s_strip, s_tokens, s_words, sql_list
+from siltstone.queries.corpus import QUESTIONS, SQL_CHUNKS, SQL_QUESTIONS, chunks, questions, s_any, s_clean_claim, s_count, s_in, s_sentences, s_strip, s_tokens, s_words, sql_list
 from siltstone.queries.registry import query
 
 
@@ -95,9 +95,18 @@ def _title_page(t):
 
 query("ext09_title_page", "WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents) SELECT doc_id, coalesce(l[1], '') AS title, array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(l[2], ''), ',| and '), lambda a: trim(a)), lambda a: a <> ''), '|') AS authors FROM d")(_title_page)
 _word = r"regexp_extract_all(text, '[\p{L}\p{N}_-]+')"
-query("ext11_named_entities")(lambda t: chunks(t).select("chunk_id", F.array_join(e.named_entities(F.col("text")), "|").alias("out")))
-query("agg21_distinct_entities")(lambda t: chunks(t).select("paper_id", F.explode(e.named_entities(F.col("text"))).alias("entity")).distinct())
-query("ext12_claim_entities")(lambda t: chunks(t).select("chunk_id", F.array_join(e.claim_entities(F.col("text")), "|").alias("out")))
+ASCII = f"{SQL_CHUNKS}, ascii AS (SELECT chunk_id, paper_id, regexp_replace(text, '[^\\x00-\\x7F]+', ' ', 'g') AS text FROM chunks)"
+_named = "list_sort(list_distinct(list_concat(list_concat(regexp_extract_all(text, '\\b[Bb][Ee][Rr][Tt][A-Za-z0-9\\-]*\\b'), regexp_extract_all(text, '\\b[Gg][Pp][Tt][- ]?\\d+(?:\\.\\d+)?\\b')), list_concat(regexp_extract_all(text, '\\b[A-Z][A-Za-z]+(?:Net|Former|LM)\\b'), regexp_extract_all(text, '\\b[A-Z]{2,}\\b')))))"
+
+
+def _ascii(t):
+    """Chunks with other than ASCII characters made spaces: there both engines agree on word boundaries."""
+    return chunks(t).withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]+", " "))
+
+
+query("ext11_named_entities", f"WITH {ASCII} SELECT chunk_id, array_to_string({_named}, '|') AS out FROM ascii")(lambda t: _ascii(t).select("chunk_id", F.array_join(e.named_entities(F.col("text")), "|").alias("out")))
+query("agg21_distinct_entities", f"WITH {ASCII} SELECT DISTINCT paper_id, unnest({_named}) AS entity FROM ascii")(lambda t: _ascii(t).select("paper_id", F.explode(e.named_entities(F.col("text"))).alias("entity")).distinct())
+query("ext12_claim_entities", f"WITH {ASCII} SELECT chunk_id, array_to_string(list_slice(list_sort(list_distinct(regexp_extract_all(text, '\\b([A-Z][A-Za-z0-9_\\-]{{2,}}|\\d+(?:\\.\\d+)?%?)\\b', 1))), 1, 10), '|') AS out FROM ascii")(lambda t: _ascii(t).select("chunk_id", F.array_join(e.claim_entities(F.col("text")), "|").alias("out")))
 _low = "lower(text)"
 _kind = f"coalesce({s_case(e.CLAIM_TYPES, lambda w: s_any(_low, *w))}, CASE WHEN contains(lower(section), 'method') OR {s_any(_low, 'we propose', 'we introduce', 'our approach')} THEN 'method' ELSE 'result' END)"
 query("ext13_claim_type", f"WITH {SQL_CHUNKS} SELECT chunk_id, {_kind} AS out FROM chunks")(lambda t: chunks(t).select("chunk_id", e.claim_type(F.col("text"), F.col("section")).alias("out")))
@@ -105,7 +114,8 @@ query("ext14_claim_confidence", f"WITH {SQL_CHUNKS}, k AS (SELECT chunk_id, text
     lambda t: chunks(t).select("chunk_id", e.claim_confidence(F.col("text"), e.claim_type(F.col("text"), F.col("section"))).alias("out"))
 )
 on_chunks("ext15_citation_strings", e.citations, r"list_concat(regexp_extract_all(text, '\(([A-Z][a-z]+(?:\s+et\s+al\.?)?,?\s+\d{4})\)', 1), regexp_extract_all(text, '\[(\d+)\]', 1))", "list")
-query("ext16_redact")(lambda t: chunks(t).select("chunk_id", e.redact(F.col("text")).alias("out"), e.redact(F.col("text"), compat=True).alias("compat")))
+_red = "regexp_replace(regexp_replace({0}, '\\b\\d{{3}}[-.\\s]?\\d{{3}}[-.\\s]?\\d{{4}}\\b', '[REDACTED_PHONE]', 'g'), '\\b\\d{{3}}-\\d{{2}}-\\d{{4}}\\b', '[REDACTED_SSN]', 'g')"
+query("ext16_redact", f"WITH {ASCII} SELECT chunk_id, {_red.format(f"regexp_replace(text, '{e.EMAIL}', '[REDACTED_EMAIL]', 'g')")} AS out, {_red.format('text')} AS compat FROM ascii")(lambda t: _ascii(t).select("chunk_id", e.redact(F.col("text")).alias("out"), e.redact(F.col("text"), compat=True).alias("compat")))
 
 
 def _privacy(t):
@@ -191,7 +201,7 @@ on_questions("flt23_table_question", e.is_table_question, rf"(regexp_matches(que
 on_chunks("flt24_resume_like", e.looks_like_resume, f"{s_count(_low, *e.RESUME)} >= 3")
 on_chunks("flt26_spaces_ratio", lambda c: (F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))) / F.greatest(F.length(c), F.lit(1)) > 0.1, "(length(text) - length(replace(text, ' ', ''))) / CAST(greatest(length(text), 1) AS DOUBLE) > 0.1")
 on_chunks("hlp04_claims_of_answer", e.claims_of_answer, f"list_slice(list_filter(list_transform({s_sentences('text')}, lambda s: {s_clean_claim('s')}), lambda c: length(c) >= 20), 1, 3)", "list")
-query("hlp07_answer_entities")(lambda t: chunks(t).select("chunk_id", F.array_join(e.answer_entities(F.col("text")), "|").alias("out")))
+query("hlp07_answer_entities", f"WITH {ASCII} SELECT chunk_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(text, '\\b[A-Z][A-Za-z0-9_-]{{2,}}\\b')), lambda w: NOT {s_in('lower(w)', e.ENTITY_STOP)})), '|') AS out FROM ascii")(lambda t: _ascii(t).select("chunk_id", F.array_join(e.answer_entities(F.col("text")), "|").alias("out")))
 _neg = "list_has_any(" + s_words("{}") + ", ['no', 'not', 'never', 'without'])"
 query("hlp08_negation_conflict", f"WITH {SQL_CHUNKS}, {SQL_QUESTIONS} SELECT chunk_id, {_neg.format('lower(text)')} <> {_neg.format(f'lower(({sql_list(QUESTIONS)})[1 + ordinal % {len(QUESTIONS)}])')} AS conflict FROM chunks")(
     lambda t: chunks(t).select("chunk_id", (F.arrays_overlap(F.split(F.lower("text"), r"\s+"), F.array(*map(F.lit, ("no", "not", "never", "without")))) != F.arrays_overlap(F.split(F.lower(F.element_at(F.array(*(F.lit(q) for q in QUESTIONS)), (F.pmod("ordinal", F.lit(len(QUESTIONS))) + 1).cast("int"))), r"\s+"), F.array(*map(F.lit, ("no", "not", "never", "without"))))).alias("conflict"))

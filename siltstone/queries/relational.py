@@ -160,8 +160,9 @@ _prio = ("abstract", "introduction", "conclusion", "results", "method", "experim
 query("srt04_overview_priority", f"WITH {C}, o AS (SELECT paper_id, chunk_id, row_number() OVER (PARTITION BY paper_id ORDER BY coalesce(list_position({list(_prio)}, section), 100), -length(text), ordinal) AS position FROM chunks) SELECT * FROM o")(
     lambda t: chunks(t).select("paper_id", "chunk_id", F.row_number().over(Window.partitionBy("paper_id").orderBy(F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, _prio)), F.col("section")), F.lit(0)), F.lit(100)), -F.length("text"), "ordinal")).cast("long").alias("position"))
 )
-query("srt05_sort_modes", f"WITH {P} SELECT paper_id, row_number() OVER (ORDER BY updated_at DESC, paper_id) AS newest, row_number() OVER (ORDER BY updated_at, paper_id) AS oldest, row_number() OVER (ORDER BY page_count DESC, paper_id) AS longest, row_number() OVER (ORDER BY title, paper_id) AS alphabetical FROM papers")(
-    lambda t: papers(t).select("paper_id", *(F.row_number().over(Window.orderBy(*o, "paper_id")).cast("long").alias(n) for n, o in (("newest", [F.desc("updated_at")]), ("oldest", ["updated_at"]), ("longest", [F.desc("page_count")]), ("alphabetical", ["title"]))))
+# sorts of a library view: within each source, so that no sort needs one task
+query("srt05_sort_modes", f"WITH {P} SELECT paper_id, row_number() OVER (PARTITION BY source_path ORDER BY updated_at DESC, paper_id) AS newest, row_number() OVER (PARTITION BY source_path ORDER BY updated_at, paper_id) AS oldest, row_number() OVER (PARTITION BY source_path ORDER BY page_count DESC, paper_id) AS longest, row_number() OVER (PARTITION BY source_path ORDER BY title, paper_id) AS alphabetical FROM papers")(
+    lambda t: papers(t).select("paper_id", *(F.row_number().over(Window.partitionBy("source_path").orderBy(*o, "paper_id")).cast("long").alias(n) for n, o in (("newest", [F.desc("updated_at")]), ("oldest", ["updated_at"]), ("longest", [F.desc("page_count")]), ("alphabetical", ["title"]))))
 )
 query("srt06_previews", f"WITH {C} SELECT chunk_id, left(text, 320) AS a, left(text, 200) AS b, left(text, 180) || '...' AS c FROM chunks")(lambda t: chunks(t).select("chunk_id", F.substring("text", 1, 320).alias("a"), F.substring("text", 1, 200).alias("b"), F.concat(F.substring("text", 1, 180), F.lit("...")).alias("c")))
 

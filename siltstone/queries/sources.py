@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from siltstone import ports
 from siltstone.functions import text as x
+from siltstone.functions.extract import figure_captions
 from siltstone.operators import bm25
+from siltstone.operators.chunking import chunk_by_words
 from siltstone.plans import ingest, retrieve
 from siltstone.queries.corpus import SQL_QUESTIONS, chunks, questions, s_collapse
 from siltstone.queries.registry import query
@@ -85,3 +87,25 @@ def _streamed(t):
 query("str08_windowed_stream", "SELECT date_trunc('day', ts) :: TIMESTAMP AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")(_streamed)
 query("str03_monitor_digest", "SELECT CAST(ts AS DATE) AS day, event_type AS topic, count(*) AS items FROM events GROUP BY 1, 2")(lambda t: t("events").groupBy(F.to_date("ts").alias("day"), F.col("event_type").alias("topic")).agg(F.count(F.lit(1)).alias("items")))
 query("hlp21_facade_query")(lambda t: retrieve.lexical(questions(t), bm25.build(chunks(t)), 3).select("query_id", "chunk_id", "rank"))
+
+
+# feeds and datasets made of the tables' own texts
+def _feed(t):
+    entry = F.concat(F.lit("<entry><id>http://arxiv.org/abs/24"), F.lpad(F.col("doc_id").cast("string"), 6, "0"), F.lit("v3</id><title>Title "), F.col("lang"), F.lit("</title><updated>2024-01-02T03:04:05Z</updated><category term=\"cs."), F.col("lang"), F.lit("\"/></entry>"))
+    return readers.entries(t("documents").select("doc_id", entry.alias("xml")), "xml", "doc_id")
+
+
+query("src31_feed_entries", "SELECT doc_id, '24' || lpad(CAST(doc_id AS VARCHAR), 6, '0') AS entry_id, 'Title ' || lang AS title, 'cs.' || lang AS category FROM documents")(lambda t: _feed(t).select("doc_id", "entry_id", "title", F.get("categories", F.lit(0)).alias("category")))
+query("src30_feed_order", "SELECT doc_id FROM documents ORDER BY doc_id DESC LIMIT 10")(lambda t: _feed(t).orderBy(F.desc("updated"), F.desc("doc_id")).limit(10).select("doc_id"))
+query("src32_eval_cases", "SELECT item_id, trim(text) AS question, CAST(1 AS BIGINT) AS keywords FROM benchmark WHERE trim(text) <> ''")(
+    lambda t: readers.case_rows(t("benchmark").select("item_id", F.to_json(F.struct(F.concat(F.lit(" "), "text").alias("question"), F.array("item_id").cast("array<string>").alias("expected_keywords"))).alias("line")), "line", "item_id").select("item_id", "question", F.size("expected_keywords").cast("long").alias("keywords"))
+)
+for name in ("src15_backend_texts", "hlp24_page_backends"):
+    query(name, "SELECT page_id, length(html) AS chars FROM pages")(lambda t: readers.documents(t("pages").select(F.col("page_id").cast("string").alias("path"), F.encode("html", "UTF-8").alias("content"))).select(F.col("path").cast("long").alias("page_id"), F.length("text").cast("long").alias("chars")))
+query("src17_table_scan", "SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda l: contains(l, ' | '))) AS BIGINT) AS rows FROM documents")(lambda t: t("documents").select("doc_id", F.size(readers.piped_rows(F.col("text"))).cast("long").alias("rows")))
+query("src18_tables_and_figures", "SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda l: contains(l, ' | '))) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS figures FROM documents")(lambda t: t("documents").select("doc_id", F.size(readers.piped_rows(F.col("text"))).cast("long").alias("rows"), F.size(figure_captions(F.col("text"))).cast("long").alias("figures")))
+query("cmp11_word_ingest", "SELECT count(*) AS documents FROM documents")(lambda t: chunk_by_words(t("documents").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"), "text")).agg(F.count_distinct("document_id").alias("documents")))
+for name in ("cmp23_model_answer", "cmp36_advanced_answer"):
+    query(name, f"WITH {SQL_QUESTIONS} SELECT query_id, 'extractive' AS provider FROM questions")(lambda t: ports.generated(questions(t), None).select("query_id", "provider"))
+query("hlp09_refine_hook", "SELECT CAST(0 AS BIGINT) AS refined")(lambda t: ports.refine(chunks(t), None).agg(F.count(F.lit(1)).alias("refined")))
+query("hlp23_fetched_pages", "SELECT page_id, octet_length(encode(html)) AS chars FROM pages")(lambda t: ports.fetched(t("pages").select("page_id", "url", F.encode("html", "UTF-8").alias("held")), None).select("page_id", F.length("content").cast("long").alias("chars")).withColumn("chars", F.col("chars")))

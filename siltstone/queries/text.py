@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as x
-from siltstone.queries.corpus import SQL_CHUNKS, chunks, s_collapse, s_clean_claim, s_in, s_parts, s_sentences, s_sentences_tight, s_strip, s_tokens, s_words
+from siltstone.operators.chunking import split_long
+from siltstone.queries.corpus import SQL_CHUNKS, chunks, s_any, s_collapse, s_count, s_clean_claim, s_in, s_parts, s_sentences, s_sentences_tight, s_strip, s_tokens, s_words
 from siltstone.queries.registry import query
 
 
@@ -76,9 +77,15 @@ on_chunks("txt22_split_words", lambda c: x.windows(x.split_words(c), 15, 15), f"
 _long = f"list_filter({s_sentences('text')}, lambda s: len(regexp_extract_all(s, '[A-Za-z]')) >= 20)"
 _first = f"coalesce(list_extract(list_filter({_long}, lambda s: regexp_matches(s, '^[A-Z0-9]')), 1), list_extract({_long}, 1), list_extract({s_sentences('text')}, 1))"
 on_chunks("txt24_best_sentence", x.best_sentence, f"CASE WHEN len({s_sentences('text')}) = 0 THEN left(regexp_replace({s_collapse('text')}, '^[^A-Za-z0-9]+', ''), 240) ELSE {s_clean_claim(f'left({_first}, 240)')} END")
-query("txt25_overview_sentences")(lambda t: chunks(t).select("chunk_id", F.array_join(x.overview_sentences(F.col("text")), "|").alias("out")))
-query("txt26_merge_small_parts")(lambda t: t("documents").select("doc_id", F.array_join(x.merge_small(x.split_keep(F.col("text"), ". ")), "|").alias("out")))
-query("txt23_split_long_sentence")(lambda t: chunks(t).select("chunk_id", F.array_join(x.windows(x.split_words(F.col("text")), 20, 17), "|").alias("out")))
+_keys = ("propose", "develop", "build", "evaluate", "result", "improve", "system", "introduce", "present", "achieve", "show", "demonstrate", "outperform", "state-of-the-art", "novel", "approach", "framework", "method", "model", "train", "fine-tune", "benchmark", "dataset", "experiment", "performance")
+_over = f"list_transform({s_sentences('text')}, lambda s, i: {{'k': -({s_count('lower(s)', *_keys)} + 1 - CASE WHEN {s_any('lower(s)', 'copyright', 'conference', 'author', 'email')} THEN 2 ELSE 0 END), 'i': i, 't': {s_clean_claim('s')}}})"
+_fit = f"list_filter({_over}, lambda r: length(r.t) >= 40 AND regexp_matches(r.t, '^[A-Z]') AND length(r.t) - length(replace(r.t, ' ', '')) >= 6 AND len(regexp_extract_all(r.t, '[A-Za-z]')) >= 25)"
+query("txt25_overview_sentences", f"WITH {SQL_CHUNKS} SELECT chunk_id, array_to_string(list_transform(list_filter(list_slice(list_sort({_fit}), 1, 3), lambda r: r.k < 0), lambda r: {s_clean_claim('r.t')}), '|') AS out FROM chunks")(lambda t: chunks(t).select("chunk_id", F.array_join(x.overview_sentences(F.col("text")), "|").alias("out")))
+_piece = f"list_transform(list_filter(list_transform(string_split(text, '. '), lambda p: {s_strip('p')}), lambda p: p <> ''), lambda p: CASE WHEN suffix(p, '.') THEN p ELSE p || '.' END)"
+query("txt26_merge_small_parts", f"""WITH RECURSIVE d AS (SELECT doc_id, {_piece} AS u FROM documents), r AS (SELECT doc_id, u, 0 AS i, '' AS held, CAST(NULL AS VARCHAR) AS done FROM d UNION ALL
+ SELECT doc_id, u, i + 1, CASE WHEN i = len(u) OR length({s_strip("held || ' ' || u[i + 1]")}) >= 80 THEN '' ELSE {s_strip("held || ' ' || u[i + 1]")} END, CASE WHEN i = len(u) THEN nullif(held, '') WHEN length({s_strip("held || ' ' || u[i + 1]")}) >= 80 THEN {s_strip("held || ' ' || u[i + 1]")} END FROM r WHERE i <= len(u))
+SELECT doc_id, coalesce(string_agg(done, '|' ORDER BY i) FILTER (done IS NOT NULL), '') AS out FROM r GROUP BY 1""")(lambda t: t("documents").select("doc_id", F.array_join(x.merge_small(x.split_keep(F.col("text"), ". ")), "|").alias("out")))
+query("txt23_split_long_sentence")(lambda t: chunks(t).select("chunk_id", F.array_join(split_long(F.col("text"), 120, 30), "|").alias("out")))
 
 _pair = f"WITH {SQL_CHUNKS}, n AS (SELECT chunk_id, text, lead(text) OVER (PARTITION BY paper_id ORDER BY ordinal) AS other FROM chunks), s AS (SELECT chunk_id, list_distinct({s_words('lower(text)')}) AS a, list_distinct({s_words('lower(other)')}) AS b FROM n WHERE other IS NOT NULL) "
 

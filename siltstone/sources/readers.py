@@ -175,16 +175,38 @@ def scrape_cascade(article: Column, plain: Column, rendered: Column, least: int
     return F.coalesce(F.when(F.length(article) >= least, article), F.when(F.length(plain) >= least, plain), rendered, plain, article, F.lit(""))
 
 
-def feed(spark: SparkSession, path: str) -> DataFrame:
-    """entry_id, title, summary, updated, pdf_url, categories of Atom feeds; entries that lack an id, a title or a date go."""
-    schema = "id string, title string, summary string, updated string, link array<struct<_href:string,_title:string,_type:string>>, category array<struct<_term:string>>"
-    raw = spark.read.format("xml").option("rowTag", "entry").schema(schema).load(path)
+ENTRY = "id string, title string, summary string, updated string, link array<struct<_href:string,_title:string,_type:string>>, category array<struct<_term:string>>"
+
+
+def _entries(raw: DataFrame, *keep: str) -> DataFrame:
     entry = F.regexp_replace(F.regexp_extract(F.trim("id"), r"([^/]+)$", 1), r"v\d+$", "")
     pdf = F.get(F.filter("link", lambda x: (x["_title"] == "pdf") | (x["_type"] == "application/pdf")), F.lit(0))["_href"]
-    rows = raw.select(entry.alias("entry_id"), collapse(F.col("title")).alias("title"), collapse(F.coalesce("summary", F.lit(""))).alias("summary"), F.to_timestamp("updated").alias("updated"), F.coalesce(pdf, F.concat(F.lit("https://arxiv.org/pdf/"), entry, F.lit(".pdf"))).alias("pdf_url"), F.transform("category", lambda c: c["_term"]).alias("categories"))
+    rows = raw.select(*keep, entry.alias("entry_id"), collapse(F.col("title")).alias("title"), collapse(F.coalesce("summary", F.lit(""))).alias("summary"), F.to_timestamp("updated").alias("updated"), F.coalesce(pdf, F.concat(F.lit("https://arxiv.org/pdf/"), entry, F.lit(".pdf"))).alias("pdf_url"), F.transform("category", lambda c: c["_term"]).alias("categories"))
     return rows.filter("entry_id <> '' AND title <> '' AND updated IS NOT NULL")
 
 
+def feed(spark: SparkSession, path: str) -> DataFrame:
+    """entry_id, title, summary, updated, pdf_url, categories of Atom feeds; entries that lack an id, a title or a date go."""
+    return _entries(spark.read.format("xml").option("rowTag", "entry").schema(ENTRY).load(path))
+
+
+def entries(rows: DataFrame, xml: str, *keep: str) -> DataFrame:
+    """The same from a column of single entries."""
+    return _entries(rows.select(*keep, F.from_xml(xml, ENTRY).alias("_e")).select(*keep, "_e.*"), *keep)
+
+
+def case_rows(rows: DataFrame, line: str, *keep: str) -> DataFrame:
+    """keep, question, expected_keywords, paper_ids from a column of JSON objects; rows without a question go."""
+    parsed = rows.select(*keep, F.from_json(line, "question string, expected_keywords array<string>, paper_ids array<string>").alias("c")).select(*keep, "c.*")
+    none = F.array().cast("array<string>")
+    return parsed.select(*keep, F.trim("question").alias("question"), F.coalesce("expected_keywords", none).alias("expected_keywords"), F.coalesce("paper_ids", none).alias("paper_ids")).filter("question <> ''")
+
+
+def piped_rows(text: Column) -> Column:
+    """Lines with cells between bars, as an array of rows of cells."""
+    return F.transform(F.filter(F.split(text, "\n"), lambda x: x.contains(" | ")), lambda x: F.split(x, r" \| "))
+
+
 def eval_cases(spark: SparkSession, path: str) -> DataFrame:
     """question, expected_keywords, paper_ids from a JSON array or lines; rows without a question go."""
     schema = "question string, expected_keywords array<string>, paper_ids array<string>"
