@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from siltstone.functions.text import tokens, unique_words
 
 
+#: Query tokens that one batch of token-level search may broadcast.
+MOST_TOKENS = 50_000
+
+
 def token_weights(token: Column, dim: int, weighted: bool) -> Column:
     """Struct (idx, w) of a token: bytes 0-1 of its SHA-256 give the place; the sign is byte 2 (weighted) or byte 3."""
     digest = F.sha2(token, 256)
@@ -113,7 +117,9 @@ def token_vectors(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFram
 
 
 def max_sim(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str) -> DataFrame:
-    """query_key, doc_key, score: mean over query tokens of the best token similarity. Queries are a bounded batch."""
+    """query_key, doc_key, score: mean over query tokens of the best token similarity. Queries are a batch of at most ``MOST_TOKENS``."""
+    if queries.limit(MOST_TOKENS + 1).count() > MOST_TOKENS:
+        raise ValueError(f"more than {MOST_TOKENS} query tokens: cut the batch")
     q = queries.select(query_key, F.col("token").alias("qt"), F.col("vector").alias("qv"))
     pairs = docs.crossJoin(F.broadcast(q)).select(query_key, doc_key, "qt", dot(F.col("qv"), F.col("vector")).alias("s"))
     return pairs.groupBy(query_key, doc_key, "qt").agg(F.max("s").alias("s")).groupBy(query_key, doc_key).agg(F.avg("s").alias("score"))
