@@ -12,6 +12,8 @@ from siltstone import ports
 from siltstone.functions import vectors as v
 from siltstone.operators import bm25, chunking, fusion, graph, layout, metrics, stores
 from siltstone.plans import answer, ingest, retrieve
+from siltstone.queries import QUERIES
+from siltstone.queries.corpus import STATEMENTS
 from siltstone.sources import readers
 from siltstone.streaming import streams
 
@@ -210,3 +212,16 @@ def test_parameter_rules():
     p = answer.tune(answer.Parameters(), 0.2, 0.5, 0.5, 0.3, 1)
     assert p.k_vector > 30 and p.use_hyde
     assert answer.wants_retry("Low", 1) and not answer.wants_retry(0.9, 1) and not answer.wants_retry(0.1, 3)
+
+
+def test_longest_common_substring_on_long_lines(spark, tmp_path):
+    def brute(a, c):
+        a, c = a[:4000], c[:4000]
+        return max((n for i in range(len(a)) for n in range(1, len(a) - i + 1) if a[i : i + n] in c), default=0)
+
+    lines = ["short line", "wörds " * 150, "ab " * 400 + STATEMENTS[4][:30], "x" * 3990, "y" * 5000, ""]
+    spark.createDataFrame([(2, "\n".join(lines))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r.longest for r in QUERIES["mth19_longest_common_substring"](spark, str(tmp_path)).collect()]
+    own = [STATEMENTS[(2 + i) % len(STATEMENTS)] for i in range(len(lines))]
+    want = [brute(a, f"{line} {a}".strip(" ")) for a, line in zip(own, lines, strict=True)]
+    assert sorted(got) == sorted(want) and want[1:3] == [len(own[1]), len(own[2])]
