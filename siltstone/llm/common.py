@@ -6,10 +6,13 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch: texts may be long, so batches are kept short.
 ARROW_ROWS = 512
+#: Columns of a text's two 64-bit marks.
+MARKS = ("_siltstone_mark_a", "_siltstone_mark_b")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def marks(text: Column) -> dict[str, Column]:
+    """128 bits of the text by column name: with the id they tell rows apart where ids repeat or are null."""
+    return dict(zip(MARKS, (F.xxhash64(text), F.xxhash64(F.lit(1), text)), strict=True))
+
+
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 

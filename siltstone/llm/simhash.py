@@ -19,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import small_batches, table, written
+from siltstone.llm.common import MARKS, marks, small_batches, table, written
 
 MOST_BITS = 4
 #: (shift, width) of the segments, in ring order.
@@ -52,17 +52,17 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, shingle: int = 4, *carried: str) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and the carried columns of longs."""
     small_batches(docs.sparkSession)
-    kind = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    kind = pa.schema([(c, pa.int64()) for c in ("doc_id", "fp", *carried)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found, pa.int64())], schema=kind)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found, pa.int64()), *(batch.column(c) for c in carried)], schema=kind)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text", *carried).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *carried)))
 
 
 def _roots(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -191,26 +191,37 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
+def _rooted(prints: DataFrame, order: Column) -> DataFrame:
+    """fp, least and root: each fingerprint's least value of ``order`` and the root of its component."""
+    nodes = prints.groupBy("fp").agg(F.min(order).alias("least"))
+    roots = components(links(nodes)).withColumnRenamed("node", "fp")
+    return nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, fp, component_id for every row of ``docs``."""
     prints = written(fingerprints(docs, shingle), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    edges = links(nodes)
-    roots = components(edges).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(prints, F.col("doc_id"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(named, "root").select("fp", "component_id")
     return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """``docs`` with one row of each component: that of the least doc_id."""
-    found = near_duplicates(docs, shingle).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id"))
-    found = written(found.groupBy("first_id").agg(F.count(F.lit(1)).alias("n")), "firsts")
-    ids = found.select("first_id").hint("merge")  # one plan at every size: the ids are not bounded
-    kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["first_id"]), "left_semi")
-    repeated = found.filter("n > 1").select("first_id").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """``docs`` with one row of each component: that of the least doc_id, a null one last.
+
+    Rows are told apart by id and text, on which alone their component depends, so that other texts of the same id stay.
+    """
+    marked = docs.withColumns(marks(F.col("text")))
+    prints = written(fingerprints(marked, shingle, *MARKS), "simhash")
+    rooted = _rooted(prints, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *MARKS))
+    firsts = rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.*")
+    found = written(firsts.select("doc_id", *MARKS), "firsts")
+    first = found.select(*(F.col(c).alias(f"{c}_first") for c in found.columns)).hint("merge")  # one plan at every size: the ids are not bounded
+    same = [marked[c].eqNullSafe(first[f"{c}_first"]) if c == "doc_id" else marked[c] == first[f"{c}_first"] for c in found.columns]
+    kept = marked.join(first, same, "left_semi")
+    repeated = prints.groupBy("doc_id", *MARKS).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+    return (kept.dropDuplicates(["doc_id", *MARKS]) if repeated else kept).drop(*MARKS)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
