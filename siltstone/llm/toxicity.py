@@ -2,7 +2,8 @@
 
 Words written in leetspeak, with repeated or spaced-out characters, are lattices of possible letters. A Viterbi search
 under a character language model (trigrams counted over all documents) finds the likeliest spelling; the score is then
-a logistic model on the words and word beginnings of the restored text.
+a logistic model on the words and word beginnings of the restored text. Plain words stay beside the restored ones. Words
+of any length are restored; only those without a single letter ("455") are taken for numbers.
 
 The classifier is fitted on at most about ``TRAIN_DOCS`` labelled documents, drawn by a hash of the id; counts of the
 language model cover every document. Labels of held-out rows (crc32 of the id as text modulo 5 is 0) are never read.
@@ -29,8 +30,8 @@ from siltstone.llm.language import held_out
 TRAIN_DOCS, MOST_FEATURES = 6000, 3000
 #: A feature needs so many documents of label 1 and so large a log ratio; RIDGE is the penalty of its weight.
 LEAST_DOCS, LEAST_PULL, RIDGE = 4, 2.0, 0.3
-CACHE_WORDS = 300_000
-LONGEST = 32
+#: Words remembered by a worker, and the longest of them.
+CACHE_WORDS, CACHE_CHARS = 300_000, 48
 #: What a character may stand for (fixed values): letter and cost in nats.
 LEET = {"0": (("o", 1.0),), "1": (("i", 1.0), ("l", 1.2)), "2": (("z", 2.0),), "3": (("e", 1.0),), "4": (("a", 1.0),), "5": (("s", 1.0),), "6": (("g", 2.0),), "7": (("t", 1.0),), "8": (("b", 1.5),), "9": (("g", 1.5),), "@": (("a", 0.7),), "$": (("s", 0.7),), "!": (("i", 0.9),), "|": (("i", 1.2), ("l", 1.2)), "+": (("t", 1.2),), "(": (("c", 1.5),), "€": (("e", 1.0),)}
 #: Characters that may be dropped between letters.
@@ -39,11 +40,20 @@ DROP, KEEP_RUN = 0.7, 3.0
 
 _symbols = re.escape("".join(c for c in LEET if not c.isdigit()))
 _clean = re.compile(r"[^\W\d_]+")
-#: A word with something odd inside: a stand-in or filler between letters, or a letter three times in a row.
-_odd = re.compile(rf"(?<![^\W_])[^\W\d_{_symbols}]?[\w{_symbols}.*~'-]*(?:[^\W\d_][\d{_symbols}.*~'_-]+(?=[^\W\d_])|([^\W\d_])\1\1)[\w{_symbols}.*~'-]*|(?<!\w)[{_symbols}\d](?=[^\W\d_])[\w{_symbols}]*")
+_any, _blur, _stand = rf"[\w{_symbols}.*~'-]", rf"[\d{_symbols}.*~'_-]", rf"[\d{_symbols}]"
+_letter = r"[^\W\d_]"
+#: A word with something odd inside: a stand-in beside a letter, a filler between letters, or a letter three times in a row.
+_odd = re.compile(rf"(?<!{_any})(?:{_any}*(?:{_letter}(?:{_blur}+(?={_letter})|[.*~'_-]*{_stand})|({_letter})\1\1)|[.*~'_-]*{_stand}{_blur}*(?={_letter})){_any}*")
 #: Single characters spaced out.
-_spaced = re.compile(rf"(?<!\w)(?:[\w{_symbols}][ .*_-]{{1,2}}){{3,}}[\w{_symbols}](?!\w)")
-_hint = re.compile(rf"[^\W\d_][\d{_symbols}.*~'_-]+[^\W\d_]|([^\W\d_])\1\1|(?<!\w)[{_symbols}\d][^\W\d_]|(?<!\w)\w[ .*_-]{{1,2}}\w[ .*_-]{{1,2}}\w(?!\w)")
+_single = rf"(?:[^\W_]|[{_symbols}])"
+_spaced = re.compile(rf"(?<!\w)(?:{_single}[ .*_-]{{1,2}}){{3,}}{_single}(?!\w)")
+
+
+def _kind(c: str) -> int:
+    return ord(c) - 96 if "a" <= c <= "z" else 0 if c in ("", " ") else 27
+
+
+_GAP = [("", 0, 0.0), (" ", 0, 0.0)]
 
 
 def codes(text: str) -> np.ndarray:
@@ -78,12 +88,14 @@ def count_trigrams(docs: DataFrame) -> np.ndarray:
 
 
 class Channel:
-    """Restores the likeliest letters of an odd word."""
+    """Restores the likeliest letters of an odd word; words of the lexicon are looked for in spaced-out phrases."""
 
-    def __init__(self, trigrams: np.ndarray):
+    def __init__(self, trigrams: np.ndarray, lexicon: Iterable[str] = ()):
         n = trigrams.reshape(28, 28, 28).astype(float)
         self.cost = (-np.log((n + 0.05) / (n + 0.05).sum(2, keepdims=True))).tolist()
-        self.cache: dict[str, str] = {}
+        self.lexicon = frozenset(w for w in lexicon if len(w) >= 4)
+        self.longest = max(map(len, self.lexicon), default=0)
+        self.cache: dict[str, tuple[str, ...]] = {}
 
     @staticmethod
     def lattice(word: str) -> list[list[tuple[str, float]]]:
@@ -109,46 +121,66 @@ class Channel:
             at = run
         return steps
 
-    def decode(self, word: str) -> str:
-        found = self.cache.get(word)
+    def restored(self, token: str) -> tuple[str, ...]:
+        """The restored forms of the odd words of a token without white space."""
+        found = self.cache.get(token)
         if found is None:
-            found = self._viterbi(word)
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            self.cache[word] = found
+            found = tuple(self._viterbi(m[0]) for m in _odd.finditer(token))
+            if len(token) <= CACHE_CHARS:
+                if len(self.cache) >= CACHE_WORDS:
+                    self.cache.clear()
+                self.cache[token] = found
         return found
 
-    def _viterbi(self, word: str) -> str:
-        def kind(c: str) -> int:
-            return ord(c) - 96 if "a" <= c <= "z" else 27
+    def split(self, spaced: str) -> set[str]:
+        """The words of characters spaced out: the whole, what wider gaps part, the likeliest words of those parts, and the lexicon's inside."""
+        parts = {spaced}
+        if re.search(r"(?<![ .*_-])[ .*_-](?![ .*_-])", spaced):
+            parts.update(re.split(r"[ .*_-]{2}", spaced))
+        found = set()
+        for joined in {re.sub(r"[ .*_-]", "", part) for part in parts}:
+            whole = self._viterbi(joined)
+            found.add(whole)
+            found.update(self._viterbi(joined, gaps=True).split())
+            if self.lexicon:
+                found.update(whole[i : i + n] for i in range(len(whole)) for n in range(4, self.longest + 1) if whole[i : i + n] in self.lexicon)
+        return found
 
-        best = {(0, 0): (0.0, "")}
-        for options in self.lattice(word):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (p, q), (cost, spelled) in best.items():
-                for c, extra in options:
+    def _viterbi(self, word: str, gaps: bool = False) -> str:
+        """The likeliest spelling; with ``gaps`` words may end between any two steps."""
+        costs = self.cost
+        steps = [[(c, _kind(c), extra) for c, extra in options] for options in self.lattice(word)]
+        if gaps:
+            steps = [s for options in steps for s in (options, _GAP)][:-1]
+        best: dict[tuple[int, int], tuple] = {(0, 0): (0.0, None)}  # cost, and the letters as links to the ones before: the search stays linear
+        for options in steps:
+            after: dict[tuple[int, int], tuple] = {}
+            for state, (cost, spelled) in best.items():
+                p, q = state
+                row = costs[p][q]
+                for c, k, extra in options:
                     if c:
-                        k = kind(c)
-                        state, new = (q, k), (cost + extra + self.cost[p][q][k], spelled + c)
+                        to, new = (q, k), cost + extra + row[k]
+                        if to not in after or new < after[to][0]:
+                            after[to] = (new, (spelled, c))
                     else:
-                        state, new = (p, q), (cost + extra, spelled)
-                    if state not in after or new < after[state]:
-                        after[state] = new
+                        new = cost + extra
+                        if state not in after or new < after[state][0]:
+                            after[state] = (new, spelled)
             best = after
-        return min((cost + self.cost[p][q][0], spelled) for (p, q), (cost, spelled) in best.items())[1]
+        _, spelled = min(((cost + costs[p][q][0], spelled) for (p, q), (cost, spelled) in best.items()), key=lambda x: x[0])
+        out = []
+        while spelled:
+            spelled, c = spelled
+            out.append(c)
+        return "".join(reversed(out))
 
     def words(self, text: str) -> set[str]:
         """Distinct words of the text, and the restored forms of the odd ones."""
         lowered = text.lower()
         found = set(_clean.findall(lowered))
-        if _hint.search(lowered):
-            for m in _odd.finditer(lowered):
-                if len(m[0]) <= LONGEST:
-                    found.add(self.decode(m[0]))
-            for m in _spaced.finditer(lowered):
-                joined = re.sub(r"[ .*_-]", "", m[0])
-                if len(joined) <= LONGEST:
-                    found.add(self.decode(joined))
+        found.update(*map(self.restored, set(lowered.split())))
+        found.update(*(self.split(m[0]) for m in _spaced.finditer(lowered)))
         return found
 
 
@@ -217,9 +249,10 @@ def fit(rows: Iterable[tuple[set[str], int]]) -> tuple[dict[str, float], float]:
 
 class Model:
     def __init__(self, trigrams: np.ndarray, weights: dict[str, float], intercept: float):
-        self.channel, self.weights, self.intercept = Channel(trigrams), weights, intercept
+        self.weights, self.intercept = weights, intercept
         self.begins = frozenset(f[:-1] for f in weights if f.endswith("*"))
         self.full = frozenset(f for f in weights if not f.endswith("*"))
+        self.channel = Channel(trigrams, self.full)
         self.fours = frozenset(f[:4] for f in weights)
 
     def score(self, text: str | None) -> float:

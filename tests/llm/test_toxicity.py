@@ -68,3 +68,20 @@ def test_odd_rows(spark):
     model = toxicity.train(df, none)
     assert [r.score < 0.5 for r in toxicity.score(df, model).collect()] == [True] * 4
     assert toxicity.score(df.limit(0), toxicity.train(df.limit(0), none)).count() == 0
+
+
+@pytest.mark.parametrize("text, word", [("scum5", "scum"), ("some m0r0n5 there", "morons"), ("57up1d", "stupid"), ("57upid", "stupid"), ("id107!", "idiot"), ("l0$3", "lose"), ("stu" + "p" * 40 + "id", "stupid"), ("y o u  s t u p i d  w o r t h l e s s  i d i o t  a n d  t h e  m o r o n", "worthless"), ("y o u a r e a s t u p i d w o r t h l e s s i d i o t", "worthless")])
+def test_long_and_trailing_disguises_are_restored(text, word):
+    c = toxicity.codes(" the idiot and the moron or morons are stupid losers who lose in the trash of disgusting worthless scum " * 20)
+    model = toxicity.Model(np.bincount(c[:-2] * 784 + c[1:-1] * 28 + c[2:], minlength=28**3), {word: 9.0}, -4.0)
+    assert word in model.channel.words(text) and model.score(text) > 0.5
+
+
+def test_decoding_is_linear_and_keeps_plain_words(channel):
+    import time
+
+    start = time.monotonic()
+    assert "moron" in channel.words("moron " + "m0r0n" * 20_000)
+    for run in ("-" * 100_000, "$" * 100_000 + " ", "a" + "-" * 100_000, "_" * 200 + "ab", "a b " * 50_000):
+        channel.words(f"m0r0n {run}")
+    assert {"covid", "page"} <= channel.words("covid19, page3") and time.monotonic() - start < 20
