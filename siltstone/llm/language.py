@@ -4,8 +4,9 @@ For each language a suffix automaton is built over a bounded sample of labelled
 letters, lower-cased), each framed by spaces, and every word is spelled by greedy longest matches (phrases) against each automaton. The language
 whose automaton needs the fewest phrases, times the logarithm of its sample's size and per character, wins.
 
-The model is fitted on at most ``SAMPLE_DOCS`` documents and ``SAMPLE_CHARS`` characters a language, from at most
-``MOST_LANGUAGES`` languages (the most frequent); every whole text is then predicted.
+The model is fitted on every labelled language, each with at most ``SAMPLE_CHARS`` characters, and an equal share of
+``TOTAL_CHARS`` where there are more than 64 of them. About 2 * ``SAMPLE_DOCS`` documents a language are drawn; long
+texts give windows spread over their length. Every whole text is then predicted.
 
 Defined results: null text and text without a letter give ``und`` and score 0; where nothing could be learned all
 texts do; ties go to the language that sorts first; repeated rows are kept; null ids are held out or not by crc32 of
@@ -26,11 +27,15 @@ from pyspark.sql import functions as F
 from siltstone.llm.automata import SuffixAutomaton
 from siltstone.llm.common import small_batches, table
 
-SAMPLE_DOCS, SAMPLE_CHARS, MOST_LANGUAGES = 96, 60_000, 64
+SAMPLE_DOCS, SAMPLE_CHARS = 96, 60_000
+#: Characters of all languages together; windows of a long text, at most.
+TOTAL_CHARS, WINDOWS = 64 * SAMPLE_CHARS, 5
 #: Words remembered by a worker, and the longest of them.
 CACHE_WORDS, CACHE_CHARS = 500_000, 48
 _LANE = 40
 _letters = re.compile(r"[^\W\d_]+")
+#: Words that the cuts of a window may have broken.
+_first_word, _last_word = re.compile(r"^\S+\s"), re.compile(r"\s\S+$")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -38,20 +43,35 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _spread(width: int) -> Column:
+    """The whole text where it has at most so many characters; else as many in windows spread evenly over it."""
+    n = max(1, min(WINDOWS, width // 200))
+    part = max(1, width // n)
+    windows = F.array(*(F.substring("text", F.floor((F.length("text") - part) * (i + 0.5) / n).cast("int") + 1, F.lit(part)) for i in range(n)))
+    return F.when(F.length("text") <= width, F.array("text")).otherwise(windows)
+
+
+def _joined(windows: list[str]) -> str:
+    """The windows without the words that their cuts broke."""
+    return " ".join(_last_word.sub("", _first_word.sub("", w)) for w in windows) if len(windows) > 1 else windows[0]
+
+
 def sample(docs: DataFrame) -> dict[str, str]:
     """Text per language from training rows only, of a size that does not grow with the table."""
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return {}
     wide = 1 << 20
-    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(wide, -(-wide * 2 * SAMPLE_DOCS // r["count"]))))))
+    chars = max(1, min(SAMPLE_CHARS, TOTAL_CHARS // len(counts)))
+    drawn = min(SAMPLE_DOCS, max(8, chars * SAMPLE_DOCS // SAMPLE_CHARS))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(wide, -(-wide * 2 * drawn // r["count"]))) for r in counts], "lang string, _siltstone_share long")
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(wide))
-    rows = known.filter(draw < share[F.col("lang")]).select("lang", "doc_id", F.substring("text", 1, 2 * SAMPLE_CHARS // SAMPLE_DOCS).alias("text"))
+    rows = known.select("lang", "doc_id", "text").join(F.broadcast(shares), "lang").filter(draw < F.col("_siltstone_share")).select("lang", "doc_id", _spread(2 * chars // drawn).alias("windows"))  # a row a language
     texts: dict[str, list] = {}
     for r in rows.collect():
-        texts.setdefault(r["lang"], []).append((r["doc_id"], r["text"]))
-    return {lang: " ".join(_letters.findall(" ".join(t for _, t in sorted(own)).lower()))[:SAMPLE_CHARS] for lang, own in texts.items()}
+        texts.setdefault(r["lang"], []).append((r["doc_id"], _joined(r["windows"])))
+    return {lang: " ".join(_letters.findall(" ".join(t for _, t in sorted(own)).lower()))[:chars] for lang, own in texts.items()}
 
 
 class Model(dict):
@@ -95,7 +115,7 @@ def _model(texts: tuple) -> Model:
 def identify(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
     """doc_id, lang_pred, score for every row of ``docs``, from its text alone."""
     small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(tuple(sorted(texts.items())))  # at most MOST_LANGUAGES * SAMPLE_CHARS characters
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(sorted(texts.items())))  # at most TOTAL_CHARS characters
     kind = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

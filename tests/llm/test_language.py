@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from helpers import SF, documents
@@ -34,3 +35,24 @@ def test_odd_rows(spark):
     assert got == [(0, "en"), (1, "und"), (1, "und"), (2, "und"), (3, "en"), (3, "en")]
     assert {r.lang_pred for r in language.identify(df, {}).collect()} == {"und"}
     assert language.sample(df.limit(0)) == {} and language.identify(df.limit(0), {}).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(3)
+    words = {f"l{n:02}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(12)] for n in range(70)}
+    rows = [(1000 * n + i, " ".join(rng.choices(own, k=20)), lang) for n, (lang, own) in enumerate(words.items()) for i in range(6 if n else 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = language.sample(docs)
+    assert set(texts) == set(words) and sum(map(len, texts.values())) <= language.TOTAL_CHARS
+    truth = {d: lang for d, _, lang in rows}
+    assert all(r.lang_pred == truth[r.doc_id] for r in language.identify(docs, texts).collect())
+
+
+def test_texts_teach_beyond_their_opening(spark):
+    head = "the same english header opens each and every page " * 40
+    rows = [(i, head + "une phrase entièrement française continue ici longtemps " * 200, "fr") for i in range(10)] + [(100 + i, "this is the plain english header of a page " * 30, "en") for i in range(10)]
+    texts = language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert "entièrement française" in texts["fr"] and len(texts["fr"]) <= language.SAMPLE_CHARS
+    assert not set(texts["fr"].split()) - set(f"{head} {rows[0][1]}".split())
+    got = language.identify(spark.createDataFrame([(1, "une phrase française ici")], "doc_id long, text string"), texts).first()
+    assert got.lang_pred == "fr"
