@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import MARKS, marks, small_batches, table, written
+from siltstone.llm.common import MARKS, marks, table, written
 
 MOST_BITS = 4
 #: (shift, width) of the segments, in ring order.
@@ -54,7 +54,6 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 4, *carried: str) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) and the carried columns of longs."""
-    small_batches(docs.sparkSession)
     kind = pa.schema([(c, pa.int64()) for c in ("doc_id", "fp", *carried)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
