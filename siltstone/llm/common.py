@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch: texts may be long, so batches are bounded by what they weigh, not by their rows.
-ARROW_BYTES = "4m"
+ARROW_BYTES = "2m"
 #: Columns of a text's two 64-bit marks.
 MARKS = ("_siltstone_mark_a", "_siltstone_mark_b")
 

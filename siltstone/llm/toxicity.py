@@ -9,14 +9,14 @@ The classifier is fitted on at most about ``TRAIN_DOCS`` labelled documents, dra
 language model cover every document. Labels of held-out rows (crc32 of the id as text modulo 5 is 0) are never read.
 
 Defined results: null and empty texts score the model's base rate; where no label can be learned from every score is 0;
-repeated rows are kept; repeated labels of one id count once each; other columns are ignored.
+repeated rows are kept; labels of one id count as one (1 if any is), and of several texts with that id one teaches; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import table
+from siltstone.llm.common import forget, table, written
 from siltstone.llm.language import held_out
 
 TRAIN_DOCS, MOST_FEATURES = 6000, 3000
@@ -188,55 +188,19 @@ def features(words: set[str]) -> set[str]:
     return words | {f"{w[:n]}*" for w in words for n in range(4, 9) if len(w) > n}
 
 
-def fit(rows: Iterable[tuple[set[str], int]]) -> tuple[dict[str, float], float]:
-    """Weights of the features that point to label 1, by penalised logistic regression, and the intercept.
-
-    Rows of label 1 come first: only features that several of them share are counted in the others.
-    """
-    with_one, with_zero = Counter(), Counter()
-    held: list[set[str]] = []
-    y: list[int] = []
-    same: dict[str, str] = {}  # one string object for all equal features
-    shared: set[str] | None = None
-
-    def close() -> set[str]:
-        found = {x for x, n in with_one.items() if n >= LEAST_DOCS}
-        held[:] = [f & found for f in held]
-        for x in [x for x in with_one if x not in found]:
-            del with_one[x]
-        same.clear()
-        return found
-
-    for f, label in rows:
-        if label:
-            f = {same.setdefault(x, x) for x in f}
-            with_one.update(f)
-            held.append(f)
-        else:
-            if shared is None:
-                shared = close()
-            held.append(f & shared)
-            with_zero.update(held[-1])
-        y.append(int(bool(label)))
-    ones = sum(y)
-    zeros = len(y) - ones
-    if not ones or not zeros or shared is None:
+def fit(hits: list[list[int]], labels: list[int], names: list[str]) -> tuple[dict[str, float], float]:
+    """Weights of the named features and the intercept, by penalised logistic regression over rows of feature places."""
+    ones = sum(labels)
+    zeros = len(labels) - ones
+    if not ones or not zeros:
         return {}, (30.0 if ones else -30.0)
-
-    def pull(f: str) -> float:
-        return math.log((with_one[f] + 0.3) / (ones + 0.6)) - math.log((with_zero[f] + 0.3) / (zeros + 0.6))
-
-    strong = sorted(((with_one[f] * pull(f), f) for f in shared if pull(f) > LEAST_PULL), reverse=True)[:MOST_FEATURES]
-    names = [f for _, f in strong]
-    place = {f: i for i, f in enumerate(names)}
-    hits = [[place[f] for f in fs if f in place] for fs in held]
-    at_row = np.repeat(np.arange(len(y)), [len(h) for h in hits])
+    at_row = np.repeat(np.arange(len(labels)), [len(h) for h in hits])
     at_col = np.array([j for h in hits for j in h], np.int64)
-    want = np.array(y, float)
+    want = np.array(labels, float)
     w, b = np.zeros(len(names)), math.log(ones / zeros)
     gw, gb = np.zeros_like(w), 0.0
     for _ in range(400):
-        z = b + np.bincount(at_row, w[at_col], len(y)) if len(at_col) else np.full(len(y), b)
+        z = b + np.bincount(at_row, w[at_col], len(labels)) if len(at_col) else np.full(len(labels), b)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         g = np.bincount(at_col, (p - want)[at_row], len(names)) + RIDGE * w if len(names) else w
         h = (p - want).sum()
@@ -261,16 +225,50 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """The language model from all documents; the classifier from a bounded sample of labelled training rows."""
-    trigrams = count_trigrams(docs)
-    known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("y"))
+def drawn_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, y and text of about ``TRAIN_DOCS`` labelled training documents: a row an id, whatever repeats."""
+    known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("_siltstone_y"))
     total = known.count()
     wide = 1 << 20
     drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(wide)) < min(wide, wide * TRAIN_DOCS // max(total, 1) + 1))
-    channel = Channel(trigrams)
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # about TRAIN_DOCS rows by the draw above
-    return Model(trigrams, *fit((features(channel.words(r["text"] or "")), r["y"]) for r in rows.sort(F.desc("y"), "doc_id").toLocalIterator()))
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # about TRAIN_DOCS ids by the draw above
+    one = rows.groupBy("doc_id", F.col("_siltstone_y").alias("y")).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return one.select("doc_id", "y", "t.text")
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """The language model from all documents; the classifier from a bounded sample of labelled training rows.
+
+    Executors restore the drawn texts, count their features and choose among them; the driver gets the chosen names and, for
+    each drawn row, which of them it has.
+    """
+    spark = docs.sparkSession
+    trigrams = count_trigrams(docs)
+    costs = spark.sparkContext.broadcast(trigrams)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        channel = Channel(costs.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([sorted(features(channel.words(t.as_py() or ""))) for t in batch.column("text")], pa.list_(pa.string()))], names=["y", "f"])
+
+    rows = drawn_rows(docs, labels).repartition(2 * spark.sparkContext.defaultParallelism, "doc_id")
+    found = written(rows.select("y", "text").mapInArrow(read, "y int, f array<string>"), "toxic-features")
+    sizes = found.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("ones")).first()
+    ones, zeros = sizes["ones"], sizes["n"] - sizes["ones"]
+    counts = found.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).filter(F.col("a") >= LEAST_DOCS)
+    pull = F.log((F.col("a") + 0.3) / (ones + 0.6)) - F.log((F.col("b") + 0.3) / (zeros + 0.6))
+    names = [r["f"] for r in counts.withColumn("pull", pull).filter(F.col("pull") > LEAST_PULL).orderBy(F.desc(F.round(F.col("a") * F.col("pull"), 9)), "f").limit(MOST_FEATURES).collect()]
+    place = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = place.value
+        for batch in batches:
+            hits = [[own[x] for x in f.as_py() if x in own] for f in batch.column("f")]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(hits, pa.list_(pa.int32()))], names=["y", "hits"])
+
+    drawn = sorted((r["y"], list(r["hits"])) for r in found.mapInArrow(chosen, "y int, hits array<int>").collect())  # about TRAIN_DOCS rows of a few places
+    forget(found)
+    return Model(trigrams, *fit([h for _, h in drawn], [int(bool(y)) for y, _ in drawn], names))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
