@@ -43,6 +43,60 @@ class SuffixAutomaton:
                 link[q] = link[cur] = copy
         self.last = cur
 
+    def extend(self, symbols: Iterable) -> None:
+        """One more string beside those held: it starts from the root, so no substring spans two strings."""
+        self.last = 0
+        for x in symbols:
+            self._append(x)
+
+    def _append(self, x) -> None:
+        """``add`` where the last state may already lead on by x, as it may within a string that is held."""
+        s = self.last
+        t = self.next[s].get(x)
+        if t is None:
+            self.add(x)
+        elif self.length[t] == self.length[s] + 1:
+            self.last = t
+        else:
+            copy = len(self.next)
+            self.next.append(dict(self.next[t]))
+            self.link.append(self.link[t])
+            self.length.append(self.length[s] + 1)
+            while s >= 0 and self.next[s].get(x) == t:
+                self.next[s][x] = copy
+                s = self.link[s]
+            self.link[t] = copy
+            self.last = copy
+
+    def reached(self, symbols: Iterable, least: int) -> list[int]:
+        """The places where a match of at least so many symbols ends: matching statistics, cut at ``least``."""
+        nxt, link, length = self.next, self.link, self.length
+        root = nxt[0]
+        if not root:
+            return []
+        out, s, n = [], 0, 0
+        for i, x in enumerate(symbols):
+            t = nxt[s].get(x)
+            if t is None:
+                if not s:
+                    continue
+                while True:
+                    s = link[s]
+                    t = nxt[s].get(x)
+                    if t is not None:
+                        n = length[s] + 1
+                        s = t
+                        break
+                    if not s:
+                        n = 0
+                        break
+            else:
+                s = t
+                n += 1
+            if n >= least:
+                out.append(i)
+        return out
+
     def statistics(self, symbols: Iterable) -> list[int]:
         """At each position, the length of the longest match that ends there."""
         out, s, n = [], 0, 0

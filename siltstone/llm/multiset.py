@@ -1,16 +1,20 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs, built of DataFrame functions only.
 
 A paragraph (between line feeds) hashes to a wide vector, and a document's fingerprint is the sum of its paragraphs'
-vectors, so the order of paragraphs does not matter and one can be added or taken away without the others. The vector has
-* 8 identity lanes of 32 bits, from two 64-bit hashes of the whole paragraph, summed modulo 2^32: equality;
-* 126 likeness lanes of 21 bits, packed by three into 42 words: the bits of two 64-bit hashes of each run of three
-  consecutive words, summed modulo 2^63. Twice a lane less the number of runs is a sum of random signs, so the cosine
-  of two such vectors estimates that of the documents' multisets of word runs.
-Runs of words cross paragraphs only within the likeness lanes of one call (a text is read as a whole); identity lanes never do.
-
-Defined results: a likeness word whose sum leaves 63 bits (texts of millions of words) is 0; null text counts as empty; empty text has the fingerprint of one empty paragraph; a text of fewer
-than three words is one run; repeated rows and ties in doc_id are kept, ordered by (doc_id, text), null ids first; the only document
-is its own next one; no rows give no rows; other columns are ignored.
+vectors, lane by lane modulo 2^32. So the order of paragraphs does not matter, a paragraph can be added or taken away
+without the others (``combine``), and the fingerprint of two texts joined by a line feed is the sum of theirs. A vector has
+
+* 8 identity lanes, from two 64-bit hashes of the whole paragraph: equality of multisets;
+* one lane that counts the paragraph's runs of three consecutive words (a shorter one that has a word is one run);
+* 96 likeness lanes: how many of those runs have a given bit of their hashes set. Twice a lane less the number of runs is a
+  sum of random signs, so the cosine of two such vectors estimates that of the documents' multisets of word runs.
+
+All of it stays within the row: bits are counted eight lanes to a long over slices of at most 127 runs, which cannot carry,
+and the slices are summed lane by lane.
+
+Defined results: null text counts as empty; empty text is one empty paragraph, which has no runs; repeated rows and ties in doc_id
+are kept, ordered by (doc_id, hash of the text, text), null ids first; the only document is its own next one; likeness is 1
+where the identity lanes agree and 0 where a side has no run; no rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,14 +23,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import table
-from siltstone.llm.ordering import bucket_bounds, bucket_of
+from siltstone.llm.ordering import LEAST, buckets, weight
 
 RUN = 3
-SHIFTS = 21
-PACK = 1 | 1 << 21 | 1 << 42
-LANE = (1 << 21) - 1
+IDENTITY, LANES = 8, 96
+#: Bits that one long counts at once, eight lanes of eight bits, and the most runs that such a lane can count.
+BYTES, SLICE = 0x0101010101010101, 127
 LOW = (1 << 32) - 1
-ROWS_PER_BUCKET = 1024
+#: Units of weight of a bucket, and those up to which buckets grow before there are more of them.
+BUCKET, MOST = 1024, 32768
 SPACE = " \t\n\x0b\f\r"
 
 
@@ -35,107 +40,114 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def word_runs(text: Column) -> Column:
-    """Hashes of the runs of three words; the whole text where it has fewer."""
-    words = F.split(F.btrim(text, F.lit(SPACE)), r"[\x20\x09-\x0D]+")
+def paragraphs(text: Column) -> Column:
+    return F.split(text, "\n")
+
+
+def word_runs(paragraph: Column) -> Column:
+    """Hashes of the runs of three words; of all words where there are fewer; none without a word."""
+    words = F.split(F.btrim(paragraph, F.lit(SPACE)), r"[\x20\x09-\x0D]+")
+    none = F.array().cast("array<bigint>")
     return let(
         F.transform(words, lambda w: F.xxhash64(w)),
-        lambda h: F.when(F.size(h) < RUN, F.array(F.xxhash64(F.concat_ws(" ", h.cast("array<string>"))))).otherwise(
-            F.transform(F.slice(h, F.lit(1), F.size(h) - (RUN - 1)), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)))
-        ),
+        lambda h: F.when(F.btrim(paragraph, F.lit(SPACE)) == "", none)
+        .when(F.size(h) < RUN, F.array(F.xxhash64(F.get(h, F.lit(0)), F.coalesce(F.get(h, F.lit(1)), F.lit(0)))))
+        .otherwise(F.transform(F.slice(h, F.lit(1), F.size(h) - (RUN - 1)), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)))),
     )
 
 
-def identity_lanes(text: Column) -> Column:
-    """The eight sums over the paragraphs."""
-    paragraphs = F.split(text, "\n")
+def identity_lanes(found: Column) -> Column:
+    """The eight sums over an array of paragraphs."""
 
     def total(hashes: Column, seed: int) -> Column:
         return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.xxhash64(h, F.lit(seed)).bitwiseAND(F.lit(LOW))).bitwiseAND(F.lit(LOW))
 
     return let(
-        F.struct(F.transform(paragraphs, lambda p: F.xxhash64(p)).alias("a"), F.transform(paragraphs, lambda p: F.xxhash64(F.lit("b"), p)).alias("b")),
-        lambda s: F.array(*(total(s["a"], seed) for seed in range(4)), *(total(s["b"], seed) for seed in range(4, 8))),
+        F.struct(F.transform(found, lambda p: F.xxhash64(p)).alias("a"), F.transform(found, lambda p: F.xxhash64(F.lit("b"), p)).alias("b")),
+        lambda s: F.array(*(total(s["a"], seed) for seed in range(IDENTITY // 2)), *(total(s["b"], seed) for seed in range(IDENTITY // 2, IDENTITY))),
     )
 
 
-def combine(left: Column, right: Column, sign: int = 1) -> Column:
-    """Identity lanes after inserting (1) or deleting (-1) a multiset of paragraphs."""
-    return F.zip_with(left, right, lambda a, b: F.pmod(a + b * sign, F.lit(LOW + 1)))
+def likeness_lanes(runs: Column) -> Column:
+    """How many of the hashes have a bit set, for 64 bits of each and 32 of a second hash of it."""
+
+    def counted(part: Column) -> Column:
+        def total(hashes: Column, shift: int) -> Column:
+            return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(BYTES)))
+
+        return let(F.transform(part, lambda h: F.xxhash64(h, F.lit(1))), lambda second: F.array(*(total(part, j) for j in range(8)), *(total(second, j) for j in range((LANES - 64) // 8))))
 
+    def lane(parts: Column, i: int) -> Column:
+        word, byte = divmod(i, 8)
+        return F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a + F.shiftrightunsigned(F.get(p, F.lit(word)), 8 * byte).bitwiseAND(F.lit(255))).bitwiseAND(F.lit(LOW))
 
-def lane_sums(h: str = "h") -> list[Column]:
-    """42 packed sums over rows of word-run hashes."""
-    hashes = [F.col(h), F.xxhash64(F.col(h), F.lit(1))]
-    return [F.coalesce(F.try_sum(F.shiftrightunsigned(x, j).bitwiseAND(F.lit(PACK))), F.lit(0)).alias(f"s{21 * k + j}") for k, x in enumerate(hashes) for j in range(SHIFTS)]
+    slices = F.when(F.size(runs) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(runs) - 1) / SLICE).cast("int")), lambda i: counted(F.slice(runs, i * SLICE + 1, F.lit(SLICE)))))
+    return let(F.coalesce(slices, F.array().cast("array<array<bigint>>")), lambda parts: F.array(*(lane(parts, i) for i in range(LANES))))
 
 
-def likeness(a: Column, na: Column, b: Column, nb: Column, same: Column) -> Column:
-    """Cosine of the signed lanes, cut to 0..1; 1 where the identity lanes are equal."""
+def vector(text: Column) -> Column:
+    """The fingerprint as an array of lanes: identity, number of runs, likeness."""
+    return let(
+        paragraphs(F.coalesce(text, F.lit(""))),
+        lambda found: let(F.flatten(F.transform(found, word_runs)), lambda runs: F.concat(identity_lanes(found), F.array(F.size(runs).cast("long")), likeness_lanes(runs))),
+    )
 
-    def signed(packed: Column, n: Column) -> Column:
-        lanes = F.flatten(F.transform(packed, lambda x: F.array(x.bitwiseAND(F.lit(LANE)), F.shiftright(x, 21).bitwiseAND(F.lit(LANE)), F.shiftright(x, 42).bitwiseAND(F.lit(LANE)))))
-        return F.transform(lanes, lambda c: (c * 2 - n).cast("double"))
+
+def combine(left: Column, right: Column, sign: int = 1) -> Column:
+    """The fingerprint after inserting (1) or deleting (-1) the paragraphs of another."""
+    return F.zip_with(left, right, lambda a, b: F.pmod(a + b * sign, F.lit(LOW + 1)))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Cosine of the signed likeness lanes of two fingerprints, cut to 0..1; 1 where the identity lanes are equal."""
+
+    def signed(v: Column) -> Column:
+        n = F.get(v, F.lit(IDENTITY))
+        return F.transform(F.slice(v, IDENTITY + 2, LANES), lambda c: (F.pmod(c * 2 - n + (LOW + 1) // 2, F.lit(LOW + 1)) - (LOW + 1) // 2).cast("double"))
 
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
 
     cosine = let(
-        F.struct(signed(a, na).alias("x"), signed(b, nb).alias("y")),
+        F.struct(signed(a).alias("x"), signed(b).alias("y")),
         lambda s: F.coalesce(F.try_divide(dot(s["x"], s["y"]), F.sqrt(dot(s["x"], s["x"]) * dot(s["y"], s["y"]))), F.lit(0.0)),
     )
-    return F.when(same, F.lit(1.0)).otherwise(F.least(F.greatest(cosine, F.lit(0.0)), F.lit(1.0)))
-
+    return F.when(F.slice(a, 1, IDENTITY) == F.slice(b, 1, IDENTITY), F.lit(1.0)).otherwise(F.least(F.greatest(cosine, F.lit(0.0)), F.lit(1.0)))
 
-def as_hex(identity: Column, packed: Column) -> Column:
-    return F.concat(F.array_join(F.transform(identity, lambda x: F.lpad(F.hex(x), 8, "0")), ""), F.array_join(F.transform(packed, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
+def as_hex(lanes: Column) -> Column:
+    """Eight hexadecimal digits a lane."""
+    return F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x), 8, "0")), "")
 
-def fingerprint(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: its keys, ``n_runs``, ``packed`` (42 longs) and ``identity`` (8 longs).
 
-    ``keys`` must identify a row. Sums are combined before any shuffle.
-    """
-    body = F.coalesce(F.col(text), F.lit(""))
-    own = docs.select(*keys, identity_lanes(body).alias("identity"), word_runs(body).alias("runs"))
-    runs = own.select(*keys, *(F.col("identity")[i].alias(f"i{i}") for i in range(8)), F.explode_outer("runs").alias("h"))  # outer: else a filter repeats the work
-    sums = lane_sums()  # fixed-width buffers only, so the sums stay in a hash map
-    found = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_runs"), *(F.max(f"i{i}").alias(f"i{i}") for i in range(8)), *sums)
-    return found.select(*keys, "n_runs", F.array(*(f"i{i}" for i in range(8))).alias("identity"), F.array(*(f"s{i}" for i in range(len(sums)))).alias("packed"))
+def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and ``lanes`` for every row of ``docs``. Nothing is shuffled."""
+    return docs.select(*keep, vector(F.col("text")).alias("lanes"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likenesses (see op9_document_fingerprints).
 
     Documents are dealt once, by buckets of neighbouring ids; the first row of each bucket is also dealt to the bucket
-    before it, so the next document is always at hand. All sums then stay within their partition.
+    before it, so the next document is always at hand.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select("doc_id", key.alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds = bucket_bounds(docs, key, ROWS_PER_BUCKET) or [0]
-    own = rows.withColumn("bucket", bucket_of(F.col("k"), bounds)).withColumn("guest", F.lit(0))
-    firsts = rows.filter(F.col("k").isin(bounds))
-    guests = firsts.withColumn("bucket", F.pmod(bucket_of(F.col("k"), bounds) - 1, F.lit(len(bounds)))).withColumn("guest", F.lit(1))
-    order = Window.partitionBy("bucket").orderBy("guest", "k", "text")
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("k"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    made = buckets(rows.withColumn("weight", weight(F.col("text"))), BUCKET, MOST)
+    own = made.assign(rows).withColumn("guest", F.lit(0))
+    guests = own.filter("starts").withColumn("bucket", made.before(F.col("bucket"))).withColumn("guest", F.lit(1))
+    order = Window.partitionBy("bucket").orderBy("guest", "k", "tie", "text")
     near = own.unionByName(guests).withColumn("rn", F.row_number().over(order)).withColumn("next", F.lead("text").over(order))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next", F.lit(1), half))
-    both = near.withColumn("edited", F.when(F.col("guest") == 0, edited)).select(
-        "bucket", "rn", "guest", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        F.explode_outer(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("body")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("body")))).alias("v"),
-    ).select("bucket", "rn", "guest", "doc_id", "n_chars", "edited_sha256", "v.kind", "v.body")
-    prints = fingerprint(both, ["bucket", "rn", "guest", "kind", "doc_id", "n_chars", "edited_sha256"], "body")
-    seq = Window.partitionBy("bucket").orderBy("rn", "kind")
-    value = F.struct("n_runs", "identity", "packed")
-    beside = prints.withColumn("e", F.lead(value, 1).over(seq)).withColumn("x", F.lead(value, 2).over(seq)).filter("kind = 0 AND guest = 0")
-
-    def near_to(v: str) -> Column:
-        return likeness(F.col("packed"), F.col("n_runs"), F.col(f"{v}.packed"), F.col(f"{v}.n_runs"), F.col("identity") == F.col(f"{v}.identity"))
-
+    both = near.select(
+        "bucket", "rn", "guest", "doc_id", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"),
+        vector(F.col("text")).alias("lanes"), F.when(F.col("guest") == 0, vector(edited)).alias("edited"),
+    )
+    beside = both.withColumn("x", F.lead("lanes").over(Window.partitionBy("bucket").orderBy("rn"))).filter("guest = 0")
     return beside.select(
-        "doc_id", "n_chars", "edited_sha256", as_hex(F.col("identity"), F.col("packed")).alias("fingerprint"),
-        as_hex(F.col("e.identity"), F.col("e.packed")).alias("edited_fingerprint"), near_to("e").alias("near_edited"), near_to("x").alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", as_hex(F.col("lanes")).alias("fingerprint"), as_hex(F.col("edited")).alias("edited_fingerprint"),
+        likeness(F.col("lanes"), F.col("edited")).alias("near_edited"), likeness(F.col("lanes"), F.col("x")).alias("near_next"),
     )
 
 

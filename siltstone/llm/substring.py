@@ -1,29 +1,31 @@
 """Substring deduplication by suffix automata of reference shards.
 
-Two operators:
+Two operators stream documents through suffix automata for matching statistics and remove the maximal spans at or above the
+length threshold. They differ in how a document's reference shard reaches it:
 
-``remove_known`` broadcasts automata of a bounded reference, cut into shards; documents are streamed past each for matching
-statistics, and maximal spans at or above the length threshold go.
+``remove_known`` broadcasts automata of a bounded reference, cut into shards.
 
 ``remove_repeats`` takes all earlier documents as the reference. Their automata have no bound to broadcast, and streaming every
-document past every shard grows with the square of the corpus; so documents' spans travel to the one shard that can match them:
-1. documents are dealt once into batches of neighbouring ids; a batch is a shard, and batches are ordered as ids are;
-2. a batch hashes its windows of words and sends each distinct hash once, packed by hash range (a hot passage costs one hash a
-   batch, however many documents hold it); a range answers which hashes an earlier batch has, and the last such batch (so
-   that each batch is asked about a passage by one other batch, however many hold it);
-3. a batch cuts its candidate spans at points that their content defines, and asks that shard about each distinct piece once;
-4. a shard builds the suffix automaton of the passages that are asked for, streams the pieces through it, and answers where
-   the matching statistics reach the window: equal words are told from equal hashes;
-5. a batch does the same for its own documents, joins the answers, covers the words of maximal spans and drops them.
-Every group is one batch or one hash range; all that is gathered about a repeated passage is bounded by its length, not its copies.
+document past every shard grows with the square of the corpus; so every batch of documents gets a shard of its own, cut to what
+can match there:
+1. documents are dealt once into batches of neighbouring ids, of bounded bytes; batches are ordered as ids are;
+2. a batch sends the hashes of its distinct windows, packed by hash range (a hot passage costs one hash a batch, however many
+   documents hold it); a range tells, for each batch that has a window too, the last batch before it which of its windows it wants;
+3. that batch sends the passages themselves, each once: they are the reference shard, no larger than the windows it was asked for;
+4. a batch builds the suffix automaton of the passages that it got and streams its whole documents through it in the order of
+   their ids; passages of its own that recur in it join the automaton as soon as their id is done. Where a matching
+   statistic reaches the window, the words that it covers go. Hashes choose what is sent; only equal words are removed.
+Every group is one batch or one hash range. A batch is asked for a passage by one other batch, however many hold it.
 
 Defined results: null and empty texts have no words (digest of the empty string); rows of one doc_id are judged apart but never
-against each other; null ids come first; repeated rows are kept; an empty table gives no rows; other columns are ignored.
+against each other, also where one id (or null) fills many batches; null ids come first; repeated rows are kept; an empty table
+gives no rows; other columns are ignored. Two windows of one batch with the same 64-bit hash could hide each other's repeats.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,22 +36,23 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.automata import SuffixAutomaton
 from siltstone.llm.common import table
-from siltstone.llm.ordering import bucket_bounds, bucket_of
+from siltstone.llm.ordering import LEAST, UNIT, buckets, weight
 
 WINDOW = 13
-#: Documents of a batch, windows of a hash range, bytes of a partition of texts (all about).
-BATCH_DOCS, RANGE_WINDOWS, PARTITION_BYTES = 1024, 1_000_000, 24 << 20
+#: Units of weight of a batch, windows of a hash range, bytes of a partition of texts (all about).
+BATCH, RANGE_WINDOWS, PARTITION_BYTES = 1024, 1_000_000, 24 << 20
 SHARD_WORDS = 200_000
-#: Spans are cut after windows whose hash has these bits clear: every 64 windows or so.
-CUT = np.uint64(63)
+#: Bytes that are hashed at once.
+PIECE = 1 << 20
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
+_space = re.compile(rb"[\x20\x09-\x0d]")
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 class _Powers:
-    """Powers of the hash base and of its inverse, as long as any text so far needed."""
+    """Powers of the hash base and of its inverse, as long as any piece so far needed."""
 
     def __init__(self):
         self.up = self.down = np.ones(1, np.uint64)
@@ -70,11 +73,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of each word (run of bytes other than space, tab, line feed, VT, FF, CR)."""
-    data = np.frombuffer(raw, np.uint8)
-    if not len(data):
-        return np.zeros(0, np.uint64)
+def _hashed(data: np.ndarray) -> np.ndarray:
     space = np.r_[True, _SPACES[data], True]
     edge = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = edge[::2], edge[1::2]
@@ -83,6 +82,17 @@ def word_hashes(raw: bytes) -> np.ndarray:
     return _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _R_INVERSE)
 
 
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each word (run of bytes other than space, tab, line feed, VT, FF, CR), piece by piece between words."""
+    found, at = [np.zeros(0, np.uint64)], 0
+    while at < len(raw):
+        cut = _space.search(raw, at + PIECE)
+        end = cut.start() if cut else len(raw)
+        found.append(_hashed(np.frombuffer(raw, np.uint8, end - at, at)))
+        at = end
+    return np.concatenate(found)
+
+
 def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
     """A 64-bit hash of each run of ``window`` words."""
     n = len(words) - window + 1
@@ -94,163 +104,137 @@ def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
     return _mix(out)
 
 
+def distinct_windows(frame: pd.DataFrame, window: int) -> np.ndarray:
+    """The ascending distinct window hashes of some documents."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(window_hashes(word_hashes(t.encode("utf-8", "surrogatepass")), window) for t in frame["text"])]))
+
+
 class Batch:
-    """The windows of some documents, in ascending order of (key, text)."""
+    """The windows of some documents, in ascending order of ids."""
 
     def __init__(self, frame: pd.DataFrame, window: int):
-        self.frame = frame.sort_values(["k", "text"], kind="stable")
+        self.frame = frame.sort_values(["k", "tie", "text"], kind="stable")
         self.texts = [t.encode("utf-8", "surrogatepass") for t in self.frame["text"]]
         self.window = window
         hashes = [word_hashes(t) for t in self.texts]
         self.sizes = np.array([len(h) for h in hashes], np.int64)
-        self.offsets = np.r_[0, np.cumsum(self.sizes)]
         windows = [window_hashes(h, window) for h in hashes]
-        counts = [len(w) for w in windows]
+        counts = np.array([len(w) for w in windows], np.int64)
         every = np.concatenate([np.zeros(0, np.uint64), *windows])
-        self.starts = np.concatenate([np.zeros(0, np.int64), *(o + np.arange(n) for o, n in zip(self.offsets, counts, strict=False))]).astype(np.int64)
+        #: Of each window its document and its place there; of each document its first window.
         self.doc = np.repeat(np.arange(len(counts)), counts)
-        owner = self.frame["k"].to_numpy(np.int64)[self.doc]
-        self.cut = (every & CUT) == 0
+        self.begin = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        self.place = np.arange(len(every)) - self.begin[self.doc]
         self.distinct, self.first, self.which = np.unique(every, return_index=True, return_inverse=True)
-        self.inside = owner > owner[self.first][self.which]
-        self._held: tuple[int, list[bytes]] = (-1, [])
-
-    def words(self, doc: int, at: int, n: int) -> list[bytes]:
-        """``n`` words from the place ``at`` in the batch, all of one document."""
-        if self._held[0] != doc:
-            self._held = (doc, self.texts[doc].split())
-        at -= int(self.offsets[doc])
-        return self._held[1][at : at + n]
-
-    def pieces(self, chosen: np.ndarray, label: np.ndarray) -> dict[tuple[int, bytes], list[int]]:
-        """Runs of chosen windows with one label, cut where their content says: (label, text) to the places of its first words."""
-        i = np.flatnonzero(chosen)
-        out: dict[tuple[int, bytes], list[int]] = {}
-        if not len(i):
-            return out
-        new = np.r_[True, (i[1:] != i[:-1] + 1) | (self.doc[i[1:]] != self.doc[i[:-1]]) | (label[i[1:]] != label[i[:-1]]) | self.cut[i[:-1]]]
-        begins = np.flatnonzero(new)
-        sizes = np.diff(np.r_[begins, len(i)])
-        for b, n in zip(i[begins].tolist(), sizes.tolist(), strict=True):
-            at = int(self.starts[b])
-            text = b" ".join(self.words(int(self.doc[b]), at, n + self.window - 1))
-            out.setdefault((int(label[b]), text), []).append(at)
-        return out
-
-    def automaton(self, wanted: np.ndarray) -> SuffixAutomaton:
-        """The automaton of the first passages that hold the wanted distinct hashes; None parts them."""
-        edge = np.flatnonzero(np.diff(np.r_[False, self.cover(self.starts[self.first[wanted]]), False]))
-        found = SuffixAutomaton()
-        docs = np.searchsorted(self.offsets, edge[::2], "right") - 1
-        for doc, a, b in zip(docs.tolist(), edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            while a < b:  # neighbouring passages of two documents make one stretch of covered words
-                stop = min(b, int(self.offsets[doc + 1]))
-                for w in self.words(doc, a, stop - a):
-                    found.add(w)
-                found.add(None)
-                a, doc = stop, doc + 1
-        return found
-
-    def cover(self, places: np.ndarray) -> np.ndarray:
-        """The words of windows that begin at the places."""
-        total = int(self.offsets[-1])
-        change = np.zeros(total + self.window + 1, np.int64)
-        np.add.at(change, places, 1)
-        np.add.at(change, places + self.window, -1)
-        return np.cumsum(change)[:total] > 0
-
-
-def matched(automaton: SuffixAutomaton, text: bytes, window: int) -> np.ndarray:
-    """Which windows of a piece have a matching statistic of the window or more at their end."""
-    return np.array(automaton.statistics(text.split()), np.int64)[window - 1 :] >= window
+        self.ids = self.frame["k"].to_numpy(np.int64)
+
+    def passages(self, chosen: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(document, first word, end) of the stretches that the chosen windows (ascending) cover."""
+        if not len(chosen):
+            return
+        doc, place = self.doc[chosen], self.place[chosen]
+        new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + self.window)])
+        last = np.r_[new[1:], len(chosen)] - 1
+        yield from zip(doc[new].tolist(), place[new].tolist(), (place[last] + self.window).tolist(), strict=True)
+
+    def texts_of(self, chosen: np.ndarray) -> list[bytes]:
+        """The words of the passages of the chosen windows, each text once."""
+        held, words, out = -1, [], {}
+        for doc, a, b in self.passages(chosen):
+            if doc != held:
+                held, words = doc, self.texts[doc].split()
+            out[b" ".join(words[a:b])] = None
+        return list(out)
+
+
+def covered(ends: list[int], n: int, window: int) -> np.ndarray:
+    """Which of ``n`` words lie in a window that ends at one of the places."""
+    change = np.zeros(n + 1, np.int64)
+    at = np.asarray(ends, np.int64)
+    np.add.at(change, at - window + 1, 1)
+    np.add.at(change, at + 1, -1)
+    return np.cumsum(change)[:n] > 0
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, digests: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept (or kept_sha256): the words that no window shared with a smaller doc_id covers."""
     spark = docs.sparkSession
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
-    bounds = bucket_bounds(docs, key, BATCH_DOCS) or [0]
-    bits = max(4, int(np.ceil(np.log2(max(1, size[0] / 6 / RANGE_WINDOWS)))))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size[0] // PARTITION_BYTES))
-    split = max(1, -(-size[1] // (len(bounds) * 2 * BATCH_DOCS)))  # more batches than bounds: cut evenly between bounds
-    rows = docs.select("doc_id", key.alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    batch = bucket_of(F.col("k"), bounds).cast("long")
-    if split > 1:
-        ends = F.array(*(F.lit(b) for b in [*bounds[1:], bounds[-1] + BATCH_DOCS * split]))
-        low, high = (F.element_at(F.array(*(F.lit(b) for b in bounds)), (batch + 1).cast("int")).cast("double"), F.element_at(ends, (batch + 1).cast("int")).cast("double"))
-        share = F.least(F.greatest((F.col("k").cast("double") - low) / (high - low), F.lit(0.0)), F.lit(0.999999))
-        batch = batch * split + F.floor(share * split)
-    dealt = rows.withColumn("batch", batch).repartition(parts, "batch")
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("k"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    weighed = rows.withColumn("weight", weight(F.col("text")))
+    units = weighed.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    bits = max(4, int(np.ceil(np.log2(max(1, units * UNIT / 6 / RANGE_WINDOWS)))))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-units * UNIT // PARTITION_BYTES))
+    dealt = buckets(weighed, BATCH, isolate=True).assign(rows).select("doc_id", "k", "tie", "text", F.col("bucket").alias("batch"), "order").repartition(parts, "batch")
+    edges = np.arange((1 << bits) + 1).astype(np.uint64)
     shift = np.uint64(64 - bits)
 
     def send(frame: pd.DataFrame) -> pd.DataFrame:
-        own = int(frame["batch"].iloc[0])
-        found = Batch(frame, window).distinct
-        cuts = np.searchsorted(found >> shift, np.arange((1 << bits) + 1).astype(np.uint64))
-        out = [(i, own, found[a:b].astype("<u8").tobytes()) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
-        return pd.DataFrame(out, columns=["range", "batch", "hashes"])
-
-    def answer(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("batch", kind="stable")
+        found = distinct_windows(frame, window)
+        cuts = np.searchsorted(found >> shift, edges)
+        batch, order = int(frame["batch"].iloc[0]), int(frame["order"].iloc[0])
+        out = [(i, batch, order, found[a:b].astype("<u8").tobytes()) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+        return pd.DataFrame(out, columns=["range", "batch", "order", "hashes"])
+
+    def match(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["order", "batch"], kind="stable")
         own = [np.frombuffer(h, "<u8") for h in frame["hashes"]]
         sizes = [len(h) for h in own]
-        batch = np.repeat(frame["batch"].to_numpy(np.int64), sizes)
         every = np.concatenate(own)
-        order = np.argsort(every, kind="stable")  # equal hashes stay in the order of their batches
-        again = np.r_[False, every[order][1:] == every[order][:-1]]
-        seen, origin = np.zeros(len(every), bool), np.zeros(len(every), np.int64)
-        seen[order] = again
-        origin[order[1:]] = batch[order[:-1]]
-        cuts = np.cumsum([0, *sizes])
-        out = [(int(r.batch), int(r.range), np.packbits(seen[a:b]).tobytes(), origin[a:b][seen[a:b]].astype("<i8").tobytes()) for r, a, b in zip(frame.itertuples(), cuts, cuts[1:], strict=False)]
-        return pd.DataFrame([x for x in out if x[3]], columns=["batch", "range", "bits", "origin"])
-
-    def ask(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        columns = ["shard", "batch", "piece", "places"]
-        if not len(frame) or not len(answers):
-            return pd.DataFrame([], columns=columns)
-        own = Batch(frame, window)
-        origin = np.full(len(own.distinct), -1, np.int64)
-        cuts = np.searchsorted(own.distinct >> shift, np.arange((1 << bits) + 1).astype(np.uint64))
-        for r in answers.itertuples():
-            a, b = int(cuts[r.range]), int(cuts[r.range + 1])
-            seen = np.unpackbits(np.frombuffer(r.bits, np.uint8), count=b - a).astype(bool)
-            origin[a:b][seen] = np.frombuffer(r.origin, "<i8")
-        label = origin[own.which]
-        here = int(frame["batch"].iloc[0])
-        asked = own.pieces((label >= 0) & ~own.inside, label)
-        return pd.DataFrame([(shard, here, text, np.asarray(at, "<i8").tobytes()) for (shard, text), at in asked.items()], columns=columns)
-
-    def verify(frame: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(frame) or not len(asked):
-            return pd.DataFrame([], columns=["batch", "places", "bits"])
+        sorting = np.argsort(every, kind="stable")  # equal hashes stay in the order of their batches
+        batch = np.repeat(frame["batch"].to_numpy(np.int64), sizes)[sorting]
+        order = np.repeat(frame["order"].to_numpy(np.int64), sizes)[sorting]
+        place = np.concatenate([np.arange(n) for n in sizes])[sorting]
+        every = every[sorting]
+        run = np.maximum.accumulate(np.where(np.r_[True, (every[1:] != every[:-1]) | (order[1:] != order[:-1])], np.arange(len(every)), 0))
+        before = np.maximum(run - 1, 0)  # the last one of a smaller order, if the hash is the same
+        asks = (run > 0) & (every[before] == every)
+        if not asks.any():
+            return pd.DataFrame([], columns=["batch", "range", "wants", "asked"])
+        origin, asked, wants = batch[before[asks]], place[before[asks]], batch[asks]
+        grouped = np.argsort(origin, kind="stable")
+        origin, asked, wants = origin[grouped], asked[grouped], wants[grouped]
+        new = np.flatnonzero(np.r_[True, origin[1:] != origin[:-1]])
+        out = [(int(origin[a]), int(frame["range"].iloc[0]), wants[a:b].astype("<i8").tobytes(), asked[a:b].astype("<i4").tobytes()) for a, b in zip(new, [*new[1:], len(origin)], strict=True)]
+        return pd.DataFrame(out, columns=["batch", "range", "wants", "asked"])
+
+    def serve(frame: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        if not len(frame) or not len(asks):
+            return pd.DataFrame([], columns=["batch", "passages"])
         own = Batch(frame, window)
-        pieces = dict.fromkeys(bytes(x) for x in asked["piece"])
-        hashes = np.concatenate([window_hashes(word_hashes(x), window) for x in pieces])
-        found = own.automaton(np.isin(own.distinct, hashes))
-        for x in pieces:
-            pieces[x] = np.packbits(matched(found, x, window)).tobytes()
-        return pd.DataFrame({"batch": asked["batch"], "places": asked["places"], "bits": [pieces[bytes(x)] for x in asked["piece"]]})
-
-    def drop(frame: pd.DataFrame, verified: pd.DataFrame) -> pd.DataFrame:
+        cuts = np.searchsorted(own.distinct >> shift, edges)
+        wants = np.concatenate([np.frombuffer(w, "<i8") for w in asks["wants"]])
+        chosen = own.first[np.concatenate([np.frombuffer(p, "<i4") + cuts[r] for r, p in zip(asks["range"], asks["asked"], strict=True)])]
+        grouped = np.lexsort((chosen, wants))
+        wants, chosen = wants[grouped], chosen[grouped]
+        new = np.flatnonzero(np.r_[True, wants[1:] != wants[:-1]])
+        out = [(int(wants[a]), b"\n".join(own.texts_of(chosen[a:b]))) for a, b in zip(new, [*new[1:], len(wants)], strict=True)]
+        return pd.DataFrame(out, columns=["batch", "passages"])
+
+    def drop(frame: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):
             return pd.DataFrame({"doc_id": pd.Series([], dtype="Int64"), "n_words": [], "n_removed": [], last: []})
         own = Batch(frame, window)
-        places = [(np.frombuffer(r.places, "<i8")[:, None] + np.flatnonzero(np.unpackbits(np.frombuffer(r.bits, np.uint8)))[None, :]).ravel() for r in verified.itertuples()]
-        if own.inside.any():
-            wanted = np.zeros(len(own.distinct), bool)
-            wanted[own.which[own.inside]] = True
-            found = own.automaton(wanted)
-            for (_, text), at in own.pieces(own.inside, np.zeros(len(own.inside), np.int64)).items():
-                places.append((np.asarray(at, np.int64)[:, None] + np.flatnonzero(matched(found, text, window))[None, :]).ravel())
-        covered = own.cover(np.concatenate([np.zeros(0, np.int64), *places]))
+        shard = SuffixAutomaton()
+        for passage in dict.fromkeys(p for row in got["passages"] for p in bytes(row).split(b"\n")):
+            shard.extend(passage.split())
+        owner = own.ids[own.doc]
+        again = np.zeros(len(own.distinct), bool)
+        again[own.which[owner > owner[own.first][own.which]]] = True
+        recurring = np.sort(own.first[again])  # first windows of passages that a greater id of the batch repeats
+        waiting: list[list[bytes]] = []
         kept, removed = [], []
-        for t, a, b in zip(own.texts, own.offsets, own.offsets[1:], strict=False):
-            words = t.split()
-            gone = covered[a:b]
-            removed.append(int(gone.sum()))
-            if removed[-1]:
+        for i, text in enumerate(own.texts):
+            if i and own.ids[i] != own.ids[i - 1]:
+                for passage in waiting:
+                    shard.extend(passage)
+                waiting = []
+            words = text.split()
+            ends = shard.reached(words, window)
+            gone = covered(ends, len(words), window) if ends else None
+            a, b = np.searchsorted(recurring, own.begin[i : i + 2])
+            waiting += [words[x:y] for _, x, y in own.passages(recurring[a:b])]
+            removed.append(int(gone.sum()) if ends else 0)
+            if ends:
                 words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
             joined = b" ".join(words)
             kept.append(hashlib.sha256(joined).hexdigest() if digests else joined.decode("utf-8", "surrogatepass"))
@@ -260,11 +244,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digests: bool = False)
 
     last = "kept_sha256" if digests else "kept"
     batches = dealt.groupBy("batch")
-    sent = batches.applyInPandas(send, "range int, batch long, hashes binary")
-    answers = sent.groupBy("range").applyInPandas(answer, "batch long, range int, bits binary, origin binary")
-    asked = batches.cogroup(answers.groupBy("batch")).applyInPandas(ask, "shard long, batch long, piece binary, places binary")
-    verified = batches.cogroup(asked.groupBy("shard")).applyInPandas(verify, "batch long, places binary, bits binary")
-    return batches.cogroup(verified.groupBy("batch")).applyInPandas(drop, f"doc_id long, n_words long, n_removed long, {last} string")
+    asks = batches.applyInPandas(send, "range int, batch long, order long, hashes binary").groupBy("range").applyInPandas(match, "batch long, range int, wants binary, asked binary")
+    shards = batches.cogroup(asks.groupBy("batch")).applyInPandas(serve, "batch long, passages binary")
+    return batches.cogroup(shards.groupBy("batch")).applyInPandas(drop, f"doc_id long, n_words long, n_removed long, {last} string")
 
 
 def remove_known(docs: DataFrame, reference: list[str], window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -273,13 +255,15 @@ def remove_known(docs: DataFrame, reference: list[str], window: int = WINDOW, sh
     Shards of about ``shard_words`` words overlap by nothing: a text is never split, so no match is lost.
     """
     spark = docs.sparkSession
-    shards: list[list[str]] = [[]]
+    shards, held = [SuffixAutomaton()], 0
     for text in reference:
         words = text.encode("utf-8", "surrogatepass").split()
-        if shards[-1] and len(shards[-1]) + len(words) > shard_words:
-            shards.append([])
-        shards[-1] += [*words, None]  # None separates texts: no word equals it
-    sent = [spark.sparkContext.broadcast(SuffixAutomaton(s)) for s in shards]
+        if held and held + len(words) > shard_words:
+            shards.append(SuffixAutomaton())
+            held = 0
+        shards[-1].extend(words)
+        held += len(words)
+    sent = [spark.sparkContext.broadcast(s) for s in shards]
     kind = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,12 +271,10 @@ def remove_known(docs: DataFrame, reference: list[str], window: int = WINDOW, sh
             rows = []
             for text in batch.column("text"):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
-                gone = [False] * len(words)
+                gone = np.zeros(len(words), bool)
                 for automaton in sent:
-                    for end, n in enumerate(automaton.value.statistics(words)):
-                        if n >= window:
-                            gone[end - n + 1 : end + 1] = [True] * n
-                rows.append((len(words), sum(gone), b" ".join(w for w, g in zip(words, gone, strict=True) if not g).decode("utf-8", "surrogatepass")))
+                    gone |= covered(automaton.value.reached(words, window), len(words), window)
+                rows.append((len(words), int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode("utf-8", "surrogatepass")))
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(list(c), f.type) for c, f in zip(columns, list(kind)[1:], strict=True))], schema=kind)
 
