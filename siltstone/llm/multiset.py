@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import table
-from siltstone.llm.ordering import LEAST, buckets, weight
+from siltstone.llm.ordering import LEAST, buckets, tie_of, weight
 
 RUN = 3
 IDENTITY, LANES = 8, 96
@@ -131,7 +131,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     Documents are dealt once, by buckets of neighbouring ids; the first row of each bucket is also dealt to the bucket
     before it, so the next document is always at hand.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("k"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("k"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", tie_of(F.col("text")))
     made = buckets(rows.withColumn("weight", weight(F.col("text"))), BUCKET, MOST)
     own = made.assign(rows).withColumn("guest", F.lit(0))
     guests = own.filter("starts").withColumn("bucket", made.before(F.col("bucket"))).withColumn("guest", F.lit(1))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.automata import SuffixAutomaton
 from siltstone.llm.common import table
-from siltstone.llm.ordering import LEAST, UNIT, buckets, weight
+from siltstone.llm.ordering import LEAST, UNIT, buckets, tie_of, weight
 
 WINDOW = 13
 #: Units of weight of a batch, windows of a hash range, bytes of a partition of texts (all about).
@@ -159,7 +159,7 @@ def covered(ends: list[int], n: int, window: int) -> np.ndarray:
 def remove_repeats(docs: DataFrame, window: int = WINDOW, digests: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept (or kept_sha256): the words that no window shared with a smaller doc_id covers."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("k"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("k"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", tie_of(F.col("text")))
     weighed = rows.withColumn("weight", weight(F.col("text")))
     units = weighed.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
     bits = max(4, int(np.ceil(np.log2(max(1, units * UNIT / 6 / RANGE_WINDOWS)))))

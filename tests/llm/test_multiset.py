@@ -60,10 +60,7 @@ def edited(texts):
 
 
 def in_order(rows):
-    def signed(t):
-        return xx(t) - (1 << 64) if xx(t) >> 63 else xx(t)
-
-    return sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1]), r[1]))
+    return sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, xx(r[1]) >> 12, r[1]))
 
 
 def check(got, rows):
@@ -102,9 +99,9 @@ def test_inner_bounds_and_an_id_that_fills_buckets(spark, monkeypatch):
     monkeypatch.setattr(ordering, "LEVEL", 4)
     monkeypatch.setattr(multiset, "BUCKET", 2)
     monkeypatch.setattr(multiset, "MOST", 2)
-    rows = [*ODD, *((None, f"a null id {i}") for i in range(30)), *((300, f"one id {i}") for i in range(30))]
+    rows = [*ODD, *((None, f"a null id {i}") for i in range(30)), *((300, f"one id {i}") for i in range(30)), (1 << 60, "far"), ((1 << 60) + 1, "beside"), ((1 << 60) + 3, "last")]
     check(multiset.edited_fingerprints(documents(spark, rows)).collect(), rows)
-    made = ordering.buckets(documents(spark, rows).select(F.coalesce("doc_id", F.lit(ordering.LEAST)).alias("k"), F.xxhash64("text").alias("tie"), F.lit(1).alias("weight")), 2, 2)
+    made = ordering.buckets(documents(spark, rows).select(F.coalesce("doc_id", F.lit(ordering.LEAST)).alias("k"), ordering.tie_of(F.col("text")).alias("tie"), F.lit(1).alias("weight")), 2, 2)
     assert made.inner is not None and len(made.bounds) > 4
 
 

@@ -51,7 +51,7 @@ def test_inner_bounds_and_an_id_that_fills_batches(spark, monkeypatch):
     def cut():
         return " ".join(text[(s := rng.randint(0, 40)) : s + 20])
 
-    rows = [(i * 7, cut()) for i in range(50)] + [(100, cut()) for _ in range(25)] + [(None, cut()) for _ in range(25)] + [(101, cut())]
+    rows = [(i * 7, cut()) for i in range(50)] + [(100, cut()) for _ in range(25)] + [(None, cut()) for _ in range(25)] + [(101, cut()), (1 << 60, cut()), ((1 << 60) + 1, cut())]
     got = sorted((-(1 << 63) if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(documents(spark, rows)).collect())
     assert got == brute(rows)
 
