@@ -1,20 +1,26 @@
 """Secret scans: fixed patterns and a battery of randomness tests, in DataFrame functions only.
 
 Base kinds are assign, access and hex (leftmost, non-overlapping for each kind; matches that are too short are consumed
-and dropped). The battery adds spans of kind ``random``: runs of 20 or more base64 or URL characters with a letter and a
-digit. Each gets an inferred encoding (hex, base32, alphanumeric or base64) and three tests against "uniformly random over
-that alphabet": chi-squared of the symbols, runs above and below the middle, and serial correlation. Their p-values
-are combined (Fisher), and within strata of equal length class the false discovery rate of "not random" is held at
-``RATE`` (Benjamini-Hochberg over all documents, on a fixed grid of p-values). What is not rejected is reported, unless it
-overlaps a base span.
+and dropped). The battery adds spans of kind ``random``: runs of 20 or more base64 or URL characters, whatever classes they mix,
+with what base spans cover cut out. Each gets an inferred encoding (``ALPHABETS``) and three tests against "uniformly random over that
+alphabet": chi-squared of the symbols, runs above and below the middle, and serial correlation. The cube root of their
+summed negative logarithms is the token's departure from randomness, near normal for ordinary text and small for keys.
+
+False alarms are what must be controlled, so a token's p-value is the chance that ordinary text of its length departs as
+little: every document gives a window of its own letters, at a place and of a length drawn by its hash, spelled in
+one of the encodings and put through the same battery, and ``ORDINARY`` adds windows so that small tables have a null,
+too. Means and deviations by length class and encoding turn departures into p-values, and within each length class the false
+discovery rate over all documents is held at ``RATE`` (Benjamini-Hochberg on a fixed grid of p-values). A short token must
+therefore look more random than a long one to be reported.
 
 Defined results: null text counts as empty: no spans; repeated rows are kept; an empty table gives no rows; other columns are
-ignored. Positions are code points, end exclusive.
+ignored. Positions are code points, end exclusive. Matches are gathered over blocks, so a text may hold very many.
 """
 
 from __future__ import annotations
 
 import math
+import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,13 +32,30 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
-RANDOM = r"[A-Za-z0-9+/_=-]+"
+RANDOM, LEAST = r"[A-Za-z0-9+/_-]+", 20
 RATE = 0.05
 #: Grid of the false-discovery thresholds: p = 10 ** -(i / 10).
 GRID = 400
+#: Length classes are half octaves; tokens of the last one or longer are judged as its windows are.
+LAST_CLASS = 14
+#: Windows of ``ORDINARY`` for each class and encoding (about), and the least deviation of a departure.
+WINDOWS, LEAST_SPREAD = 48, 0.15
+_digits, _lower, _upper = string.digits, string.ascii_lowercase, string.ascii_uppercase
+#: Encodings in the order in which they are tried: the first that has all of a token's characters.
+ALPHABETS = (_digits, _digits + "abcdef", _digits + "ABCDEF", _lower, _upper, _upper + "234567", _digits + _lower, _digits + _upper, _digits + _upper + _lower, _upper + _lower + _digits + "+/", _upper + _lower + _digits + "-_", _digits + _upper + _lower + "+/_-")
+_CLASSES = ("[0-9]", "[0-9a-f]", "[0-9A-F]", "[a-z]", "[A-Z]", "[A-Z2-7]", "[0-9a-z]", "[0-9A-Z]", "[0-9A-Za-z]", "[0-9A-Za-z+/]", "[0-9A-Za-z_-]")
+#: Ordinary prose for the null of small tables.
+ORDINARY = (
+    "When the morning ferry came in late again, nobody on the quay was surprised. Baskets of bread stood beside the ropes, a dog slept under the bench, and the old harbour master wrote the hour "
+    "into his book as he had done for forty years. The children who waited for the post asked him whether the weather would hold. He looked across the water, folded his glasses and answered that clouds "
+    "of this kind usually break before noon, though one should never promise anything to people who are about to go fishing. In the afternoon the market opened. Farmers sold apples, cheese and honey; "
+    "a teacher bought paper, string and a small brass bell for her classroom. Someone played a quiet song near the church, and for a while even the busiest traders stopped counting their change. "
+    "Later that evening the council met to discuss the bridge, which needed new planks, better lamps and somebody patient enough to paint it properly before the winter storms arrived from the north."
+)
 _OPEN, _CLOSE, _ELSE = "\ue000", "\ue001", "\ue002"
-_SPAN = "array<struct<start:int,kind:int,end:int>>"
-ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-")
+_MATCH = "array<struct<start:int,end:int,piece:string>>"
+#: Pieces of a text that are folded at once (even, as every second piece is a match).
+_BLOCK = 128
 
 
 def _pieces(text: Column, pattern: str) -> Column:
@@ -42,14 +65,23 @@ def _pieces(text: Column, pattern: str) -> Column:
 
 def _matches(text: Column, probe: str, pattern: str, keep) -> Column:
     """start, end and text of the matches that ``keep`` accepts; ``probe`` must find something in every text that has one."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), F.array().cast("array<struct<start:int,end:int,piece:string>>").alias("out"))
+    none = F.array().cast(_MATCH)
 
     def step(s: Column, piece: Column) -> Column:
         end = s["at"] + F.length(piece)
         own = F.struct(s["at"].alias("start"), end.alias("end"), piece.alias("piece"))
         return F.struct(end.alias("at"), (~s["match"]).alias("match"), F.when(s["match"] & keep(piece), F.concat(s["out"], F.array(own))).otherwise(s["out"]).alias("out"))
 
-    return F.when(text.rlike(probe), F.aggregate(_pieces(text, pattern), start, step)["out"]).otherwise(F.array().cast("array<struct<start:int,end:int,piece:string>>"))
+    def blocks(pieces: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), none.alias("out"))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / _BLOCK).cast("int")), lambda i: F.aggregate(F.slice(pieces, i * _BLOCK + 1, F.lit(_BLOCK)), zero, step))
+
+    def placed(parts: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(parts, zero, lambda s, p: F.struct((s["at"] + p["at"]).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")))["starts"]
+        return F.flatten(F.zip_with(parts, starts, lambda p, at: F.transform(p["out"], lambda m: F.struct((m["start"] + at).alias("start"), (m["end"] + at).alias("end"), m["piece"].alias("piece")))))
+
+    return F.when(text.rlike(probe), let(_pieces(text, pattern), lambda pieces: let(blocks(pieces), placed))).otherwise(none)
 
 
 def _as_spans(matches: Column, kind: int) -> Column:
@@ -66,6 +98,19 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(_as_spans(m, k) for k, m in enumerate(found))))
 
 
+def _outside(match: Column, base: Column) -> Column:
+    """The stretches of a match, as (start, end, piece), that no base span covers."""
+    zero = F.struct(match["start"].alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+
+    def step(s: Column, cut: Column) -> Column:
+        own = F.struct(s["at"].alias("start"), cut["start"].alias("end"))
+        return F.struct(F.greatest(s["at"], cut["end"]).alias("at"), F.when(cut["start"] > s["at"], F.concat(s["out"], F.array(own))).otherwise(s["out"]).alias("out"))
+
+    cuts = F.filter(base, lambda b: (b["start"] < match["end"]) & (match["start"] < b["end"]))
+    stretches = F.aggregate(cuts, zero, step, lambda s: F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), match["end"].alias("end")))))
+    return F.transform(stretches, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.substr(match["piece"], x["start"] - match["start"] + 1, x["end"] - x["start"]).alias("piece")))
+
+
 def _tail(z: Column) -> Column:
     """Upper tail of the standard normal (logistic approximation)."""
     x = F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0))
@@ -76,15 +121,22 @@ def _both(z: Column) -> Column:
     return F.least(F.lit(1.0), _tail(F.abs(z)) * 2)
 
 
-def random_p(token: Column) -> Column:
-    """Combined p-value of "uniformly random over the inferred alphabet"."""
-    kind = F.when(token.rlike("^[0-9a-f]+$"), 0).when(token.rlike("^[0-9A-F]+$"), 1).when(token.rlike("^[A-Z2-7]+$"), 2).when(token.rlike("^[A-Za-z0-9]+$"), 3).otherwise(4)
+def encoding(token: Column) -> Column:
+    """Place in ``ALPHABETS`` of the token's inferred encoding."""
+    out = F.lit(len(ALPHABETS) - 1)
+    for i in range(len(_CLASSES) - 1, -1, -1):
+        out = F.when(token.rlike(f"^{_CLASSES[i]}+$"), i).otherwise(out)
+    return out
+
+
+def departure(token: Column, kind: Column) -> Column:
+    """How far a token of characters of an alphabet departs from uniform randomness over it."""
     alphabet = F.element_at(F.array(*(F.lit(a) for a in ALPHABETS)), kind + 1)
 
     def battery(s: Column) -> Column:
-        idx, k = s["idx"], s["k"]
+        idx, k, text = s["idx"], s["k"], s["text"]
         n = F.size(idx).cast("double")
-        squares = F.aggregate(F.array_distinct(idx), F.lit(0.0), lambda a, v: a + F.pow(F.size(F.filter(idx, lambda x: x == v)).cast("double"), F.lit(2.0)))
+        squares = F.aggregate(F.array_distinct(F.split(text, "(?<=.)(?=.)")), F.lit(0.0), lambda a, c: a + F.pow((F.length(text) - F.length(F.replace(text, c, F.lit("")))).cast("double"), F.lit(2.0)))
         df = k - 1
         chi = k / n * squares - n
         third = F.lit(2.0) / (df * 9)
@@ -101,49 +153,90 @@ def random_p(token: Column) -> Column:
         lagged = F.aggregate(F.zip_with(F.slice(idx, F.lit(1), F.size(idx) - 1), F.slice(idx, F.lit(2), F.size(idx) - 1), lambda a, b: (a - centre) * (b - centre)), F.lit(0.0), lambda a, x: a + x)
         z_serial = F.coalesce(F.try_divide(lagged, spread), F.lit(1.0)) * F.sqrt(n)
         logs = F.log(F.greatest(_tail(z_chi), F.lit(1e-12))) + F.log(F.greatest(_both(z_runs), F.lit(1e-12))) + F.log(F.greatest(_both(z_serial), F.lit(1e-12)))
-        return let(-logs, lambda x: F.exp(-x) * (F.lit(1.0) + x + x * x / 2))
+        return F.cbrt(F.greatest(-logs, F.lit(0.0)))
+
+    def parts(a: Column) -> Column:
+        idx = F.transform(F.split(token, "(?<=.)(?=.)"), lambda c: (F.instr(a, c) - 1).cast("double"))
+        return F.struct(idx.alias("idx"), F.length(a).cast("double").alias("k"), token.alias("text"))
+
+    return let(alphabet, lambda a: let(parts(a), battery))
 
-    chars = F.filter(F.split(token, ""), lambda c: (c != "") & (c != "="))
-    indexes = F.transform(chars, lambda c: (F.instr(alphabet, c) - 1).cast("double"))
-    return let(F.struct(indexes.alias("idx"), F.element_at(F.array(*(F.lit(float(len(a))) for a in ALPHABETS)), kind + 1).alias("k")), battery)
 
+def length_class(length: Column) -> Column:
+    return F.least(F.floor(F.log2(length.cast("double")) * 2).cast("int"), F.lit(LAST_CLASS))
 
-def _stratum(length: Column) -> Column:
-    return F.floor(F.log2(length.cast("double"))).cast("int")
+
+def _spelled(letters: Column, kind: Column) -> Column:
+    """Letters in the symbols of an encoding: those it has stand for themselves, others go round its alphabet."""
+    every = string.ascii_letters
+    to = F.array(*(F.lit("".join(c if c in a else a[ord(c) % len(a)] for c in every)) for a in ALPHABETS))
+    return F.call_function("translate", letters, F.lit(every), F.element_at(to, kind + 1))
+
+
+def ordinary(text: Column, draw: Column) -> Column:
+    """Length class, encoding and departure of the window of the text's letters that a 64-bit draw chooses (null where it is too short)."""
+    first = length_class(F.lit(LEAST))
+    classes = F.lit(LAST_CLASS) - first + 1
+
+    def window(s: Column) -> Column:
+        size = F.ceil(F.pow(F.lit(2.0), (s["size"] + F.pmod(F.shiftright(draw, 16), F.lit(256)) / 256.0) / 2)).cast("int")
+        wide = size * 4 + 200
+        at = F.pmod(F.shiftright(draw, 24), F.greatest(F.length(text) - wide, F.lit(1)).cast("long")).cast("int")
+        letters = F.regexp_replace(F.substr(text, at + 1, wide), r"[A-Za-z0-9+/_=-]{20,}|[^A-Za-z]+", "")
+        return let(F.substr(letters, F.lit(1), size), lambda w: F.when(F.length(w) == size, F.struct(s["size"].alias("size"), s["kind"].alias("kind"), departure(_spelled(w, s["kind"]), s["kind"]).alias("y"))))
+
+    cell = F.struct((first + F.pmod(draw, classes.cast("long")).cast("int")).alias("size"), F.pmod(F.shiftright(draw, 8), F.lit(len(ALPHABETS))).cast("int").alias("kind"))
+    return let(cell, window)
+
+
+def _cell(size: Column, kind: Column) -> Column:
+    return size * 16 + kind
+
+
+def null_model(windows: DataFrame) -> dict[int, tuple[float, float]]:
+    """Mean and deviation of the departure by cell, from windows of the documents (size, kind, y) and of ``ORDINARY``."""
+    spark = windows.sparkSession
+    own = spark.range((LAST_CLASS - int(2 * math.log2(LEAST)) + 1) * len(ALPHABETS) * WINDOWS)
+    built = own.select(ordinary(F.lit(ORDINARY), F.xxhash64("id")).alias("w")).select("w.*")
+    sums = windows.unionByName(built).filter(F.col("y").isNotNull()).groupBy("size", "kind").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("m"), F.stddev_pop("y").alias("d")).collect()  # a row a cell
+    return {r["size"] * 16 + r["kind"]: (r["m"], max(r["d"], LEAST_SPREAD)) for r in sums}
 
 
 def scan(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep``, base and spans for every row of ``docs``: arrays of (start, kind, end). One pass over the texts."""
     text = F.translate(F.coalesce("text", F.lit("")), _OPEN + _CLOSE, _ELSE + _ELSE)
-    likely = _matches(text, r"[A-Za-z0-9+/_=-]{20}", RANDOM, lambda p: (F.length(p) >= 20) & p.rlike("[0-9]") & p.rlike("[A-Za-z]"))
-
-    def outside(m: Column, base: Column) -> Column:
-        return ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-
-    both = docs.select(*keep, base_spans(text).alias("base"), likely.alias("likely"))
-    judged = F.transform(F.filter("likely", lambda m: outside(m, F.col("base"))), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), random_p(m["piece"]).alias("p")))
-    found = written(both.select(*keep, "base", judged.alias("judged")), "secrets")
-    step = F.least(F.floor(F.log10(F.greatest(F.col("t.p"), F.lit(1e-300))) * -10), F.lit(GRID)).cast("int")
-    counts = found.select(F.explode("judged").alias("t")).groupBy(_stratum(F.col("t.end") - F.col("t.start")).alias("stratum"), step.alias("step")).count().collect()  # strata * GRID rows at most
-    limits = false_discovery({(r["stratum"], r["step"]): r["count"] for r in counts})
-    if not limits:
+    likely = _matches(text, rf"[A-Za-z0-9+/_-]{{{LEAST}}}", RANDOM, lambda p: F.length(p) >= LEAST)
+    both = docs.select(*keep, base_spans(text).alias("base"), likely.alias("likely"), ordinary(text, F.xxhash64("text")).alias("window"))
+    stretches = F.filter(F.flatten(F.transform("likely", lambda m: _outside(m, F.col("base")))), lambda x: x["end"] - x["start"] >= LEAST)
+    judged = F.transform(stretches, lambda x: let(encoding(x["piece"]), lambda e: F.struct(x["start"].alias("start"), x["end"].alias("end"), _cell(length_class(x["end"] - x["start"]), e).alias("cell"), departure(x["piece"], e).alias("y"))))
+    found = written(both.select(*keep, "base", judged.alias("judged"), "window"), "secrets")
+    if found.filter(F.size("judged") > 0).isEmpty():
         return found.select(*keep, "base", F.col("base").alias("spans"))
-    limit = F.create_map(*(x for s, p in sorted(limits.items()) for x in (F.lit(s), F.lit(p))))
-    added = F.transform(F.filter("judged", lambda t: t["p"] > limit[_stratum(t["end"] - t["start"])]), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
+    model = null_model(found.select("window.*"))
+    means, spreads = (F.create_map(*(x for c, v in sorted(model.items()) for x in (F.lit(c), F.lit(float(v[i]))))) for i in (0, 1))
+
+    def p_of(t: Column) -> Column:
+        return _tail((means[t["cell"]] - t["y"]) / spreads[t["cell"]])
+
+    step = F.least(F.floor(F.log10(F.greatest(p_of(F.col("t")), F.lit(1e-300))) * -10), F.lit(GRID)).cast("int")
+    counts = found.select(F.explode("judged").alias("t")).groupBy(F.shiftright("t.cell", 4).alias("size"), step.alias("step")).count().collect()  # classes * GRID rows at most
+    limits = false_discovery({(r["size"], r["step"]): r["count"] for r in counts})
+    limit = F.create_map(*(x for c, p in sorted(limits.items()) for x in (F.lit(c), F.lit(p))))
+    added = F.transform(F.filter("judged", lambda t: p_of(t) <= limit[F.shiftright(t["cell"], 4)]), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
     return found.select(*keep, "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
 def false_discovery(counts: dict[tuple[int, int], int]) -> dict[int, float]:
-    """Per stratum, the largest grid value up to which "not random" is declared (0: nothing is)."""
+    """Per length class, the largest grid value up to which "random" is declared (0: nothing is)."""
     out = {}
-    for stratum in {s for s, _ in counts}:
-        own = {i: n for (s, i), n in counts.items() if s == stratum}
+    for size in {s for s, _ in counts}:
+        own = {i: n for (s, i), n in counts.items() if s == size}
         total, below, limit = sum(own.values()), 0, 0.0
         for i in range(GRID, -1, -1):
             below += own.get(i, 0)
             if below and math.pow(10, -i / 10) <= RATE * below / total:
                 limit = math.pow(10, -i / 10)
-        out[stratum] = limit
+        out[size] = limit
     return out
 
 

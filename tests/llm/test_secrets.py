@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -44,14 +45,80 @@ def test_query(spark):
         assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
 
 
-def test_battery_tells_random_tokens_from_words(spark):
+def upper_tail(z):
+    x = min(8.0, max(-8.0, z))
+    return 1 / (1 + math.exp(1.5976 * x + 0.070565992 * x**3))
+
+
+def plain_departure(token):
+    """The encoding and the departure from randomness, test by test."""
+    kind = next(i for i, a in enumerate(secrets.ALPHABETS) if set(token) <= set(a))
+    idx, k, n = [secrets.ALPHABETS[kind].index(c) for c in token], len(secrets.ALPHABETS[kind]), len(token)
+    chi = sum((idx.count(i) - n / k) ** 2 / (n / k) for i in range(k))
+    df = k - 1
+    z_chi = ((max(chi, 1e-9) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    upper = [2 * i >= k for i in idx]
+    n1, turns = sum(upper), 1 + sum(a != b for a, b in zip(upper, upper[1:], strict=False))
+    mean = 2 * n1 * (n - n1) / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    z_runs = (turns - mean) / math.sqrt(var) if var > 0 else 8.0
+    centre = sum(idx) / n
+    spread = sum((i - centre) ** 2 for i in idx)
+    z_serial = math.sqrt(n) * (sum((a - centre) * (b - centre) for a, b in zip(idx, idx[1:], strict=False)) / spread if spread else 1.0)
+    ps = [upper_tail(z_chi), min(1.0, 2 * upper_tail(abs(z_runs))), min(1.0, 2 * upper_tail(abs(z_serial)))]
+    return kind, max(0.0, -sum(math.log(max(p, 1e-12)) for p in ps)) ** (1 / 3)
+
+
+def keys(rng, n, least=32):
+    """Random keys of every encoding but digits and plain letters, none of which has a base pattern."""
+    out = []
+    while len(out) < n:
+        a = secrets.ALPHABETS[rng.choice([2, 5, 6, 7, 8, 9, 10])]
+        key = "".join(rng.choice(a) for _ in range(rng.randint(least, 64)))
+        if not plain(key):
+            out.append(key)
+    return out
+
+
+ORDINARY = ["abcabcabcabcabcabcabcabc1", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa2", "thelongestwordsinenglish2024", "release_notes_for_version_12", "0000000000000000000000001a", "internationalizationframework", "DONAUDAMPFSCHIFFFAHRTSGESELLSCHAFT", "path/to/the/configuration/file", "some_function_name_with_words", "12345678901234567890"]
+
+
+def test_departures_against_plain_python(spark):
+    rng = random.Random(7)
+    tokens = keys(rng, 60) + ORDINARY + ["".join(rng.choice(a) for _ in range(rng.randint(20, 200))) for a in secrets.ALPHABETS for _ in range(4)] + ["a" * 3000]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "i int, t string").select("i", secrets.encoding(F.col("t")).alias("kind"), secrets.departure(F.col("t"), secrets.encoding(F.col("t"))).alias("y")).collect()
+    for r in got:
+        kind, y = plain_departure(tokens[r.i])
+        assert r.kind == kind and math.isclose(r.y, y, rel_tol=1e-6, abs_tol=1e-6), tokens[r.i]
+
+
+def test_planted_keys_are_found_and_false_alarms_stay_rare(spark):
     rng = random.Random(4)
-    keys = ["".join(rng.choice(secrets.ALPHABETS[3]) for _ in range(40)) for _ in range(40)]
-    words = ["abcabcabcabcabcabcabcabc1", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa2", "thelongestwordsinenglish2024", "release_notes_for_version_12", "0000000000000000000000001a"] * 8
-    df = documents(spark, list(enumerate(f"see {t} there" for t in keys + words)))
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").collect()]
+    planted = {3 * i: k for i, k in enumerate(keys(rng, 150))}
+    plain_words = {3 * i + 1: ORDINARY[i % len(ORDINARY)] for i in range(150)}
+    rows = [(i, f"{t} {(planted | plain_words).get(i, '')} there") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.spans for r in secrets.scan(documents(spark, rows), "doc_id").select("doc_id", secrets.as_text(F.col("spans")).alias("spans")).collect()}
+    where = {i: f"random:{len(texts[i]) + 1}:{len(texts[i]) + 1 + len(k)}" for i, k in planted.items()}
+    found = sum(where[i] in got[i] for i in planted)
+    alarms = sum(s.count("random") for s in got.values()) - found
+    print("recall", found / len(planted), "false alarms", alarms)
+    assert found / len(planted) >= 0.9 and alarms <= 0.1 * found
+
+
+def test_small_tables_and_what_base_spans_leave(spark):
+    rng = random.Random(11)
+    key = "".join(rng.choice(secrets.ALPHABETS[8]) for _ in range(48))
+    rest = "".join(rng.choice(secrets.ALPHABETS[7]) for _ in range(40)) + "Z"
+    df = documents(spark, [(1, f"see {key} there"), (2, "a thelongestwordsinenglishareratherlong word"), (3, f"0123456789abcdef0123456789abcdef{rest}")])
     got = {r.doc_id: r.spans for r in secrets.scan(df, "doc_id").select("doc_id", secrets.as_text(F.col("spans")).alias("spans")).collect()}
-    assert sum("random:4:44" in got[i] for i in range(40)) >= 36
-    assert sum("random" in got[i] for i in range(40, 80)) <= 8
+    assert got == {1: "random:4:52", 2: "", 3: f"hex:0:32,random:32:{32 + len(rest)}"}
+
+
+def test_very_many_matches(spark):
+    text = " ".join(f"token=abcdef{i:06}" for i in range(20_000))
+    got = secrets.scan(documents(spark, [(1, text)]), "doc_id").select(secrets.as_text(F.col("base")).alias("b")).first()
+    assert got.b == plain(text)
 
 
 def test_false_discovery_against_the_step_up_rule():
