@@ -3,14 +3,18 @@
 The page becomes a tree. Every node has characters C, tags T, and those inside links LC, LT. Its composite density is
 link-adjusted characters per tag: C/T times the logarithm, to a base that grows with the
 page's link share and the node's, of (C/LC) * (T/LT). Every node sums the densities of its children; the node with the
-largest sum is the core. The smallest density on the path from the core to the body is the threshold: beside the
-core, subtrees on the path that reach it belong to the text; an article or main element around the core belongs whole.
+largest sum is the core, lifted from a paragraph or a part of one to the container around it. The smallest density on the path
+from the core to the body is the threshold: beside the core, subtrees on the path that reach it, and headings, belong to the text.
+An article (or a main element of several) around the core bounds the text instead, and belongs whole.
 
-Menus, headers, footers, sidebars, notices, adverts, forms, comments and code are cut by element, role, class or id
-before densities are computed.
+Before densities are computed, elements that never hold an article (navigation, footers, asides, forms, code, media) are cut, and so are
+blocks whose class, id or role names such a thing: its head noun must be the name (``site-footer``, ``comments-section``, not
+``share-price`` or ``header-story``), or a qualifier that makes anything so (``related-stories``). A block so named that holds an
+h1, a main element or an article stays, and if nothing else is left on a page all of them do.
 
 Defined results: null or empty html gives empty text; broken markup is repaired as browsers do for unclosed p, li, td,
-tr, option, dt and dd; repeated rows are kept; other columns are ignored.
+tr, option, dt and dd; a script or style that is never closed runs to the end, any other element that is never closed keeps its text;
+repeated rows are kept; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from siltstone.llm.common import table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas video audio textarea title select".split())
-BOILERPLATE = frozenset("nav footer aside form button dialog menu head input label fieldset datalist figcaption_".split()) | RAW
+#: Elements whose content is not markup; those beside CODE count as empty where they are never closed.
+CODE = frozenset("script style".split())
+RAW = CODE | frozenset("textarea title iframe noembed noframes xmp".split())
+BOILERPLATE = frozenset("nav footer aside form button dialog menu head input label fieldset datalist noscript template svg math object canvas video audio select".split()) | RAW
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 #: What an opening tag closes, up to the nearest of the elements after the bar.
 CLOSES = {
@@ -37,46 +43,64 @@ CLOSES = {
 ENDS_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 FENCES = frozenset("table td th caption button object body html".split())
 #: Names in class, id or role that mark other things than the article (fixed values).
-NOISE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup sidebar side aside widget menu nav navbar navigation navigate breadcrumb breadcrumbs pager pagination header masthead topbar footer foot bottombar comment comments reply replies discussion disqus respond share sharing social related recommended recommendations login search toolbar toc complementary contentinfo".split())
+NOISE = frozenset("ad ads adv advert adverts advertisement advertising sponsor banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup sidebar side aside widget widgets menu nav navbar navigation navigate breadcrumb breadcrumbs pager pagination header masthead topbar footer foot bottombar comment comments commentlist reply replies discussion disqus respond share sharing social login search toolbar toc complementary contentinfo".split())
+#: Qualifiers that make any noun such a thing, and nouns of containers that say nothing of their own (fixed values).
+QUALIFIERS = frozenset("sponsored promo promoted promotion related recommended recommendations".split())
+CONTAINERS = frozenset("area author bar block body box button buttons card cards collapse column container content contents element form frame group holder inner item items left link links list meta module outer panel region right row section slot text toggle top bottom unit wrap wrapper zone".split())
+#: What holds a paragraph or a part of one.
+LIFT = frozenset("article body center dd details div li main section summary table tbody td tr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _token = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)", re.S)
 _marks = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 _hidden = re.compile(r"""(?:\s|^)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-_parts = re.compile(r"[A-Za-z][a-z]*")
+_parts = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _space = re.compile(r"\s+")
 
 
 class Node:
     __slots__ = ("chars", "kids", "link_chars", "link_tags", "noise", "parent", "sum", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool):
+    def __init__(self, tag: str, parent: Node | None, noise: int):
+        #: noise: 2 by its element, 1 by its name, 0 not at all.
         self.tag, self.parent, self.noise = tag, parent, noise
         self.kids: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.sum = 0.0
 
 
-def _is_noise(tag: str, attributes: str, parent: Node) -> bool:
-    if tag in BOILERPLATE:
+def is_noise_name(name: str) -> bool:
+    """Whether a single class, id or role names something else than the article."""
+    parts = [p.lower() for p in _parts.findall(name)]
+    if any(p in QUALIFIERS for p in parts):
         return True
-    if tag == "header":  # an article's own header holds its title
-        while parent:
-            if parent.tag in ("article", "main"):
-                return False
-            parent = parent.parent
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    for found in _marks.finditer(attributes):
-        if any(p.lower() in NOISE for p in _parts.findall(found[1])):
+    while parts and parts[-1] in CONTAINERS and any(p not in CONTAINERS for p in parts):
+        parts.pop()
+    return bool(parts) and parts[-1] in NOISE
+
+
+def _inside(node: Node | None, *tags: str) -> bool:
+    while node:
+        if node.tag in tags:
             return True
-    return bool(_hidden.search(attributes))
+        node = node.parent
+    return False
+
+
+def _noise(tag: str, attributes: str, parent: Node) -> int:
+    if tag in BOILERPLATE or tag == "header" and not _inside(parent, "article", "main"):  # an article's own header holds its title
+        return 2
+    if not attributes or tag in ("html", "body", "main"):
+        return 0
+    if _hidden.search(attributes):
+        return 2
+    names = [n for found in _marks.finditer(attributes) for n in found[1].strip("\"'").split()]
+    return int(any(is_noise_name(n) and not (n.lower().endswith("header") and _inside(parent, "article", "main")) for n in names))
 
 
 def parse(page: str) -> Node:
     """The body of the page as a tree of nodes and texts, with implied end tags."""
-    root = now = Node("body", None, False)
+    root = now = Node("body", None, 0)
     depth: dict[str, int] = {}
     at = 0
 
@@ -119,11 +143,11 @@ def parse(page: str) -> Node:
                 while now is not last:
                     now = close(now)
                 now = close(now)
-        node = Node(tag, now, _is_noise(tag, found[3] or "", now))
+        node = Node(tag, now, _noise(tag, found[3] or "", now))
         now.kids.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            end = None if found[0].endswith("/>") and tag not in CODE else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = end.end() if end else len(page) if tag in CODE else at
         elif tag not in VOID and not found[0].endswith("/>"):
             now = node
             depth[tag] = depth.get(tag, 0) + 1
@@ -165,25 +189,55 @@ def _blocks(node: Node, out: list[list[str]]) -> None:
             stack += reversed(item.kids)
 
 
-def main_text(page: str | None) -> str:
-    """Blocks of the main text joined by two line feeds."""
-    body = parse(page or "")
+def _settle(body: Node) -> None:
+    """Blocks that only their name calls noise stay where they hold the page's article."""
+    every = [body]
+    for node in every:
+        every += [k for k in node.kids if isinstance(k, Node) and k.noise < 2]
+    holds: set[int] = set()
+    for node in reversed(every):
+        if node.tag in ("h1", "main") or node.tag == "article" and not node.noise or id(node) in holds:
+            if node.tag != "article" or not node.noise:  # a comment may be an article of its own
+                node.noise = 0
+                holds.add(id(node.parent))
+
+
+def _measure(body: Node) -> list[Node]:
+    """Counts of every node that is not noise, parents before children."""
     nodes = _ordered(body)
+    for node in nodes:
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.sum = 0.0
     for node in reversed(nodes):
-        own = sum(len(_space.sub(" ", k).strip()) for k in node.kids if isinstance(k, str))
-        node.chars += own
+        node.chars += sum(len(_space.sub(" ", k).strip()) for k in node.kids if isinstance(k, str))
         node.tags += 1
         if node.tag == "a":
             node.link_chars, node.link_tags = node.chars, node.tags
         if node.parent:
             up = node.parent
             up.chars, up.tags, up.link_chars, up.link_tags = up.chars + node.chars, up.tags + node.tags, up.link_chars + node.link_chars, up.link_tags + node.link_tags
+    return nodes
+
+
+def main_text(page: str | None) -> str:
+    """Blocks of the main text joined by two line feeds."""
+    body = parse(page or "")
+    _settle(body)
+    nodes = _measure(body)
+    if not body.chars:  # nothing but what names call noise: take it all
+        every = [body]
+        for node in every:
+            node.noise = 0
+            every += [k for k in node.kids if isinstance(k, Node) and k.noise < 2]
+        nodes = _measure(body)
     if not body.chars:
         return ""
     held = {id(n): density(n, body) for n in nodes}
     for node in nodes[1:]:
         node.parent.sum += held[id(node)]
     core = max(nodes, key=lambda n: n.sum)
+    while core.tag not in LIFT:
+        core = core.parent
     path = [core]
     while path[-1].parent:
         path.append(path[-1].parent)
@@ -191,25 +245,18 @@ def main_text(page: str | None) -> str:
     blocks: list[list[str]] = [[]]
     if semantic:
         top = next((n for n in path if n.tag == "main"), semantic)
-        articles = [n for n in _ordered(top) if n.tag == "article"]
+        articles = any(n.tag == "article" for n in _ordered(top)[1:])
         _blocks(semantic if semantic.tag == "article" or not articles else top, blocks)
     else:
         threshold = min(held[id(n)] for n in path)
         on_path = {id(n) for n in path}
-
-        def gather(root: Node) -> None:
-            stack = [root]
-            while stack:
-                node = stack.pop()
-                if id(node) in on_path and node is not core:
-                    stack += reversed([k for k in node.kids if isinstance(k, Node) and not k.noise])
-                elif node is core or node.tag in HEADINGS or held[id(node)] >= threshold:
-                    _blocks(node, blocks)
-
-        if core is body:
-            _blocks(body, blocks)
-        else:
-            gather(body)
+        stack = [body]
+        while stack:
+            node = stack.pop()
+            if id(node) in on_path and node is not core:
+                stack += reversed([k for k in node.kids if isinstance(k, Node) and not k.noise])
+            elif node is core or node.tag in HEADINGS or held[id(node)] >= threshold:
+                _blocks(node, blocks)
     texts = (_space.sub(" ", "".join(b)).strip() for b in blocks)
     return "\n\n".join(t for t in texts if t)
 

@@ -15,7 +15,20 @@ PAGES = [
     ("<nav>a</nav><p>x &lt;b&gt; <!-- c --> y", "x <b> y"),
     ("<article><h1>A</h1><p>b</p>", "A\n\nb"),
     ("< p >a < b", "< p >a < b"),
+    ("<article><p>one</p><svg/><p>two</p><iframe src=x /><p>three</p><svg><svg><text>no</text></svg></svg><p>four</p></article>", "one\n\ntwo\n\nthree\n\nfour"),
+    ("<article><p>one <iframe src=x> two</p><video><p>no</p></video><object>no</object><p>three</p></article>", "one two\n\nthree"),
+    ("<div class='header-story'><article><p>kept here</p><div class='share-price'>12.5</div></article></div>", "kept here\n\n12.5"),
+    ("<div class='header-story'><p>kept, too</p></div>", "kept, too"),
+    ("<div id=sidebar-page><div class=comments><h1>On comments</h1><p>An article about them.</p></div></div>", "On comments\n\nAn article about them."),
+    ("<div class=comments><p>nothing else is here</p></div>", "nothing else is here"),
+    ("<main><p>The only text of this page.</p><ol class=commentlist><li><article class=comment-body><h4>me</h4><p>no</p></article></li></ol></main>", "The only text of this page."),
+    ("<script>never closed <p>no", ""),
 ]
+TEXT = "This is a sentence of the article, long enough to look like one. " * 3
+WITHOUT_ARTICLE = f"""<html><head><title>no</title></head><body><div id=top><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li><li><a href=c>Sport</a></li></ul></div>
+<div class=page><div class=story><h1>Title</h1><p>{TEXT}</p><p>{TEXT}<a href=d>link</a> end.</p><ul><li>{TEXT}</li><li>short</li></ul><p>Last.</p></div>
+<div class=teasers><a href=e>Read this</a> <a href=f>And that</a> <a href=g>And more</a></div><div class=user-comments><p>{TEXT}</p><p>{TEXT}</p><p>{TEXT}</p><p>{TEXT}</p></div></div>
+<div class=site-footer>(c) <a href=h>imprint</a></div></body></html>"""
 
 
 @pytest.mark.parametrize("page, text", PAGES)
@@ -23,6 +36,26 @@ def test_pages(page, text):
     assert html.main_text(page) == text
 
 
+def test_density_alone_finds_the_article():
+    t = TEXT.strip()
+    assert html.main_text(WITHOUT_ARTICLE) == f"Title\n\n{t}\n\n{t} link end.\n\n{t}\n\nshort\n\nLast."
+
+
+@pytest.mark.parametrize("name, noise", [("site-footer", True), ("commentsSection", True), ("ADS", True), ("related-stories", True), ("cookie-notice", True), ("menu_item_3", True), ("share-price", False), ("header-story", False), ("list", False), ("article", False), ("adhoc", False), ("row", False), ("cookie-recipe", False)])
+def test_names(name, noise):
+    assert html.is_noise_name(name) is noise
+
+
+def test_pages_without_the_article_element(spark):
+    rows = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet").collect()
+    same = 0
+    for r in rows:
+        bare = re.sub(r"(</?)article\b", r"\1div", r.html)
+        same += html.main_text(bare) == html.main_text(r.html)
+    print("same without article elements", same, len(rows))
+    assert same >= 0.98 * len(rows)
+
+
 def test_query_against_the_article_elements(spark):
     rows = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     got = html.op6_html_extraction(spark, SF).collect()
