@@ -1,12 +1,14 @@
 """SimHash near-duplicates with pigeonring candidates.
 
 Fingerprints of 64 bits are cut into five segments on a ring. If two of them differ in at most four bits, some chain of
-consecutive segments keeps every prefix of l segments within floor(4 l / 5) differences: its first segment is equal and the
-second differs in at most one bit. Candidates must show such a chain of two; only they get the full Hamming check.
+consecutive segments keeps every prefix of l segments within floor(4 l / 5) differences. Nodes meet where the first segment is
+equal and the second differs in at most one bit; of the pairs that do, those whose chain leaves its budget at three or four
+segments are pruned (another start of theirs keeps it, if they are near at all), and the rest get the full Hamming check.
 
-Equal fingerprints are one node from the start, so groups of copies cost one row. Nodes are dealt by (segment, value);
-where many nodes share a chain, a task links them over blocks and passes on a spanning forest, never all pairs.
-Components come from alternating stars over the links, written to the shared folder between rounds.
+Equal fingerprints are one node from the start, so groups of copies cost one row. Nodes are dealt by (segment, value), which a
+task streams value by value; where many nodes share a chain, it links them over blocks and passes on a spanning forest, never
+all pairs. Components come from alternating stars over the links, written to the shared folder between rounds; what is joined
+by a key that may be hot is a table of its own, so that adaptive execution can split the hot side.
 
 Defined results: null or empty text has fingerprint zero and links like any other; repeated rows are kept; a null
 doc_id never names a component unless all its documents have none; an empty table gives no rows; other columns are ignored.
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import MARKS, marks, table, written
+from siltstone.llm.common import MARKS, forget, marks, table, written
 
 MOST_BITS = 4
 #: (shift, width) of the segments, in ring order.
@@ -102,6 +104,16 @@ def _forest(fps: np.ndarray) -> np.ndarray:
     return labels
 
 
+def _chain_masks(length: int) -> np.ndarray:
+    """By first segment, the bits of a chain of so many segments."""
+    masks = [((1 << w) - 1) << s for s, w in SEGMENTS]
+    return np.array([sum(masks[(i + j) % len(masks)] for j in range(length)) for i in range(len(masks))], np.uint64)
+
+
+#: Masks of the chains of three and four segments, and the differences that they may show.
+CHAINS = [(_chain_masks(n), MOST_BITS * n // len(SEGMENTS)) for n in (3, 4)]
+
+
 def links_of(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links among the fingerprints of each key (segment number * 2^13 + value): pairs, or a forest where many share a chain."""
     segment = keys >> 13
@@ -113,7 +125,7 @@ def links_of(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     for bit in range(13):  # the second segment with one bit left out: at most one difference there
         chain = (keys.astype(np.uint64) << np.uint64(13)) | (value & ~(np.uint64(1) << np.uint64(bit)))
         order = np.argsort(chain, kind="stable")
-        c, f = chain[order], fps[order]
+        c, f, start = chain[order], fps[order], segment[order]
         starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
         sizes = np.diff(np.r_[starts, len(c)])
         big = sizes > BLOCK
@@ -129,6 +141,8 @@ def links_of(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             if not same.any():
                 break
             i = np.flatnonzero(same)
+            for masks, budget in CHAINS:
+                i = i[np.bitwise_count((f[i] ^ f[i + gap]) & masks[start[i]]) <= budget]
             i = i[np.bitwise_count(f[i] ^ f[i + gap]) <= MOST_BITS]
             left.append(f[i])
             right.append(f[i + gap])
@@ -147,46 +161,50 @@ def links(nodes: DataFrame) -> DataFrame:
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        ks: list[np.ndarray] = []
+        fs: list[np.ndarray] = []
+        held = 0
 
         def out(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
             a, b = links_of(k, f)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=kind)
 
         for batch in batches:
-            held_k = np.r_[held_k, batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64)]
-            held_f = np.r_[held_f, batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)]
-            if len(held_k) >= CHUNK and held_k[0] != held_k[-1]:
-                cut = int(np.searchsorted(held_k, held_k[-1]))
-                yield out(held_k[:cut], held_f[:cut])
-                held_k, held_f = held_k[cut:], held_f[cut:]
-        if len(held_k):
-            yield out(held_k, held_f)
+            ks.append(batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64))
+            fs.append(batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            held += len(ks[-1])
+            if held >= CHUNK and len(ks[-1]) and ks[0][0] != ks[-1][-1]:
+                k, f = np.concatenate(ks), np.concatenate(fs)
+                cut = int(np.searchsorted(k, k[-1]))
+                yield out(k[:cut], f[:cut])
+                ks, fs, held = [k[cut:]], [f[cut:]], held - cut
+        if held:
+            yield out(np.concatenate(ks), np.concatenate(fs))
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node of each node's component, for the nodes that have edges (columns a, b).
 
-    Alternating large and small stars; a hub's neighbours are reduced to their least one before they are joined back.
+    Alternating large and small stars until nothing changes: every round only lowers what nodes point to, so the rounds end, after
+    about the logarithm of the longest path. A hub's neighbours are reduced to their least one before they are joined back.
     """
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    for _ in range(most_rounds):
+    state = None
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = written(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        small = small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        after = written(small, "edges")
-        state = [x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first() for x in (now, after)]
-        now = after
-        if state[0] == state[1]:
+        after = written(small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
+        for old in (now, least, large, low):
+            forget(old)
+        now, before = after, state
+        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        if state == before or not state[0]:
             break
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
@@ -200,9 +218,9 @@ def _rooted(prints: DataFrame, order: Column) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, fp, component_id for every row of ``docs``."""
     prints = written(fingerprints(docs, shingle), "simhash")
-    rooted = _rooted(prints, F.col("doc_id"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(named, "root").select("fp", "component_id")
+    rooted = written(_rooted(prints, F.col("doc_id")), "rooted")
+    named = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "named")
+    classes = written(rooted.join(named, "root").select("fp", "component_id"), "classes")
     return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 

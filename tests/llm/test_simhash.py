@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 from helpers import SF, documents, words
 
@@ -64,6 +65,27 @@ def test_dense_groups_keep_their_links(spark):
     assert sorted(map(tuple, seen.values())) == sorted(tuple(d for d in want if want[d] == k) for k in set(want.values()))
 
 
+def test_chains_find_every_near_pair():
+    rng = random.Random(12)
+    for _ in range(400):
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample(range(64), rng.randint(1, 4)):
+            b ^= 1 << bit
+        fps = np.array([a, b] * len(simhash.SEGMENTS), np.uint64)
+        keys = np.array([(i << 13) | (x >> s & ((1 << w) - 1)) for i, (s, w) in enumerate(simhash.SEGMENTS) for x in (a, b)])
+        order = np.argsort(keys, kind="stable")
+        left, right = simhash.links_of(keys[order], fps[order])
+        assert {int(left[0]), int(right[0])} == {a, b}
+
+
+def test_long_paths_and_hubs_become_components(spark):
+    n = 3000
+    edges = [(i, i + 1) for i in range(n)] + [(10_000, 10_000 + i) for i in range(1, n)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(n + 1)}, **{10_000 + i: 10_000 for i in range(n)}}
+
+
 def test_odd_rows(spark):
     df = documents(spark, [(5, None), (3, ""), (4, " \n"), (7, "One two"), (8, "one  TWO"), (8, "one  TWO"), (None, "z")])
     got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash.near_duplicates(df).collect())
