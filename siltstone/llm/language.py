@@ -5,12 +5,12 @@ letters, lower-cased), each framed by spaces, and every word is spelled by greed
 whose automaton needs the fewest phrases, times the logarithm of its sample's size and per character, wins.
 
 The model is fitted on every labelled language, each with at most ``SAMPLE_CHARS`` characters, and an equal share of
-``TOTAL_CHARS`` where there are more than 64 of them. About 2 * ``SAMPLE_DOCS`` documents a language are drawn; long
-texts give windows spread over their length. Every whole text is then predicted.
+``TOTAL_CHARS`` where there are more than 64 of them. About 2 * ``SAMPLE_DOCS`` documents a language are drawn by a hash of id and
+text; long texts give windows spread over their length. Every whole text is then predicted.
 
 Defined results: null text and text without a letter give ``und`` and score 0; where nothing could be learned all
-texts do; ties go to the language that sorts first; repeated rows are kept; null ids are held out or not by crc32 of
-nothing, so they count as training rows of no use (null lang rows never teach); other columns are ignored.
+texts do; ties go to the language that sorts first; repeated rows are kept, but teach once; null ids are never held out, so their
+rows teach as others do (rows without lang never do); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -66,11 +66,12 @@ def sample(docs: DataFrame) -> dict[str, str]:
     chars = max(1, min(SAMPLE_CHARS, TOTAL_CHARS // len(counts)))
     drawn = min(SAMPLE_DOCS, max(8, chars * SAMPLE_DOCS // SAMPLE_CHARS))
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(wide, -(-wide * 2 * drawn // r["count"]))) for r in counts], "lang string, _siltstone_share long")
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(wide))
-    rows = known.select("lang", "doc_id", "text").join(F.broadcast(shares), "lang").filter(draw < F.col("_siltstone_share")).select("lang", "doc_id", _spread(2 * chars // drawn).alias("windows"))  # a row a language
+    draw = F.xxhash64("doc_id", "text")
+    rows = known.select("lang", "doc_id", "text").join(F.broadcast(shares), "lang").filter(F.pmod(draw, F.lit(wide)) < F.col("_siltstone_share"))  # a row a language
+    rows = rows.select("lang", "doc_id", draw.alias("draw"), _spread(2 * chars // drawn).alias("windows")).dropDuplicates(["lang", "doc_id", "draw"])
     texts: dict[str, list] = {}
     for r in rows.collect():
-        texts.setdefault(r["lang"], []).append((r["doc_id"], _joined(r["windows"])))
+        texts.setdefault(r["lang"], []).append((r["draw"], _joined(r["windows"])))
     return {lang: " ".join(_letters.findall(" ".join(t for _, t in sorted(own)).lower()))[:chars] for lang, own in texts.items()}
 
 

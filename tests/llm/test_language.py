@@ -56,3 +56,10 @@ def test_texts_teach_beyond_their_opening(spark):
     assert not set(texts["fr"].split()) - set(f"{head} {rows[0][1]}".split())
     got = language.identify(spark.createDataFrame([(1, "une phrase française ici")], "doc_id long, text string"), texts).first()
     assert got.lang_pred == "fr"
+
+
+def test_rows_of_one_id_or_of_none_teach_in_a_bounded_sample(spark):
+    rows = [(None, f"rien que des mots sans numéro {i}", "fr") for i in range(3000)] + [(7, f"one id for all of these {i}", "en") for i in range(3000)] + [(8, "the same row again and again", "en")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = language.sample(docs)
+    assert 20 < texts["fr"].count("rien") < 400 and texts["en"].count("again and again") <= 1
