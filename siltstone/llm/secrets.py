@@ -93,7 +93,7 @@ def base_spans(text: Column) -> Column:
     found = [
         _matches(text, ASSIGN, ASSIGN, lambda p: F.length(F.regexp_extract(p, ASSIGN, 2)) >= 6),
         _matches(text, r"AKIA[A-Z0-9]{16}", ACCESS, lambda p: F.length(p) >= 20),
-        _matches(text, r"[0-9a-f]{24}", HEX, lambda p: F.length(p) >= 24),
+        _matches(text, r"(?<![0-9a-f])[0-9a-f]{24}", HEX, lambda p: F.length(p) >= 24),
     ]
     return F.array_sort(F.concat(*(_as_spans(m, k) for k, m in enumerate(found))))
 
@@ -113,8 +113,7 @@ def _outside(match: Column, base: Column) -> Column:
 
 def _tail(z: Column) -> Column:
     """Upper tail of the standard normal (logistic approximation)."""
-    x = F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0))
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(x * 1.5976 + x * x * x * 0.070565992))
+    return let(F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0)), lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(x * 1.5976 + x * x * x * 0.070565992)))
 
 
 def _both(z: Column) -> Column:
@@ -134,32 +133,30 @@ def departure(token: Column, kind: Column) -> Column:
     alphabet = F.element_at(F.array(*(F.lit(a) for a in ALPHABETS)), kind + 1)
 
     def battery(s: Column) -> Column:
-        idx, k, text = s["idx"], s["k"], s["text"]
-        n = F.size(idx).cast("double")
+        idx, k, text, n, upper, centre = (s[c] for c in ("idx", "k", "text", "n", "upper", "centre"))
         squares = F.aggregate(F.array_distinct(F.split(text, "(?<=.)(?=.)")), F.lit(0.0), lambda a, c: a + F.pow((F.length(text) - F.length(F.replace(text, c, F.lit("")))).cast("double"), F.lit(2.0)))
         df = k - 1
         chi = k / n * squares - n
         third = F.lit(2.0) / (df * 9)
         z_chi = (F.pow(F.greatest(chi, F.lit(1e-9)) / df, F.lit(1 / 3)) - (F.lit(1.0) - third)) / F.sqrt(third)
-        upper = F.transform(idx, lambda x: x * 2 >= k)
         n1 = F.size(F.filter(upper, lambda b: b)).cast("double")
-        n2 = n - n1
         turns = F.size(F.filter(F.zip_with(F.slice(upper, F.lit(1), F.size(upper) - 1), F.slice(upper, F.lit(2), F.size(upper) - 1), lambda a, b: a != b), lambda x: x)) + 1
-        mean = n1 * n2 * 2 / n + 1
-        var = (mean - 1) * (mean - 2) / (n - 1)
-        z_runs = F.coalesce(F.try_divide(turns - mean, F.sqrt(F.greatest(var, F.lit(0.0)))), F.lit(8.0))
-        centre = F.aggregate(idx, F.lit(0.0), lambda a, x: a + x) / n
+        z_runs = let(n1 * (n - n1) * 2 / n + 1, lambda mean: F.coalesce(F.try_divide(turns - mean, F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(0.0)))), F.lit(8.0)))
         spread = F.aggregate(idx, F.lit(0.0), lambda a, x: a + (x - centre) * (x - centre))
         lagged = F.aggregate(F.zip_with(F.slice(idx, F.lit(1), F.size(idx) - 1), F.slice(idx, F.lit(2), F.size(idx) - 1), lambda a, b: (a - centre) * (b - centre)), F.lit(0.0), lambda a, x: a + x)
         z_serial = F.coalesce(F.try_divide(lagged, spread), F.lit(1.0)) * F.sqrt(n)
         logs = F.log(F.greatest(_tail(z_chi), F.lit(1e-12))) + F.log(F.greatest(_both(z_runs), F.lit(1e-12))) + F.log(F.greatest(_both(z_serial), F.lit(1e-12)))
         return F.cbrt(F.greatest(-logs, F.lit(0.0)))
 
-    def parts(a: Column) -> Column:
-        idx = F.transform(F.split(token, "(?<=.)(?=.)"), lambda c: (F.instr(a, c) - 1).cast("double"))
-        return F.struct(idx.alias("idx"), F.length(a).cast("double").alias("k"), token.alias("text"))
+    def measured(s: Column) -> Column:  # what a fold looks at must be a value by then: it would be computed for every symbol
+        idx, n = s["idx"], F.size(s["idx"]).cast("double")
+        return F.struct(idx.alias("idx"), s["k"].alias("k"), s["text"].alias("text"), n.alias("n"), F.transform(idx, lambda x: x * 2 >= s["k"]).alias("upper"), (F.aggregate(idx, F.lit(0.0), lambda a, x: a + x) / n).alias("centre"))
 
-    return let(alphabet, lambda a: let(parts(a), battery))
+    def parts(s: Column) -> Column:
+        idx = F.transform(F.split(s["text"], "(?<=.)(?=.)"), lambda c: (F.instr(s["a"], c) - 1).cast("double"))
+        return F.struct(idx.alias("idx"), F.length(s["a"]).cast("double").alias("k"), s["text"].alias("text"))
+
+    return let(F.struct(alphabet.alias("a"), token.alias("text")), lambda s: let(parts(s), lambda x: let(measured(x), battery)))
 
 
 def length_class(length: Column) -> Column:
@@ -179,14 +176,17 @@ def ordinary(text: Column, draw: Column) -> Column:
     classes = F.lit(LAST_CLASS) - first + 1
 
     def window(s: Column) -> Column:
-        size = F.ceil(F.pow(F.lit(2.0), (s["size"] + F.pmod(F.shiftright(draw, 16), F.lit(256)) / 256.0) / 2)).cast("int")
-        wide = size * 4 + 200
-        at = F.pmod(F.shiftright(draw, 24), F.greatest(F.length(text) - wide, F.lit(1)).cast("long")).cast("int")
+        wide = s["n"] * 4 + 200
+        at = F.pmod(F.shiftright(s["draw"], 24), F.greatest(F.length(text) - wide, F.lit(1)).cast("long")).cast("int")
         letters = F.regexp_replace(F.substr(text, at + 1, wide), r"[A-Za-z0-9+/_=-]{20,}|[^A-Za-z]+", "")
-        return let(F.substr(letters, F.lit(1), size), lambda w: F.when(F.length(w) == size, F.struct(s["size"].alias("size"), s["kind"].alias("kind"), departure(_spelled(w, s["kind"]), s["kind"]).alias("y"))))
+        return let(F.substr(letters, F.lit(1), s["n"]), lambda w: F.when(F.length(w) == s["n"], F.struct(s["size"].alias("size"), s["kind"].alias("kind"), departure(_spelled(w, s["kind"]), s["kind"]).alias("y"))))
+
+    def cell(d: Column) -> Column:
+        size = first + F.pmod(d, classes.cast("long")).cast("int")
+        n = F.ceil(F.pow(F.lit(2.0), (size + F.pmod(F.shiftright(d, 16), F.lit(256)) / 256.0) / 2)).cast("int")
+        return F.struct(d.alias("draw"), size.alias("size"), n.alias("n"), F.pmod(F.shiftright(d, 8), F.lit(len(ALPHABETS))).cast("int").alias("kind"))
 
-    cell = F.struct((first + F.pmod(draw, classes.cast("long")).cast("int")).alias("size"), F.pmod(F.shiftright(draw, 8), F.lit(len(ALPHABETS))).cast("int").alias("kind"))
-    return let(cell, window)
+    return let(let(draw, cell), window)
 
 
 def _cell(size: Column, kind: Column) -> Column:
@@ -204,9 +204,10 @@ def null_model(windows: DataFrame) -> dict[int, tuple[float, float]]:
 
 def scan(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep``, base and spans for every row of ``docs``: arrays of (start, kind, end). One pass over the texts."""
-    text = F.translate(F.coalesce("text", F.lit("")), _OPEN + _CLOSE, _ELSE + _ELSE)
-    likely = _matches(text, rf"[A-Za-z0-9+/_-]{{{LEAST}}}", RANDOM, lambda p: F.length(p) >= LEAST)
-    both = docs.select(*keep, base_spans(text).alias("base"), likely.alias("likely"), ordinary(text, F.xxhash64("text")).alias("window"))
+    held = F.translate(F.coalesce("text", F.lit("")), _OPEN + _CLOSE, _ELSE + _ELSE)
+    text = F.col("_siltstone_text")
+    likely = _matches(text, rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST}}}", RANDOM, lambda p: F.length(p) >= LEAST)
+    both = docs.select(*keep, held.alias("_siltstone_text")).select(*keep, base_spans(text).alias("base"), likely.alias("likely"), ordinary(text, F.xxhash64(text)).alias("window"))
     stretches = F.filter(F.flatten(F.transform("likely", lambda m: _outside(m, F.col("base")))), lambda x: x["end"] - x["start"] >= LEAST)
     judged = F.transform(stretches, lambda x: let(encoding(x["piece"]), lambda e: F.struct(x["start"].alias("start"), x["end"].alias("end"), _cell(length_class(x["end"] - x["start"]), e).alias("cell"), departure(x["piece"], e).alias("y"))))
     found = written(both.select(*keep, "base", judged.alias("judged"), "window"), "secrets")
