@@ -40,33 +40,37 @@ def verification(answer: Column, context: Column) -> Column:
 
     Grounding looks for terms as substrings of the lower-cased context; a claim of fewer than four terms is not judged.
     """
-    low = F.lower(context)
-    claims = x.claim_parts(answer)
+    def supported(s: Column) -> Column:
+        """What of each kind the context has; the claims that it does not support. Everything that a fold looks at is a value here."""
+        low = s["low"]
 
-    def unsupported(claim: Column) -> Column:
-        terms = F.array_distinct(x.tokens(claim))
-        return (F.size(terms) >= 4) & (F.size(F.filter(terms, lambda w: low.contains(w))) / F.greatest(F.size(terms), F.lit(1)).cast("double") < 0.42)
+        def unsupported(claim: Column) -> Column:
+            return x.let(F.array_distinct(x.tokens(claim)), lambda terms: (F.size(terms) >= 4) & (F.size(F.filter(terms, lambda w: low.contains(w))) / F.greatest(F.size(terms), F.lit(1)).cast("double") < 0.42))
 
-    def build(s: Column) -> Column:
-        numeric = share(F.filter(s["numbers"], lambda n: low.contains(n)), s["numbers"])
-        cited = share(F.filter(s["refs"], lambda r: (F.trim(r) != "") & low.contains(F.lower(F.trim(r)))), s["refs"])
-        entity = share(F.filter(s["entities"], lambda w: low.contains(F.lower(w))), s["entities"])
-        whole = completeness(answer)
-        grounding = F.when(F.size(claims) == 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - F.size(s["bad"]) / F.size(claims).cast("double")))
-        issues = (
-            F.size(s["bad"]) + F.size(F.filter(s["numbers"], lambda n: ~low.contains(n))) + F.size(F.filter(s["refs"], lambda r: ~((F.trim(r) != "") & low.contains(F.lower(F.trim(r))))))
-            + F.size(F.filter(s["entities"], lambda w: ~low.contains(F.lower(w)))) + F.when(whole < 1, 1).otherwise(0)
-        )
-        weighted = F.round(grounding, 4) * 0.38 + F.round(numeric, 4) * 0.18 + F.round(cited, 4) * 0.15 + F.round(entity, 4) * 0.14 + F.round(whole, 4) * 0.15
-        confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), weighted - F.least(F.lit(0.45), issues * 0.07)))
-        empty, noise = F.trim(answer) == "", is_noise_answer(answer)
-        shown = F.when(empty, 0.0).when(noise, 0.15).otherwise(F.round(confidence, 4))
         return F.struct(
-            (~empty & ~noise & (confidence >= 0.62) & (F.size(s["bad"]) == 0)).alias("supported"), shown.alias("confidence"), s["bad"].alias("unsupported"),
-            F.when(empty | noise, 1).otherwise(issues).alias("issues"), F.round(grounding, 4).alias("grounding"), F.round(numeric, 4).alias("numeric"), F.round(cited, 4).alias("citation"), F.round(entity, 4).alias("entity"), whole.alias("completeness"),
+            s["answer"].alias("answer"), *(s[c].alias(c) for c in ("numbers", "refs", "entities", "claims")), F.filter(s["numbers"], lambda n: low.contains(n)).alias("numbers_in"),
+            F.filter(s["refs"], lambda r: (F.trim(r) != "") & low.contains(F.lower(F.trim(r)))).alias("refs_in"), F.filter(s["entities"], lambda w: low.contains(F.lower(w))).alias("entities_in"), F.filter(s["claims"], unsupported).alias("bad"),
         )
 
-    return x.let(F.struct(numbers(answer).alias("numbers"), references(answer).alias("refs"), checked_entities(answer).alias("entities"), F.filter(claims, unsupported).alias("bad")), build)
+    def scored(s: Column) -> Column:
+        numeric, cited, entity = (share(s[f"{c}_in"], s[c]) for c in ("numbers", "refs", "entities"))
+        missing = [F.size(s[c]) - F.size(s[f"{c}_in"]) for c in ("numbers", "refs", "entities")]
+        grounding = F.when(F.size(s["claims"]) == 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - F.size(s["bad"]) / F.size(s["claims"]).cast("double")))
+        return x.let(completeness(s["answer"]), lambda whole: F.struct(
+            s["answer"].alias("answer"), s["bad"].alias("bad"), F.round(grounding, 4).alias("grounding"), F.round(numeric, 4).alias("numeric"), F.round(cited, 4).alias("citation"), F.round(entity, 4).alias("entity"), whole.alias("completeness"),
+            (F.size(s["bad"]) + missing[0] + missing[1] + missing[2] + F.when(whole < 1, 1).otherwise(0)).alias("issues"),
+        ))
+
+    def judged(s: Column) -> Column:
+        weighted = s["grounding"] * 0.38 + s["numeric"] * 0.18 + s["citation"] * 0.15 + s["entity"] * 0.14 + F.round(s["completeness"], 4) * 0.15
+        sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), weighted - F.least(F.lit(0.45), s["issues"] * 0.07)))
+        return x.let(F.struct(sure.alias("sure"), (F.trim(s["answer"]) == "").alias("empty"), is_noise_answer(s["answer"]).alias("noise")), lambda c: F.struct(
+            (~c["empty"] & ~c["noise"] & (c["sure"] >= 0.62) & (F.size(s["bad"]) == 0)).alias("supported"), F.when(c["empty"], 0.0).when(c["noise"], 0.15).otherwise(F.round(c["sure"], 4)).alias("confidence"), s["bad"].alias("unsupported"),
+            F.when(c["empty"] | c["noise"], 1).otherwise(s["issues"]).alias("issues"), *(s[n].alias(n) for n in ("grounding", "numeric", "citation", "entity", "completeness")),
+        ))
+
+    found = F.struct(answer.alias("answer"), F.lower(context).alias("low"), numbers(answer).alias("numbers"), references(answer).alias("refs"), checked_entities(answer).alias("entities"), x.claim_parts(answer).alias("claims"))
+    return x.let(x.let(x.let(found, supported), scored), judged)
 
 
 def should_retry(supported: Column, issues: Column, confidence: Column, quality: Column, retries: Column, most: int = 3, model: bool = True) -> Column:

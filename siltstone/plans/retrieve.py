@@ -1,7 +1,7 @@
 """Hybrid retrieval over a batch of questions: dense, BM25 and claim hits, fused, re-ranked, diversified and enriched.
 
-All questions of a batch run in one job, keyed by query_id. Every intermediate is an equi-join or a window with a cut; ties
-are broken by chunk_id. Scores that order rows are rounded, so that summation order cannot change a rank.
+All questions of a batch are answered together, keyed by query_id: the three searches are blockwise products, everything after them
+works on their few hits. Ties are broken by chunk_id. Scores that order rows are rounded, so that summation order cannot change a rank.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as x
 from siltstone.functions import verify as check
 from siltstone.functions.extract import citations, expanded_terms, intent_weights, is_table_question
-from siltstone.functions.vectors import hash_embedding, sparse_cosine
-from siltstone.operators import bm25, fusion
+from siltstone.functions.vectors import hash_embedding
+from siltstone.operators import blocks, bm25, fusion
 
 DIGITS = 9
 RRF_K, CLAIM_WEIGHT, TABLE_BOOST, CLAIM_BONUS = 60, 1.3, 1.2, 0.025
@@ -21,15 +21,13 @@ RRF_K, CLAIM_WEIGHT, TABLE_BOOST, CLAIM_BONUS = 60, 1.3, 1.2, 0.025
 
 def dense(questions: DataFrame, chunks: DataFrame, k: int, dim: int = 1024, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """query_id, key, score, rank: the ``k`` best chunks of each question by cosine of hash embeddings."""
-    q = hash_embedding(questions, "query_id", "question", dim)
-    scored = sparse_cosine(q, hash_embedding(chunks, key, text, dim), "query_id", key).withColumn("score", F.round("score", DIGITS))
-    return fusion.top(scored, ["query_id"], k, key=key)
+    asked, held = hash_embedding(questions, "query_id", "question", dim), hash_embedding(chunks, key, text, dim)
+    return blocks.top(asked.withColumnRenamed("idx", "place"), held.withColumnRenamed("idx", "place"), key, k, digits=DIGITS)
 
 
 def lexical(questions: DataFrame, index: bm25.Index, k: int, keep_zero: bool = False) -> DataFrame:
     """query_id, chunk_id, score, rank by BM25; zero scores are dropped unless kept."""
-    scored = bm25.search(index, questions).withColumn("score", F.round("score", DIGITS))
-    return fusion.top(scored if keep_zero else scored.filter("score <> 0"), ["query_id"], k)
+    return bm25.top(index, questions, k, keep_zero)
 
 
 def by_claims(questions: DataFrame, claims: DataFrame, k: int, dim: int = 1024) -> DataFrame:
