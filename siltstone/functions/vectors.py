@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -13,10 +14,6 @@ from pyspark.sql import functions as F
 from siltstone.functions.text import tokens, unique_words
 
 
-#: Query tokens that one batch of token-level search may broadcast.
-MOST_TOKENS = 50_000
-
-
 def token_weights(token: Column, dim: int, weighted: bool) -> Column:
     """Struct (idx, w) of a token: bytes 0-1 of its SHA-256 give the place; the sign is byte 2 (weighted) or byte 3."""
     digest = F.sha2(token, 256)
@@ -116,10 +113,16 @@ def token_vectors(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFram
     return own.join(own.select("token").distinct().mapInPandas(run, "token string, vector array<float>"), "token")
 
 
-def max_sim(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str) -> DataFrame:
-    """query_key, doc_key, score: mean over query tokens of the best token similarity. Queries are a batch of at most ``MOST_TOKENS``."""
-    if queries.limit(MOST_TOKENS + 1).count() > MOST_TOKENS:
-        raise ValueError(f"more than {MOST_TOKENS} query tokens: cut the batch")
-    q = queries.select(query_key, F.col("token").alias("qt"), F.col("vector").alias("qv"))
-    pairs = docs.crossJoin(F.broadcast(q)).select(query_key, doc_key, "qt", dot(F.col("qv"), F.col("vector")).alias("s"))
-    return pairs.groupBy(query_key, doc_key, "qt").agg(F.max("s").alias("s")).groupBy(query_key, doc_key).agg(F.avg("s").alias("score"))
+def max_sim(pairs: DataFrame, key: str, dim: int = 64) -> DataFrame:
+    """query_id, key, score of the given pairs (query_id, key, asked, held: distinct tokens): the mean over the tokens asked of the best likeness to one held.
+
+    Token vectors follow from the tokens, so they are drawn where they are needed and a bounded number is remembered.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drawn = functools.lru_cache(maxsize=100_000)(lambda token: seeded_vector(token, dim, "md5"))
+        for b in batches:
+            scores = [float((np.array([drawn(t) for t in asked]) @ np.array([drawn(t) for t in held]).T).max(axis=1).mean()) if len(asked) and len(held) else 0.0 for asked, held in zip(b["asked"], b["held"], strict=True)]
+            yield pd.DataFrame({"query_id": b["query_id"], key: b[key], "score": scores})
+
+    return pairs.select("query_id", key, "asked", "held").mapInPandas(run, f"query_id long, {key} {dict(pairs.dtypes)[key]}, score double")

@@ -46,3 +46,11 @@ def overlap_ratios(question: Column, answer: Column, context: Column, truth: Col
     faithful, relevant = ratio(answer, context, answer), ratio(question, answer, question)
     correct = F.when(F.size(truth) > 0, ratio(answer, truth, truth)).otherwise(relevant * 0.5 + faithful * 0.5)
     return [faithful.alias("faithfulness"), relevant.alias("answer_relevancy"), ratio(context, question, context).alias("context_precision"), ratio(context, question, question).alias("context_recall"), correct.alias("answer_correctness")]
+
+
+def router_health(calls: DataFrame, last: int = 5) -> DataFrame:
+    """model, calls, failures, mean, latencies (the last ones, newest first) from a log of calls (model, seq, latency, ok)."""
+    w = Window.partitionBy("model").orderBy(F.desc("seq"))
+    rows = calls.withColumn("rn", F.row_number().over(w))
+    recent = rows.filter(F.col("rn") <= last).groupBy("model").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "latency"))), lambda r: r["latency"]).alias("latencies"))
+    return calls.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.count_if(~F.col("ok")).alias("failures"), F.avg("latency").alias("mean")).join(recent, "model")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import extract as e
@@ -13,6 +13,7 @@ from siltstone.functions import verify as check
 from siltstone.operators import bm25, fusion
 from siltstone.plans import retrieve
 
+#: What is said where nothing is found (a fixed value); so are the sentences of refusals and overviews below.
 NOTHING = "I could not find any indexed context that answers this question yet."
 MODELS = {"simple_fact": "fast", "procedural": "fast", "quantitative": "fast", "comparative": "strong", "multi_hop": "strong", "causal": "strong", "temporal": "strong", "survey": "strong"}
 
@@ -66,14 +67,19 @@ def overview(hits: DataFrame) -> DataFrame:
     return found.select("query_id", x.clean_claim(F.when(F.col("resume"), cv).when(F.size("s") > 0, paper).otherwise(poor)).alias("answer"))
 
 
+def marker(style: Column, title: Column, chunk_id: Column, page: Column | None = None) -> Column:
+    """The mark of a citation: title and page for apa and mla, else the chunk's id."""
+    at = F.coalesce(page.cast("string") if page is not None else F.lit(None).cast("string"), F.lit("1"))
+    return F.when(style == "apa", F.concat(F.lit("("), title, F.lit(", p."), at, F.lit(")"))).when(style == "mla", F.concat(F.lit("("), title, F.lit(" "), at, F.lit(")"))).otherwise(F.concat(F.lit("["), chunk_id, F.lit("]")))
+
+
 def cite(answers: DataFrame, hits: DataFrame, threshold: float = 0.65, style: str = "inline") -> DataFrame:
     """query_id, annotated, cited, uncited: each sentence with the marker of the chunk most like it."""
     s = answers.select("query_id", F.posexplode(x.sentences(F.col("answer"))).alias("i", "s"))
     pairs = s.join(hits.select("query_id", "chunk_id", "doc_id", "text"), "query_id").withColumn("score", F.round(x.jaccard(x.word_set(F.col("s")), x.word_set(F.col("text"))), 9))
     best = pairs.groupBy("query_id", "i").agg(F.max_by(F.struct("chunk_id", "doc_id", "score"), F.struct("score", "chunk_id")).alias("b"))
-    marker = F.concat(F.lit("("), "b.doc_id", F.lit(", p.1)")) if style == "apa" else F.concat(F.lit("("), "b.doc_id", F.lit(" 1)")) if style == "mla" else F.concat(F.lit("["), "b.chunk_id", F.lit("]"))
     rows = s.join(best, ["query_id", "i"], "left").withColumn("ok", F.coalesce(F.col("b.score") >= threshold, F.lit(False)))
-    shown = F.when(F.col("ok"), F.concat("s", F.lit(" "), marker)).otherwise(F.col("s"))
+    shown = F.when(F.col("ok"), F.concat("s", F.lit(" "), marker(F.lit(style), F.col("b.doc_id"), F.col("b.chunk_id")))).otherwise(F.col("s"))
     return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", shown.alias("t")))), lambda r: r["t"]), " ").alias("annotated"), F.count_if("ok").alias("cited"), F.count_if(~F.col("ok")).alias("uncited"))
 
 
@@ -104,24 +110,50 @@ class Parameters:
     expand: bool = False
 
 
-def tune(p: Parameters, relevance: float, diversity: float, coverage: float, overall: float, attempt: int, any_hits: bool = True) -> Parameters:
-    """The next attempt's parameters from the quality of this one."""
-    if relevance < 0.4:
-        p = replace(p, k_vector=int(p.k_vector * 1.5), use_hyde=True, rerank_threshold=max(0.05, p.rerank_threshold * 0.8))
-    if diversity < 0.35:
-        p = replace(p, max_per_doc=1, use_graph=True)
-    if coverage < 0.45:
-        p = replace(p, k_bm25=int(p.k_bm25 * 1.5), expand=True)
-    if attempt >= 2:
-        p = replace(p, use_colbert=True)
-    if any_hits and overall >= 0.75:
-        p = replace(p, k_vector=max(10, int(p.k_vector * 0.8)), k_bm25=max(10, int(p.k_bm25 * 0.8)))
-    return p
-
-
-def wants_retry(score: float | str, attempt: int, threshold: float = 0.65, most: int = 3) -> bool:
-    value = {"High": 0.85, "Medium": 0.60, "Low": 0.30}.get(score, 0.30) if isinstance(score, str) else score
-    return value < threshold and attempt < most
+def tuned(relevance: Column, diversity: Column, coverage: Column, overall: Column, attempt: Column, any_hits: Column, p: Parameters | None = None) -> Column:
+    """Struct of the next attempt's parameters from the quality of this one."""
+    p = p or Parameters()
+    weak, narrow, thin, good = relevance < 0.4, diversity < 0.35, coverage < 0.45, any_hits & (overall >= 0.75)
+    k_vector = F.when(weak, int(p.k_vector * 1.5)).otherwise(p.k_vector)
+    k_bm25 = F.when(thin, int(p.k_bm25 * 1.5)).otherwise(p.k_bm25)
+
+    def fewer(k: Column) -> Column:
+        return F.when(good, F.greatest(F.lit(10), F.floor(k * 0.8).cast("int"))).otherwise(k)
+
+    return F.struct(
+        fewer(k_vector).alias("k_vector"), fewer(k_bm25).alias("k_bm25"), F.lit(p.k_graph).alias("k_graph"), (weak | F.lit(p.use_hyde)).alias("use_hyde"), (narrow | F.lit(p.use_graph)).alias("use_graph"),
+        ((attempt >= 2) | F.lit(p.use_colbert)).alias("use_colbert"), F.when(narrow, 1).otherwise(p.max_per_doc).alias("max_per_doc"),
+        F.when(weak, max(0.05, p.rerank_threshold * 0.8)).otherwise(p.rerank_threshold).alias("rerank_threshold"), (thin | F.lit(p.expand)).alias("expand"),
+    )
+
+
+def label_score(label: Column) -> Column:
+    return F.when(label == "High", 0.85).when(label == "Medium", 0.60).otherwise(0.30)
+
+
+def retry(score: Column, attempt: Column, threshold: float = 0.65, most: int = 3) -> Column:
+    return (score < threshold) & (attempt < most)
+
+
+def adaptive(questions: DataFrame, chunks: DataFrame, index: bm25.Index, graph_edges: DataFrame | None = None, generator=None, attempts: int = 2, threshold: float = 0.65, written=None) -> DataFrame:
+    """query_id, answer, overall, attempts: the advanced core's loop. A question whose context scores too low is retrieved again with tuned parameters.
+
+    Each attempt is one batched plan over the questions left; ``written`` (a function of a table) keeps what an attempt found,
+    so that the next one does not compute it again.
+    """
+    kept = written or (lambda df: df)
+    left, parameters, done = questions.select("query_id", "question"), None, None
+    for attempt in range(1, attempts + 1):
+        hits = kept(retrieve.advanced(left, chunks, index, graph_edges=graph_edges, parameters=parameters, generator=generator))
+        judged = quality(left, hits).join(hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").join(extractive(left, hits).select("query_id", "answer"), "query_id")
+        again = retry(F.col("overall"), F.lit(attempt), threshold, attempts)
+        rows = kept(judged.select("query_id", "answer", "overall", F.lit(attempt).alias("attempts"), again.alias("again"), tuned(F.col("relevance"), F.col("diversity"), F.col("coverage"), F.col("overall"), F.lit(attempt), F.coalesce("n", F.lit(0)) > 0).alias("p")))
+        good = rows.filter("NOT again").select("query_id", "answer", "overall", "attempts")
+        done = good if done is None else done.unionByName(good)
+        if attempt < attempts:
+            parameters = rows.filter("again").select("query_id", "p.*")
+            left = questions.select("query_id", "question").join(parameters.select("query_id"), "query_id", "left_semi")
+    return done
 
 
 def answer_batch(questions: DataFrame, chunks: DataFrame, claims: DataFrame, index: bm25.Index, retries: int = 1, base_k: int = 12, most_k: int = 30) -> DataFrame:

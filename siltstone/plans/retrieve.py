@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as x
 from siltstone.functions import verify as check
-from siltstone.functions.extract import citations, expanded_terms, intent_weights, is_table_question
-from siltstone.functions.vectors import hash_embedding
+from siltstone.functions.extract import citations, expand_question, expanded_terms, intent_weights, is_table_question, named_entities
+from siltstone.functions.vectors import hash_embedding, max_sim, normalize
 from siltstone.operators import blocks, bm25, fusion
+from siltstone.ports import Generator, hypothetical
 
 DIGITS = 9
 RRF_K, CLAIM_WEIGHT, TABLE_BOOST, CLAIM_BONUS = 60, 1.3, 1.2, 0.025
@@ -85,19 +86,79 @@ def cited(questions: DataFrame, hits: DataFrame, papers: DataFrame, chunks: Data
     return fusion.top(near, ["query_id", "paper_id"], per_paper).select("query_id", "paper_id", "chunk_id", "score")
 
 
-def advanced(questions: DataFrame, chunks: DataFrame, index: bm25.Index, graph_hits: DataFrame | None = None, k: int = 5, per_doc: int = 2) -> DataFrame:
+def hyde(questions: DataFrame, chunks: DataFrame, k: int, generator: Generator | None = None, direct: float = 0.4, passage: float = 0.6, dim: int = 1024) -> DataFrame:
+    """query_id, chunk_id, score, rank: hits of the question and of a passage that a generator writes for it, their scores weighted and added."""
+    written = hypothetical(questions.select("query_id", "question"), generator)
+    own = dense(questions, chunks, k, dim).select("query_id", "chunk_id", (F.col("score") * direct).alias("score"))
+    said = dense(written.select("query_id", F.col("passage").alias("question")), chunks, k, dim).select("query_id", "chunk_id", (F.col("score") * passage).alias("score"))
+    merged = own.unionByName(said).groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), DIGITS).alias("score"))
+    return fusion.top(merged, ["query_id"], k)
+
+
+def related(questions: DataFrame, edges: DataFrame, chunks: DataFrame, k: int = 10, per_paper: int = 3) -> DataFrame:
+    """query_id, chunk_id, score, rank: chunks of papers that the entities of a question lead to in two steps (src paper, dst entity).
+
+    Papers that use an entity of the question come before those that share another entity with them; the score is 1 / rank.
+    """
+    asked = questions.select("query_id", F.explode(named_entities(F.col("question"))).alias("dst")).distinct()
+    near = asked.join(edges, "dst").select("query_id", "src").distinct()
+    first = fusion.top(near.withColumn("score", F.lit(0)), ["query_id"], k, key="src").select("query_id", "src", F.lit(1).alias("step"))  # what is beyond the first k papers cannot reach the first k chunks
+    beside = first.join(edges, "src").select("query_id", "dst").distinct().join(edges, "dst").select("query_id", "src", F.lit(2).alias("step"))
+    papers = first.unionByName(beside).groupBy("query_id", "src").agg(F.min("step").alias("step"))
+    papers = papers.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("step", "src"))).filter(F.col("_n") <= k)
+    own = papers.join(chunks.select(F.col("paper_id").alias("src"), "chunk_id", "ordinal"), "src")
+    own = own.withColumn("_c", F.row_number().over(Window.partitionBy("query_id", "src").orderBy("ordinal", "chunk_id"))).filter(F.col("_c") <= per_paper)
+    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("step", "src", "ordinal", "chunk_id"))).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "chunk_id", (F.lit(1.0) / F.col("rank")).alias("score"), "rank")
+
+
+def nearest(asked: DataFrame, held: DataFrame, key: str, k: int) -> DataFrame:
+    """query_id, key, score, rank: cosine of dense vectors held in a table (query_id, embedding) and (key, embedding)."""
+
+    def sparse(df: DataFrame, own: str) -> DataFrame:
+        return df.select(own, F.posexplode(normalize(F.col("embedding"))).alias("place", "w")).filter("w <> 0")
+
+    return blocks.top(sparse(asked, "query_id"), sparse(held, key), key, k, digits=DIGITS)
+
+
+def advanced(questions: DataFrame, chunks: DataFrame, index: bm25.Index, graph_hits: DataFrame | None = None, k: int = 5, per_doc: int = 2, graph_edges: DataFrame | None = None, parameters: DataFrame | None = None, generator: Generator | None = None) -> DataFrame:
     """query_id, position, chunk_id, score: the advanced backend's retrieval.
 
     Vector 30, BM25 20 and graph 10 hits are fused (60), references dropped, diversified with a cap for each document,
-    re-ranked by word sets (at least 0.3, or the fused order where none reaches it) and cut.
+    re-ranked by word sets (at least 0.3, or the fused order where none reaches it) and cut. Graph hits are given, or follow from
+    edges of papers and entities. ``parameters`` (of ``answer.tuned``, by query_id) replace these numbers and add passages of a
+    generator; terms are expanded and token vectors re-rank where they say so.
     """
     body = chunks.select("chunk_id", F.col("paper_id").alias("doc_id"), "section", "text")
-    lists = dense(questions, body, 30).select("query_id", F.lit("vector").alias("list"), "chunk_id", "score").unionByName(lexical(questions, index, 20, True).select("query_id", F.lit("bm25").alias("list"), "chunk_id", "score"))
+    if parameters is None:
+        vector, words = dense(questions, body, 30), lexical(questions, index, 20, True)
+    else:
+        p = parameters.select("query_id", "k_vector", "k_bm25", "use_hyde", "use_colbert", "max_per_doc", "rerank_threshold", "expand")
+        wide = p.agg(F.coalesce(F.max("k_vector"), F.lit(30)), F.coalesce(F.max("k_bm25"), F.lit(20))).first()
+        told = questions.join(p, "query_id")
+        said = told.withColumn("question", F.when(F.col("expand"), expand_question(F.col("question"))).otherwise(F.col("question"))).select("query_id", "question")
+        vector = dense(said, body, wide[0]).join(hyde(said, body, wide[0], generator).select("query_id", "chunk_id", F.col("score").alias("merged")), ["query_id", "chunk_id"], "full")
+        vector = vector.join(p.select("query_id", "k_vector", "use_hyde"), "query_id").select("query_id", "chunk_id", F.when(F.col("use_hyde"), F.col("merged")).otherwise(F.col("score")).alias("score"), "k_vector").filter("score IS NOT NULL")
+        vector = fusion.rank(vector, ["query_id"]).filter("rank <= k_vector")
+        words = lexical(said, index, wide[1], True).join(p.select("query_id", "k_bm25"), "query_id").filter("rank <= k_bm25")
+    lists = vector.select("query_id", F.lit("vector").alias("list"), "chunk_id", "score").unionByName(words.select("query_id", F.lit("bm25").alias("list"), "chunk_id", "score"))
+    if graph_edges is not None:
+        graph_hits = related(questions, graph_edges, chunks)
     if graph_hits is not None:
-        lists = lists.unionByName(fusion.top(graph_hits, ["query_id"], 10).select("query_id", F.lit("graph").alias("list"), "chunk_id", "score"))
+        lists = lists.unionByName(fusion.top(graph_hits.select("query_id", "chunk_id", "score"), ["query_id"], 10).select("query_id", F.lit("graph").alias("list"), "chunk_id", "score"))
     kept = lists.join(body.filter(~F.lower("section").isin("references", "bibliography", "acknowledgments")), "chunk_id")
     fused = fusion.reciprocal_rank(kept).withColumn("score", F.round("score", DIGITS)).join(body.select("chunk_id", "text"), "chunk_id")
-    spread = fusion.diversify(fused, per_doc).join(body.select("chunk_id", "text"), "chunk_id").join(questions, "query_id").filter("position <= 50")
+    if parameters is None:
+        spread = fusion.diversify(fused, per_doc)
+        least = F.lit(0.3)
+    else:
+        capped = fused.join(p.select("query_id", "max_per_doc"), "query_id")
+        spread = fusion.diversify(capped.filter("max_per_doc = 1").drop("max_per_doc"), 1).unionByName(fusion.diversify(capped.filter("max_per_doc > 1").drop("max_per_doc"), per_doc)).join(p.select("query_id", "use_colbert", "rerank_threshold"), "query_id")
+        least = F.col("rerank_threshold")
+    spread = spread.join(body.select("chunk_id", "text"), "chunk_id").join(questions.select("query_id", "question"), "query_id").filter("position <= 50")
     scored = spread.withColumn("score", F.round(x.jaccard(x.word_set(F.col("question")), x.word_set(F.col("text"))), DIGITS))
-    ranked = fusion.rank(scored, ["query_id"]).filter((F.col("score") >= 0.3) | (F.col("rank") <= k))
+    if parameters is not None:
+        late = max_sim(scored.filter("use_colbert").select("query_id", "chunk_id", x.unique_words(F.col("question")).alias("asked"), x.unique_words(F.col("text")).alias("held")), "chunk_id")
+        scored = scored.join(late.select("query_id", "chunk_id", F.col("score").alias("late")), ["query_id", "chunk_id"], "left").withColumn("score", F.when(F.col("use_colbert"), F.round(F.coalesce("late", F.lit(0.0)), DIGITS)).otherwise(F.col("score")))
+    ranked = fusion.rank(scored, ["query_id"]).filter((F.col("score") >= least) | (F.col("rank") <= k))
     return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").alias("position"), "chunk_id", "doc_id", "text", "score")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import functools
 import io
 import json
 import zipfile
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.extract import source_type
-from siltstone.functions.text import collapse
+from siltstone.functions.text import collapse, quality_by_spacing, quality_by_word_length
 from siltstone.ports import PageParser, PlainPages
 
 PAGES = "path string, page_number int, text string"
@@ -100,6 +102,53 @@ def by_type(sources: DataFrame, source: str) -> DataFrame:
     return sources.withColumn("kind", source_type(F.col(source)))
 
 
+def quality_cascade(parsed: list[tuple[str, Column, float]], last: tuple[str, Column]) -> Column:
+    """Struct of parser and text: the first parser whose pages (an array of texts) have a mean quality above its threshold, else the last one."""
+
+    def mean(pages: Column) -> Column:
+        return F.when(F.size(pages) > 0, F.aggregate(F.transform(pages, lambda p: quality_by_word_length(F.coalesce(p, F.lit("")))), F.lit(0.0), lambda a, q: a + q) / F.size(pages)).otherwise(0.0)
+
+    picks = [F.when(mean(pages) > threshold, F.struct(F.lit(name).alias("parser"), F.array_join(pages, "\n").alias("text"))) for name, pages, threshold in parsed]
+    return F.coalesce(*picks, F.struct(F.lit(last[0]).alias("parser"), F.array_join(last[1], "\n").alias("text")))
+
+
+def first_with_text(parsed: list[tuple[str, Column]]) -> Column:
+    """Struct of parser and text: the first parser that has a page which is not blank, else the last one."""
+    shown = [F.struct(F.lit(name).alias("parser"), F.array_join(pages, "\n").alias("text")) for name, pages in parsed]
+    return F.coalesce(*(F.when(F.exists(pages, lambda p: F.trim(p) != ""), out) for (_, pages), out in zip(parsed[:-1], shown, strict=False)), shown[-1])
+
+
+def process_cascade(first: Column, second: Column, third: Column, least: float = 0.5) -> Column:
+    """The first text; where its quality is below ``least`` the second, if it is no worse; where that is blank the third."""
+    better = (quality_by_spacing(first) < least) & (quality_by_spacing(second) >= quality_by_spacing(first))
+    chosen = F.when(better, second).otherwise(first)
+    return F.when(F.trim(chosen) == "", third).otherwise(chosen)
+
+
+def csv_bytes_text(content: bytes) -> str:
+    """Lines ``Row i: name=value, ...`` of a CSV file with a header."""
+    rows = list(csv.reader(io.StringIO(content.decode("utf-8", "replace"))))
+    return "\n".join(f"Row {i}: " + ", ".join(f"{h}={v}" for h, v in zip(rows[0], r, strict=False)) for i, r in enumerate(rows[1:], 1)) if rows else ""
+
+
+def dispatch(binary: DataFrame, parser: PageParser | None = None) -> DataFrame:
+    """kind, path, page_number, text of sources (path, content), each read as its address asks: pdf, url, csv, json or docx."""
+    own = parser or PlainPages()
+    reads = {
+        "pdf": lambda c: [(n, t or "") for n, t in own.pages(c)], "url": lambda c: [(1, selected_text(c.decode("utf-8", "replace")))],
+        "csv": lambda c: [(1, csv_bytes_text(c))], "json": lambda c: [(1, json_text(c))], "docx": lambda c: [(1, docx_text(c))],
+    }
+    kinds = by_type(binary, "path")
+    parts = [_mapped(kinds.filter(F.col("kind") == kind), read).withColumn("kind", F.lit(kind)) for kind, read in reads.items()]
+    return functools.reduce(DataFrame.unionByName, parts).select("kind", "path", "page_number", "text")
+
+
+def paper_page(html: Column) -> Column:
+    """Struct of title and categories of a paper's page: what follows ``subjects:``, up to a tag or the line's end."""
+    found = F.transform(F.regexp_extract_all(html, F.lit(r"(?i)subjects?:\s*([^<\n]+)"), F.lit(1)), lambda c: F.trim(c))
+    return F.struct(title(html).alias("title"), found.alias("categories"))
+
+
 def single_section(texts: DataFrame) -> DataFrame:
     """``texts`` with one section named Document."""
     return texts.withColumn("sections", F.array(F.struct(F.lit("Document").alias("name"), F.col("text").alias("text"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"))))

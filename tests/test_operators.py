@@ -208,10 +208,53 @@ def test_ingest_query_and_merge(spark):
     assert not retrieve.lexical(q.withColumn("question", F.lit("groundedness")), newer.index, 3).count()
 
 
-def test_parameter_rules():
-    p = answer.tune(answer.Parameters(), 0.2, 0.5, 0.5, 0.3, 1)
-    assert p.k_vector > 30 and p.use_hyde
-    assert answer.wants_retry("Low", 1) and not answer.wants_retry(0.9, 1) and not answer.wants_retry(0.1, 3)
+def test_parameter_rules(spark):
+    rows = spark.createDataFrame([(0.2, 0.5, 0.5, 0.3, 1), (0.9, 0.2, 0.2, 0.9, 2)], "r double, d double, c double, o double, a int").orderBy("r")
+    low, high = (r.p for r in rows.select(answer.tuned(*(F.col(c) for c in "rdcoa"), F.lit(True)).alias("p"), "r").orderBy("r").collect())
+    assert low.k_vector == 45 and low.use_hyde and low.rerank_threshold == 0.24 and low.max_per_doc == 2 and not low.use_colbert
+    assert (high.k_vector, high.k_bm25, high.max_per_doc, high.use_colbert, high.expand) == (24, 24, 1, True, True)
+    got = spark.createDataFrame([("Low", 1), ("High", 1), ("Low", 3)], "l string, a int").select(answer.retry(answer.label_score(F.col("l")), F.col("a")).alias("x")).collect()
+    assert [r.x for r in got] == [True, False, False]
+
+
+def test_adaptive_loop_tunes_and_stops(spark, tmp_path):
+    chunks = spark.createDataFrame([(f"c{i}", f"p{i % 7}", "results" if i % 3 else "method", i, f"The HyperNet model {w} reaches accuracy on GPT-4 data number {i}") for i, w in enumerate(["trains", "tests", "scores", "ranks"] * 8)], "chunk_id string, paper_id string, section string, ordinal long, text string")
+    questions = spark.createDataFrame([(1, "what accuracy does the HyperNet model reach on GPT-4 data"), (2, "entirely unrelated cooking recipes and gardens")], "query_id long, question string")
+    edges = stores.entity_edges(chunks.select("paper_id", F.array(F.lit("GPT-4"), F.lit("HyperNet")).alias("e")), "paper_id", "e")
+    seen = []
+
+    def written(df):
+        path = str(tmp_path / f"t{len(seen)}")
+        df.write.parquet(path)
+        seen.append(path)
+        return spark.read.parquet(path)
+
+    got = {r.query_id: r for r in answer.adaptive(questions, chunks, bm25.build(chunks), edges, attempts=2, written=written).collect()}
+    assert set(got) == {1, 2} and got[2].attempts == 2 and len(seen) == 4
+    near = {r.chunk_id for r in retrieve.related(questions, edges, chunks, 4).filter("query_id = 1").collect()}
+    assert near == {"c0", "c7", "c14", "c1"}
+
+
+def test_blocks_against_all_pairs(spark, monkeypatch):
+    import random
+
+    from siltstone.operators import blocks
+
+    monkeypatch.setattr(blocks, "QUESTIONS", 3)
+    rng = random.Random(1)
+    asked = [(q, p, rng.choice([-1.0, 0.0, 0.5, 2.0])) for q in range(8) for p in rng.sample(range(12), 4)]
+    held = [(f"r{r:02}", p, float(rng.randint(1, 3))) for r in range(60) for p in rng.sample(range(14), 3)]
+    got = blocks.top(spark.createDataFrame(asked, "query_id long, place int, w double"), spark.createDataFrame(held, "row string, place int, w double"), "row", 5).collect()
+    want = {}
+    for q in range(8):
+        own = {p: w for x, p, w in asked if x == q}
+        scores = {}
+        for r, p, w in held:
+            if p in own:
+                scores[r] = scores.get(r, 0.0) + own[p] * w
+        want[q] = [(r, round(s, 9)) for r, s in sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0]))[:5]]
+    for q in range(8):
+        assert [(r.row, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want[q]
 
 
 def test_longest_common_substring_on_long_lines(spark, tmp_path):
