@@ -12,6 +12,7 @@ from siltstone.functions import text as x
 from siltstone.functions import verify as check
 from siltstone.operators import bm25, fusion
 from siltstone.plans import retrieve
+from siltstone.session import checkpointed
 
 #: What is said where nothing is found (a fixed value); so are the sentences of refusals and overviews below.
 NOTHING = "I could not find any indexed context that answers this question yet."
@@ -138,10 +139,10 @@ def retry(score: Column, attempt: Column, threshold: float = 0.65, most: int = 3
 def adaptive(questions: DataFrame, chunks: DataFrame, index: bm25.Index, graph_edges: DataFrame | None = None, generator=None, attempts: int = 2, threshold: float = 0.65, written=None) -> DataFrame:
     """query_id, answer, overall, attempts: the advanced core's loop. A question whose context scores too low is retrieved again with tuned parameters.
 
-    Each attempt is one batched plan over the questions left; ``written`` (a function of a table) keeps what an attempt found,
-    so that the next one does not compute it again.
+    Each attempt is one batched plan over the questions left. What it found is kept (by default in the checkpoint folder), so that
+    the next one does not compute it again.
     """
-    kept = written or (lambda df: df)
+    kept = written or checkpointed
     left, parameters, done = questions.select("query_id", "question"), None, None
     for attempt in range(1, attempts + 1):
         hits = kept(retrieve.advanced(left, chunks, index, graph_edges=graph_edges, parameters=parameters, generator=generator))
@@ -168,7 +169,7 @@ def answer_batch(questions: DataFrame, chunks: DataFrame, claims: DataFrame, ind
         judged = fallback(left, hits).join(context, "query_id", "left").join(fusion.retrieval_quality(hits), "query_id", "left")
         judged = judged.select("query_id", "answer", check.verification(F.col("answer"), F.coalesce("context", F.lit(""))).alias("v"), F.coalesce("quality", F.lit(0.0)).alias("quality"), F.lit(attempt + 1).alias("attempts"))
         again = check.should_retry(F.col("v.supported"), F.col("v.issues"), F.col("v.confidence"), F.col("quality"), F.lit(attempt), retries, model=False)
-        rows = judged.select("query_id", "answer", "v.supported", "v.confidence", "quality", "attempts", again.alias("again")).persist()
+        rows = checkpointed(judged.select("query_id", "answer", "v.supported", "v.confidence", "quality", "attempts", again.alias("again")))
         good = rows.filter("NOT again").drop("again")
         done = good if done is None else done.unionByName(good)
         rest = rows.filter("again").select("query_id")

@@ -42,8 +42,11 @@ m AS (SELECT item_id, {_ratio.format("a", "c", "a")} AS faithfulness, {_ratio.fo
 _five = ("faithfulness", "answer_relevancy", "context_precision", "context_recall", "answer_correctness")
 query("mth18_overlap_ratios", f"WITH {RAGAS} SELECT item_id, {', '.join(f'round({c}, 6) AS {c}' for c in _five)} FROM m")(lambda t: _ragas(t).select("item_id", *(F.round(c, 6).alias(c) for c in _five)))
 query("agg08_dataset_average", f"WITH {RAGAS} SELECT count(*) AS size, {', '.join(f'round(avg({c}), 6) AS {c}' for c in _five)} FROM m")(lambda t: _ragas(t).agg(F.count("*").alias("size"), *(F.round(F.avg(c), 6).alias(c) for c in _five)))
-for name in ("agg09_latency_profile", "hlp11_latency_records", "agg18_router_health"):
+for name in ("agg09_latency_profile", "hlp11_latency_records"):
     query(name, "SELECT event_type AS name, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, count(*) AS n, count(*) FILTER (value > 90) AS failures FROM events GROUP BY 1")(lambda t: t("events").groupBy(F.col("event_type").alias("name")).agg(F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.count("*").alias("n"), F.count_if(F.col("value") > 90).alias("failures")))
+query("agg18_router_health", "WITH c AS (SELECT event_type AS model, event_id AS seq, round(value, 3) AS latency, value < 90 AS ok FROM events) SELECT model, count(*) AS calls, count(*) FILTER (NOT ok) AS failures, round(avg(latency), 6) AS mean, array_to_string(list_transform(list_slice(list(latency ORDER BY seq DESC), 1, 5), lambda x_: CAST(CAST(round(x_ * 1000) AS BIGINT) AS VARCHAR)), '|') AS latencies FROM c GROUP BY 1")(
+    lambda t: metrics.router_health(t("events").select(F.col("event_type").alias("model"), F.col("event_id").alias("seq"), F.round("value", 3).alias("latency"), (F.col("value") < 90).alias("ok"))).select("model", "calls", "failures", F.round("mean", 6).alias("mean"), F.array_join(F.transform("latencies", lambda v: F.round(v * 1000).cast("long").cast("string")), "|").alias("latencies"))
+)
 _abl = ("full", "no_view", "no_click")
 query("agg10_ablation", f"WITH {H}, a AS (SELECT c.config, h.* FROM hits h, (SELECT unnest({list(_abl)}) AS config) c WHERE NOT (c.config = 'no_view' AND h.list = 'view') AND NOT (c.config = 'no_click' AND h.list = 'click')), r AS (SELECT *, row_number() OVER (PARTITION BY config, query_id, list ORDER BY score DESC, chunk_id) AS rank FROM a) SELECT config, round(avg(1 / CAST(60 + rank AS DOUBLE)), 9) AS mean_fused, count(*) AS n FROM r GROUP BY 1")(
     lambda t: fusion.rank(hits(t).select("*", F.explode(F.array(*map(F.lit, _abl))).alias("config")).filter(~((F.col("config") == "no_view") & (F.col("list") == "view")) & ~((F.col("config") == "no_click") & (F.col("list") == "click"))), ["config", "query_id", "list"]).groupBy("config").agg(F.round(F.avg(F.lit(1.0) / (F.col("rank") + 60)), 9).alias("mean_fused"), F.count("*").alias("n"))

@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import extract as e
 from siltstone.functions import text as x
+from siltstone.functions import vectors as v
 from siltstone.functions import verify as check
-from siltstone.operators import bm25, chunking, fusion, layout
+from siltstone.operators import bm25, chunking, fusion, layout, stores
 from siltstone.plans import answer, retrieve
 from siltstone.queries.analytics import _embedding_sql
 from siltstone.queries.corpus import QUESTIONS, SQL_CHUNKS, SQL_HITS, SQL_PAPERS, SQL_QUESTIONS, STATEMENTS, chunks, hits, papers, pick, questions, s_any, s_in, s_parts, s_sentences, s_strip, s_tokens, s_words, sql_list, sql_pick
 from siltstone.queries.extract import _kind, _plain_claim
-from siltstone.queries.registry import query
+from siltstone.queries.registry import ORACLES, query
+from siltstone.queries.sources import Passage
+from siltstone.queries.text import _q1
 
 C, Q, P, H = SQL_CHUNKS, SQL_QUESTIONS, SQL_PAPERS, SQL_HITS
 
@@ -103,7 +106,9 @@ query("mth26_stage_scores", f"WITH {V} SELECT chunk_id, round(CAST(grounding AS
 query("cmp20_verify_answer", f"WITH {V} SELECT chunk_id, answer <> '' AND NOT noise AND c >= 0.62 AND bad = 0 AS supported, round(CAST(CASE WHEN answer = '' THEN 0.0 WHEN noise THEN 0.15 ELSE c END AS DOUBLE), 3) AS confidence, CAST(CASE WHEN answer = '' OR noise THEN 1 ELSE n END AS BIGINT) AS issues FROM f")(lambda t: _verified(t).select("chunk_id", "v.supported", F.round("v.confidence", 3).alias("confidence"), F.col("v.issues").cast("long").alias("issues")))
 query("cmp21_should_retry", "SELECT event_id, (event_id % 4 < 3) AND (value < 50 OR event_id % 5 >= 3 OR value / 100 < 0.75 OR value / 100 < 0.45) AS again FROM events")(lambda t: t("events").select("event_id", check.should_retry(F.col("value") >= 50, F.pmod("event_id", F.lit(5)), F.col("value") / 100, F.col("value") / 100, F.pmod("event_id", F.lit(4))).alias("again")))
 query("cmp19_choose_k", "SELECT event_id, CAST(least(30, greatest(12, 12 + CASE WHEN event_type = 'view' THEN 4 ELSE 0 END + CASE WHEN value / 100 < 0.35 THEN 6 ELSE 0 END + (event_id % 4) * 3)) AS BIGINT) AS k FROM events")(lambda t: t("events").select("event_id", check.choose_k(F.col("value") / 100, F.pmod("event_id", F.lit(4)), F.when(F.col("event_type") == "view", "multi_hop").otherwise("simple")).cast("long").alias("k")))
-query("cmp30_retry_rule", "SELECT event_id, (CASE WHEN value > 80 THEN 0.85 WHEN value > 40 THEN 0.6 ELSE 0.3 END) < 0.65 AND event_id % 5 < 3 AS again FROM events")(lambda t: t("events").select("event_id", ((F.when(F.col("value") > 80, 0.85).when(F.col("value") > 40, 0.6).otherwise(0.3) < 0.65) & (F.pmod("event_id", F.lit(5)) < 3)).alias("again")))
+query("cmp30_retry_rule", "SELECT event_id, (CASE WHEN value > 80 THEN 0.85 WHEN value > 40 THEN 0.6 ELSE 0.3 END) < 0.65 AND event_id % 5 < 3 AS again FROM events")(
+    lambda t: t("events").select("event_id", answer.retry(answer.label_score(F.when(F.col("value") > 80, "High").when(F.col("value") > 40, "Medium").otherwise("Low")), F.pmod("event_id", F.lit(5))).alias("again"))
+)
 query("cmp37_model_routing", f"WITH {Q} SELECT query_id, CASE WHEN {s_any('lower(question)', 'compare', 'vs', 'difference between', 'why', 'cause', 'because')} THEN 'strong' ELSE 'other' END AS model FROM questions")(lambda t: questions(t).select("query_id", F.when(e.query_type(F.col("question")).isin("comparative", "causal"), answer.MODELS["comparative"]).otherwise("other").alias("model")))
 _big = "list_distinct(list_filter({0}, lambda w: length(w) > 2))"
 query("cmp22_alignment", f"WITH {C}, s AS (SELECT chunk_id, {_big.format(s_tokens(_short))} AS q, list_distinct({s_tokens('text')}) AS c FROM chunks) SELECT chunk_id, round(CASE WHEN len(q) = 0 THEN 0.0 ELSE len(list_intersect(q, c)) / CAST(len(q) AS DOUBLE) END, 6) AS score FROM s")(lambda t: chunks(t).select("chunk_id", F.round(check.alignment(_asked(), F.col("text")), 6).alias("score")))
@@ -120,12 +125,15 @@ query("cmp28_coverage", f"WITH {C} SELECT chunk_id, round(CASE WHEN len({_kws})
 
 # parameter rules, one row for each quality of an event
 def _tuned(t):
-    v = F.col("value") / 100
-    k_vector = F.when(v < 0.4, 45).otherwise(30)
-    return t("events").select("event_id", F.when(v >= 0.75, F.greatest(F.lit(10), F.floor(k_vector * 0.8))).otherwise(k_vector).cast("long").alias("k_vector"), F.when(v < 0.35, 1).otherwise(2).cast("long").alias("max_per_doc"), (F.pmod("event_id", F.lit(4)) >= 2).alias("use_colbert"))
+    v, n = F.col("value") / 100, F.col("event_id")
+    p = answer.tuned(v, F.pmod(n, F.lit(10)) / 10.0, F.pmod(n, F.lit(7)) / 7.0, F.pmod(n, F.lit(9)) / 9.0, F.pmod(n, F.lit(4)), F.pmod(n, F.lit(11)) > 0)
+    return t("events").select("event_id", p.alias("p")).select("event_id", *(F.col(f"p.{c}").cast("long").alias(c) for c in ("k_vector", "k_bm25", "max_per_doc")), *(f"p.{c}" for c in ("use_hyde", "use_colbert", "expand")), F.round("p.rerank_threshold", 6).alias("rerank_threshold"))
 
 
-query("cmp29_parameter_rules", "SELECT event_id, CAST(CASE WHEN value / 100 < 0.4 THEN 45 WHEN value / 100 >= 0.75 THEN 24 ELSE 30 END AS BIGINT) AS k_vector, CAST(CASE WHEN value / 100 < 0.35 THEN 1 ELSE 2 END AS BIGINT) AS max_per_doc, event_id % 4 >= 2 AS use_colbert FROM events")(_tuned)
+_good = "(event_id % 11 > 0 AND event_id % 9 / 9.0 >= 0.75)"
+query("cmp29_parameter_rules", f"""WITH e AS (SELECT event_id, value / 100 AS r, event_id % 10 / 10.0 < 0.35 AS narrow, event_id % 7 / 7.0 < 0.45 AS thin, {_good} AS good FROM events)
+SELECT event_id, CAST(CASE WHEN r < 0.4 THEN CASE WHEN good THEN 36 ELSE 45 END WHEN good THEN 24 ELSE 30 END AS BIGINT) AS k_vector, CAST(CASE WHEN thin THEN CASE WHEN good THEN 24 ELSE 30 END WHEN good THEN 16 ELSE 20 END AS BIGINT) AS k_bm25,
+ CAST(CASE WHEN narrow THEN 1 ELSE 2 END AS BIGINT) AS max_per_doc, r < 0.4 AS use_hyde, event_id % 4 >= 2 AS use_colbert, thin AS expand, CASE WHEN r < 0.4 THEN 0.24 :: DOUBLE ELSE 0.3 :: DOUBLE END AS rerank_threshold FROM e""")(_tuned)
 
 
 # chunkers
@@ -141,6 +149,9 @@ r AS (SELECT document_id, u, 0 AS i, '' AS cur, CAST(NULL AS VARCHAR) AS done FR
  SELECT document_id, u, i + 1, CASE WHEN i = len(u) THEN '' WHEN cur <> '' AND {_n_words.format('cur')} + {_n_words.format('u[i + 1]')} > 220 THEN CASE WHEN least(40, {_n_words.format('cur')}) + {_n_words.format('u[i + 1]')} > 220 THEN u[i + 1] ELSE array_to_string(list_slice({s_words('cur')}, greatest({_n_words.format('cur')} - 39, 1), {_n_words.format('cur')}), ' ') || ' ' || u[i + 1] END ELSE trim(cur || ' ' || u[i + 1]) END,
  CASE WHEN i = len(u) THEN nullif(cur, '') WHEN cur <> '' AND {_n_words.format('cur')} + {_n_words.format('u[i + 1]')} > 220 THEN cur END FROM r WHERE i <= len(u))
 SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY i) - 1 AS ordinal, done AS text, CAST({_n_words.format('done')} AS BIGINT) AS token_count FROM r WHERE done IS NOT NULL""")(lambda t: chunking.chunk_by_words(_pages(t)).select("document_id", "ordinal", "text", "token_count"))
+query("cmp11_word_ingest", f"SELECT 'team::' || document_id AS document_id, count(*) AS chunks, CAST(sum(token_count) AS BIGINT) AS words FROM ({ORACLES['cmp01_word_chunks']}) GROUP BY 1")(
+    lambda t: chunking.chunk_by_words(_pages(t).withColumn("document_id", F.concat(F.lit("team::"), F.col("document_id").cast("string")))).groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("token_count").alias("words"))
+)
 query("cmp02_section_chunks")(lambda t: chunking.chunk_by_sections(_pages(t).select(F.concat(F.lit("p"), F.col("document_id").cast("string")).alias("paper_id"), "page_number", "text")))
 
 
@@ -174,19 +185,40 @@ _two = "(SELECT page, sum(n) >= 20 AND min(n) FILTER (bin BETWEEN 8 AND 11) < 0.
 LN = f"{BX}, t2 AS {_two}, j2 AS (SELECT bx.*, CASE WHEN two AND x0 > 500 THEN 1 ELSE 0 END AS col FROM bx JOIN t2 USING (page)), j3 AS (SELECT *, CASE WHEN y0 - lag(y0) OVER (PARTITION BY page, col ORDER BY y0, x0, n) > 3 THEN 1 ELSE 0 END AS jump FROM j2), j4 AS (SELECT *, sum(jump) OVER (PARTITION BY page, col ORDER BY y0, x0, n) AS row FROM j3)"
 query("src11_lines", f"WITH {LN} SELECT page, CAST(col AS INT) AS column, CAST(row AS BIGINT) AS row, string_agg(token, ' ' ORDER BY x0, n) AS text, CAST(min(x0) AS DOUBLE) AS x0, CAST(max(y1) AS DOUBLE) AS y1 FROM j4 GROUP BY 1, 2, 3")(lambda t: layout.lines(_boxes(t), _PW).select("page", "column", "row", "text", "x0", "y1"))
 query("src12_median", f"WITH {BX} SELECT page, round(median(CAST(y1 - y0 AS DOUBLE)), 6) AS height FROM bx GROUP BY 1")(lambda t: _boxes(t).groupBy("page").agg(F.round(F.median(F.col("y1") - F.col("y0")), 6).alias("height")))
-for name in ("src08_bbox_text", "src13_bbox_pages"):
-    query(name)(lambda t: layout.page_text(_boxes(t), _PW))
+_BBOX = f"""{LN}, ln AS (SELECT page, col, row, string_agg(token, ' ' ORDER BY x0, n) AS text, CAST(min(y0) AS DOUBLE) AS y0 FROM j4 GROUP BY 1, 2, 3), md AS (SELECT page, median(CAST(y1 - y0 AS DOUBLE)) AS h FROM bx GROUP BY 1),
+ gp AS (SELECT *, y0 - lag(y0) OVER (PARTITION BY page ORDER BY col, row) AS gap FROM ln), tx AS (SELECT page, string_agg(CASE WHEN abs(gap) > greatest(8.0, h * 1.5) THEN chr(10) || text ELSE text END, chr(10) ORDER BY col, row) AS text FROM gp JOIN md USING (page) GROUP BY 1)"""
+query("src08_bbox_text", f"WITH {_BBOX} SELECT page, text FROM tx")(lambda t: layout.page_text(_boxes(t), _PW))
+query("src13_bbox_pages", f"WITH {_BBOX} SELECT page, CAST(CASE WHEN two THEN 2 ELSE 1 END AS BIGINT) AS columns, round(CAST({_q1} AS DOUBLE), 6) AS quality FROM tx JOIN t2 USING (page)")(
+    lambda t: layout.page_text(_boxes(t), _PW).join(layout.columns(_boxes(t), _PW), "page").select("page", F.col("columns").cast("long").alias("columns"), F.round(x.quality_by_word_length(F.col("text")), 6).alias("quality"))
+)
 query("src16_text_by_gaps", f"WITH {BX}, g AS (SELECT *, x0 - lag(x1) OVER (PARTITION BY page, block, line ORDER BY n) AS gap FROM bx), l AS (SELECT page, block, line, string_agg(CASE WHEN gap > 1.5 THEN ' ' ELSE '' END || token, '' ORDER BY n) AS text FROM g GROUP BY 1, 2, 3) SELECT page, string_agg(text, chr(10) ORDER BY block, line) AS text FROM l GROUP BY 1")(lambda t: layout.text_by_gaps(_boxes(t)))
 query("src06_text_by_tops", f"WITH {BX}, l AS (SELECT page, round_even(y0, 0) AS top, string_agg(token, ' ' ORDER BY n) AS text FROM bx GROUP BY 1, 2) SELECT page, string_agg(text, chr(10) ORDER BY top) AS text FROM l GROUP BY 1")(lambda t: layout.text_by_tops(_boxes(t)))
-_q1 = "least(1.0, n_chars / 2000.0)"
-query("src04_quality_cascade", f"SELECT doc_id, CASE WHEN {_q1} > 0.75 THEN 'docling' WHEN {_q1} * 0.9 > 0.65 THEN 'marker' WHEN {_q1} > 0.55 THEN 'bbox' ELSE 'legacy' END AS parser FROM documents")(lambda t: t("documents").withColumn("q", F.least(F.lit(1.0), F.col("n_chars") / 2000.0)).select("doc_id", F.coalesce(F.when(F.col("q") > 0.75, "docling"), F.when(F.col("q") * 0.9 > 0.65, "marker"), F.when(F.col("q") > 0.55, "bbox"), F.lit("legacy")).alias("parser")))
 query("src07_average_quality", "SELECT source, round(avg(coalesce(CASE WHEN n_chars > 100 THEN least(1.0, n_chars / 2000.0) END, 0)), 6) AS quality FROM documents GROUP BY 1")(lambda t: t("documents").groupBy("source").agg(F.round(F.avg(F.coalesce(F.when(F.col("n_chars") > 100, F.least(F.lit(1.0), F.col("n_chars") / 2000.0)), F.lit(0.0))), 6).alias("quality")))
 
 # dense retrieval, fusion and answers
 _embs = _embedding_sql(False, 1024, "chunks", "chunk_id") + ", " + _embedding_sql(False, 1024, "qq", "query_id").replace("tk AS", "tk2 AS").replace("FROM tk)", "FROM tk2)").replace("hh AS", "hh2 AS").replace("FROM hh ", "FROM hh2 ").replace("pl AS", "pl2 AS").replace("FROM pl ", "FROM pl2 ").replace("nm AS", "nm2 AS").replace("JOIN nm ", "JOIN nm2 ").replace("emb AS", "emb2 AS")
 D = f"{C}, {Q}, qq AS (SELECT query_id, question AS text FROM questions), {_embs}, ds AS (SELECT query_id, chunk_id, round(sum(a.w * b.w), 9) AS score FROM emb2 a JOIN emb b USING (idx) GROUP BY 1, 2)"
-for name in ("jn06_dense_top_k", "cmp13_dense_search", "cmp14_memory_search"):
-    query(name, f"WITH {D} SELECT query_id, chunk_id, round(score, 6) AS score FROM ds QUALIFY {_top} <= 10")(lambda t: retrieve.dense(questions(t), chunks(t), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score")))
+query("jn06_dense_top_k", f"WITH {D} SELECT query_id, chunk_id, round(score, 6) AS score FROM ds QUALIFY {_top} <= 10")(lambda t: retrieve.dense(questions(t), chunks(t), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score")))
+query("cmp13_dense_search", f"WITH {D}, own AS (SELECT ds.* FROM ds JOIN chunks USING (chunk_id) WHERE doc_id % 3 = 0) SELECT query_id, chunk_id, round(score, 6) AS score FROM own QUALIFY {_top} <= 10")(lambda t: retrieve.dense(questions(t), chunks(t).filter(F.pmod("doc_id", F.lit(3)) == 0), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score")))
+_near = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)"
+query("cmp14_memory_search", f"WITH v AS (SELECT vec_id, list_transform(embedding, lambda x_: CAST(x_ AS DOUBLE)) AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.e, b.e), 9) AS score FROM v a, v b WHERE a.vec_id % 100 = 0) SELECT query_id, vec_id, round(score, 6) AS score FROM s QUALIFY {_near} <= 10")(
+    lambda t: retrieve.nearest(t("embeddings").filter(F.pmod("vec_id", F.lit(100)) == 0).select(F.col("vec_id").alias("query_id"), "embedding"), t("embeddings"), "vec_id", 10).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+)
+
+
+def _numbered(sql, n):
+    """The embedding statements under names of their own."""
+    for name in ("tk", "hh", "pl", "nm", "emb"):
+        sql = sql.replace(f"{name} AS", f"{name}{n} AS").replace(f"FROM {name} ", f"FROM {name}{n} ").replace(f"FROM {name})", f"FROM {name}{n})").replace(f"JOIN {name} ", f"JOIN {name}{n} ")
+    return sql
+
+
+HYDE = f"""WITH {D}, qp AS (SELECT query_id, 'An excerpt on what was asked: ' || question AS text FROM questions), {_numbered(_embedding_sql(False, 1024, "qp", "query_id"), 9)},
+ dp AS (SELECT query_id, chunk_id, round(sum(a.w * b.w), 9) AS score FROM emb9 a JOIN emb b USING (idx) GROUP BY 1, 2),
+ bo AS (SELECT query_id, chunk_id, 0.4 * score AS score FROM (SELECT * FROM ds QUALIFY {_top} <= 10) UNION ALL SELECT query_id, chunk_id, 0.6 * score FROM (SELECT * FROM dp QUALIFY {_top} <= 10)),
+ me AS (SELECT query_id, chunk_id, round(sum(CAST(score AS DOUBLE)), 9) AS score FROM bo GROUP BY 1, 2)
+SELECT query_id, chunk_id, round(score, 6) AS score FROM me QUALIFY {_top} <= 10"""
+query("cmp16_hypothetical", HYDE)(lambda t: retrieve.hyde(questions(t), chunks(t), 10, Passage()).select("query_id", "chunk_id", F.round("score", 6).alias("score")))
 
 
 def _setup(t):
@@ -216,7 +248,27 @@ HYBRID = f"""WITH {D}, {_BMQ}, {_CL}, {_EMC}, dc AS (SELECT query_id, claim_id,
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY late, rank) AS position, chunk_id FROM r5 QUALIFY position <= 10"""
 query("cmp17_hybrid_retrieve", HYBRID)(lambda t: retrieve.hybrid(*_setup(t), k=10).select("query_id", F.col("position").cast("long").alias("position"), "chunk_id"))
 query("cmp18_advanced_retrieve")(lambda t: retrieve.advanced(questions(t), chunks(t), bm25.build(chunks(t))).select("query_id", "position", "chunk_id", "score"))
-query("jn07_citation_chain")(lambda t: retrieve.cited(questions(t), retrieve.lexical(questions(t), bm25.build(chunks(t)), 10).join(chunks(t).select("chunk_id", "paper_id", "text"), "chunk_id"), papers(t), chunks(t)))
+
+
+def _named_papers(t):
+    """Every seventh paper's title names the authors that statements cite."""
+    return papers(t).withColumn("title", F.when(F.pmod("doc_id", F.lit(7)) == 0, F.concat("title", F.lit(" Vaswani et al"))).otherwise(F.col("title")))
+
+
+_plain_terms = "list_distinct(list_filter({0}, lambda w: length(w) > 2 AND NOT regexp_full_match(w, '[0-9]+')))"
+CHAIN = rf"""WITH {_BM}, {P}, hi AS (SELECT query_id, chunk_id FROM sc WHERE score <> 0 QUALIFY {_top} <= 10), hp AS (SELECT DISTINCT query_id, paper_id FROM hi JOIN chunks USING (chunk_id)),
+ ci AS (SELECT DISTINCT query_id, unnest(list_concat(regexp_extract_all(text, '\(([A-Z][a-z]+(?:\s+et\s+al\.?)?,?\s+\d{{4}})\)', 1), regexp_extract_all(text, '\[(\d+)\]', 1))) AS c FROM hi JOIN chunks USING (chunk_id)),
+ pt AS (SELECT paper_id, list_distinct({s_tokens("CASE WHEN doc_id % 7 = 0 THEN title || ' Vaswani et al' ELSE title END")}) AS w FROM papers), ct AS (SELECT query_id, c, {_plain_terms.format(s_tokens("c"))} AS w FROM ci),
+ bb AS (SELECT query_id, paper_id, max(len(list_intersect(ct.w, pt.w)) / CAST(len(ct.w) AS DOUBLE)) AS best FROM ct JOIN pt ON list_has_any(ct.w, pt.w) GROUP BY 1, 2),
+ qt AS (SELECT query_id, {_plain_terms.format(s_tokens("question"))} AS w FROM questions WHERE query_id IN (SELECT query_id FROM ci)), sh AS (SELECT query_id, paper_id, len(list_intersect(qt.w, pt.w)) / CAST(len(qt.w) AS DOUBLE) AS share FROM qt JOIN pt ON list_has_any(qt.w, pt.w)),
+ ss AS (SELECT query_id, paper_id, round(CASE WHEN coalesce(best, 0) > 0 THEN best * 0.7 + coalesce(share, 0) * 0.3 WHEN coalesce(share, 0) >= 0.2 THEN share ELSE 0 END, 9) AS score FROM bb FULL JOIN sh USING (query_id, paper_id)),
+ c3 AS (SELECT query_id, paper_id FROM ss ANTI JOIN hp USING (query_id, paper_id) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paper_id) <= 3),
+ ne AS (SELECT c3.query_id, c3.paper_id, c.chunk_id, {_big.format(s_tokens("q.question"))} AS q, list_distinct({s_tokens("c.text")}) AS d FROM c3 JOIN questions q USING (query_id) JOIN chunks c USING (paper_id)),
+ ns AS (SELECT query_id, paper_id, chunk_id, round(CASE WHEN len(q) = 0 THEN 0.0 ELSE len(list_intersect(q, d)) / CAST(len(q) AS DOUBLE) END, 9) AS score FROM ne)
+SELECT query_id, paper_id, chunk_id, round(score, 6) AS score FROM ns WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id, paper_id ORDER BY score DESC, chunk_id) <= 2"""
+query("jn07_citation_chain", CHAIN)(lambda t: retrieve.cited(questions(t), retrieve.lexical(questions(t), bm25.build(chunks(t)), 10).join(chunks(t).select("chunk_id", "paper_id", "text"), "chunk_id"), _named_papers(t), chunks(t)).withColumn("score", F.round("score", 6)))
+
+
 def _extractive_sql(scored: str) -> str:
     """Answers from ``scored`` (query_id, chunk_id, score), five hits a question."""
     terms = f"list_distinct(list_filter({{0}}, lambda w: length(w) > 2 AND NOT {s_in('w', x.STOPWORDS_ANSWER)}))"
@@ -241,6 +293,7 @@ SELECT query_id, string_agg(CASE WHEN score >= 0.3 THEN s || ' [' || chunk_id ||
 query("cmp24_fallback_answer")(lambda t: answer.fallback(questions(t), retrieve.hybrid(*_setup(t), k=8)))
 query("cmp25_overview_answer")(lambda t: answer.overview(retrieve.hybrid(*_setup(t), k=8)))
 query("cmp38_answer_loop")(lambda t: answer.answer_batch(*_setup(t)))
+query("cmp39_adaptive_loop")(lambda t: answer.adaptive(questions(t), chunks(t), bm25.build(chunks(t)), stores.entity_edges(chunks(t).select("paper_id", e.named_entities(F.col("text")).alias("e")), "paper_id", "e"), Passage()).withColumn("overall", F.round("overall", 6)))
 query("cmp39_adaptive_quality")(lambda t: answer.quality(questions(t), retrieve.advanced(questions(t), chunks(t), bm25.build(chunks(t)))).select("query_id", *(F.round(c, 6).alias(c) for c in ("relevance", "diversity", "coverage", "completeness", "overall")), F.array_join("issues", "|").alias("issues")))
 query("cmp32_corrective_loop")(lambda t: answer.correct(questions(t), retrieve.lexical(questions(t), bm25.build(chunks(t)), 10).join(chunks(t).select("chunk_id", "text"), "chunk_id")).select("query_id", "bad", "act"))
 query("cmp34_reasoning_modes")(lambda t: answer.reason(questions(t), chunks(t), bm25.build(chunks(t))))
@@ -253,7 +306,9 @@ def _answers(t):
 
 for name in ("cmp35_cited_answer", "jn08_sentence_argmax"):
     query(name, CITED)(lambda t: answer.cite(*_answers(t), threshold=0.3))
-query("hlp13_citation_markers", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '(' || source || ', p.1)' WHEN 1 THEN '(' || source || ' 1)' ELSE '[' || doc_id || ']' END AS marker FROM documents")(lambda t: t("documents").select("doc_id", F.when(F.pmod("doc_id", F.lit(3)) == 0, F.concat(F.lit("("), "source", F.lit(", p.1)"))).when(F.pmod("doc_id", F.lit(3)) == 1, F.concat(F.lit("("), "source", F.lit(" 1)"))).otherwise(F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("]"))).alias("marker")))
+query("hlp13_citation_markers", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '(' || source || ', p.' || doc_id % 5 || ')' WHEN 1 THEN '(' || source || ' ' || doc_id % 5 || ')' ELSE '[' || doc_id || ']' END AS marker FROM documents")(
+    lambda t: t("documents").select("doc_id", answer.marker(pick(("apa", "mla", "ieee"), F.col("doc_id")), F.col("source"), F.col("doc_id").cast("string"), F.pmod("doc_id", F.lit(5))).alias("marker"))
+)
 query("hlp02_rank_by_overlap", f"WITH {C}, s AS (SELECT paper_id, chunk_id, {_big.format(s_tokens(_short))} AS q, list_distinct({s_tokens('text')}) AS c FROM chunks), o AS (SELECT paper_id, chunk_id, round(len(list_intersect(q, c)) / CAST(greatest(len(q), 1) AS DOUBLE), 9) AS score FROM s) SELECT paper_id, chunk_id, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, chunk_id) AS rank FROM o WHERE score > 0")(lambda t: fusion.rank(chunks(t).withColumn("score", F.round(check.alignment(_asked(), F.col("text")), 9)).filter("score > 0"), ["paper_id"]).select("paper_id", "chunk_id", F.col("rank").cast("long").alias("rank")))
 query("hlp01_paper_match", f"WITH {P}, s AS (SELECT paper_id, list_distinct({s_tokens('title')}) AS t, ['the', 'tion', 'vaswani'] AS c, ['der', 'and', 'edth'] AS q FROM papers), o AS (SELECT paper_id, len(list_intersect(c, t)) / 3.0 AS best, len(list_intersect(q, t)) / 3.0 AS share FROM s) SELECT paper_id, round(CAST(CASE WHEN best > 0 THEN 0.7 * best + 0.3 * share WHEN share >= 0.2 THEN share ELSE 0 END AS DOUBLE), 6) AS score FROM o")(
     lambda t: papers(t).select("paper_id", F.array_distinct(x.tokens(F.col("title"))).alias("t")).select("paper_id", (x.overlap(F.array(*map(F.lit, ("the", "tion", "vaswani"))), F.col("t")) / F.lit(3.0)).alias("best"), (x.overlap(F.array(*map(F.lit, ("der", "and", "edth"))), F.col("t")) / F.lit(3.0)).alias("share")).select("paper_id", F.round(F.when(F.col("best") > 0, F.col("best") * 0.7 + F.col("share") * 0.3).when(F.col("share") >= 0.2, F.col("share")).otherwise(0.0), 6).alias("score"))
@@ -262,10 +317,9 @@ query("hlp10_response_doc_ids", f"WITH {H} SELECT query_id, array_to_string(list
 
 
 def _maxsim(t):
-    from siltstone.functions import vectors as v
-
-    q = v.token_vectors(t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id", "question")
-    return v.max_sim(q, q.withColumnRenamed("query_id", "other"), "query_id", "other").withColumn("score", F.round("score", 5))
+    """Token-level scores of each question's ten best chunks."""
+    hits_ = retrieve.lexical(questions(t), bm25.build(chunks(t)), 10).select("query_id", "chunk_id").join(chunks(t).select("chunk_id", "text"), "chunk_id").join(questions(t).select("query_id", "question"), "query_id")
+    return v.max_sim(hits_.select("query_id", "chunk_id", x.unique_words(F.col("question")).alias("asked"), x.unique_words(F.col("text")).alias("held")), "chunk_id").withColumn("score", F.round("score", 5))
 
 
 query("cmp15_max_sim")(_maxsim)

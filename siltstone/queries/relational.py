@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.operators import fusion, stores
-from siltstone.queries.corpus import SQL_CHUNKS, SQL_HITS, SQL_PAPERS, chunks, hits, papers
+from siltstone.operators.chunking import extract_claims
+from siltstone.queries.corpus import SQL_CHUNKS, SQL_HITS, SQL_PAPERS, chunks, hits, papers, s_sentences
+from siltstone.queries.extract import _plain_claim
 from siltstone.queries.registry import query
 
 P, C, H = SQL_PAPERS, SQL_CHUNKS, SQL_HITS
@@ -36,10 +40,19 @@ def _new_chunks(t):
 NEWC = f"{C}, {P}, {IN}, fresh AS (SELECT sha1(chunk_id || 'v2') AS chunk_id, paper_id, doc_id, page_number, section, ordinal, text, content_type FROM chunks WHERE paper_id IN (SELECT paper_id FROM incoming) AND ordinal < page_number + 3)"
 _cols = "chunk_id, paper_id, section, ordinal"
 _replaced = f"WITH {NEWC} SELECT {_cols} FROM chunks WHERE paper_id NOT IN (SELECT paper_id FROM fresh) UNION ALL SELECT {_cols} FROM fresh"
-for name in ("snk03_replace_chunks", "snk04_replace_claims", "snk20_update_document"):
+for name in ("snk03_replace_chunks", "snk20_update_document"):
     query(name, _replaced)(lambda t: stores.replace_by(chunks(t), _new_chunks(t), "paper_id").select("chunk_id", "paper_id", "section", "ordinal"))
 
 
+def _sql_claims(name: str) -> str:
+    return f"SELECT sha1(chunk_id || ':' || i || ':' || text) AS claim_id, paper_id FROM (SELECT chunk_id, paper_id, generate_subscripts({s_sentences('text')}, 1) - 1 AS i, unnest({s_sentences('text')}) AS text FROM {name}) WHERE {_plain_claim}"
+
+
+query("snk04_replace_claims", f"WITH {NEWC}, oc AS ({_sql_claims('chunks')}), nc AS ({_sql_claims('fresh')}) SELECT claim_id, paper_id FROM oc WHERE paper_id NOT IN (SELECT paper_id FROM nc) UNION ALL SELECT claim_id, paper_id FROM nc")(
+    lambda t: stores.replace_by(extract_claims(chunks(t)), extract_claims(_new_chunks(t)), "paper_id").select("claim_id", "paper_id")
+)
+
+
 def _gone(t):
     return papers(t).filter("source_path = 'src4'").select("paper_id")
 
@@ -128,7 +141,9 @@ def fetch(c, ids: list[str] | None, empty_means_all: bool):
 _some = "('p000000003', 'p000000011', 'p000000042')"
 query("flt04_fetch_chunks", f"WITH {C} SELECT chunk_id, ordinal FROM chunks WHERE paper_id IN {_some} ORDER BY paper_id, ordinal")(lambda t: fetch(chunks(t), ["p000000003", "p000000011", "p000000042"], True).orderBy("paper_id", "ordinal").select("chunk_id", "ordinal"))
 query("flt04_empty_is_all", f"WITH {C} SELECT count(*) AS n FROM chunks")(lambda t: fetch(chunks(t), [], True).agg(F.count(F.lit(1)).alias("n")))
-query("flt05_empty_is_none", "SELECT CAST(0 AS BIGINT) AS n")(lambda t: fetch(chunks(t), [], False).agg(F.count(F.lit(1)).alias("n")))
+query("flt05_empty_is_none", f"WITH {C} SELECT m AS mode, count(*) FILTER (CASE m WHEN 'some' THEN paper_id IN {_some} WHEN 'all' THEN true ELSE false END) AS n FROM chunks, (SELECT unnest(['none', 'some', 'all']) AS m) GROUP BY 1")(
+    lambda t: functools.reduce(lambda a, b: a.unionByName(b), (fetch(chunks(t), ids, every).agg(F.count(F.lit(1)).alias("n")).select(F.lit(mode).alias("mode"), "n") for mode, ids, every in (("none", [], False), ("some", ["p000000003", "p000000011", "p000000042"], False), ("all", [], True))))
+)
 query("flt06_section_filter", f"WITH {C} SELECT chunk_id, section FROM chunks WHERE contains(lower(section), 'results and method') OR contains('results and method', lower(section))")(lambda t: chunks(t).filter(F.lower("section").contains("results and method") | F.lit("results and method").contains(F.lower("section"))).select("chunk_id", "section"))
 query("flt07_exclude_references", f"WITH {C} SELECT chunk_id, section FROM chunks WHERE section NOT IN ('references', 'bibliography', 'acknowledgments') AND paper_id <> 'p000000001'")(lambda t: chunks(t).filter(~F.lower("section").isin("references", "bibliography", "acknowledgments") & (F.col("paper_id") != "p000000001")).select("chunk_id", "section"))
 query("flt08_pushdown_one_document", "SELECT doc_id, lang FROM documents WHERE doc_id = 17")(lambda t: t("documents").filter("doc_id = 17").select("doc_id", "lang"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "siltstone", **conf: str) -> SparkSession:
@@ -12,3 +14,13 @@ def session(app: str = "siltstone", **conf: str) -> SparkSession:
     for key, value in {**defaults, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's checkpoint folder, its lineage cut. Only a local session may leave the folder unset: it gets one of its own."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-"))
+    return df.checkpoint()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -73,6 +73,17 @@ def breaker_table(calls: DataFrame, limit: int = 3) -> DataFrame:
     return runs.select("model", "seq", (failures >= limit).alias("open"))
 
 
+def monitored(entries: DataFrame, categories: list[str], since: Column) -> DataFrame:
+    """Entries of a feed (categories, updated) that were updated since a time, a row for each watched category; works on streams and tables."""
+    watched = F.array(*map(F.lit, categories))
+    return entries.filter(F.col("updated") >= since).withColumn("category", F.explode(F.array_intersect("categories", watched)))
+
+
+def digest(entries: DataFrame) -> DataFrame:
+    """day, category, items: the daily digest of monitored entries."""
+    return entries.groupBy(F.to_date("updated").alias("day"), "category").agg(F.count(F.lit(1)).alias("items"))
+
+
 def run_to_memory(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All that a stream gives now, as a table in memory (tests and small reports)."""
     query = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
