@@ -42,6 +42,6 @@ def test_oracle(spark, oracle, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_others_run(spark, name):
+def test_others_give_rows(spark, name):
     df = QUERIES[name](spark, SF)
-    assert df.columns and df.limit(1).count() >= 0
+    assert df.columns and df.limit(1).count() == 1
