@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import bpe, chat, decontaminate, html, language, multiset, secrets, simhash, substring, toxicity
+from siltstone.llm import bpe, chat, decontaminate, html, language, multiset, resample, runs, secrets, simhash, substring, toxicity, urls
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
         "op9_document_fingerprints": multiset.op9_document_fingerprints,
         "op10_bpe_codec": bpe.op10_bpe_codec,
+        "op11_importance_resampling": resample.op11_importance_resampling,
+        "op12_periodic_runs": runs.op12_periodic_runs,
+        "op13_url_filters": urls.op13_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat.OP2_SQL, "op3_substring_dedup": substring.OP3_SQL}
+    return {"op2_chat_formatting": chat.OP2_SQL, "op3_substring_dedup": substring.OP3_SQL, "op11_importance_resampling": resample.OP11_SQL}
