@@ -34,6 +34,11 @@ def hash_embedding(df: DataFrame, key: str, text: str, dim: int = 1024, weighted
     return places.withColumn("norm", norm_).filter("norm > 0 AND w <> 0").select(key, "idx", (F.col("w") / F.col("norm")).alias("w"))
 
 
+def gathered(places: DataFrame, key: str) -> DataFrame:
+    """key, idx and w as arrays in the order of places, from a row for each place (keyed as ``hash_embedding`` leaves them: no exchange)."""
+    return places.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("idx", "w"))).alias("p")).select(key, F.col("p.idx").alias("idx"), F.col("p.w").alias("w"))
+
+
 def sparse_cosine(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str) -> DataFrame:
     """query_key, doc_key, score for all pairs that share a place: an equi-join on the place and a sum."""
     pairs = queries.select(query_key, "idx", F.col("w").alias("qw")).join(docs.select(doc_key, "idx", "w"), "idx")

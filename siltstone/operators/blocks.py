@@ -20,6 +20,8 @@ from siltstone.operators import fusion
 QUESTIONS, PLACES = 256, 20_000
 #: Stands for a weight of zero, so that a shared place still makes a pair.
 NOTHING = 1e-300
+#: Numbers of one product of rows and questions.
+PRODUCT = 4 << 20
 
 
 def top(asked: DataFrame, held: DataFrame, key: str, k: int, keep_zero: bool = True, digits: int = 9) -> DataFrame:
@@ -46,29 +48,47 @@ def top(asked: DataFrame, held: DataFrame, key: str, k: int, keep_zero: bool = T
     return fusion.top(out.withColumn("score", F.round("score", digits)), ["query_id"], k, key=key)
 
 
+def _products(at: np.ndarray, w: np.ndarray, sizes: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Rows of weights (their places and weights one after the other) times the matrix."""
+    ends = np.cumsum(sizes)
+    out = np.zeros((len(sizes), matrix.shape[1]))
+    first = 0
+    while first < len(sizes):  # as many rows as fit into PRODUCT numbers, one at least
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + max(1, PRODUCT // matrix.shape[1]), "right")))
+        a, b = (ends[first - 1] if first else 0), ends[last - 1]
+        if b > a:
+            full = sizes[first:last] > 0
+            starts = (ends[first:last] - sizes[first:last] - a)[full]
+            out[first:last][full] = np.add.reduceat(w[a:b, None] * matrix[at[a:b]], starts, axis=0)
+        first = last
+    return out
+
+
+def best_of(ids: np.ndarray, scores: np.ndarray, pairs: np.ndarray | None, queries: list, key: str, k: int) -> pd.DataFrame:
+    """query_id, key, score of each question's best ``k`` rows, among the ``pairs`` that count (None: all)."""
+    out = []
+    for j, query in enumerate(queries):
+        at = np.arange(len(ids)) if pairs is None else np.flatnonzero(pairs[:, j])
+        own = scores[at, j]
+        if len(at) > k:
+            keep = own >= np.partition(own, -k)[-k]
+            at, own = at[keep], own[keep]
+        best = np.lexsort((ids[at].astype(str) if ids.dtype == object else ids[at], -own))[:k]
+        out.append(pd.DataFrame({"query_id": query, key: ids[at[best]], "score": own[best]}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], key: [], "score": []})
+
+
 def _scorer(sent, key: str, k: int, keep_zero: bool, digits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         queries, matrix = sent.value
         for batch in batches:
-            ids = batch[key].to_numpy()
-            scores = np.empty((len(ids), len(queries)))
-            pairs = np.empty(scores.shape, bool)
-            for i, (at, w) in enumerate(zip(batch["_i"], batch["w"], strict=True)):
-                own = matrix[at]
-                scores[i] = w @ own
-                pairs[i] = own.any(axis=0)
+            sizes = np.array([len(x) for x in batch["_i"]], np.int64)
+            at = np.concatenate([np.zeros(0, np.int64), *batch["_i"]]).astype(np.int64)
+            scores = _products(at, np.concatenate([np.zeros(0), *batch["w"]]).astype(np.float64), sizes, matrix)
+            pairs = _products(at, np.ones(len(at)), sizes, (matrix != 0).astype(np.float64)) > 0
             scores = np.round(scores, digits)
             if not keep_zero:
                 pairs &= scores != 0
-            out = []
-            for j, query in enumerate(queries):
-                at = np.flatnonzero(pairs[:, j])
-                own = scores[at, j]
-                if len(at) > k:
-                    keep = own >= np.partition(own, -k)[-k]
-                    at, own = at[keep], own[keep]
-                best = np.lexsort((ids[at].astype(str), -own))[:k]
-                out.append(pd.DataFrame({"query_id": query, key: ids[at[best]], "score": own[best]}))
-            yield pd.concat(out) if out else pd.DataFrame({"query_id": [], key: [], "score": []})
+            yield best_of(batch[key].to_numpy(), scores, pairs, queries, key, k)
 
     return run

@@ -11,6 +11,8 @@ from siltstone.functions import extract as e
 from siltstone.functions import text as x
 from siltstone.functions import verify as check
 from siltstone.operators import bm25, fusion
+from siltstone.operators.postings import Postings
+from siltstone.operators.vector_index import VectorIndex
 from siltstone.plans import retrieve
 from siltstone.session import checkpointed
 
@@ -157,14 +159,14 @@ def adaptive(questions: DataFrame, chunks: DataFrame, index: bm25.Index, graph_e
     return done
 
 
-def answer_batch(questions: DataFrame, chunks: DataFrame, claims: DataFrame, index: bm25.Index, retries: int = 1, base_k: int = 12, most_k: int = 30) -> DataFrame:
+def answer_batch(questions: DataFrame, chunks: DataFrame, claims: DataFrame, index: bm25.Index | Postings, retries: int = 1, base_k: int = 12, most_k: int = 30, vectors: VectorIndex | None = None, claim_vectors: VectorIndex | None = None) -> DataFrame:
     """query_id, answer, supported, confidence, quality, attempts: the adaptive loop.
 
     Each attempt is one batched job over the questions that the one before left unsatisfied; the number of attempts is bounded.
     """
     left, done, k = questions, None, min(most_k, base_k + 6)
     for attempt in range(retries + 1):
-        hits = retrieve.hybrid(left, chunks, claims, index, k)
+        hits = retrieve.hybrid(left, chunks, claims, index, k, vectors=vectors, claim_vectors=claim_vectors)
         context = hits.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda r: r["text"]), " ").alias("context"))
         judged = fallback(left, hits).join(context, "query_id", "left").join(fusion.retrieval_quality(hits), "query_id", "left")
         judged = judged.select("query_id", "answer", check.verification(F.col("answer"), F.coalesce("context", F.lit(""))).alias("v"), F.coalesce("quality", F.lit(0.0)).alias("quality"), F.lit(attempt + 1).alias("attempts"))

@@ -6,48 +6,55 @@ works on their few hits. Ties are broken by chunk_id. Scores that order rows are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as x
 from siltstone.functions import verify as check
 from siltstone.functions.extract import citations, expand_question, expanded_terms, intent_weights, is_table_question, named_entities
-from siltstone.functions.vectors import hash_embedding, max_sim, normalize
+from siltstone.functions.vectors import gathered, hash_embedding, max_sim, normalize
 from siltstone.operators import blocks, bm25, fusion
+from siltstone.operators.postings import Postings
+from siltstone.operators.vector_index import VectorIndex
 from siltstone.ports import Generator, hypothetical
 
 DIGITS = 9
 RRF_K, CLAIM_WEIGHT, TABLE_BOOST, CLAIM_BONUS = 60, 1.3, 1.2, 0.025
 
 
-def dense(questions: DataFrame, chunks: DataFrame, k: int, dim: int = 1024, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """query_id, key, score, rank: the ``k`` best chunks of each question by cosine of hash embeddings."""
-    asked, held = hash_embedding(questions, "query_id", "question", dim), hash_embedding(chunks, key, text, dim)
+def dense(questions: DataFrame, chunks: DataFrame | VectorIndex, k: int, dim: int = 1024, key: str = "chunk_id", text: str = "text", where: Column | None = None) -> DataFrame:
+    """query_id, key, score, rank: the ``k`` best chunks of each question by cosine of hash embeddings; of a stored index no text is read."""
+    asked = hash_embedding(questions, "query_id", "question", dim)
+    if isinstance(chunks, VectorIndex):
+        return chunks.search(gathered(asked, "query_id"), k, where, DIGITS, shared=True).hits
+    held = hash_embedding(chunks if where is None else chunks.filter(where), key, text, dim)
     return blocks.top(asked.withColumnRenamed("idx", "place"), held.withColumnRenamed("idx", "place"), key, k, digits=DIGITS)
 
 
-def lexical(questions: DataFrame, index: bm25.Index, k: int, keep_zero: bool = False) -> DataFrame:
-    """query_id, chunk_id, score, rank by BM25; zero scores are dropped unless kept."""
-    return bm25.top(index, questions, k, keep_zero)
+def lexical(questions: DataFrame, index: bm25.Index | Postings, k: int, keep_zero: bool = False) -> DataFrame:
+    """query_id, chunk_id, score, rank by BM25; zero scores are dropped unless kept. A stored index skips the blocks that cannot matter."""
+    return index.search(questions, k, keep_zero=keep_zero).hits if isinstance(index, Postings) else bm25.top(index, questions, k, keep_zero)
 
 
-def by_claims(questions: DataFrame, claims: DataFrame, k: int, dim: int = 1024) -> DataFrame:
+def by_claims(questions: DataFrame, claims: DataFrame, k: int, dim: int = 1024, vectors: VectorIndex | None = None) -> DataFrame:
     """query_id, chunk_id, rank, score, claim: the best claim of each chunk among the ``k`` best claims."""
-    best = dense(questions, claims, k, dim, "claim_id", "claim").join(claims.select("claim_id", "chunk_id", "claim"), "claim_id")
+    best = dense(questions, vectors or claims, k, dim, "claim_id", "claim").join(claims.select("claim_id", "chunk_id", "claim"), "claim_id")
     return best.groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"), F.min_by("score", "rank").alias("score"), F.min_by("claim", "rank").alias("claim"))
 
 
-def hybrid(questions: DataFrame, chunks: DataFrame, claims: DataFrame, index: bm25.Index, k: int = 12, cap: int = 3) -> DataFrame:
+def hybrid(questions: DataFrame, chunks: DataFrame, claims: DataFrame, index: bm25.Index | Postings, k: int = 12, cap: int = 3, vectors: VectorIndex | None = None, claim_vectors: VectorIndex | None = None) -> DataFrame:
     """query_id, position, chunk_id, rrf_score, rerank_score, claim: the adaptive core's retrieval.
 
+    With stored indexes (postings, and vectors of chunks and claims) each is read once and the corpus itself only for the hits.
+
     Ranks are taken over all vectors before any filter of the corpus. Dense, BM25 and claim hits (3k each) are fused; the
     2k best are re-ranked by shared words, blended, and cut to k with a cap for each section.
     """
     body = chunks.select("chunk_id", "paper_id", "section", "text", "content_type")
     parts = [
-        dense(questions, body, 3 * k).select("query_id", "chunk_id", F.lit("dense").alias("list"), "rank", F.lit(None).cast("string").alias("claim")),
+        dense(questions, vectors or body, 3 * k).select("query_id", "chunk_id", F.lit("dense").alias("list"), "rank", F.lit(None).cast("string").alias("claim")),
         lexical(questions, index, 3 * k).select("query_id", "chunk_id", F.lit("bm25").alias("list"), "rank", F.lit(None).cast("string").alias("claim")),
-        by_claims(questions, claims, 3 * k).select("query_id", "chunk_id", F.lit("claim").alias("list"), "rank", "claim"),
+        by_claims(questions, claims, 3 * k, vectors=claim_vectors).select("query_id", "chunk_id", F.lit("claim").alias("list"), "rank", "claim"),
     ]
     every = parts[0].unionByName(parts[1]).unionByName(parts[2])
     weight = F.when(F.col("list") == "claim", CLAIM_WEIGHT).otherwise(1.0)
@@ -112,8 +119,10 @@ def related(questions: DataFrame, edges: DataFrame, chunks: DataFrame, k: int =
     return ranked.select("query_id", "chunk_id", (F.lit(1.0) / F.col("rank")).alias("score"), "rank")
 
 
-def nearest(asked: DataFrame, held: DataFrame, key: str, k: int) -> DataFrame:
-    """query_id, key, score, rank: cosine of dense vectors held in a table (query_id, embedding) and (key, embedding)."""
+def nearest(asked: DataFrame, held: DataFrame | VectorIndex, key: str, k: int) -> DataFrame:
+    """query_id, key, score, rank: cosine of dense vectors (query_id, embedding) and those of a table (key, embedding) or a stored index."""
+    if isinstance(held, VectorIndex):
+        return held.search(asked.select("query_id", F.lit(None).cast("array<int>").alias("idx"), F.transform("embedding", lambda v: v.cast("double")).alias("w")), k, digits=DIGITS).hits
 
     def sparse(df: DataFrame, own: str) -> DataFrame:
         return df.select(own, F.posexplode(normalize(F.col("embedding"))).alias("place", "w")).filter("w <> 0")

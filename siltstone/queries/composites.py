@@ -9,13 +9,16 @@ from siltstone.functions import text as x
 from siltstone.functions import vectors as v
 from siltstone.functions import verify as check
 from siltstone.operators import bm25, chunking, fusion, layout, stores
+from siltstone.operators.postings import Postings
 from siltstone.plans import answer, retrieve
+from siltstone.queries import stored
 from siltstone.queries.analytics import _embedding_sql
 from siltstone.queries.corpus import QUESTIONS, SQL_CHUNKS, SQL_HITS, SQL_PAPERS, SQL_QUESTIONS, STATEMENTS, chunks, hits, papers, pick, questions, s_any, s_in, s_parts, s_sentences, s_strip, s_tokens, s_words, sql_list, sql_pick
 from siltstone.queries.extract import _kind, _plain_claim
 from siltstone.queries.registry import ORACLES, query
 from siltstone.queries.sources import Passage
 from siltstone.queries.text import _q1
+from siltstone.session import fresh_path
 
 C, Q, P, H = SQL_CHUNKS, SQL_QUESTIONS, SQL_PAPERS, SQL_HITS
 
@@ -24,17 +27,23 @@ _BM = f"""{C}, {Q}, w AS (SELECT chunk_id, unnest({s_tokens("text")}) AS term FR
  le AS (SELECT chunk_id, len({s_tokens("text")}) AS dl FROM chunks), st AS (SELECT count(*) AS n, avg(dl) AS mean_dl FROM le), rw AS (SELECT term, count(*) AS df, ln(max(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM po, st GROUP BY 1),
  te AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM rw) ELSE raw END AS idf FROM rw), qs AS (SELECT query_id, term, count(*) AS qn FROM (SELECT query_id, unnest({s_tokens("question")}) AS term FROM questions) GROUP BY 1, 2),
  sc AS (SELECT query_id, chunk_id, sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean_dl))) AS raw, round(raw, 9) AS score FROM po JOIN qs USING (term) JOIN te USING (term) JOIN le USING (chunk_id), st GROUP BY 1, 2)"""
-query("mth23_bm25_scores", f"WITH {_BM} SELECT query_id, chunk_id, round(raw, 4) AS score FROM sc")(lambda t: bm25.search(bm25.build(chunks(t)), questions(t)).select("query_id", "chunk_id", F.round("score", 4).alias("score")))
+query("mth23_bm25_scores", f"WITH {_BM} SELECT query_id, chunk_id, round(raw, 4) AS score FROM sc")(lambda t: stored.postings(t).scores(questions(t)).select("query_id", "chunk_id", F.round("score", 4).alias("score")))
 _top = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)"
 for name in ("srt03_bm25_top_k", "win03_bm25_ranks"):
-    query(name, f"WITH {_BM} SELECT query_id, chunk_id, {_top} AS rank FROM sc WHERE score <> 0 QUALIFY {_top} <= 10")(lambda t: retrieve.lexical(questions(t), bm25.build(chunks(t)), 10).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank")))
-query("src34_index_terms", f"WITH {_BM} SELECT term, df, round(idf, 6) AS idf FROM te")(lambda t: bm25.build(chunks(t)).terms.select("term", "df", F.round("idf", 6).alias("idf")))
-query("snk12_index_remove", f"WITH {C.replace('FROM chunks0)', 'FROM chunks0 WHERE section <> ' + chr(39) + 'references' + chr(39) + ')')}, w AS (SELECT DISTINCT chunk_id, unnest({s_tokens('text')}) AS term FROM chunks) SELECT term, count(*) AS df FROM w GROUP BY 1")(lambda t: bm25.remove(bm25.build(chunks(t)), chunks(t).filter("section = 'references'")).terms.select("term", "df"))
+    query(name, f"WITH {_BM} SELECT query_id, chunk_id, {_top} AS rank FROM sc WHERE score <> 0 QUALIFY {_top} <= 10")(lambda t: retrieve.lexical(questions(t), stored.postings(t), 10).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank")))
+query("src34_index_terms", f"WITH {_BM} SELECT term, df, round(idf, 6) AS idf FROM te")(lambda t: stored.postings(t).terms().select("term", "df", F.round("idf", 6).alias("idf")))
+query("snk12_index_remove", f"WITH {C.replace('FROM chunks0)', 'FROM chunks0 WHERE section <> ' + chr(39) + 'references' + chr(39) + ')')}, w AS (SELECT DISTINCT chunk_id, unnest({s_tokens('text')}) AS term FROM chunks) SELECT term, count(*) AS df FROM w GROUP BY 1")(lambda t: _own_postings(t, stored.chunks(t)).remove(stored.chunks(t).filter("section = 'references'")).frequencies())
+
+
+def _own_postings(t, rows):
+    """An index of its own for a query that changes it."""
+    return Postings(t.spark, fresh_path(t.spark, "postings")).create(rows)
 
 
 def _added(t):
-    fresh = chunks(t).filter("section IN ('references', 'table')").withColumn("text", F.concat("text", F.lit(" refreshed")))
-    return bm25.add(bm25.build(chunks(t).filter("section <> 'table'")), fresh).terms.select("term", "df")
+    c = stored.chunks(t)
+    fresh = c.filter("section IN ('references', 'table')").withColumn("text", F.concat("text", F.lit(" refreshed")))
+    return _own_postings(t, c.filter("section <> 'table'")).add(fresh).frequencies()
 
 
 query("snk11_index_add", f"WITH {C}, n AS (SELECT chunk_id, CASE WHEN section IN ('references', 'table') THEN text || ' refreshed' ELSE text END AS text FROM chunks), w AS (SELECT DISTINCT chunk_id, unnest({s_tokens('text')}) AS term FROM n) SELECT term, count(*) AS df FROM w GROUP BY 1")(_added)
@@ -198,11 +207,11 @@ query("src07_average_quality", "SELECT source, round(avg(coalesce(CASE WHEN n_ch
 # dense retrieval, fusion and answers
 _embs = _embedding_sql(False, 1024, "chunks", "chunk_id") + ", " + _embedding_sql(False, 1024, "qq", "query_id").replace("tk AS", "tk2 AS").replace("FROM tk)", "FROM tk2)").replace("hh AS", "hh2 AS").replace("FROM hh ", "FROM hh2 ").replace("pl AS", "pl2 AS").replace("FROM pl ", "FROM pl2 ").replace("nm AS", "nm2 AS").replace("JOIN nm ", "JOIN nm2 ").replace("emb AS", "emb2 AS")
 D = f"{C}, {Q}, qq AS (SELECT query_id, question AS text FROM questions), {_embs}, ds AS (SELECT query_id, chunk_id, round(sum(a.w * b.w), 9) AS score FROM emb2 a JOIN emb b USING (idx) GROUP BY 1, 2)"
-query("jn06_dense_top_k", f"WITH {D} SELECT query_id, chunk_id, round(score, 6) AS score FROM ds QUALIFY {_top} <= 10")(lambda t: retrieve.dense(questions(t), chunks(t), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score")))
-query("cmp13_dense_search", f"WITH {D}, own AS (SELECT ds.* FROM ds JOIN chunks USING (chunk_id) WHERE doc_id % 3 = 0) SELECT query_id, chunk_id, round(score, 6) AS score FROM own QUALIFY {_top} <= 10")(lambda t: retrieve.dense(questions(t), chunks(t).filter(F.pmod("doc_id", F.lit(3)) == 0), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score")))
+query("jn06_dense_top_k", f"WITH {D} SELECT query_id, chunk_id, round(score, 6) AS score FROM ds QUALIFY {_top} <= 10")(lambda t: retrieve.dense(questions(t), stored.chunk_vectors(t), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score")))
+query("cmp13_dense_search", f"WITH {D}, own AS (SELECT ds.* FROM ds JOIN chunks USING (chunk_id) WHERE doc_id % 3 = 0) SELECT query_id, chunk_id, round(score, 6) AS score FROM own QUALIFY {_top} <= 10")(lambda t: retrieve.dense(questions(t), stored.chunk_vectors(t), 10, where=F.pmod("doc_id", F.lit(3)) == 0).select("query_id", "chunk_id", F.round("score", 6).alias("score")))
 _near = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)"
 query("cmp14_memory_search", f"WITH v AS (SELECT vec_id, list_transform(embedding, lambda x_: CAST(x_ AS DOUBLE)) AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.e, b.e), 9) AS score FROM v a, v b WHERE a.vec_id % 100 = 0) SELECT query_id, vec_id, round(score, 6) AS score FROM s QUALIFY {_near} <= 10")(
-    lambda t: retrieve.nearest(t("embeddings").filter(F.pmod("vec_id", F.lit(100)) == 0).select(F.col("vec_id").alias("query_id"), "embedding"), t("embeddings"), "vec_id", 10).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    lambda t: retrieve.nearest(t("embeddings").filter(F.pmod("vec_id", F.lit(100)) == 0).select(F.col("vec_id").alias("query_id"), "embedding"), stored.embeddings(t), "vec_id", 10).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 )
 
 
@@ -222,8 +231,11 @@ query("cmp16_hypothetical", HYDE)(lambda t: retrieve.hyde(questions(t), chunks(t
 
 
 def _setup(t):
-    c = chunks(t)
-    return questions(t), c, chunking.extract_claims(c), bm25.build(c)
+    return questions(t), stored.chunks(t), stored.claims(t), stored.postings(t)
+
+
+def _hybrid(t, k):
+    return retrieve.hybrid(*_setup(t), k=k, vectors=stored.chunk_vectors(t), claim_vectors=stored.claim_vectors(t))
 
 
 _CL = f"""ck AS (SELECT chunk_id, section, generate_subscripts({s_sentences("text")}, 1) - 1 AS i, unnest({s_sentences("text")}) AS text FROM chunks), cl AS (SELECT sha1(chunk_id || ':' || i || ':' || text) AS claim_id, chunk_id, text FROM ck WHERE {_plain_claim})"""
@@ -246,7 +258,7 @@ HYBRID = f"""WITH {D}, {_BMQ}, {_CL}, {_EMC}, dc AS (SELECT query_id, claim_id,
  r3 AS (SELECT *, round(1.2 / (60.0 + rerank_rank) + 1.0 / (60.0 + rrf_rank) + 0.10 * least(1.0, len(list_intersect({_exp}, list_distinct({s_tokens("text")}))) / CAST(greatest(4, len({_exp})) AS DOUBLE)) + bonus + CASE WHEN claim IS NULL THEN 0.0 ELSE 0.025 END, 9) AS rerank_score FROM r2),
  r4 AS (SELECT *, {_rk.format("rerank_score", "chunk_id")} AS rank FROM r3), r5 AS (SELECT *, row_number() OVER (PARTITION BY query_id, section ORDER BY rank) > 3 AS late FROM r4)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY late, rank) AS position, chunk_id FROM r5 QUALIFY position <= 10"""
-query("cmp17_hybrid_retrieve", HYBRID)(lambda t: retrieve.hybrid(*_setup(t), k=10).select("query_id", F.col("position").cast("long").alias("position"), "chunk_id"))
+query("cmp17_hybrid_retrieve", HYBRID)(lambda t: _hybrid(t, 10).select("query_id", F.col("position").cast("long").alias("position"), "chunk_id"))
 query("cmp18_advanced_retrieve")(lambda t: retrieve.advanced(questions(t), chunks(t), bm25.build(chunks(t))).select("query_id", "position", "chunk_id", "score"))
 
 
@@ -290,9 +302,9 @@ CITED = f"""WITH {_BM}, {_extractive_sql('(SELECT query_id, chunk_id, score FROM
  pr AS (SELECT a.query_id, a.i, a.s, h.chunk_id, round({_sets.format(_wa, _wb)}, 9) AS score FROM st2 a JOIN hit h USING (query_id) JOIN chunks c USING (chunk_id)),
  bs AS (SELECT query_id, i, any_value(s) AS s, arg_max(chunk_id, (score, chunk_id)) AS chunk_id, max(score) AS score FROM pr GROUP BY 1, 2)
 SELECT query_id, string_agg(CASE WHEN score >= 0.3 THEN s || ' [' || chunk_id || ']' ELSE s END, ' ' ORDER BY i) AS annotated, count(*) FILTER (score >= 0.3) AS cited, count(*) FILTER (score < 0.3) AS uncited FROM bs GROUP BY 1"""
-query("cmp24_fallback_answer")(lambda t: answer.fallback(questions(t), retrieve.hybrid(*_setup(t), k=8)))
-query("cmp25_overview_answer")(lambda t: answer.overview(retrieve.hybrid(*_setup(t), k=8)))
-query("cmp38_answer_loop")(lambda t: answer.answer_batch(*_setup(t)))
+query("cmp24_fallback_answer")(lambda t: answer.fallback(questions(t), _hybrid(t, 8)))
+query("cmp25_overview_answer")(lambda t: answer.overview(_hybrid(t, 8)))
+query("cmp38_answer_loop")(lambda t: answer.answer_batch(*_setup(t), vectors=stored.chunk_vectors(t), claim_vectors=stored.claim_vectors(t)))
 query("cmp39_adaptive_loop")(lambda t: answer.adaptive(questions(t), chunks(t), bm25.build(chunks(t)), stores.entity_edges(chunks(t).select("paper_id", e.named_entities(F.col("text")).alias("e")), "paper_id", "e"), Passage()).withColumn("overall", F.round("overall", 6)))
 query("cmp39_adaptive_quality")(lambda t: answer.quality(questions(t), retrieve.advanced(questions(t), chunks(t), bm25.build(chunks(t)))).select("query_id", *(F.round(c, 6).alias(c) for c in ("relevance", "diversity", "coverage", "completeness", "overall")), F.array_join("issues", "|").alias("issues")))
 query("cmp32_corrective_loop")(lambda t: answer.correct(questions(t), retrieve.lexical(questions(t), bm25.build(chunks(t)), 10).join(chunks(t).select("chunk_id", "text"), "chunk_id")).select("query_id", "bad", "act"))

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import fusion, stores
 from siltstone.operators.chunking import extract_claims
+from siltstone.operators.tables import Bucketed
 from siltstone.queries.corpus import SQL_CHUNKS, SQL_HITS, SQL_PAPERS, chunks, hits, papers, s_sentences
 from siltstone.queries.extract import _plain_claim
 from siltstone.queries.registry import query
+from siltstone.session import fresh_path
 
 P, C, H = SQL_PAPERS, SQL_CHUNKS, SQL_HITS
 LATER = "TIMESTAMP '2024-03-01 00:00:00'"
@@ -40,8 +42,17 @@ def _new_chunks(t):
 NEWC = f"{C}, {P}, {IN}, fresh AS (SELECT sha1(chunk_id || 'v2') AS chunk_id, paper_id, doc_id, page_number, section, ordinal, text, content_type FROM chunks WHERE paper_id IN (SELECT paper_id FROM incoming) AND ordinal < page_number + 3)"
 _cols = "chunk_id, paper_id, section, ordinal"
 _replaced = f"WITH {NEWC} SELECT {_cols} FROM chunks WHERE paper_id NOT IN (SELECT paper_id FROM fresh) UNION ALL SELECT {_cols} FROM fresh"
+
+
+def _replaced_chunks(t):
+    """Chunks in buckets of their paper; only the buckets of the papers that change are written again."""
+    held = Bucketed(t.spark, fresh_path(t.spark, "chunks"), "paper_id").create(chunks(t))
+    held.replace(_new_chunks(t))
+    return held.read().select("chunk_id", "paper_id", "section", "ordinal")
+
+
 for name in ("snk03_replace_chunks", "snk20_update_document"):
-    query(name, _replaced)(lambda t: stores.replace_by(chunks(t), _new_chunks(t), "paper_id").select("chunk_id", "paper_id", "section", "ordinal"))
+    query(name, _replaced)(_replaced_chunks)
 
 
 def _sql_claims(name: str) -> str:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +18,26 @@ def session(app: str = "siltstone", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+@functools.cache
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="siltstone-")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session may leave it unset: it gets a folder of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _own_dir(spark.sparkContext.applicationId)
+    return found.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/siltstone-{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the session's checkpoint folder, its lineage cut. Only a local session may leave the folder unset: it gets one of its own."""
     context = df.sparkSession.sparkContext
