@@ -78,16 +78,55 @@ def add_noise(a: Column, key: Column, sigma: float = 0.01, seed: int = 7) -> Col
     return F.transform(a, lambda v, i: v.cast("double") + F.sqrt(F.log(uniform(i, 1)) * -2.0) * F.cos(uniform(i, 2) * 2.0 * np.pi) * sigma)
 
 
-def mmd(base: DataFrame, new: DataFrame, vector: str, gamma: float = 1.0) -> DataFrame:
-    """One row, mmd: the biased estimate with an RBF kernel. Meant for two bounded samples: all their pairs are summed."""
+#: Rows of one side of a kernel product, and numbers of one product.
+KERNEL_ROWS, KERNEL_PRODUCT = 16_384, 2 << 20
+
+
+def kernel_sums(rows: DataFrame, side: str, vector: str, gamma: float = 1.0) -> DataFrame:
+    """a, b, total, n: sums of the RBF kernel over all pairs of rows, by the sides of the two.
+
+    One block of rows at a time (``KERNEL_ROWS``, bounded in numbers, too) goes to the tasks as a dense matrix; they multiply their rows with it
+    and give back sums. Pairs are never rows.
+    """
+    kind = dict(rows.dtypes)[side]
+    held = rows.select(side, F.transform(vector, lambda v: v.cast("double")).alias("v")).filter(F.col(vector).isNotNull())
+    n, dim = held.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    blocks = max(1, -(-n // max(1, min(KERNEL_ROWS, (8 << 20) // max(dim, 1)))))
+    numbered = held.withColumn("_block", F.pmod(F.xxhash64(side, "v"), F.lit(blocks)))
+    out = None
+    for b in range(blocks):
+        part = numbered.filter(F.col("_block") == b).select(side, "v").toPandas()  # a block of a bounded size
+        if not len(part):
+            continue
+        sides = sorted(part[side].unique().tolist())
+        mine = [np.array(part["v"][part[side] == s].tolist()) for s in sides]
+        sent = rows.sparkSession.sparkContext.broadcast((sides, mine))
+
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            sides, mine = sent.value
+            for batch in batches:
+                for a, own in batch.groupby(side):
+                    x = np.array(own["v"].tolist())
+                    for s, y in zip(sides, mine, strict=True):
+                        step, total = max(1, KERNEL_PRODUCT // len(y)), 0.0
+                        for i in range(0, len(x), step):
+                            near = x[i : i + step]
+                            squared = (near**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * near @ y.T
+                            total += float(np.exp(np.maximum(squared, 0.0) * -gamma).sum())
+                        yield pd.DataFrame({"a": [a], "b": [s], "total": [total], "n": [len(x) * len(y)]})
+
+        found = held.mapInPandas(run, f"a {kind}, b {kind}, total double, n long")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = rows.sparkSession.createDataFrame([], f"a {kind}, b {kind}, total double, n long")
+    return out.groupBy("a", "b").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
-    def mean(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
-        pairs = a.select(F.col(vector).alias("x")).crossJoin(b.select(F.col(vector).alias("y")))
-        squared = dot(F.zip_with("x", "y", lambda p, q: p.cast("double") - q.cast("double")), F.zip_with("x", "y", lambda p, q: p.cast("double") - q.cast("double")))
-        return pairs.agg(F.avg(F.exp(squared * -gamma)).alias(name))
 
-    parts = mean(base, base, "xx").crossJoin(mean(new, new, "yy")).crossJoin(mean(base, new, "xy"))
-    return parts.select(F.greatest(F.lit(0.0), F.coalesce(F.col("xx") + F.col("yy") - F.col("xy") * 2, F.lit(0.0))).alias("mmd"))
+def mmd(base: DataFrame, new: DataFrame, vector: str, gamma: float = 1.0) -> DataFrame:
+    """One row, mmd: the biased estimate with an RBF kernel over all pairs of both samples; 0 where one is empty."""
+    rows = base.select(F.lit(0).alias("side"), vector).unionByName(new.select(F.lit(1).alias("side"), vector))
+    mean = lambda a, b: F.sum(F.when((F.col("a") == a) & (F.col("b") == b), F.col("total"))) / F.sum(F.when((F.col("a") == a) & (F.col("b") == b), F.col("n")))
+    return kernel_sums(rows, "side", vector, gamma).agg(F.greatest(F.lit(0.0), F.coalesce(mean(0, 0) + mean(1, 1) - mean(0, 1) * 2, F.lit(0.0))).alias("mmd"))
 
 
 def seeded_vector(text: str, dim: int, algorithm: str = "sha256") -> np.ndarray:

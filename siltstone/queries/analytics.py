@@ -145,16 +145,10 @@ query("mth09_cosine", f"WITH {_pair} SELECT a_id, round(coalesce({_cos}, 0), 6)
 query("mth10_distance_score", f"WITH {_pair} SELECT a_id, round(1.0 - least(greatest(1.0 - coalesce({_cos}, 0), 0.0), 2.0) / 2.0, 6) AS score FROM p")(lambda t: _vector_pairs(t).select("a_id", F.round(v.distance_score(F.lit(1.0) - v.cosine(F.col("a"), F.col("b"))), 6).alias("score")))
 query("mth11_embedding_noise")(lambda t: t("embeddings").select("vec_id", v.add_noise(F.col("embedding"), F.col("vec_id")).alias("n")).select("vec_id", F.size("n").alias("dim")))
 
-
-def _means(t):
-    e = t("embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    return e.groupBy("label", "i").agg(F.avg("x").alias("m")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda r: r["m"]).alias("embedding"))
-
-
-_mv = "m AS (SELECT label, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM embeddings) GROUP BY 1, 2) GROUP BY 1)"
 _k = "avg(exp(-list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))))"
-query("mth12_drift", f"WITH {_mv}, k AS (SELECT (SELECT {_k} FROM m a, m b WHERE a.label < 5 AND b.label < 5) + (SELECT {_k} FROM m a, m b WHERE a.label >= 5 AND b.label >= 5) - 2 * (SELECT {_k} FROM m a, m b WHERE a.label < 5 AND b.label >= 5) AS mmd) SELECT round(greatest(0.0, mmd), 6) AS mmd, mmd > 0.2 AS drift FROM k")(
-    lambda t: v.mmd(_means(t).filter("label < 5"), _means(t).filter("label >= 5"), "embedding").select(F.round("mmd", 6).alias("mmd"), (F.col("mmd") > 0.2).alias("drift"))
+_k = "avg(exp(-list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))))"
+query("mth12_drift", f"WITH m AS (SELECT label < 5 AS old, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), k AS (SELECT (SELECT {_k} FROM m a, m b WHERE a.old AND b.old) + (SELECT {_k} FROM m a, m b WHERE NOT a.old AND NOT b.old) - 2 * (SELECT {_k} FROM m a, m b WHERE a.old AND NOT b.old) AS mmd) SELECT round(greatest(0.0, mmd), 6) AS mmd, mmd > 0.2 AS drift FROM k")(
+    lambda t: v.mmd(t("embeddings").filter("label < 5"), t("embeddings").filter("label >= 5"), "embedding").select(F.round("mmd", 6).alias("mmd"), (F.col("mmd") > 0.2).alias("drift"))
 )
 
 # metrics: a user's ranked event types by value against those of long sessions
@@ -188,20 +182,43 @@ def _edges(t):
 
 
 query("mth22_degrees", f"WITH {_E}, b AS (SELECT src AS id, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) SELECT id, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM b GROUP BY 1")(lambda t: graph.degrees(_edges(t)))
-_round = "r{1} AS (SELECT n.id, n.o, 0.85 * (coalesce(f.flow, 0) + (SELECT coalesce(sum(rank) FILTER (o = 0), 0) FROM r{0}) / (SELECT count(*) FROM n)) + 0.15 / (SELECT count(*) FROM n) AS rank FROM n LEFT JOIN (SELECT e.dst AS id, sum(r.rank / r.o) AS flow FROM e JOIN r{0} r ON r.id = e.src GROUP BY 1) f USING (id))"
-query("mth20_pagerank", f"WITH {_E}, n AS (SELECT id, sum(o) AS o FROM (SELECT src AS id, 1 AS o FROM e UNION ALL SELECT dst, 0 FROM e) GROUP BY 1), r0 AS (SELECT id, o, 1.0 / CAST((SELECT count(*) FROM n) AS DOUBLE) AS rank FROM n), {', '.join(_round.format(i, i + 1) for i in range(4))} SELECT id, round(rank, 9) AS rank FROM r4")(lambda t: graph.pagerank(_edges(t), 4).select("id", F.round("rank", 9).alias("rank")))
-query("mth21_betweenness")(lambda t: graph.betweenness(t("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst")).unionByName(t("region").select(F.concat(F.lit("r"), "r_regionkey").alias("src"), F.concat(F.lit("r"), F.pmod(F.col("r_regionkey") + 1, F.lit(5))).alias("dst")))))
+PAGERANK = f"""WITH RECURSIVE {_E}, n AS (SELECT id, sum(o) AS o FROM (SELECT src AS id, 1 AS o FROM e UNION ALL SELECT dst, 0 FROM e) GROUP BY 1), r AS (
+  SELECT 0 AS i, id, o, 1.0::DOUBLE / (SELECT count(*) FROM n) AS rank, 1.0::DOUBLE AS change FROM n
+  UNION ALL
+  SELECT i + 1, id, o, next, sum(abs(next - rank)) OVER () FROM (
+    SELECT r.i, r.id, r.o, r.rank, r.change, 0.85 * (coalesce(f.flow, 0) + (SELECT coalesce(sum(rank) FILTER (o = 0), 0) FROM r) / (SELECT count(*) FROM n)) + 0.15 / (SELECT count(*) FROM n) AS next
+    FROM r LEFT JOIN (SELECT e.dst AS id, sum(q.rank / q.o) AS flow FROM e JOIN r q ON q.id = e.src GROUP BY 1) f USING (id)
+  ) WHERE change >= 1e-6
+) SELECT id, round(rank, 9) AS rank, CAST(i AS INTEGER) AS rounds FROM r WHERE i = (SELECT max(i) FROM r)"""
+
+
+def _ranked_nodes(t):
+    ranks, rounds = graph.pagerank(_edges(t))
+    return ranks.select("id", F.round("rank", 9).alias("rank"), F.lit(rounds).alias("rounds"))
+
+
+query("mth20_pagerank", PAGERANK)(_ranked_nodes)
+
+
+def _both_ways(t):
+    """Suppliers and parts, joined both ways, so that paths are longer than one step."""
+    return _edges(t).unionByName(_edges(t).select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+
+
+def _between(t):
+    """Every node whose number is divisible by 100 is a source; all nodes and edges are searched."""
+    e = _both_ways(t)
+    sources = e.select(F.col("src").alias("id")).distinct().filter(F.pmod(F.substring("id", 2, 19).cast("long"), F.lit(100)) == 0)
+    return graph.betweenness(e, sources).select("id", F.round("betweenness", 9).alias("betweenness"))
+
+
+query("mth21_betweenness")(_between)
 query("jn13_neighbours", f"WITH {_E} SELECT src AS id, count(*) AS n FROM (SELECT src, dst FROM e UNION SELECT dst, src FROM e) GROUP BY 1")(lambda t: graph.neighbours(_edges(t), True).groupBy("id").agg(F.count("*").alias("n")))
 query("jn14_citation_network", f"WITH {_E} SELECT src, dst FROM e WHERE src = 's1' OR dst = 's1'")(lambda t: _edges(t).distinct().filter("src = 's1' OR dst = 's1'"))
 query("jn16_graph_search", f"WITH {_E} SELECT src AS entity, dst AS related, round(1.0 / CAST(row_number() OVER (PARTITION BY src ORDER BY dst) AS DOUBLE), 6) AS score FROM e QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= 10")(lambda t: _edges(t).distinct().withColumn("rn", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).filter("rn <= 10").select(F.col("src").alias("entity"), F.col("dst").alias("related"), F.round(F.lit(1.0) / F.col("rn"), 6).alias("score")))
 
 
-def _graph_sql(t):
-    _edges(t).distinct().createOrReplaceTempView("siltstone_edges")
-    return t.spark.sql("SELECT a.src AS a, b.src AS b, count(*) AS shared FROM siltstone_edges a JOIN siltstone_edges b ON a.dst = b.dst AND a.src < b.src GROUP BY 1, 2")
-
-
-query("jn17_graph_sql", f"WITH {_E} SELECT a.src AS a, b.src AS b, count(*) AS shared FROM e a JOIN e b ON a.dst = b.dst AND a.src < b.src GROUP BY 1, 2")(_graph_sql)
+query("jn17_graph_sql", f"WITH {_E} SELECT a.src AS a, b.src AS b, count(*) AS shared FROM e a JOIN e b ON a.dst = b.dst AND a.src < b.src GROUP BY 1, 2")(lambda t: graph.shared_neighbours(_edges(t)))
 query("jn18_cache_match", f"WITH l AS (SELECT label, arg_min(embedding, vec_id) AS c FROM embeddings GROUP BY 1), s AS (SELECT e.vec_id, l.label AS entry, {_dot.format('e.embedding', 'l.c')} / nullif(sqrt({_dot.format('e.embedding', 'e.embedding')}) * sqrt({_dot.format('l.c', 'l.c')}), 0) AS score FROM embeddings e, l) SELECT vec_id, arg_max(entry, (round(score, 9), -entry)) AS entry, round(max(score), 6) AS score, max(score) >= 0.92 AS hit FROM s GROUP BY 1")(
     lambda t: t("embeddings").select("vec_id", "embedding").crossJoin(F.broadcast(t("embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("c")).withColumnRenamed("label", "entry"))).withColumn("score", v.cosine(F.col("embedding"), F.col("c"))).groupBy("vec_id").agg(F.max_by("entry", F.struct(F.round("score", 9), -F.col("entry"))).alias("entry"), F.max("score").alias("s")).select("vec_id", "entry", F.round("s", 6).alias("score"), (F.col("s") >= 0.92).alias("hit"))
 )

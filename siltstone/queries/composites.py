@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import extract as e
+from siltstone.functions import substring
 from siltstone.functions import text as x
 from siltstone.functions import vectors as v
 from siltstone.functions import verify as check
@@ -63,24 +64,10 @@ query("mth25_lexical_rerank", f"WITH {C}, s AS (SELECT chunk_id, list_distinct({
 )
 
 
-def _longest(t):
-    def run(batches):
-        import pandas as pd
-
-        for b in batches:
-            out = []
-            for a, c in zip(b["a"], b["b"], strict=True):
-                a, c, best = a[:4000], c[:4000], 0  # the reference's own bound
-                for i in range(len(a)):  # each place of a need only beat the longest so far
-                    while i + best < len(a) and a[i : i + best + 1] in c:
-                        best += 1
-                out.append(best)
-            yield pd.DataFrame({"chunk_id": b["chunk_id"], "longest": out})
-
-    return chunks(t).select("chunk_id", pick(STATEMENTS, F.col("ordinal") + F.col("doc_id")).alias("a"), F.col("text").alias("b")).mapInPandas(run, "chunk_id string, longest long")
-
-
-query("mth19_longest_common_substring")(_longest)
+_best_of = "list_max(list_transform(range(1, length(a) + 1), lambda i: list_max(list_transform(range(0, length(a) - i + 2), lambda n: CASE WHEN contains(b, a[i : i + n - 1]) THEN n ELSE 0 END))))"
+query("mth19_longest_common_substring", f"WITH {C}, ab AS (SELECT chunk_id, left({sql_pick(STATEMENTS, 'ordinal + doc_id')}, 4000) AS a, left(text, 4000) AS b FROM chunks) SELECT chunk_id, CAST(coalesce({_best_of}, 0) AS BIGINT) AS longest FROM ab")(
+    lambda t: substring.longest_common(chunks(t).select("chunk_id", pick(STATEMENTS, F.col("ordinal") + F.col("doc_id")).alias("a"), F.col("text").alias("b")), "chunk_id", "a", "b")
+)
 
 # checks of answers: statements against the chunk texts
 _ans = sql_pick(STATEMENTS, "doc_id + ordinal + 1")
