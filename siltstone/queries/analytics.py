@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as x
 from siltstone.functions import vectors as v
-from siltstone.operators import fusion, graph, metrics
+from siltstone.operators import fusion, graph, metrics, similar
 from siltstone.queries.corpus import QUESTIONS, SQL_CHUNKS, SQL_HITS, SQL_PAPERS, SQL_QUESTIONS, chunks, hits, papers, questions, s_sentences, s_tokens
 from siltstone.queries.registry import query
 
@@ -219,9 +219,22 @@ query("jn16_graph_search", f"WITH {_E} SELECT src AS entity, dst AS related, rou
 
 
 query("jn17_graph_sql", f"WITH {_E} SELECT a.src AS a, b.src AS b, count(*) AS shared FROM e a JOIN e b ON a.dst = b.dst AND a.src < b.src GROUP BY 1, 2")(lambda t: graph.shared_neighbours(_edges(t)))
-query("jn18_cache_match", f"WITH l AS (SELECT label, arg_min(embedding, vec_id) AS c FROM embeddings GROUP BY 1), s AS (SELECT e.vec_id, l.label AS entry, {_dot.format('e.embedding', 'l.c')} / nullif(sqrt({_dot.format('e.embedding', 'e.embedding')}) * sqrt({_dot.format('l.c', 'l.c')}), 0) AS score FROM embeddings e, l) SELECT vec_id, arg_max(entry, (round(score, 9), -entry)) AS entry, round(max(score), 6) AS score, max(score) >= 0.92 AS hit FROM s GROUP BY 1")(
-    lambda t: t("embeddings").select("vec_id", "embedding").crossJoin(F.broadcast(t("embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("c")).withColumnRenamed("label", "entry"))).withColumn("score", v.cosine(F.col("embedding"), F.col("c"))).groupBy("vec_id").agg(F.max_by("entry", F.struct(F.round("score", 9), -F.col("entry"))).alias("entry"), F.max("score").alias("s")).select("vec_id", "entry", F.round("s", 6).alias("score"), (F.col("s") >= 0.92).alias("hit"))
-)
+CACHED = f"""WITH turns AS (SELECT conv_id * 1000 + turn AS entry, text, conv_id * 60 AS created_at, 1800 * (1 + conv_id % 4) AS ttl_seconds FROM conversations WHERE role = 'user'),
+ live AS (SELECT entry, text FROM turns WHERE created_at + ttl_seconds >= (SELECT max(created_at) FROM turns)), asked AS (SELECT entry AS query_id, CASE WHEN entry % 2 = 0 THEN text || ' please' ELSE text END AS text FROM turns),
+ {_embedding_sql(False, 1024, "live", "entry")}, {_embedding_sql(False, 1024, "asked", "query_id").replace("tk AS", "tk2 AS").replace("FROM tk)", "FROM tk2)").replace("hh AS", "hh2 AS").replace("FROM hh ", "FROM hh2 ").replace("pl AS", "pl2 AS").replace("FROM pl ", "FROM pl2 ").replace("nm AS", "nm2 AS").replace("JOIN nm ", "JOIN nm2 ").replace("emb AS", "emb2 AS")},
+ s AS (SELECT query_id, entry, round(sum(a.w * b.w), 9) AS score FROM emb2 a JOIN emb b USING (idx) GROUP BY 1, 2)
+SELECT query_id, entry, round(score, 6) AS score FROM s WHERE score >= 0.92 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry) = 1"""
+
+
+def _cached(t):
+    """Every user turn asks a cache of all user turns (every second one in other words), some of them expired."""
+    turns = t("conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("entry"), F.col("text").alias("query"), (F.col("conv_id") * 60).alias("created_at"), ((F.pmod("conv_id", F.lit(4)) + 1) * 1800).alias("ttl_seconds"))
+    asked = turns.select(F.col("entry").alias("query_id"), F.when(F.pmod("entry", F.lit(2)) == 0, F.concat("query", F.lit(" please"))).otherwise(F.col("query")).alias("question"))
+    now = turns.agg(F.coalesce(F.max("created_at"), F.lit(0))).first()[0]
+    return similar.cached(turns, asked, F.lit(now)).select("query_id", "entry", F.round("score", 6).alias("score"))
+
+
+query("jn18_cache_match", CACHED)(_cached)
 
 # time and event streams in batch form
 query("dt01_now")(lambda t: t.spark.range(1).select(F.current_timestamp().alias("now")))

@@ -14,6 +14,7 @@ from siltstone.queries.corpus import SQL_CHUNKS, SQL_HITS, SQL_PAPERS, chunks, h
 from siltstone.queries.extract import _plain_claim
 from siltstone.queries.registry import query
 from siltstone.session import fresh_path
+from siltstone.streaming import caches, fanout, streams
 
 P, C, H = SQL_PAPERS, SQL_CHUNKS, SQL_HITS
 LATER = "TIMESTAMP '2024-03-01 00:00:00'"
@@ -120,8 +121,60 @@ query("snk21_cache_put", f"WITH {CACHE} SELECT query, event_id, created_at FROM
 query("snk22_cache_invalidate", f"WITH {CACHE} SELECT d.doc AS doc_id, count(*) FILTER (list_contains(doc_ids, d.doc)) AS removed, count(*) FILTER (NOT list_contains(doc_ids, d.doc)) AS kept FROM l, (SELECT unnest(range(7)) AS doc) d GROUP BY 1")(
     lambda t: _last(_cache(t)).select(F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("doc_id"), F.array_contains("doc_ids", F.lit(i).cast("long")).alias("hit")) for i in range(7)))).alias("r")).groupBy("r.doc_id").agg(F.count_if("r.hit").alias("removed"), F.count_if(~F.col("r.hit")).alias("kept"))
 )
-for name in ("dt04_ttl_expiry", "str05_ttl_cache"):
-    query(name, f"WITH {CACHE} SELECT query, event_id FROM l WHERE created_at + ttl_seconds >= (SELECT max(created_at) FROM c)")(lambda t: stores.cache_live(_last(_cache(t)).crossJoin(F.broadcast(_cache(t).agg(F.max("created_at").alias("now")))), F.col("now")).select("query", "event_id"))
+_live = f"WITH {CACHE} SELECT query, event_id FROM l WHERE created_at + ttl_seconds >= (SELECT max(created_at) FROM c)"
+query("dt04_ttl_expiry", _live)(lambda t: stores.cache_live(_last(_cache(t)).crossJoin(F.broadcast(_cache(t).agg(F.max("created_at").alias("now")))), F.col("now")).select("query", "event_id"))
+
+
+def _cache_stream(t):
+    """The puts replayed as a stream; entries end by their timers."""
+    schema = ", ".join(f"{n} {k}" for n, k in t("events").dtypes)
+    events = t.spark.readStream.schema(schema).parquet(t.folder + "/events.parquet*")
+    out = fresh_path(t.spark, "cache")
+    with caches.with_state(t.spark):
+        run = caches.changes(_cache(lambda _: events)).writeStream.format("parquet").option("path", f"{out}/changes").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return caches.live(t.spark.read.schema(caches.CHANGES).parquet(f"{out}/changes"))
+
+
+query("str05_ttl_cache", _live)(_cache_stream)
+
+
+# every store of a batch, or none
+def _stores(docs):
+    of = lambda _: docs
+    return {"papers": papers(of), "chunks": chunks(of), "claims": extract_claims(chunks(of))}
+
+
+def _store_counts(t, folder):
+    out = None
+    for name, key in (("papers", "paper_id"), ("chunks", "chunk_id"), ("claims", "claim_id")):
+        one = fanout.current(t.spark, folder, name, "paper_id").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(key).alias("keys")).select(F.lit(name).alias("store"), "rows", "keys")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+STORED = f"WITH {P}, {C}, cl AS ({_sql_claims('chunks')}) SELECT 'papers' AS store, count(*) AS rows, count(DISTINCT paper_id) AS keys FROM papers UNION ALL SELECT 'chunks', count(*), count(DISTINCT chunk_id) FROM chunks UNION ALL SELECT 'claims', count(*), count(DISTINCT claim_id) FROM cl"
+
+
+def _stored_everywhere(t):
+    folder = fresh_path(t.spark, "stores")
+    fanout.store_everywhere(_stores(t("documents")), 0, folder)
+    return _store_counts(t, folder)
+
+
+def _ingested(t):
+    """Documents arrive in four files, one a batch; a second copy of the first file is a later batch of the same papers."""
+    folder = fresh_path(t.spark, "stores")
+    docs = t("documents")
+    docs.repartition(4, "doc_id").write.parquet(f"{folder}/in")
+    docs.filter(F.pmod("doc_id", F.lit(5)) == 0).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = streams.arrivals(t.spark, f"{folder}/in", ", ".join(f"{n} {k}" for n, k in docs.dtypes), 1)
+    fanout.ingest_batches(stream, _stores, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return _store_counts(t, f"{folder}/out")
+
+
+query("snk18_store_everywhere", STORED)(_stored_everywhere)
+query("str07_batch_ingest", STORED)(_ingested)
 query("snk23_append_annotations", "SELECT count(*) AS rows, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, 'note' FROM labels)")(lambda t: t("documents").select("doc_id", "text").unionByName(t("labels").select("doc_id", F.lit("note").alias("text"))).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("docs")))
 query("snk24_report_rows", "SELECT lang, '<tr><td>' || lang || '</td><td>' || count(*) || '</td></tr>' AS html FROM documents GROUP BY lang")(lambda t: t("documents").groupBy("lang").count().select("lang", F.concat(F.lit("<tr><td>"), "lang", F.lit("</td><td>"), F.col("count").cast("string"), F.lit("</td></tr>")).alias("html")))
 query("snk25_keep_newest", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")(lambda t: stores.newest(t("events"), [F.desc("ts"), F.desc("event_id")], 5, ["user_id"]).select("user_id", "event_id"))

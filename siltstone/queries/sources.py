@@ -115,8 +115,7 @@ def _corpus(t):
     return ingest.sections(pages, "2024-01-31 00:00:00")
 
 
-for name in ("cmp10_ingest_report", "snk18_store_everywhere", "str07_batch_ingest"):
-    query(name)(lambda t: ingest.report(_corpus(t)))
+query("cmp10_ingest_report")(lambda t: ingest.report(_corpus(t)))
 query("cmp12_private_entities")(lambda t: _corpus(t).entities)
 query("hlp16_query_vectors", f"WITH {SQL_QUESTIONS} SELECT query_id, CAST(384 AS BIGINT) AS dim, 1.0 :: DOUBLE AS norm FROM questions")(
     lambda t: ports.embed_column(questions(t), "query_id", "question", ports.SeededEmbedder(), query=True).select("query_id", F.size("embedding").cast("long").alias("dim"), F.round(norm(F.col("embedding")), 4).alias("norm"))
