@@ -23,6 +23,16 @@ PAGES = [
     ("<div class=comments><p>nothing else is here</p></div>", "nothing else is here"),
     ("<main><p>The only text of this page.</p><ol class=commentlist><li><article class=comment-body><h4>me</h4><p>no</p></article></li></ol></main>", "The only text of this page."),
     ("<script>never closed <p>no", ""),
+    ("<article><p title=it's>One two.</p><p title=5\">Three.</p><p>Four 'five' \"six\".</p></article>", "One two.\n\nThree.\n\nFour 'five' \"six\"."),
+    ("<article><p><a title='it's'>One</a> two</p><p a='b'c=\"d>e\">three</p><p =x y>four</p></article>", "One two\n\nthree\n\nfour"),
+    ("<article><p>x<a href=/b/>link</a> y</p></article>", "xlink y"),
+    ("<article><h1>A</h1><p>first</p></article><div class=ad>no</div><article><h1>B</h1><p>second article of the page</p></article>", "A\n\nfirst\n\nB\n\nsecond article of the page"),
+    ("<main><article><p>first part of it</p></article><article><p>second</p></article></main>", "first part of it\n\nsecond"),
+    ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be the <span aria-hidden=true>known</span> solution.</p><xmp>if (a<b) &amp;</xmp></article>", "Let x=1 be the known solution.\n\nif (a<b) &amp;"),
+    ("<article><p>The article.</p><div class='menu'><p>Our kitchen offers a soup of the day, fish from the lake and bread that we bake.</p></div><ul class=menu><li><a href=a>Home</a></ul></article>", "The article.\n\nOur kitchen offers a soup of the day, fish from the lake and bread that we bake."),
+    ("<article><p>The article, as it was printed.</p><section id='user-feedback'><h3>12 Comments</h3><p>I disagree.</p></section><section><h3>3 Replies:</h3><p>No.</p></section><section><h3>Comments on method</h3><p>Kept.</p></section></article>", "The article, as it was printed.\n\nComments on method\n\nKept."),
+    ("<article><p>one</p>" + "<iframe src=x>" * 3 + "<p>two</p></article>", "one\n\ntwo"),
+    ("<!--><p>a</p><!---->b", "a\n\nb"),
 ]
 TEXT = "This is a sentence of the article, long enough to look like one. " * 3
 WITHOUT_ARTICLE = f"""<html><head><title>no</title></head><body><div id=top><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li><li><a href=c>Sport</a></li></ul></div>
@@ -46,6 +56,92 @@ def test_names(name, noise):
     assert html.is_noise_name(name) is noise
 
 
+def plain(page):
+    """The density rule by the definition, over a well-formed page: recursion over elements, counts by walking every subtree anew."""
+    import math
+    import xml.etree.ElementTree as Tree
+
+    body = Tree.fromstring(page)
+    parents = {k: e for e in body.iter() for k in e}
+
+    def texts(e):
+        yield e, e.text or ""
+        for k in e:
+            yield from texts(k)
+            yield e, k.tail or ""
+
+    def counts(e):
+        linked = lambda x: x.tag == "a" or (x is not e and x in parents and linked(parents[x]))
+        size = lambda t: len(" ".join(t.split()))
+        return sum(size(t) for _, t in texts(e)), sum(1 for _ in e.iter()), sum(size(t) for x, t in texts(e) if linked(x)), sum(1 for x in e.iter() if linked(x))
+
+    whole = counts(body)
+
+    def density(e):
+        c, t, lc, lt = counts(e)
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - lc, 1) * lc + whole[2] / max(whole[0], 1) * c + math.e)
+        return c / t * math.log(max(c / max(lc, 1) * t / max(lt, 1), 1.0)) / math.log1p(base)
+
+    order = list(body.iter())
+    core = max(order, key=lambda e: (sum(density(k) for k in e), -order.index(e)))
+    while core.tag not in html.LIFT:
+        core = parents[core]
+    path = [core]
+    while path[-1] is not body:
+        path.append(parents[path[-1]])
+    least = min(density(e) for e in path)
+    blocks = [""]
+
+    def take(e):
+        if e.tag in html.BLOCKS:
+            blocks.append("")
+        blocks[-1] += e.text or ""
+        for k in e:
+            take(k)
+            blocks[-1] += k.tail or ""
+        if e.tag in html.BLOCKS:
+            blocks.append("")
+
+    def visit(e):
+        if e in path and e is not core:
+            for k in e:
+                visit(k)
+        elif e is core or e.tag in ("h1", "h2") or density(e) >= least:
+            take(e)
+
+    visit(body)
+    return "\n\n".join(t for t in (" ".join(b.split()) for b in blocks) if t)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_density_against_its_definition(seed):
+    import random
+
+    r = random.Random(seed)
+
+    def grown(depth):
+        words = lambda n: " ".join(r.choices(["a", "word", "or", "another", "longer-one"], k=n))
+        if not depth or r.random() < 0.2:
+            return f"<p>{words(r.randrange(40))}<a>{words(r.randrange(1, 4))}</a> {words(r.randrange(10))}</p>" if r.random() < 0.6 else f"<ul>{''.join(f'<li><a>{words(2)}</a></li>' for _ in range(r.randrange(1, 6)))}</ul>"
+        return f"<div>{'<h2>' + words(3) + '</h2>' if r.random() < 0.3 else ''}{''.join(grown(depth - 1) for _ in range(r.randrange(1, 5)))}</div>"
+
+    for _ in range(25):
+        page = f"<body>{grown(4)}{grown(2)}</body>"
+        assert html.main_text(page) == plain(page)
+
+
+def test_many_unclosed_raw_elements_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    html.main_text("<iframe src=x>" * 40_000)
+    html.main_text("<p " + "a='" * 40_000)
+    html.main_text("<" * 40_000 + "<a " * 40_000)
+    assert time.perf_counter() - start < 8
+
+
 def test_pages_without_the_article_element(spark):
     rows = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet").collect()
     same = 0
