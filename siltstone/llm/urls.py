@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import table, written
+from siltstone.llm.common import forget, table, written
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: The most distinct labelled urls to fit on.
@@ -146,10 +146,12 @@ def leaf(sums: tuple[int, int, int]) -> int:
     return math.floor(-RATE * MILLI * sums[0] / PART / (sums[1] / PART + RIDGE) + 0.5)
 
 
-def gradients(margin: Column) -> tuple[Column, Column]:
-    """Gradient and curvature of the logistic loss, in whole millionths."""
-    p = F.lit(1.0) / (F.exp(-margin / float(MILLI)) + 1.0)
-    return F.floor((p - F.col("blocked")) * PART + 0.5).cast("long"), F.floor(p * (F.lit(1.0) - p) * PART + 0.5).cast("long")
+def with_gradients(rows: DataFrame, margin: Column) -> DataFrame:
+    """g and h: gradient and curvature of the logistic loss at the margin, in whole millionths; the margin is computed once a row."""
+    p = F.lit(1.0) / (F.exp(-F.col("_margin") / float(MILLI)) + 1.0)
+    each = rows.withColumn("_margin", margin).withColumn("_p", p)
+    g, h = F.col("_p") - F.col("blocked"), F.col("_p") * (F.lit(1.0) - F.col("_p"))
+    return each.withColumns({"g": F.floor(g * PART + 0.5).cast("long"), "h": F.floor(h * PART + 0.5).cast("long")}).drop("_margin", "_p")
 
 
 def train(labelled: DataFrame, most: int = SAMPLE) -> Model:
@@ -171,8 +173,7 @@ def train(labelled: DataFrame, most: int = SAMPLE) -> Model:
     values = [F.get("bins", F.lit(i)) for i in range(len(NAMES))]
     rough: list = []  # the trees with bins as thresholds
     for _ in range(TREES):
-        margin = Model(base, rough, shares).margin(values)
-        nodes = binned.select(*(x.alias(c) for x, c in zip(gradients(margin), ("g", "h"), strict=True)), "bins")
+        nodes = written(with_gradients(binned, Model(base, rough, shares).margin(values)).select("g", "h", "bins"), "gradients")  # a row a sampled url
         splits: dict[int, tuple] = {}  # node to (gain, feature, bin, low, high); the children of i are 2 i and 2 i + 1
         for depth in range(DEPTH):
             node = F.lit(1)
@@ -189,6 +190,7 @@ def train(labelled: DataFrame, most: int = SAMPLE) -> Model:
             if not found:
                 break
             splits |= found
+        forget(nodes)
         if not splits:
             break
 
