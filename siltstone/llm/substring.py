@@ -165,14 +165,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digests: bool = False)
     bits = max(4, int(np.ceil(np.log2(max(1, units * UNIT / 6 / RANGE_WINDOWS)))))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-units * UNIT // PARTITION_BYTES))
     dealt = buckets(weighed, BATCH, isolate=True).assign(rows).select("doc_id", "k", "tie", "text", F.col("bucket").alias("batch"), "order").repartition(parts, "batch")
-    edges = np.arange((1 << bits) + 1).astype(np.uint64)
     shift = np.uint64(64 - bits)
 
     def send(frame: pd.DataFrame) -> pd.DataFrame:
         found = distinct_windows(frame, window)
-        cuts = np.searchsorted(found >> shift, edges)
         batch, order = int(frame["batch"].iloc[0]), int(frame["order"].iloc[0])
-        out = [(i, batch, order, found[a:b].astype("<u8").tobytes()) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+        part = found >> shift
+        new = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])  # the ranges that occur: no more than there are windows
+        out = [(int(part[a]), batch, order, found[a:b].astype("<u8").tobytes()) for a, b in zip(new, [*new[1:], len(part)], strict=True)]
         return pd.DataFrame(out, columns=["range", "batch", "order", "hashes"])
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
@@ -201,9 +201,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digests: bool = False)
         if not len(frame) or not len(asks):
             return pd.DataFrame([], columns=["batch", "passages"])
         own = Batch(frame, window)
-        cuts = np.searchsorted(own.distinct >> shift, edges)
+        cuts = np.searchsorted(own.distinct >> shift, asks["range"].to_numpy(np.uint64))
         wants = np.concatenate([np.frombuffer(w, "<i8") for w in asks["wants"]])
-        chosen = own.first[np.concatenate([np.frombuffer(p, "<i4") + cuts[r] for r, p in zip(asks["range"], asks["asked"], strict=True)])]
+        chosen = own.first[np.concatenate([np.frombuffer(p, "<i4") + cut for cut, p in zip(cuts.tolist(), asks["asked"], strict=True)])]
         grouped = np.lexsort((chosen, wants))
         wants, chosen = wants[grouped], chosen[grouped]
         new = np.flatnonzero(np.r_[True, wants[1:] != wants[:-1]])
