@@ -170,8 +170,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digests: bool = False)
     def send(frame: pd.DataFrame) -> pd.DataFrame:
         found = distinct_windows(frame, window)
         batch, order = int(frame["batch"].iloc[0]), int(frame["order"].iloc[0])
+        if not len(found):
+            return pd.DataFrame([], columns=["range", "batch", "order", "hashes"])
         part = found >> shift
-        new = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])  # the ranges that occur: no more than there are windows
+        new = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])  # the ranges that occur: no more than there are windows
         out = [(int(part[a]), batch, order, found[a:b].astype("<u8").tobytes()) for a, b in zip(new, [*new[1:], len(part)], strict=True)]
         return pd.DataFrame(out, columns=["range", "batch", "order", "hashes"])
 
