@@ -153,6 +153,20 @@ def chunk_sections(documents: DataFrame, strategy: str = "section", size: int =
     )
 
 
+STRATEGIES = ("section", "recursive", "semantic", "sliding")
+
+
+def chunk_dispatch(documents: DataFrame, strategy: str = "strategy", size: int = 512, overlap: int = 64) -> DataFrame:
+    """The chunks of ``chunk_sections``, every document by the strategy that its own column names; by section where that is null or unknown."""
+    known = F.when(F.col(strategy).isin(*STRATEGIES), F.col(strategy)).otherwise(F.lit(STRATEGIES[0]))
+    marked = documents.withColumn("_strategy", known)
+    out = None
+    for name in STRATEGIES:
+        own = chunk_sections(marked.filter(F.col("_strategy") == name), name, size, overlap).withColumn("strategy", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def extract_claims(chunks: DataFrame) -> DataFrame:
     """claim_id, paper_id, chunk_id, claim, claim_type, section, page_number, entities, confidence of every claim-like sentence."""
     s = chunks.select("paper_id", "chunk_id", "section", "page_number", F.posexplode(x.sentences(F.col("text"))).alias("i", "claim")).filter(is_claim(F.col("claim")))

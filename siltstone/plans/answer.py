@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import extract as e
 from siltstone.functions import text as x
 from siltstone.functions import verify as check
+from siltstone.functions.substring import Substrings
 from siltstone.operators import bm25, fusion
 from siltstone.operators.postings import Postings
 from siltstone.operators.vector_index import VectorIndex
 from siltstone.plans import retrieve
+from siltstone.ports import Generator
 from siltstone.session import checkpointed
 
 #: What is said where nothing is found (a fixed value); so are the sentences of refusals and overviews below.
@@ -195,3 +199,49 @@ def reason(questions: DataFrame, chunks: DataFrame, index: bm25.Index, mode: str
     hits = retrieve.lexical(parts.select("query_id", "question"), index, k).join(chunks.select("chunk_id", "text"), "chunk_id")
     answers = extractive(parts.select("query_id", "question"), hits, 1).join(parts.select("query_id", "parent", "i", "question"), "query_id")
     return answers.groupBy(F.col("parent").alias("query_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "question", "answer"))), lambda r: F.concat(r["question"], F.lit(" "), r["answer"])), "\n").alias("answer"))
+
+
+#: Chunks of a context; characters that an answer may share with a chunk before it is an echo; what a generator without a model says first (fixed values).
+CONTEXT_CHUNKS, ECHO_CHARS, NO_MODEL = 8, 80, "LLM fallback response:"
+ASK, PARAPHRASE = "Answer from the context alone.", "Say it in words of your own: no sentence of the context may come back verbatim."
+
+
+def contexts(hits: DataFrame, most: int = CONTEXT_CHUNKS) -> DataFrame:
+    """query_id, context, texts: the first ``most`` usable chunks under their ids, and the texts of all of them.
+
+    Chunks that look like references are left out, unless nothing else is there (hits: query_id, position, chunk_id, text).
+    """
+    whole = Window.partitionBy("query_id")
+    marked = hits.withColumn("_reference", e.is_reference_chunk(F.col("text"))).withColumn("_all", F.min(F.col("_reference").cast("int")).over(whole) == 1)
+    usable = marked.filter("NOT _reference OR _all").withColumn("_n", F.row_number().over(whole.orderBy("position", "chunk_id")))
+    shown = F.concat(F.lit("["), "chunk_id", F.lit("] "), x.strip(F.col("text")))
+    rows = usable.select("query_id", "_n", "text", F.when((F.col("_n") <= most) & (x.strip(F.col("text")) != ""), shown).alias("shown"))
+    got = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("_n", "shown", "text"))).alias("r"))
+    return got.select("query_id", F.array_join(F.transform("r", lambda r: r["shown"]), "\n\n").alias("context"), F.transform("r", lambda r: r["text"]).alias("texts"))
+
+
+def advanced(questions: DataFrame, hits: DataFrame, generator: Generator) -> DataFrame:
+    """query_id, answer, summary, echo, attempts: a generator's answer from at most eight chunks.
+
+    An answer that shares more than ``ECHO_CHARS`` characters in a row with a usable chunk is asked for again, once, with the order to
+    paraphrase; the second one stands if there is one. Where no model is there, the answer is null.
+    """
+    asked = questions.select("query_id", "question").join(contexts(hits), "query_id", "left").select("query_id", "question", F.coalesce("context", F.lit("")).alias("context"), F.coalesce("texts", F.array().cast("array<string>")).alias("texts"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for question, context, texts in zip(b["question"], b["context"], b["texts"], strict=True):
+
+                def say(order: str, question=question, context=context) -> str:
+                    said = generator.generate(f"{order}\n\nQuestion: {question}\n\nContext:\n{context}")
+                    return "" if not said or said.startswith(NO_MODEL) else said
+
+                first = say(ASK)
+                own = Substrings(first[:4000])
+                echo = bool(first) and any(own.longest_in((t or "")[:4000]) > ECHO_CHARS for t in texts)
+                answer = (say(PARAPHRASE) or first) if echo else first
+                out.append((answer or None, answer[:180] + "..." if len(answer) > 180 else answer or None, echo, 1 + echo))
+            yield pd.DataFrame({"query_id": b["query_id"], **dict(zip(("answer", "summary", "echo", "attempts"), map(list, zip(*out, strict=True)), strict=True))})
+
+    return asked.mapInPandas(run, "query_id long, answer string, summary string, echo boolean, attempts int")

@@ -50,13 +50,23 @@ def hybrid(questions: DataFrame, chunks: DataFrame, claims: DataFrame, index: bm
     Ranks are taken over all vectors before any filter of the corpus. Dense, BM25 and claim hits (3k each) are fused; the
     2k best are re-ranked by shared words, blended, and cut to k with a cap for each section.
     """
-    body = chunks.select("chunk_id", "paper_id", "section", "text", "content_type")
+    return merged(questions, chunks, lists(questions, chunks, claims, index, k, vectors, claim_vectors), k, cap)
+
+
+def lists(questions: DataFrame, chunks: DataFrame, claims: DataFrame, index: bm25.Index | Postings, k: int = 12, vectors: VectorIndex | None = None, claim_vectors: VectorIndex | None = None) -> DataFrame:
+    """query_id, chunk_id, list (dense, bm25, claim), rank, claim: the three searches, each 3k deep."""
+    none = F.lit(None).cast("string").alias("claim")
     parts = [
-        dense(questions, vectors or body, 3 * k).select("query_id", "chunk_id", F.lit("dense").alias("list"), "rank", F.lit(None).cast("string").alias("claim")),
-        lexical(questions, index, 3 * k).select("query_id", "chunk_id", F.lit("bm25").alias("list"), "rank", F.lit(None).cast("string").alias("claim")),
+        dense(questions, vectors or chunks.select("chunk_id", "text"), 3 * k).select("query_id", "chunk_id", F.lit("dense").alias("list"), "rank", none),
+        lexical(questions, index, 3 * k).select("query_id", "chunk_id", F.lit("bm25").alias("list"), "rank", none),
         by_claims(questions, claims, 3 * k, vectors=claim_vectors).select("query_id", "chunk_id", F.lit("claim").alias("list"), "rank", "claim"),
     ]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def merged(questions: DataFrame, chunks: DataFrame, every: DataFrame, k: int = 12, cap: int = 3, rerank: bool = True) -> DataFrame:
+    """The hits of ``lists`` fused, re-ranked (or left in the fused order) and cut to k with a cap for each section."""
+    body = chunks.select("chunk_id", "paper_id", "section", "text", "content_type")
     weight = F.when(F.col("list") == "claim", CLAIM_WEIGHT).otherwise(1.0)
     fused = every.groupBy("query_id", "chunk_id").agg(F.sum(weight / (F.col("rank") + RRF_K)).alias("fused"), F.max("claim").alias("claim"))
     asked = questions.select("query_id", "question", expanded_terms(F.col("question")).alias("terms"), intent_weights(F.col("question")).alias("intents"), is_table_question(F.col("question")).alias("tabular"))
@@ -66,6 +76,9 @@ def hybrid(questions: DataFrame, chunks: DataFrame, claims: DataFrame, index: bm
     rows = rows.withColumn("bonus", bonus).withColumn("rrf_score", F.round(boosted + F.col("bonus"), DIGITS))
     rows = fusion.top(rows, ["query_id"], 2 * k, "rrf_score").withColumnRenamed("rank", "rrf_rank")
     shown = F.when(F.col("claim").isNotNull(), F.concat("claim", F.lit("\n\n"), "text")).otherwise(F.col("text"))
+    if not rerank:
+        rows = rows.withColumn("rerank_score", F.col("rrf_score")).withColumn("rank", F.col("rrf_rank"))
+        return fusion.cap_and_fill(rows, ["query_id"], "section", cap, k).select("query_id", "position", "chunk_id", "paper_id", "section", "text", "rrf_score", "rerank_score", "claim")
     rows = rows.withColumn("shared", x.overlap(F.array_distinct(x.tokens(F.col("question"))), F.array_distinct(x.tokens(shown))))
     rerank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("shared"), "rrf_rank"))
     rows = rows.withColumn("rerank_rank", rerank)
@@ -74,8 +87,8 @@ def hybrid(questions: DataFrame, chunks: DataFrame, claims: DataFrame, index: bm
     return fusion.cap_and_fill(rows, ["query_id"], "section", cap, k).select("query_id", "position", "chunk_id", "paper_id", "section", "text", "rrf_score", "rerank_score", "claim")
 
 
-def cited(questions: DataFrame, hits: DataFrame, papers: DataFrame, chunks: DataFrame, most_papers: int = 3, per_paper: int = 2) -> DataFrame:
-    """query_id, paper_id, chunk_id, score: chunks of papers whose titles the hits' citations name (or the question shares)."""
+def match_scores(questions: DataFrame, hits: DataFrame, papers: DataFrame) -> DataFrame:
+    """query_id, paper_id, score over 0: how well a paper's title fits what the hits cite, and the question."""
     terms = F.filter(F.array_distinct(x.tokens(F.col("c"))), lambda w: (F.length(w) > 2) & ~w.rlike("^[0-9]+$"))
     found = hits.select("query_id", F.explode(citations(F.col("text"))).alias("c")).distinct()
     asked = found.select("query_id").distinct().join(questions, "query_id")
@@ -87,6 +100,12 @@ def cited(questions: DataFrame, hits: DataFrame, papers: DataFrame, chunks: Data
     shared = asked.select("query_id", own.alias("t")).select("query_id", F.size("t").alias("n"), F.explode("t").alias("w")).join(words, "w").groupBy("query_id", "paper_id", "n").agg(F.count(F.lit(1)).alias("k")).select("query_id", "paper_id", (F.col("k") / F.col("n")).alias("share"))
     scores = best.join(shared, ["query_id", "paper_id"], "full").select("query_id", "paper_id", F.coalesce("best", F.lit(0.0)).alias("best"), F.coalesce("share", F.lit(0.0)).alias("share"))
     scores = scores.withColumn("score", F.round(F.when(F.col("best") > 0, F.col("best") * 0.7 + F.col("share") * 0.3).when(F.col("share") >= 0.2, F.col("share")).otherwise(0.0), DIGITS)).filter("score > 0")
+    return scores
+
+
+def cited(questions: DataFrame, hits: DataFrame, papers: DataFrame, chunks: DataFrame, most_papers: int = 3, per_paper: int = 2) -> DataFrame:
+    """query_id, paper_id, chunk_id, score: chunks of papers whose titles the hits' citations name (or the question shares)."""
+    scores = match_scores(questions, hits, papers)
     fresh = scores.join(hits.select("query_id", "paper_id").distinct(), ["query_id", "paper_id"], "left_anti")
     chosen = fusion.top(fresh, ["query_id"], most_papers, key="paper_id").select("query_id", "paper_id").join(questions, "query_id")
     near = chosen.join(chunks.select("paper_id", "chunk_id", "text"), "paper_id").withColumn("score", F.round(check.alignment(F.col("question"), F.col("text")), DIGITS)).filter("score > 0")
@@ -103,11 +122,16 @@ def hyde(questions: DataFrame, chunks: DataFrame, k: int, generator: Generator |
 
 
 def related(questions: DataFrame, edges: DataFrame, chunks: DataFrame, k: int = 10, per_paper: int = 3) -> DataFrame:
-    """query_id, chunk_id, score, rank: chunks of papers that the entities of a question lead to in two steps (src paper, dst entity).
+    """query_id, chunk_id, score, rank: chunks of papers that the entities of a question lead to in two steps (src paper, dst entity)."""
+    return related_to(questions.select("query_id", F.explode(named_entities(F.col("question"))).alias("dst")), edges, chunks, k, per_paper)
+
+
+def related_to(entities: DataFrame, edges: DataFrame, chunks: DataFrame, k: int = 10, per_paper: int = 3) -> DataFrame:
+    """The same from given entities (query_id, dst).
 
     Papers that use an entity of the question come before those that share another entity with them; the score is 1 / rank.
     """
-    asked = questions.select("query_id", F.explode(named_entities(F.col("question"))).alias("dst")).distinct()
+    asked = entities.select("query_id", "dst").distinct()
     near = asked.join(edges, "dst").select("query_id", "src").distinct()
     first = fusion.top(near.withColumn("score", F.lit(0)), ["query_id"], k, key="src").select("query_id", "src", F.lit(1).alias("step"))  # what is beyond the first k papers cannot reach the first k chunks
     beside = first.join(edges, "src").select("query_id", "dst").distinct().join(edges, "dst").select("query_id", "src", F.lit(2).alias("step"))

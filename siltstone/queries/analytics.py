@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as x
 from siltstone.functions import vectors as v
 from siltstone.operators import fusion, graph, metrics, similar
+from siltstone.plans import retrieve
 from siltstone.queries.corpus import QUESTIONS, SQL_CHUNKS, SQL_HITS, SQL_PAPERS, SQL_QUESTIONS, chunks, hits, papers, questions, s_sentences, s_tokens
 from siltstone.queries.registry import query
 
@@ -48,7 +49,7 @@ query("agg18_router_health", "WITH c AS (SELECT event_type AS model, event_id AS
     lambda t: metrics.router_health(t("events").select(F.col("event_type").alias("model"), F.col("event_id").alias("seq"), F.round("value", 3).alias("latency"), (F.col("value") < 90).alias("ok"))).select("model", "calls", "failures", F.round("mean", 6).alias("mean"), F.array_join(F.transform("latencies", lambda v: F.round(v * 1000).cast("long").cast("string")), "|").alias("latencies"))
 )
 _abl = ("full", "no_view", "no_click")
-query("agg10_ablation", f"WITH {H}, a AS (SELECT c.config, h.* FROM hits h, (SELECT unnest({list(_abl)}) AS config) c WHERE NOT (c.config = 'no_view' AND h.list = 'view') AND NOT (c.config = 'no_click' AND h.list = 'click')), r AS (SELECT *, row_number() OVER (PARTITION BY config, query_id, list ORDER BY score DESC, chunk_id) AS rank FROM a) SELECT config, round(avg(1 / CAST(60 + rank AS DOUBLE)), 9) AS mean_fused, count(*) AS n FROM r GROUP BY 1")(
+query("agg10_list_ablation", f"WITH {H}, a AS (SELECT c.config, h.* FROM hits h, (SELECT unnest({list(_abl)}) AS config) c WHERE NOT (c.config = 'no_view' AND h.list = 'view') AND NOT (c.config = 'no_click' AND h.list = 'click')), r AS (SELECT *, row_number() OVER (PARTITION BY config, query_id, list ORDER BY score DESC, chunk_id) AS rank FROM a) SELECT config, round(avg(1 / CAST(60 + rank AS DOUBLE)), 9) AS mean_fused, count(*) AS n FROM r GROUP BY 1")(
     lambda t: fusion.rank(hits(t).select("*", F.explode(F.array(*map(F.lit, _abl))).alias("config")).filter(~((F.col("config") == "no_view") & (F.col("list") == "view")) & ~((F.col("config") == "no_click") & (F.col("list") == "click"))), ["config", "query_id", "list"]).groupBy("config").agg(F.round(F.avg(F.lit(1.0) / (F.col("rank") + 60)), 9).alias("mean_fused"), F.count("*").alias("n"))
 )
 query("agg11_feedback_stats", "SELECT count(*) AS total, count(*) FILTER (quality = 0 OR toxic = 1) AS hard_negatives, count(*) FILTER (quality = 1 AND toxic = 0) AS high_quality FROM labels")(lambda t: t("labels").agg(F.count("*").alias("total"), F.count_if((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("hard_negatives"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("high_quality")))
@@ -127,9 +128,27 @@ for name, weighted, dim in (("mth04_hash_embedding_weighted", True, 384), ("mth0
     query(name, f"WITH {_embedding_sql(weighted, dim)} SELECT doc_id, count(*) AS places, round(sum(w * (idx + 1)), 6) AS weighted, round(sum(w * w), 6) AS length FROM emb WHERE abs(w) > 1e-9 GROUP BY 1")(
         lambda t, weighted=weighted, dim=dim: v.hash_embedding(t("documents"), "doc_id", "text", dim, weighted).filter("abs(w) > 1e-9").groupBy("doc_id").agg(F.count("*").alias("places"), F.round(F.sum(F.col("w") * (F.col("idx") + 1)), 6).alias("weighted"), F.round(F.sum(F.col("w") * F.col("w")), 6).alias("length"))
     )
-query("mth06_seeded_vectors")(lambda t: v.text_vectors(t("documents"), "doc_id", "text").select("doc_id", F.size("embedding").alias("dim"), v.norm(F.col("embedding")).alias("norm")))
-query("mth07_token_vectors")(lambda t: v.token_vectors(t("benchmark"), "item_id", "text").select("item_id", "token", F.size("vector").alias("dim")))
-query("hlp19_token_index")(lambda t: v.token_vectors(t("benchmark"), "item_id", "text").groupBy("item_id").agg(F.count("*").alias("tokens")))
+
+
+def _told(vector):
+    """A vector as text, six digits a number."""
+    return F.array_join(F.transform(vector, lambda v: F.format_number(v.cast("double"), 6)), " ")
+
+
+query("mth06_seeded_vectors")(lambda t: v.text_vectors(t("documents"), "doc_id", "text").select("doc_id", _told(F.col("embedding")).alias("vector")))
+query("mth07_token_vectors")(lambda t: v.token_vectors(t("benchmark"), "item_id", "text").select("item_id", "token", _told(F.col("vector")).alias("vector")))
+
+
+def _token_index(t):
+    """The index of token vectors: an item that comes twice keeps its last text; looked up by the questions' first words."""
+    twice = t("benchmark").select("item_id", "text", F.lit(0).alias("version")).unionByName(t("benchmark").filter(F.pmod("item_id", F.lit(5)) == 0).select("item_id", F.concat("text", F.lit(" refreshed")).alias("text"), F.lit(1).alias("version")))
+    last = twice.groupBy("item_id").agg(F.max_by("text", "version").alias("text"))
+    index = v.token_vectors(last, "item_id", "text")
+    asked = questions(t).select(F.lower(F.get(x.tokens(F.col("question")), F.lit(0))).alias("token")).unionByName(t.spark.createDataFrame([("refreshed",)], "token string")).distinct()
+    return index.join(asked, "token").select("item_id", "token", _told(F.col("vector")).alias("vector"))
+
+
+query("hlp19_token_index")(_token_index)
 _pair = "p AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, a.embedding AS a, b.embedding AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
 
 
@@ -143,7 +162,7 @@ _cos = f"{_dot.format('a', 'b')} / nullif(sqrt({_dot.format('a', 'a')}) * sqrt({
 query("mth08_normalize", f"SELECT vec_id, round({_dot.format('embedding', 'embedding')} / ({_dot.format('embedding', 'embedding')}), 6) AS squared FROM embeddings")(lambda t: t("embeddings").select("vec_id", v.normalize(F.col("embedding")).alias("u")).select("vec_id", F.round(v.dot(F.col("u"), F.col("u")), 6).alias("squared")))
 query("mth09_cosine", f"WITH {_pair} SELECT a_id, round(coalesce({_cos}, 0), 6) AS score FROM p")(lambda t: _vector_pairs(t).select("a_id", F.round(v.cosine(F.col("a"), F.col("b")), 6).alias("score")))
 query("mth10_distance_score", f"WITH {_pair} SELECT a_id, round(1.0 - least(greatest(1.0 - coalesce({_cos}, 0), 0.0), 2.0) / 2.0, 6) AS score FROM p")(lambda t: _vector_pairs(t).select("a_id", F.round(v.distance_score(F.lit(1.0) - v.cosine(F.col("a"), F.col("b"))), 6).alias("score")))
-query("mth11_embedding_noise")(lambda t: t("embeddings").select("vec_id", v.add_noise(F.col("embedding"), F.col("vec_id")).alias("n")).select("vec_id", F.size("n").alias("dim")))
+query("mth11_embedding_noise")(lambda t: t("embeddings").select("vec_id", v.add_noise(F.col("embedding"), F.col("vec_id")).alias("n")).select("vec_id", F.transform("n", lambda e: F.round(e, 9)).alias("noised")))
 
 _k = "avg(exp(-list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))))"
 _k = "avg(exp(-list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))))"
@@ -215,9 +234,27 @@ def _between(t):
 query("mth21_betweenness")(_between)
 query("jn13_neighbours", f"WITH {_E} SELECT src AS id, count(*) AS n FROM (SELECT src, dst FROM e UNION SELECT dst, src FROM e) GROUP BY 1")(lambda t: graph.neighbours(_edges(t), True).groupBy("id").agg(F.count("*").alias("n")))
 query("jn14_citation_network", f"WITH {_E} SELECT src, dst FROM e WHERE src = 's1' OR dst = 's1'")(lambda t: _edges(t).distinct().filter("src = 's1' OR dst = 's1'"))
-query("jn16_graph_search", f"WITH {_E} SELECT src AS entity, dst AS related, round(1.0 / CAST(row_number() OVER (PARTITION BY src ORDER BY dst) AS DOUBLE), 6) AS score FROM e QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= 10")(lambda t: _edges(t).distinct().withColumn("rn", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).filter("rn <= 10").select(F.col("src").alias("entity"), F.col("dst").alias("related"), F.round(F.lit(1.0) / F.col("rn"), 6).alias("score")))
+query("jn16_neighbour_ranks", f"WITH {_E} SELECT src AS entity, dst AS related, round(1.0 / CAST(row_number() OVER (PARTITION BY src ORDER BY dst) AS DOUBLE), 6) AS score FROM e QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= 10")(lambda t: _edges(t).distinct().withColumn("rn", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).filter("rn <= 10").select(F.col("src").alias("entity"), F.col("dst").alias("related"), F.round(F.lit(1.0) / F.col("rn"), 6).alias("score")))
+
+
+
+
+# what papers of an entity lead to: papers use their source and their language
+RELATED = f"""WITH {P}, {C}, ed AS (SELECT DISTINCT 'p' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS src, unnest([source, lang]) AS dst FROM documents), aq AS (SELECT item_id AS query_id, 'src' || item_id % 7 AS dst FROM benchmark),
+ f1 AS (SELECT query_id, src, 1 AS step FROM (SELECT DISTINCT query_id, src FROM aq JOIN ed USING (dst)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY src) <= 10),
+ b1 AS (SELECT b.query_id, e.src, 2 AS step FROM (SELECT DISTINCT query_id, ed.dst FROM f1 JOIN ed USING (src)) b JOIN ed e USING (dst)), p0 AS (SELECT query_id, src, min(step) AS step FROM (FROM f1 UNION ALL FROM b1) GROUP BY 1, 2), pp AS (SELECT * FROM p0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY step, src) <= 10),
+ oc AS (SELECT query_id, src, step, chunk_id, ordinal FROM pp JOIN chunks ON paper_id = src QUALIFY row_number() OVER (PARTITION BY query_id, src ORDER BY ordinal, chunk_id) <= 3),
+ rk AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY step, src, ordinal, chunk_id) AS rank FROM oc)
+SELECT query_id, chunk_id, round(1.0 / CAST(rank AS DOUBLE), 6) AS score FROM rk WHERE rank <= 10"""
+
+
+def _related(t):
+    edges = t("documents").select(F.concat(F.lit("p"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("src"), F.explode(F.array("source", "lang")).alias("dst")).filter("dst IS NOT NULL").distinct()
+    asked = t("benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), F.pmod("item_id", F.lit(7)).cast("string")).alias("dst"))
+    return retrieve.related_to(asked, edges, chunks(t)).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
+query("jn16_graph_search", RELATED)(_related)
 query("jn17_graph_sql", f"WITH {_E} SELECT a.src AS a, b.src AS b, count(*) AS shared FROM e a JOIN e b ON a.dst = b.dst AND a.src < b.src GROUP BY 1, 2")(lambda t: graph.shared_neighbours(_edges(t)))
 CACHED = f"""WITH turns AS (SELECT conv_id * 1000 + turn AS entry, text, conv_id * 60 AS created_at, 1800 * (1 + conv_id % 4) AS ttl_seconds FROM conversations WHERE role = 'user'),
  live AS (SELECT entry, text FROM turns WHERE created_at + ttl_seconds >= (SELECT max(created_at) FROM turns)), asked AS (SELECT entry AS query_id, CASE WHEN entry % 2 = 0 THEN text || ' please' ELSE text END AS text FROM turns),

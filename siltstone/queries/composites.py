@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siltstone.engine import Engine
 from siltstone.functions import extract as e
 from siltstone.functions import substring
 from siltstone.functions import text as x
@@ -11,7 +12,7 @@ from siltstone.functions import vectors as v
 from siltstone.functions import verify as check
 from siltstone.operators import bm25, chunking, fusion, layout, stores
 from siltstone.operators.postings import Postings
-from siltstone.plans import answer, retrieve
+from siltstone.plans import answer, evaluate, retrieve
 from siltstone.queries import stored
 from siltstone.queries.analytics import _embedding_sql
 from siltstone.queries.corpus import QUESTIONS, SQL_CHUNKS, SQL_HITS, SQL_PAPERS, SQL_QUESTIONS, STATEMENTS, chunks, hits, papers, pick, questions, s_any, s_in, s_parts, s_sentences, s_strip, s_tokens, s_words, sql_list, sql_pick
@@ -151,12 +152,15 @@ query("cmp11_word_ingest", f"SELECT 'team::' || document_id AS document_id, coun
 query("cmp02_section_chunks")(lambda t: chunking.chunk_by_sections(_pages(t).select(F.concat(F.lit("p"), F.col("document_id").cast("string")).alias("paper_id"), "page_number", "text")))
 
 
+def _sections(t):
+    return t("documents").select("doc_id", F.col("text").alias("raw_text"), F.array(F.struct(F.lit("Abstract").alias("name"), F.substring("text", 1, 300).alias("text"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end")), F.struct(F.lit("Results").alias("name"), F.substr("text", F.lit(301), F.length("text")).alias("text"), F.lit(2).alias("page_start"), F.lit(2).alias("page_end"))).alias("sections"), F.array(F.concat(F.lit("Figure 1: "), F.substring("text", 1, 20))).alias("captions"))
+
+
 def _adv(t, strategy):
-    rows = t("documents").select("doc_id", F.col("text").alias("raw_text"), F.array(F.struct(F.lit("Abstract").alias("name"), F.substring("text", 1, 300).alias("text"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end")), F.struct(F.lit("Results").alias("name"), F.substr("text", F.lit(301), F.length("text")).alias("text"), F.lit(2).alias("page_start"), F.lit(2).alias("page_end"))).alias("sections"), F.array(F.concat(F.lit("Figure 1: "), F.substring("text", 1, 20))).alias("captions"))
-    return chunking.chunk_sections(rows, strategy)
+    return chunking.chunk_sections(_sections(t), strategy)
 
 
-for name, strategy in (("cmp03_chunk_dispatch", "section"), ("cmp04_section_aware", "section"), ("cmp05_recursive", "recursive"), ("cmp06_semantic", "semantic")):
+for name, strategy in (("cmp04_section_aware", "section"), ("cmp05_recursive", "recursive"), ("cmp06_semantic", "semantic")):
     query(name)(lambda t, strategy=strategy: _adv(t, strategy))
 _sw = s_words("text")
 query("cmp07_sliding", f"WITH w AS (SELECT doc_id, {_sw} AS ws FROM documents), s AS (SELECT doc_id, unnest(range(0, len(ws), 448)) AS pos, ws FROM w) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS chunk_index, array_to_string(list_slice(ws, pos + 1, pos + 512), ' ') AS text FROM s")(lambda t: _adv(t, "sliding").select("doc_id", "chunk_index", "text"))
@@ -265,6 +269,9 @@ CHAIN = rf"""WITH {_BM}, {P}, hi AS (SELECT query_id, chunk_id FROM sc WHERE sco
  ne AS (SELECT c3.query_id, c3.paper_id, c.chunk_id, {_big.format(s_tokens("q.question"))} AS q, list_distinct({s_tokens("c.text")}) AS d FROM c3 JOIN questions q USING (query_id) JOIN chunks c USING (paper_id)),
  ns AS (SELECT query_id, paper_id, chunk_id, round(CASE WHEN len(q) = 0 THEN 0.0 ELSE len(list_intersect(q, d)) / CAST(len(q) AS DOUBLE) END, 9) AS score FROM ne)
 SELECT query_id, paper_id, chunk_id, round(score, 6) AS score FROM ns WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id, paper_id ORDER BY score DESC, chunk_id) <= 2"""
+query("hlp01_paper_match", CHAIN[: CHAIN.index(" c3 AS (")].rstrip().rstrip(",") + " SELECT query_id, paper_id, round(score, 6) AS score FROM ss WHERE score > 0")(
+    lambda t: retrieve.match_scores(questions(t), retrieve.lexical(questions(t), stored.postings(t), 10).join(stored.chunks(t).select("chunk_id", "paper_id", "text"), "chunk_id"), _named_papers(t)).select("query_id", "paper_id", F.round("score", 6).alias("score"))
+)
 query("jn07_citation_chain", CHAIN)(lambda t: retrieve.cited(questions(t), retrieve.lexical(questions(t), bm25.build(chunks(t)), 10).join(chunks(t).select("chunk_id", "paper_id", "text"), "chunk_id"), _named_papers(t), chunks(t)).withColumn("score", F.round("score", 6)))
 
 
@@ -309,7 +316,7 @@ query("hlp13_citation_markers", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '('
     lambda t: t("documents").select("doc_id", answer.marker(pick(("apa", "mla", "ieee"), F.col("doc_id")), F.col("source"), F.col("doc_id").cast("string"), F.pmod("doc_id", F.lit(5))).alias("marker"))
 )
 query("hlp02_rank_by_overlap", f"WITH {C}, s AS (SELECT paper_id, chunk_id, {_big.format(s_tokens(_short))} AS q, list_distinct({s_tokens('text')}) AS c FROM chunks), o AS (SELECT paper_id, chunk_id, round(len(list_intersect(q, c)) / CAST(greatest(len(q), 1) AS DOUBLE), 9) AS score FROM s) SELECT paper_id, chunk_id, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, chunk_id) AS rank FROM o WHERE score > 0")(lambda t: fusion.rank(chunks(t).withColumn("score", F.round(check.alignment(_asked(), F.col("text")), 9)).filter("score > 0"), ["paper_id"]).select("paper_id", "chunk_id", F.col("rank").cast("long").alias("rank")))
-query("hlp01_paper_match", f"WITH {P}, s AS (SELECT paper_id, list_distinct({s_tokens('title')}) AS t, ['the', 'tion', 'vaswani'] AS c, ['der', 'and', 'edth'] AS q FROM papers), o AS (SELECT paper_id, len(list_intersect(c, t)) / 3.0 AS best, len(list_intersect(q, t)) / 3.0 AS share FROM s) SELECT paper_id, round(CAST(CASE WHEN best > 0 THEN 0.7 * best + 0.3 * share WHEN share >= 0.2 THEN share ELSE 0 END AS DOUBLE), 6) AS score FROM o")(
+query("hlp01_match_formula", f"WITH {P}, s AS (SELECT paper_id, list_distinct({s_tokens('title')}) AS t, ['the', 'tion', 'vaswani'] AS c, ['der', 'and', 'edth'] AS q FROM papers), o AS (SELECT paper_id, len(list_intersect(c, t)) / 3.0 AS best, len(list_intersect(q, t)) / 3.0 AS share FROM s) SELECT paper_id, round(CAST(CASE WHEN best > 0 THEN 0.7 * best + 0.3 * share WHEN share >= 0.2 THEN share ELSE 0 END AS DOUBLE), 6) AS score FROM o")(
     lambda t: papers(t).select("paper_id", F.array_distinct(x.tokens(F.col("title"))).alias("t")).select("paper_id", (x.overlap(F.array(*map(F.lit, ("the", "tion", "vaswani"))), F.col("t")) / F.lit(3.0)).alias("best"), (x.overlap(F.array(*map(F.lit, ("der", "and", "edth"))), F.col("t")) / F.lit(3.0)).alias("share")).select("paper_id", F.round(F.when(F.col("best") > 0, F.col("best") * 0.7 + F.col("share") * 0.3).when(F.col("share") >= 0.2, F.col("share")).otherwise(0.0), 6).alias("score"))
 )
 query("hlp10_response_doc_ids", f"WITH {H} SELECT query_id, array_to_string(list_sort(list(DISTINCT doc_id)), '|') AS doc_ids FROM hits GROUP BY 1")(lambda t: hits(t).groupBy("query_id").agg(F.collect_list(F.struct("chunk_id", "doc_id")).alias("citations")).select("query_id", F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform("citations", lambda c: c["doc_id"]), lambda d: d.isNotNull()))), "|").alias("doc_ids")))
@@ -322,3 +329,48 @@ def _maxsim(t):
 
 
 query("cmp15_max_sim")(_maxsim)
+
+
+# a generator's answer over real hits, asked again where it copies
+class Copier:
+    """Says the beginning of the first chunk of its context; told to paraphrase, only how many chunks there are."""
+
+    name = "copier"
+
+    def generate(self, prompt):
+        order, context = prompt.split("\n\nContext:\n", 1)
+        parts = [p for p in context.split("\n\n") if p]
+        if not parts:
+            return answer.NO_MODEL
+        return f"{len(parts)} chunks say so." if order.startswith(answer.PARAPHRASE) else parts[0].split("] ", 1)[1][:120]
+
+
+ADVANCED = rf"""WITH {_BM}, hi AS (SELECT query_id, chunk_id, text, {_top} AS position FROM sc JOIN chunks USING (chunk_id) WHERE score <> 0 QUALIFY {_top} <= 10),
+ fl AS (SELECT *, regexp_matches(left(text, 200), '(?i)^\s*\[\d+\]|(^|[^\p{{L}}\p{{N}}_])et\s+al($|[^\p{{L}}\p{{N}}_])|doi:|arxiv:') AS ref FROM hi), us AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position) AS n FROM (SELECT *, bool_and(ref) OVER (PARTITION BY query_id) AS every FROM fl) WHERE every OR NOT ref),
+ an AS (SELECT query_id, left(arg_min(trim(text), n), 120) AS said, least(count(*), 8) AS shown FROM us GROUP BY 1)
+SELECT query_id, CASE WHEN length(said) > 80 THEN shown || ' chunks say so.' ELSE said END AS answer, coalesce(length(said) > 80, false) AS echo, CASE WHEN length(said) > 80 THEN 2 ELSE 1 END AS attempts FROM questions LEFT JOIN an USING (query_id)"""
+query("cmp36_advanced_answer", ADVANCED)(lambda t: answer.advanced(questions(t), retrieve.lexical(questions(t), stored.postings(t), 10).withColumnRenamed("rank", "position").join(stored.chunks(t).select("chunk_id", "text"), "chunk_id"), Copier()).select("query_id", "answer", "echo", "attempts"))
+
+
+# real configurations of retrieval, judged by the chunks that hold an item's first words
+def _relevant(t):
+    first = t("benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(x.split_words(F.col("text")), 1, 3), " ").alias("words"))
+    found = stored.postings(t).scores(first.withColumnRenamed("words", "question")).select("query_id", "chunk_id")
+    return found.join(first, "query_id").join(stored.chunks(t).select("chunk_id", "text"), "chunk_id").filter(F.contains("text", F.col("words"))).select("query_id", F.col("chunk_id").alias("item"))
+
+
+query("agg10_ablation")(lambda t: evaluate.ablation(questions(t), _relevant(t), stored.chunks(t), stored.claims(t), stored.postings(t), 10, stored.chunk_vectors(t), stored.claim_vectors(t)).groupBy("config").agg(*(F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "reciprocal_rank", "average_precision")), F.count(F.lit(1)).alias("questions")))
+
+
+# the engine behind its calls: papers ingested, some of them again, some deleted, then asked
+def _engine(t):
+    c = stored.chunks(t)
+    made = Engine(t.spark, fresh_path(t.spark, "engine")).ingest(c.withColumn("text", F.when(F.pmod("doc_id", F.lit(4)) == 0, F.concat("text", F.lit(" draft"))).otherwise(F.col("text"))))
+    made.ingest(c.filter("doc_id % 4 = 0")).delete(c.filter("doc_id % 10 = 3"))
+    return made.search(questions(t), 3).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
+
+
+_BM_KEPT = _BM.replace("FROM chunks0)", "FROM chunks0 WHERE doc_id % 10 <> 3)")
+query("hlp21_facade_query", f"WITH {_BM_KEPT} SELECT query_id, chunk_id, {_top} AS rank FROM sc WHERE score <> 0 QUALIFY {_top} <= 3")(_engine)
+# every strategy for a quarter of the documents
+query("cmp03_chunk_dispatch")(lambda t: chunking.chunk_dispatch(_sections(t).withColumn("strategy", pick(("section", "recursive", "semantic", "sliding"), F.col("doc_id"))), "strategy"))

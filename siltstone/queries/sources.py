@@ -100,7 +100,15 @@ def _cascade(t):
 
 
 query("src25_scrape_cascade", f"WITH p AS (SELECT page_id, {_plain} AS plain FROM pages), c AS (SELECT page_id, plain, CASE WHEN page_id % 2 = 0 THEN left(plain, 600) END AS article FROM p) SELECT page_id, length(coalesce(CASE WHEN length(article) >= 500 THEN article END, CASE WHEN length(plain) >= 500 THEN plain END, plain, article, '')) AS chars FROM c")(_cascade)
-query("src26_selected_text")(lambda t: readers.main_texts(t("pages"), "page_id", "html"))
+_text_of = lambda part: s_collapse(rf"regexp_replace(regexp_replace(regexp_replace({part}, '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&amp;', '&', 'g').replace('&copy;', '©').replace('&middot;', '·')")
+_body = _text_of("regexp_extract(html, '(?is)<body[^>]*>(.*)', 1)")
+SELECTED = f"""WITH p AS (SELECT page_id, {_text_of("regexp_extract(html, '(?is)<article>(.*?)</article>', 1)")} AS article, {_body} AS body, {_text_of("html")} AS every FROM pages)
+SELECT page_id, CASE WHEN length(article) > 200 THEN article WHEN length(body) > 200 THEN body ELSE every END AS text FROM p"""
+query("src26_selected_text", SELECTED)(lambda t: readers.main_texts(t("pages"), "page_id", "html"))
+# back-ends of a web page: the article of its markup, else all of its text
+query("hlp24_page_backends", f"WITH p AS (SELECT page_id, {_text_of("regexp_extract(html, '(?is)<article>(.*?)</article>', 1)")} AS article, {_text_of("html")} AS every FROM pages) SELECT page_id, CASE WHEN length(article) > 200 THEN article ELSE every END AS text, CASE WHEN length(article) > 200 THEN 'article' ELSE 'page' END AS backend FROM p")(
+    lambda t: readers.page_backends(t("pages"), "page_id", "html")
+)
 query("src27_title", f"SELECT page_id, {s_collapse(r"regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")} AS title FROM pages")(lambda t: t("pages").select("page_id", readers.title(F.col("html")).alias("title")))
 query("src29_hosts", r"SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1")(lambda t: t("pages").groupBy(F.parse_url("url", F.lit("HOST")).alias("host")).agg(F.count(F.lit(1)).alias("n")))
 _abs = "'<title>' || url || '</title><p>Subjects: cs.' || page_id % 7 || '; math.' || page_id % 3 || '<br>subject: stat' || chr(10) || '</p>'"
@@ -165,8 +173,6 @@ def _streamed(t):
 
 
 query("str08_windowed_stream", "SELECT date_trunc('day', ts) :: TIMESTAMP AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")(_streamed)
-query("hlp21_facade_query")(lambda t: retrieve.lexical(questions(t), bm25.build(chunks(t)), 3).select("query_id", "chunk_id", "rank"))
-
 
 # feeds and datasets made of the tables' own texts
 def _feed(t):
@@ -182,7 +188,7 @@ query("src32_eval_cases", "SELECT item_id, trim(text) AS question, CAST(1 AS BIG
 query("str03_monitor_digest", "SELECT DATE '2024-01-02' AS day, 'cs.' || lang AS category, count(*) AS items FROM documents WHERE lang IN ('en', 'de') GROUP BY lang")(
     lambda t: streams.digest(streams.monitored(_feed(t), ["cs.en", "cs.de"], F.lit("2024-01-01 00:00:00").cast("timestamp")))
 )
-for name in ("src15_backend_texts", "hlp24_page_backends"):  # form feeds part the pages of plain back-ends
+for name in ("src15_backend_texts", "hlp24_paged_texts"):  # form feeds part the pages of plain back-ends
     query(name, "SELECT doc_id AS path, CAST(i AS INT) AS page_number, length(p) AS chars FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS p FROM documents)")(
         lambda t: readers.documents(t("documents").select(F.col("doc_id").cast("string").alias("path"), F.encode(F.translate("text", "\n", "\f"), "UTF-8").alias("content"))).select(F.col("path").cast("long").alias("path"), "page_number", F.length("text").cast("long").alias("chars"))
     )
@@ -218,11 +224,6 @@ _said = f"list_slice(list_filter(list_transform({s_sentences('question')}, lambd
 query("cmp23_model_answer", f"WITH {SQL_QUESTIONS} SELECT query_id, 'said' AS provider, array_to_string({_said}, '|') AS claims FROM questions")(
     lambda t: ports.generated(questions(t), Said()).select("query_id", "provider", F.get_json_object(lenient_json(F.col("answer")), "$.answer").alias("said")).select("query_id", "provider", F.array_join(claims_of_answer(F.col("said")), "|").alias("claims"))
 )
-query("cmp36_advanced_answer", f"WITH {SQL_QUESTIONS} SELECT query_id, 'said' AS provider, length(question) AS chars FROM questions")(
-    lambda t: ports.generated(questions(t), Said(), questions(t).select("query_id", F.lit("one context").alias("context"))).select("query_id", "provider", F.length(F.get_json_object(lenient_json(F.col("answer")), "$.answer")).cast("long").alias("chars"))
-)
-
-
 def _keys(t):
     def run(frame):
         import collections

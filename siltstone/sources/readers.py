@@ -215,6 +215,26 @@ def main_texts(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, html).mapInPandas(run, f"{key} {dict(pages.dtypes)[key]}, text string")
 
 
+def page_backends(pages: DataFrame, key: str, html: str, least: int = 200) -> DataFrame:
+    """key, text, backend: the article of a page's markup if it has ``least`` characters, else all of its visible text, else what is between its tags."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for page in b[html]:
+                tree = _Tree()
+                tree.feed(page or "")
+                tree.close()
+                article = " ".join(" ".join(tree.found.get("article", ())).split())
+                whole = " ".join(" ".join(tree.every).split())
+                found.append((article, "article") if len(article) > least else (whole, "page") if whole else (None, None))
+            yield pd.DataFrame({key: b[key], "text": [f[0] for f in found], "backend": [f[1] for f in found], html: b[html]})
+
+    kinds = dict(pages.dtypes)
+    rows = pages.select(key, html).mapInPandas(run, f"{key} {kinds[key]}, text string, backend string, {html} string")
+    return rows.select(key, F.coalesce("text", collapse(F.regexp_replace(html, "<[^>]*>", " ")), F.lit("")).alias("text"), F.coalesce("backend", F.lit("tags")).alias("backend"))
+
+
 def title(html: Column) -> Column:
     return collapse(F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1))
 
