@@ -100,7 +100,8 @@ def _cascade(t):
 
 
 query("src25_scrape_cascade", f"WITH p AS (SELECT page_id, {_plain} AS plain FROM pages), c AS (SELECT page_id, plain, CASE WHEN page_id % 2 = 0 THEN left(plain, 600) END AS article FROM p) SELECT page_id, length(coalesce(CASE WHEN length(article) >= 500 THEN article END, CASE WHEN length(plain) >= 500 THEN plain END, plain, article, '')) AS chars FROM c")(_cascade)
-_text_of = lambda part: s_collapse(rf"regexp_replace(regexp_replace(regexp_replace({part}, '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&amp;', '&', 'g').replace('&copy;', '©').replace('&middot;', '·')")
+_decoded = "replace(replace(replace(replace({0}, '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_text_of = lambda part: s_collapse(_decoded.format(rf"regexp_replace(regexp_replace({part}, '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g')"))
 _body = _text_of("regexp_extract(html, '(?is)<body[^>]*>(.*)', 1)")
 SELECTED = f"""WITH p AS (SELECT page_id, {_text_of("regexp_extract(html, '(?is)<article>(.*?)</article>', 1)")} AS article, {_body} AS body, {_text_of("html")} AS every FROM pages)
 SELECT page_id, CASE WHEN length(article) > 200 THEN article WHEN length(body) > 200 THEN body ELSE every END AS text FROM p"""
