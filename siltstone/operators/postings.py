@@ -14,7 +14,8 @@ The levels are those of the mean length at the time the index was made; a longer
 
 ``search`` finds the exact best ``k`` of each question: it reads the highest levels of the question's terms for a first k-th score; then it chooses the levels to
 read, such that a key in none of them stays below that score; completes those that can still reach it from ``forward``; and leaves the other
-blocks unread. It returns how many blocks that were.
+blocks unread. It returns how many blocks that were. Where a batch asks so much of common terms that rows of question and posting would be more than
+``PRODUCT_ROWS``, every posting of its terms is read once for all questions instead; the hits are the same.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import tokens
-from siltstone.operators import fusion, tables
+from siltstone.operators import blocks, fusion, tables
 from siltstone.operators.bm25 import EPSILON, K1, B
 from siltstone.session import checkpointed
 
@@ -34,6 +35,8 @@ LEVELS, BLOCK, TERM_BUCKETS, KEY_BUCKETS = 32, 512, 32, 64
 TOP = K1 + 1
 #: Postings that the first read asks of every term, for each of the k results.
 FIRST = 4
+#: Rows of question and posting from which a batch is scored as a product instead: each posting is then read once for all questions.
+PRODUCT_ROWS = 2_000_000
 SLACK = 1e-8
 
 
@@ -142,7 +145,7 @@ class Postings:
             return each.withColumn("level", level)
 
         fresh = spread(forward)
-        counts = fresh.groupBy("term", "level").agg(F.count(F.lit(1)).cast("long").alias("n"))
+        counts = own_counts = checkpointed(fresh.groupBy("term", "level").agg(F.count(F.lit(1)).cast("long").alias("n")))
         went = spark.createDataFrame([], f"{key} {kind}, dl long")
         if gone is not None and before:
             keys = gone.distinct().withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int"))
@@ -153,8 +156,9 @@ class Postings:
             counts = counts.unionByName(spread(known).groupBy("term", "level").agg((-F.count(F.lit(1))).cast("long").alias("n"))).groupBy("term", "level").agg(F.sum("n").alias("n")).filter("n <> 0")
         write(went.select(key), "dead")
         # a level of a common term is cut into blocks by the keys' hashes, so that no group grows with the table
-        sized = fresh.join(fresh.groupBy("term", "level").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")), ["term", "level"])
-        block = sized.groupBy("term", "level", F.pmod(F.xxhash64(key), F.col("parts")).alias("part")).agg(F.collect_list(F.struct(key, "tf", "dl")).alias("p"))
+        common = own_counts.filter(F.col("n") > BLOCK).select("term", "level", F.ceil(F.col("n") / BLOCK).alias("parts"))
+        sized = fresh.join(common, ["term", "level"], "left")
+        block = sized.groupBy("term", "level", F.pmod(F.xxhash64(key), F.coalesce("parts", F.lit(1))).alias("part")).agg(F.collect_list(F.struct(key, "tf", "dl")).alias("p"))
         block = block.select("term", "level", F.col(f"p.{key}").alias("keys"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"), F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int").alias("bucket"))
         write(block.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", F.desc("level")), "blocks", "bucket")
         change = write(counts, "terms")
@@ -193,6 +197,8 @@ class Postings:
         key, s = self.key, self.stats()
         raised = max(1.0, s["mean"] / s["reference"])
         asked = checkpointed(self._asked(questions, text, s))
+        if self._rows(asked) > PRODUCT_ROWS:
+            return self._product(asked, s, k, keep_zero, digits)
         sizes = self._read("blocks").groupBy("term", "level").agg(F.count(F.lit(1)).alias("blocks"))
         levels = self._read("terms").select("term", "level", "n").join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "level").agg(F.sum("n").alias("n")).filter("n > 0")
         levels = checkpointed(levels.join(sizes.join(asked.select("term").distinct(), "term", "left_semi"), ["term", "level"], "left").fillna(1, "blocks"))
@@ -246,6 +252,19 @@ class Postings:
         work = used.groupBy("query_id").agg(F.sum(F.when(F.col("level") >= F.col("least"), F.col("blocks")).otherwise(0)).alias("blocks_read"), F.sum(F.when(F.col("level") < F.col("least"), F.col("blocks")).otherwise(0)).alias("blocks_skipped"))
         return Found(hits, work)
 
+    def _rows(self, asked: DataFrame) -> int:
+        """How many rows of a question and a posting of its terms there are."""
+        return self.frequencies().join(asked, "term").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+
+    def _product(self, asked: DataFrame, s: dict, k: int, keep_zero: bool, digits: int) -> Found:
+        """The same hits for many questions of common terms: every posting of their terms is read, and multiplied with a block of questions."""
+        near = self._read("blocks").join(asked.select("term").distinct(), "term", "left_semi")
+        each = self._alive(near.select("term", "seg", F.explode(F.arrays_zip("keys", "tfs", "dls")).alias("p")).select("term", "seg", F.col("p.keys").alias(self.key), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl")))
+        held = each.select(self.key, F.col("term").alias("place"), impact(F.col("tf"), F.col("dl"), s["mean"]).alias("w"))
+        hits = blocks.top(asked.select("query_id", F.col("term").alias("place"), "w"), held, self.key, k, keep_zero, digits)
+        sizes = self._read("blocks").groupBy("term").agg(F.count(F.lit(1)).alias("blocks"))
+        return Found(hits, asked.join(sizes, "term").groupBy("query_id").agg(F.sum("blocks").alias("blocks_read"), F.lit(0).cast("long").alias("blocks_skipped")))
+
     def compact(self, path: str) -> Postings:
         """What counts now, as the one segment of a new index below ``path``."""
         words = F.flatten(F.transform(F.arrays_zip("terms", "tfs"), lambda p: F.array_repeat(p["terms"], p["tfs"])))

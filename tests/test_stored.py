@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import bm25, tables, vector_index
+from siltstone.operators import bm25, postings, tables, vector_index
 from siltstone.operators.postings import Postings
 from siltstone.operators.tables import Bucketed
 from siltstone.session import fresh_path
@@ -68,7 +68,7 @@ def same_hits(found, want):
 
 
 @pytest.mark.parametrize("k", [1, 5])
-def test_search_is_exact_and_skips_blocks(spark, k):
+def test_search_is_exact_and_skips_blocks(spark, monkeypatch, k):
     chunks = spark.createDataFrame(corpus(1, 800), "chunk_id string, text string")
     index = Postings(spark, fresh_path(spark, "postings")).create(chunks)
     full = bm25.build(chunks)
@@ -78,6 +78,8 @@ def test_search_is_exact_and_skips_blocks(spark, k):
     work = found.work.agg(F.sum("blocks_read"), F.sum("blocks_skipped")).first()
     print("blocks read, skipped", work)
     assert work[0] > 0 and work[1] > 0.2 * work[0]
+    monkeypatch.setattr(postings, "PRODUCT_ROWS", 0)
+    same_hits(index.search(questions, k).hits, bm25.top(full, questions, k))
     got, want = (rows(s.select("query_id", "chunk_id", F.round("score", 9).alias("s")), "query_id", "chunk_id", "s") for s in (index.scores(questions), bm25.search(full, questions)))
     assert got == want
     assert rows(index.terms().select("term", "df", F.round("idf", 9)), "*") == rows(full.terms.select("term", "df", F.round("idf", 9)), "*")
