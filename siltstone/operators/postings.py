@@ -57,6 +57,14 @@ class Postings:
 
     def __init__(self, spark: SparkSession, path: str, key: str = "chunk_id", tokenizer=tokens):
         self.spark, self.path, self.key, self.tokenizer = spark, path, key, tokenizer
+        self._seen: list[int] | None = None  # the segments of a snapshot
+        self._kind: str | None = None
+
+    def snapshot(self) -> Postings:
+        """The index as it is now: what is read through it stays the same while others change the index."""
+        out = Postings(self.spark, self.path, self.key, self.tokenizer)
+        out._seen = self.segments()
+        return out
 
     # --- reading
 
@@ -64,19 +72,21 @@ class Postings:
         """The table's rows in finished segments."""
         reader = self.spark.read.option("basePath", f"{self.path}/{table}")
         if table in ("forward", "blocks"):  # a segment without rows has no files there
-            kind = self.spark.read.parquet(f"{self.path}/dead").schema[self.key].dataType.simpleString()
+            self._kind = kind = self._kind or self.spark.read.parquet(f"{self.path}/dead").schema[self.key].dataType.simpleString()
             key = {"forward": f"{self.key} {kind}, terms array<string>, tfs array<int>, dl long", "blocks": f"term string, level int, keys array<{kind}>, tfs array<int>, dls array<bigint>"}[table]
             reader = reader.schema(f"{key}, seg int, bucket int")
         return reader.parquet(*(f"{self.path}/{table}/seg={s}" for s in self.segments()))
 
     def segments(self) -> list[int]:
+        if self._seen is not None:
+            return self._seen
         if not tables.exists(self.spark, f"{self.path}/stats"):
             return []
         return sorted(r[0] for r in self.spark.read.parquet(f"{self.path}/stats").select("seg").distinct().collect())
 
     def stats(self) -> dict:
         """n (keys), mean (length), mean_idf, reference (the mean length that the levels go by)."""
-        rows = sorted(self.spark.read.parquet(f"{self.path}/stats").collect(), key=lambda r: r["seg"])  # a row a segment
+        rows = sorted((r for r in self.spark.read.parquet(f"{self.path}/stats").collect() if self._seen is None or r["seg"] in self._seen), key=lambda r: r["seg"])  # a row a segment
         n, total = sum(r["n"] for r in rows), sum(r["total"] for r in rows)
         return {"n": n, "total": total, "mean": total / n if n else 1.0, "mean_idf": rows[-1]["mean_idf"], "reference": rows[0]["reference"]}
 
@@ -180,6 +190,8 @@ class Postings:
 
     def scores(self, questions: DataFrame, text: str = "question") -> DataFrame:
         """query_id, key, score of every key that shares a term with a question."""
+        if self._seen is None:
+            return self.snapshot().scores(questions, text)
         s = self.stats()
         asked = self._asked(questions, text, s)
         hit = self._postings(asked.withColumn("least", F.lit(0)), s)
@@ -194,6 +206,8 @@ class Postings:
 
     def search(self, questions: DataFrame, k: int, text: str = "question", keep_zero: bool = False, digits: int = 9) -> Found:
         """The best ``k`` keys of each question. Zero scores go unless kept; ties break by key."""
+        if self._seen is None:
+            return self.snapshot().search(questions, k, text, keep_zero, digits)
         key, s = self.key, self.stats()
         raised = max(1.0, s["mean"] / s["reference"])
         asked = checkpointed(self._asked(questions, text, s))

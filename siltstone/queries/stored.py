@@ -12,10 +12,12 @@ from siltstone.operators.vector_index import VectorIndex
 from siltstone.queries import corpus
 
 DIM = 1024
+#: Changes with what is written, so that tables of an earlier layout are not taken for these.
+LAYOUT = 2
 
 
 def _once(t, name: str, table: str, build) -> str:
-    return tables.once(t.spark, name, tables.version(t.spark, f"{t.folder}/{table}.parquet"), build)
+    return tables.once(t.spark, f"{name}-{LAYOUT}", tables.version(t.spark, f"{t.folder}/{table}.parquet"), build)
 
 
 def chunks(t) -> DataFrame:
