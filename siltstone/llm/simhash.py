@@ -6,8 +6,10 @@ equal and the second differs in at most one bit; of the pairs that do, those who
 segments are pruned (another start of theirs keeps it, if they are near at all), and the rest get the full Hamming check.
 
 Equal fingerprints are one node from the start, so groups of copies cost one row. Nodes are dealt by (segment, value), which a
-task streams value by value; where many nodes share a chain, it links them over blocks and passes on a spanning forest, never
-all pairs. Components come from alternating stars over the links, written to the shared folder between rounds; what is joined
+task streams value by value. A value of more than ``GROUP`` nodes is split by the chain's own budget: the second segment may show one
+difference, so of its two halves one is equal; the third may show two, so one of its three parts is; the fourth three, one of four.
+Parts that are still too large are split by the next segment. Where many nodes share a chain, a task links them over blocks and
+passes on a spanning forest, never all pairs. Components come from alternating stars over the links, written to the shared folder between rounds; what is joined
 by a key that may be hot is a table of its own, so that adaptive execution can split the hot side.
 
 Defined results: null or empty text has fingerprint zero and links like any other; repeated rows are kept; a null
@@ -32,6 +34,10 @@ SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Chains shared by more nodes than this are linked over blocks.
 BLOCK = 64
 CHUNK = 100_000
+#: Nodes that share a key, at most, unless they agree in a part of all four segments of a chain.
+GROUP = 250_000
+#: Bits that a split adds to a key: the part's number and its value. The number of splits stands above bit 60.
+PART, LEVELS = 10, 3
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
@@ -115,15 +121,19 @@ CHAINS = [(_chain_masks(n), MOST_BITS * n // len(SEGMENTS)) for n in (3, 4)]
 
 
 def links_of(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the fingerprints of each key (segment number * 2^13 + value): pairs, or a forest where many share a chain."""
-    segment = keys >> 13
+    """Links among the fingerprints of each key: pairs, or a forest where many share a chain.
+
+    A key is segment number * 2^13 + value, then what splits added. Equal keys are neighbours.
+    """
+    segment = (keys >> (PART * (keys >> 60)) & 0xFFFF) >> 13
     shift = np.array([s for s, _ in SEGMENTS], np.uint64)
     width = np.array([w for _, w in SEGMENTS], np.uint64)
     follow = (segment + 1) % len(SEGMENTS)
     value = (fps >> shift[follow]) & ((np.uint64(1) << width[follow]) - np.uint64(1))
+    group = np.cumsum(np.r_[False, keys[1:] != keys[:-1]]).astype(np.uint64) << np.uint64(13)
     left, right = [], []
     for bit in range(13):  # the second segment with one bit left out: at most one difference there
-        chain = (keys.astype(np.uint64) << np.uint64(13)) | (value & ~(np.uint64(1) << np.uint64(bit)))
+        chain = group | (value & ~(np.uint64(1) << np.uint64(bit)))
         order = np.argsort(chain, kind="stable")
         c, f, start = chain[order], fps[order], segment[order]
         starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
@@ -152,12 +162,49 @@ def links_of(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return both[:, 0], both[:, 1]
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def _bits(shift: int, width: int) -> Column:
+    return F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def _split(dealt: DataFrame, level: int) -> DataFrame:
+    """``dealt`` (key, fp) with each key replaced by one for each part of the chain's segment number ``level``, counted from 0.
+
+    The chain allows ``level`` differences there, so fingerprints of a chain agree in one of ``level + 1`` parts.
+    """
+    ways = []
+    for i in range(len(SEGMENTS)):
+        shift, width = SEGMENTS[(i + level) % len(SEGMENTS)]
+        cuts = [width * p // (level + 1) for p in range(level + 2)]
+        ways.append(F.array(*(_bits(shift + lo, hi - lo) + F.lit(p << 7) for p, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)))))
+    own = F.col("key").bitwiseAND(F.lit((1 << 60) - 1))
+    segment = F.shiftright(own, 13 + PART * (level - 1))
+    parts = F.coalesce(*(F.when(segment == i, way) for i, way in enumerate(ways)))
+    split = dealt.select(own.alias("own"), "fp", F.explode(parts).alias("part"))
+    return split.select((F.shiftleft("own", PART) + F.col("part") + F.lit(level << 60)).alias("key"), "fp")
+
+
+def dealt(nodes: DataFrame, most: int | None = None) -> DataFrame:
+    """key, fp: the groups in which links are looked for; more than ``most`` nodes share a key only where no split is left."""
+    most = most or GROUP
+    keys = F.explode(F.array(*(_bits(s, w) + F.lit(i << 13) for i, (s, w) in enumerate(SEGMENTS))))
+    left = nodes.select(keys.alias("key"), "fp")
+    whole = None
+    for level in range(1, LEVELS + 1):
+        large = written(left.groupBy("key").count().filter(F.col("count") > most).select(F.col("key").alias("large")), "large")
+        if large.isEmpty():
+            break
+        if level == 1:
+            large = F.broadcast(large)  # at most 2^13 values for each of the segments
+        same = left["key"] == large["large"]
+        fits = left.join(large, same, "left_anti")
+        whole = fits if whole is None else whole.unionByName(fits)
+        left = written(_split(left.join(large, same, "left_semi"), level), "split")
+    return left if whole is None else whole.unionByName(left)
+
+
+def links(nodes: DataFrame, most: int | None = None) -> DataFrame:
     """a, b: links whose components are those of all pairs of distinct ``fp`` within four bits."""
-    small = nodes.select("fp")
-    keys = F.explode(F.array(*(F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) + F.lit(i << 13) for i, (s, w) in enumerate(SEGMENTS))))
-    dealt = small.select(keys.alias("key"), "fp")
-    dealt = dealt.repartition(F.col("key")).sortWithinPartitions("key")
+    groups = dealt(nodes.select("fp"), most).repartition(F.col("key")).sortWithinPartitions("key")
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +228,7 @@ def links(nodes: DataFrame) -> DataFrame:
         if held:
             yield out(np.concatenate(ks), np.concatenate(fs))
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return groups.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -210,7 +257,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _rooted(prints: DataFrame, order: Column) -> DataFrame:
     """fp, least and root: each fingerprint's least value of ``order`` and the root of its component."""
-    nodes = prints.groupBy("fp").agg(F.min(order).alias("least"))
+    nodes = written(prints.groupBy("fp").agg(F.min(order).alias("least")), "nodes")
     roots = components(links(nodes)).withColumnRenamed("node", "fp")
     return nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 

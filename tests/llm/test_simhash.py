@@ -79,6 +79,34 @@ def test_chains_find_every_near_pair():
         assert {int(left[0]), int(right[0])} == {a, b}
 
 
+def test_hot_values_are_split_without_losing_a_link(spark):
+    rng = random.Random(9)
+    fps = set()
+    for start in range(5):  # many nodes that share a segment's value, some of them near each other
+        s, w = simhash.SEGMENTS[start]
+        mask = ((1 << w) - 1) << s
+        value = rng.getrandbits(64) & mask
+        for _ in range(150):
+            a = rng.getrandbits(64) & ~mask | value
+            b = a
+            for bit in rng.sample(range(64), rng.randint(1, 4)):
+                b ^= 1 << bit
+            fps |= {a, b}
+    fps |= {rng.getrandbits(8) << 3 | rng.getrandbits(2) << 20 for _ in range(300)}  # alike in nearly all bits
+    fps = sorted(fps)
+    want = classes(dict(enumerate(fps)))
+    nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    for most, levels in ((20, {0, 1, 2, 3}), (10**6, {0})):
+        groups = simhash.dealt(nodes, most).groupBy("key").count().collect()
+        assert {r.key >> 60 for r in groups} == levels and all(r["count"] <= most for r in groups if r.key >> 60 < 3)
+        roots = {r.node: r.root for r in simhash.components(simhash.links(nodes, most)).collect()}
+        seen = {}
+        for i, f in enumerate(fps):
+            f = f - (1 << 64) if f >> 63 else f
+            seen.setdefault(roots.get(f, f), []).append(i)
+        assert sorted(map(tuple, seen.values())) == sorted(tuple(d for d in want if want[d] == k) for k in set(want.values()))
+
+
 def test_long_paths_and_hubs_become_components(spark):
     n = 3000
     edges = [(i, i + 1) for i in range(n)] + [(10_000, 10_000 + i) for i in range(1, n)]
