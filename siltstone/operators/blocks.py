@@ -29,10 +29,20 @@ def top(asked: DataFrame, held: DataFrame, key: str, k: int, keep_zero: bool = T
 
     asked: query_id, place, w. held: key, place, w. Scores are rounded, ties break by key; zero scores go unless kept.
     """
-    sizes = asked.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("query_id").alias("q")).first()
-    blocks = max(1, -(-sizes["q"] // QUESTIONS), -(-sizes["n"] // PLACES))
     kinds = dict(held.dtypes)
     out = None
+    for queries, places, matrix in questions(asked):
+        vocabulary = asked.sparkSession.createDataFrame([(p, i) for i, p in enumerate(places)], f"place {kinds['place']}, _i int")
+        near = held.join(F.broadcast(vocabulary), "place").groupBy(key).agg(F.collect_list(F.struct("_i", "w")).alias("_v")).select(key, "_v._i", "_v.w")  # a row's places that a question has
+        found = near.mapInPandas(_scorer(asked.sparkSession.sparkContext.broadcast((queries, matrix)), key, k, keep_zero, digits), f"query_id long, {key} {kinds[key]}, score double")
+        out = found if out is None else out.unionByName(found)
+    return fusion.top(out.withColumn("score", F.round("score", digits)), ["query_id"], k, key=key)
+
+
+def questions(asked: DataFrame) -> Iterator[tuple[list, list, np.ndarray]]:
+    """Blocks of questions (query_id, place, w): their ids, their places, and the weights of places by questions."""
+    sizes = asked.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("query_id").alias("q")).first()
+    blocks = max(1, -(-sizes["q"] // QUESTIONS), -(-sizes["n"] // PLACES))
     for b in range(blocks):
         rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "place", "w").collect()  # about PLACES rows
         queries = sorted({r["query_id"] for r in rows})
@@ -41,22 +51,18 @@ def top(asked: DataFrame, held: DataFrame, key: str, k: int, keep_zero: bool = T
         matrix = np.zeros((len(places), len(queries)))
         for r in rows:
             matrix[p_at[r["place"]], q_at[r["query_id"]]] = r["w"] or NOTHING
-        vocabulary = asked.sparkSession.createDataFrame(list(p_at.items()), f"place {kinds['place']}, _i int")
-        near = held.join(F.broadcast(vocabulary), "place").groupBy(key).agg(F.collect_list(F.struct("_i", "w")).alias("_v")).select(key, "_v._i", "_v.w")  # a row's places that a question has
-        found = near.mapInPandas(_scorer(asked.sparkSession.sparkContext.broadcast((queries, matrix)), key, k, keep_zero, digits), f"query_id long, {key} {kinds[key]}, score double")
-        out = found if out is None else out.unionByName(found)
-    return fusion.top(out.withColumn("score", F.round("score", digits)), ["query_id"], k, key=key)
+        yield queries, places, matrix
 
 
-def _products(at: np.ndarray, w: np.ndarray, sizes: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+def products(at: np.ndarray, w: np.ndarray, sizes: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     """Rows of weights (their places and weights one after the other) times the matrix."""
     ends = np.cumsum(sizes)
     out = np.zeros((len(sizes), matrix.shape[1]))
     first = 0
     while first < len(sizes):  # as many rows as fit into PRODUCT numbers, one at least
-        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + max(1, PRODUCT // matrix.shape[1]), "right")))
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + max(1, PRODUCT // max(1, matrix.shape[1])), "right")))
         a, b = (ends[first - 1] if first else 0), ends[last - 1]
-        if b > a:
+        if b > a and matrix.shape[1]:
             full = sizes[first:last] > 0
             starts = (ends[first:last] - sizes[first:last] - a)[full]
             out[first:last][full] = np.add.reduceat(w[a:b, None] * matrix[at[a:b]], starts, axis=0)
@@ -84,8 +90,8 @@ def _scorer(sent, key: str, k: int, keep_zero: bool, digits: int):
         for batch in batches:
             sizes = np.array([len(x) for x in batch["_i"]], np.int64)
             at = np.concatenate([np.zeros(0, np.int64), *batch["_i"]]).astype(np.int64)
-            scores = _products(at, np.concatenate([np.zeros(0), *batch["w"]]).astype(np.float64), sizes, matrix)
-            pairs = _products(at, np.ones(len(at)), sizes, (matrix != 0).astype(np.float64)) > 0
+            scores = products(at, np.concatenate([np.zeros(0), *batch["w"]]).astype(np.float64), sizes, matrix)
+            pairs = products(at, np.ones(len(at)), sizes, (matrix != 0).astype(np.float64)) > 0
             scores = np.round(scores, digits)
             if not keep_zero:
                 pairs &= scores != 0

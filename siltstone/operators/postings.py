@@ -2,9 +2,10 @@
 
 Every change writes one segment; nothing written before is touched:
 
-* ``blocks``: the postings of a term, cut by impact into ``LEVELS`` levels, and each level into blocks of about ``BLOCK`` postings (key, tf, dl).
-  The impact is what a posting adds to a score, but for the weight of the term: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean));
-* ``forward``: the terms of each key, in buckets of the key, so that removing a key reads only its bucket;
+* ``forward``: the terms of each key, with a place (shard, place) that stands for it in blocks, and a bucket of the key by which rows are sorted, so that
+  removing a key skips what lies in other buckets. A task writes the rows that it reads: no text is exchanged;
+* ``blocks``: the postings of a term, cut by impact into ``LEVELS`` levels, and each level into blocks of at most ``BLOCK`` postings (place, tf) of a shard.
+  They are made where the forward rows are read, so that lists of numbers are exchanged and not a row for each posting. The impact is what a posting adds to a score, but for the weight of the term: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean));
 * ``terms``: by term and level, by how many postings a segment changes their number (``n``, negative where keys went), so document frequencies are
   sums of deltas and are not counted again;
 * ``dead``: the keys that a segment removes or replaces: their postings of earlier segments no longer count;
@@ -15,14 +16,19 @@ The levels are those of the mean length at the time the index was made; a longer
 ``search`` finds the exact best ``k`` of each question: it reads the highest levels of the question's terms for a first k-th score; then it chooses the levels to
 read, such that a key in none of them stays below that score; completes those that can still reach it from ``forward``; and leaves the other
 blocks unread. It returns how many blocks that were. Where a batch asks so much of common terms that rows of question and posting would be more than
-``PRODUCT_ROWS``, every posting of its terms is read once for all questions instead; the hits are the same.
+``PRODUCT_ROWS``, the forward rows are read once for all questions instead and multiplied where they are read; the hits are the same.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,10 +44,110 @@ FIRST = 4
 #: Rows of question and posting from which a batch is scored as a product instead: each posting is then read once for all questions.
 PRODUCT_ROWS = 2_000_000
 SLACK = 1e-8
-
-
-def impact(tf: Column, dl: Column, mean: float) -> Column:
-    return tf * TOP / (tf + K1 * (1 - B + B * dl / F.lit(mean)))
+#: Postings that a task turns into blocks together.
+TURNED = 2_000_000
+
+
+def impact(tf, dl, mean: float):
+    """Of columns or of arrays."""
+    return tf * TOP / (tf + K1 * (1 - B + B * dl / mean))
+
+
+def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat.astype(np.int32)))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys and their words to keys, their place, distinct terms, counts and length."""
+    shard, first = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        n, words = batch.num_rows, batch.column(1)
+        sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = pc.dictionary_encode(words.flatten().cast(pa.string()))
+        order = pc.sort_indices(coded.dictionary)
+        known = np.empty(len(order), np.int64)
+        known[order.to_numpy()] = np.arange(len(order))
+        each = np.repeat(np.arange(n), sizes) * max(1, len(order)) + known[coded.indices.to_numpy()]
+        each, tf = np.unique(each, return_counts=True)  # by row, then by term
+        row, term = np.divmod(each, max(1, len(order)))
+        own = np.bincount(row, minlength=n)
+        terms = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(own)]).astype(np.int32)), coded.dictionary.take(order).take(pa.array(term)))
+        place = np.arange(first, first + n, dtype=np.int32)
+        first += n
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(n, shard, np.int32)), pa.array(place), terms, _lists(tf, own), pa.array(sizes)], ["key", "shard", "place", "terms", "tfs", "dl"])
+
+
+def _turned(mean: float):
+    """Forward rows (shard, place, terms, tfs, dl) to blocks (term, level, shard, places, tfs)."""
+
+    def turn(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        sizes = pc.list_value_length(rows.column("terms")).to_numpy(zero_copy_only=False).astype(np.int64)
+        shard, place, dl = (np.repeat(rows.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("shard", "place", "dl"))
+        tf = rows.column("tfs").flatten().to_numpy(zero_copy_only=False)
+        level = np.minimum(np.ceil(impact(tf, dl, mean) * LEVELS / TOP), LEVELS).astype(np.int32)
+        coded = pc.dictionary_encode(rows.column("terms").flatten())
+        term = coded.indices.to_numpy()
+        order = np.lexsort((place, shard, -level, term))
+        term, level, shard, place, tf = term[order], level[order], shard[order], place[order], tf[order]
+        starts = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (level[1:] != level[:-1]) | (shard[1:] != shard[:-1])]))
+        number = np.arange(len(term)) - np.repeat(starts, np.diff(np.append(starts, len(term))))
+        starts = np.flatnonzero(number % BLOCK == 0)
+        lengths = np.diff(np.append(starts, len(term)))
+        return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(term[starts])), pa.array(level[starts]), pa.array(shard[starts]), _lists(place, lengths), _lists(tf, lengths)], ["term", "level", "shard", "places", "tfs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            more = len(batch.column("terms").flatten())
+            if more:
+                held.append(batch)
+                n += more
+            if n >= TURNED:
+                yield turn(held)
+                held, n = [], 0
+        if held:
+            yield turn(held)
+
+    return run
+
+
+def _scorer(sent, mean: float, k: int | None, keep_zero: bool, digits: int):
+    """Forward rows (key, terms, tfs, dl) times the questions: the best ``k`` of a batch, or (None) every pair that shares a term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, places, matrix = sent.value
+        vocabulary = pa.array(places, pa.string())
+        # terms shared, unless a product that is not zero says so already
+        shares = (matrix != 0).astype(np.float64) if keep_zero or (k is None and (matrix < 0).any()) else None
+        for batch in batches:
+            terms = batch.column(1)
+            at = pc.fill_null(pc.index_in(terms.flatten().cast(pa.string()), value_set=vocabulary), -1).to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+            asked = at >= 0
+            at, row = at[asked], row[asked]
+            if not len(at):
+                continue
+            w = impact(batch.column(2).flatten().to_numpy(zero_copy_only=False)[asked], batch.column(3).to_numpy(zero_copy_only=False)[row], mean)
+            sizes = np.bincount(row, minlength=batch.num_rows)
+            some = np.flatnonzero(sizes)
+            scores = blocks.products(at, w, sizes[some], matrix)
+            if k is None:
+                pairs = scores != 0 if shares is None else blocks.products(at, np.ones(len(at)), sizes[some], shares) > 0
+                i, j = np.nonzero(pairs)
+                ids, asking, score = some[i], np.asarray(queries)[j], scores[i, j]
+            else:
+                scores = np.round(scores, digits)
+                pairs = scores != 0 if shares is None else blocks.products(at, np.ones(len(at)), sizes[some], shares) > 0
+                keys = batch.column(0).take(pa.array(some)).to_numpy(zero_copy_only=False)
+                best = blocks.best_of(keys, scores, pairs, queries, "key", k)
+                yield pa.RecordBatch.from_arrays([pa.array(best["query_id"], pa.int64()), pa.array(best["key"], batch.column(0).type), pa.array(best["score"], pa.float64())], ["query_id", "key", "score"])
+                continue
+            for a in range(0, len(ids), 100_000):
+                b = slice(a, a + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(asking[b].astype(np.int64)), batch.column(0).take(pa.array(ids[b])), pa.array(score[b])], ["query_id", "key", "score"])
+
+    return run
 
 
 @dataclass(frozen=True)
@@ -73,8 +179,8 @@ class Postings:
         reader = self.spark.read.option("basePath", f"{self.path}/{table}")
         if table in ("forward", "blocks"):  # a segment without rows has no files there
             self._kind = kind = self._kind or self.spark.read.parquet(f"{self.path}/dead").schema[self.key].dataType.simpleString()
-            key = {"forward": f"{self.key} {kind}, terms array<string>, tfs array<int>, dl long", "blocks": f"term string, level int, keys array<{kind}>, tfs array<int>, dls array<bigint>"}[table]
-            reader = reader.schema(f"{key}, seg int, bucket int")
+            key = {"forward": f"{self.key} {kind}, shard int, place int, terms array<string>, tfs array<int>, dl long, bucket int, seg int", "blocks": "term string, level int, shard int, places array<int>, tfs array<int>, seg int, bucket int"}[table]
+            reader = reader.schema(key)
         return reader.parquet(*(f"{self.path}/{table}/seg={s}" for s in self.segments()))
 
     def segments(self) -> list[int]:
@@ -109,7 +215,10 @@ class Postings:
 
     def _alive(self, rows: DataFrame) -> DataFrame:
         """``rows`` (key, seg) that no later segment removed."""
-        dead = self._read("dead").groupBy(self.key).agg(F.max("seg").alias("until"))  # what a key had before that is gone
+        dead = self._read("dead")
+        if dead.isEmpty():
+            return rows
+        dead = dead.groupBy(self.key).agg(F.max("seg").alias("until"))  # what a key had before that is gone
         return rows.join(dead, self.key, "left").filter(F.col("until").isNull() | (F.col("seg") >= F.col("until"))).drop("until")
 
     # --- changing
@@ -131,21 +240,23 @@ class Postings:
 
         def write(df: DataFrame, table: str, *by: str) -> DataFrame:
             path = f"{self.path}/{table}/seg={seg}"
-            writer = df.write.mode("overwrite")  # a segment that was left half-written is written again
+            writer = df.write.mode("overwrite").option("compression", "zstd")  # a segment that was left half-written is written again
             (writer.partitionBy(*by) if by else writer).parquet(path)
             return spark.read.schema(df.schema).parquet(path)
 
         kind = (chunks if chunks is not None else gone).schema[key].dataType.simpleString()
+        kinds = "shard int, place int, terms array<string>, tfs array<int>, dl long"
+
+        def deal(rows: DataFrame) -> DataFrame:
+            counted = rows.select(F.col(key).alias("key"), self.tokenizer(F.col(text)).alias("t")).mapInArrow(_counted, f"key {kind}, {kinds}").withColumnRenamed("key", key)
+            return counted.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")).sortWithinPartitions("bucket")
+
         if chunks is None:
-            forward = spark.createDataFrame([], f"{key} {kind}, terms array<string>, tfs array<int>, dl long, bucket int")
+            forward = write(spark.createDataFrame([], f"{key} {kind}, {kinds}, bucket int"), "forward")
         else:
-            counted = chunks.select(key, self.tokenizer(F.col(text)).alias("t")).repartition(F.col(key))  # the only exchange of texts
-            lengths = counted.groupBy(key).agg(F.first(F.size("t").cast("long")).alias("dl"))
-            tf = counted.dropDuplicates([key]).select(key, F.explode("t").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-            own = tf.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("p"))  # keyed as the texts are, so nothing is exchanged
-            none = F.array().cast("array<struct<term:string,tf:int>>")
-            forward = lengths.join(own, key, "left").withColumn("p", F.coalesce("p", none)).select(key, F.col("p.term").alias("terms"), F.col("p.tf").alias("tfs"), "dl", F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int").alias("bucket"))
-        forward = write(forward, "forward", "bucket")
+            forward = write(deal(chunks), "forward")
+            if not forward.groupBy(F.xxhash64(key)).count().filter("count > 1").isEmpty():  # keys that come again, if not by chance
+                forward = write(deal(chunks.select(key, text).dropDuplicates([key])), "forward")
         stats = forward.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).first()
         old = self.stats() if before else {"n": 0, "total": 0, "reference": stats["total"] / stats["n"] if stats["n"] and stats["total"] else 1.0}
         level = F.least(F.ceil(impact(F.col("tf"), F.col("dl"), old["reference"]) * LEVELS / TOP), F.lit(LEVELS)).cast("int")
@@ -154,8 +265,10 @@ class Postings:
             each = rows.select(key, "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(key, "dl", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
             return each.withColumn("level", level)
 
-        fresh = spread(forward)
-        counts = own_counts = checkpointed(fresh.groupBy("term", "level").agg(F.count(F.lit(1)).cast("long").alias("n")))
+        block = forward.select("shard", "place", "terms", "tfs", "dl").mapInArrow(_turned(old["reference"]), "term string, level int, shard int, places array<int>, tfs array<int>")
+        block = block.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int"))
+        block = write(block.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", F.desc("level")), "blocks", "bucket")
+        counts = block.groupBy("term", "level").agg(F.sum(F.size("places")).cast("long").alias("n"))
         went = spark.createDataFrame([], f"{key} {kind}, dl long")
         if gone is not None and before:
             keys = gone.distinct().withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int"))
@@ -165,12 +278,6 @@ class Postings:
             went = known.select(key, "dl")
             counts = counts.unionByName(spread(known).groupBy("term", "level").agg((-F.count(F.lit(1))).cast("long").alias("n"))).groupBy("term", "level").agg(F.sum("n").alias("n")).filter("n <> 0")
         write(went.select(key), "dead")
-        # a level of a common term is cut into blocks by the keys' hashes, so that no group grows with the table
-        common = own_counts.filter(F.col("n") > BLOCK).select("term", "level", F.ceil(F.col("n") / BLOCK).alias("parts"))
-        sized = fresh.join(common, ["term", "level"], "left")
-        block = sized.groupBy("term", "level", F.pmod(F.xxhash64(key), F.coalesce("parts", F.lit(1))).alias("part")).agg(F.collect_list(F.struct(key, "tf", "dl")).alias("p"))
-        block = block.select("term", "level", F.col(f"p.{key}").alias("keys"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"), F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int").alias("bucket"))
-        write(block.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", F.desc("level")), "blocks", "bucket")
         change = write(counts, "terms")
         lost = went.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).first()
         n = old["n"] + stats["n"] - lost["n"]
@@ -193,16 +300,14 @@ class Postings:
         if self._seen is None:
             return self.snapshot().scores(questions, text)
         s = self.stats()
-        asked = self._asked(questions, text, s)
-        hit = self._postings(asked.withColumn("least", F.lit(0)), s)
-        return hit.groupBy("query_id", self.key).agg(F.sum("part").alias("score"))
+        return self._products(self._asked(questions, text, s), s, None, True, 0)
 
     def _postings(self, chosen: DataFrame, s: dict) -> DataFrame:
         """query_id, term, key, part of the postings of the chosen (query_id, term, w, least: the lowest level to read)."""
-        near = self._read("blocks").select("seg", "bucket", "term", "level", "keys", "tfs", "dls").join(chosen.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")), ["bucket", "term"])
-        each = near.filter("level >= least").select("query_id", "term", "w", "seg", F.explode(F.arrays_zip("keys", "tfs", "dls")).alias("p"))
-        each = each.select("query_id", "term", "seg", F.col("p.keys").alias(self.key), (F.col("w") * impact(F.col("p.tfs"), F.col("p.dls"), s["mean"])).alias("part"))
-        return self._alive(each).drop("seg")
+        near = self._read("blocks").select("seg", "bucket", "term", "level", "shard", "places", "tfs").join(chosen.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")), ["bucket", "term"])
+        each = near.filter("level >= least").select("query_id", "term", "w", "seg", "shard", F.explode(F.arrays_zip("places", "tfs")).alias("p")).select("query_id", "term", "w", "seg", "shard", F.col("p.places").alias("place"), F.col("p.tfs").alias("tf"))
+        each = each.join(self._read("forward").select("seg", "shard", "place", self.key, "dl"), ["seg", "shard", "place"])
+        return self._alive(each.select("query_id", "term", "seg", self.key, (F.col("w") * impact(F.col("tf"), F.col("dl"), s["mean"])).alias("part"))).drop("seg")
 
     def search(self, questions: DataFrame, k: int, text: str = "question", keep_zero: bool = False, digits: int = 9) -> Found:
         """The best ``k`` keys of each question. Zero scores go unless kept; ties break by key."""
@@ -271,14 +376,20 @@ class Postings:
         return self.frequencies().join(asked, "term").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
 
     def _product(self, asked: DataFrame, s: dict, k: int, keep_zero: bool, digits: int) -> Found:
-        """The same hits for many questions of common terms: every posting of their terms is read, and multiplied with a block of questions."""
-        near = self._read("blocks").join(asked.select("term").distinct(), "term", "left_semi")
-        each = self._alive(near.select("term", "seg", F.explode(F.arrays_zip("keys", "tfs", "dls")).alias("p")).select("term", "seg", F.col("p.keys").alias(self.key), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl")))
-        held = each.select(self.key, F.col("term").alias("place"), impact(F.col("tf"), F.col("dl"), s["mean"]).alias("w"))
-        hits = blocks.top(asked.select("query_id", F.col("term").alias("place"), "w"), held, self.key, k, keep_zero, digits)
+        """The same hits for many questions of common terms."""
+        hits = fusion.top(self._products(asked, s, k, keep_zero, digits), ["query_id"], k, key=self.key)
         sizes = self._read("blocks").groupBy("term").agg(F.count(F.lit(1)).alias("blocks"))
         return Found(hits, asked.join(sizes, "term").groupBy("query_id").agg(F.sum("blocks").alias("blocks_read"), F.lit(0).cast("long").alias("blocks_skipped")))
 
+    def _products(self, asked: DataFrame, s: dict, k: int | None, keep_zero: bool, digits: int) -> DataFrame:
+        """query_id, key, score: the forward rows times each block of questions, where they are read; the best ``k`` of every batch of rows, or every pair."""
+        held = self._alive(self._read("forward").select(self.key, "terms", "tfs", "dl", "seg")).select(F.col(self.key).alias("key"), "terms", "tfs", "dl")
+        out = None
+        for block in blocks.questions(asked.select("query_id", F.col("term").alias("place"), "w")):
+            found = held.mapInArrow(_scorer(self.spark.sparkContext.broadcast(block), s["mean"], k, keep_zero, digits), f"query_id long, key {dict(held.dtypes)['key']}, score double")
+            out = found if out is None else out.unionByName(found)
+        return out.withColumnRenamed("key", self.key)
+
     def compact(self, path: str) -> Postings:
         """What counts now, as the one segment of a new index below ``path``."""
         words = F.flatten(F.transform(F.arrays_zip("terms", "tfs"), lambda p: F.array_repeat(p["terms"], p["tfs"])))

@@ -13,7 +13,7 @@ from siltstone.queries import corpus
 
 DIM = 1024
 #: Changes with what is written, so that tables of an earlier layout are not taken for these.
-LAYOUT = 2
+LAYOUT = 3
 
 
 def _once(t, name: str, table: str, build) -> str:
@@ -21,11 +21,11 @@ def _once(t, name: str, table: str, build) -> str:
 
 
 def chunks(t) -> DataFrame:
-    return t.spark.read.parquet(_once(t, "chunks", "documents", lambda path: corpus.chunks(t).write.parquet(f"{path}/rows")) + "/rows")
+    return t.spark.read.parquet(_once(t, "chunks", "documents", lambda path: corpus.chunks(t).write.option("compression", "zstd").parquet(f"{path}/rows")) + "/rows")
 
 
 def claims(t) -> DataFrame:
-    return t.spark.read.parquet(_once(t, "claims", "documents", lambda path: chunking.extract_claims(chunks(t)).write.parquet(f"{path}/rows")) + "/rows")
+    return t.spark.read.parquet(_once(t, "claims", "documents", lambda path: chunking.extract_claims(chunks(t)).write.option("compression", "zstd").parquet(f"{path}/rows")) + "/rows")
 
 
 def chunk_vectors(t) -> VectorIndex:
@@ -57,4 +57,4 @@ def embeddings(t) -> VectorIndex:
 
 
 def postings(t) -> Postings:
-    return Postings(t.spark, _once(t, "postings", "documents", lambda path: Postings(t.spark, path).create(chunks(t))))
+    return Postings(t.spark, _once(t, "postings", "documents", lambda path: Postings(t.spark, path).create(corpus.chunks(t))))

@@ -151,3 +151,16 @@ def test_vector_index_of_nothing(spark):
     assert index.search(vectors(spark, np.ones((2, 3))).withColumnRenamed("vec_id", "query_id"), 2).hits.count() == 0
     zero = vector_index.create(vectors(spark, np.zeros((2, 3))), fresh_path(spark, "v"), "vec_id", 3)
     assert [r.score for r in zero.search(vectors(spark, np.ones((1, 3))).withColumnRenamed("vec_id", "query_id"), 5).hits.collect()] == [0.0, 0.0]
+
+
+def test_blocks_do_not_repeat_keys_and_texts_are_not_exchanged(spark):
+    few = [(str(i), text) for i, (_, text) in enumerate(corpus(6, 300))]
+    size = lambda data: sum(n for n, _ in tables.files(spark, f"{Postings(spark, fresh_path(spark, 'postings')).create(spark.createDataFrame(data, 'chunk_id string, text string')).path}/blocks").values())
+    r = random.Random(7)
+    assert size([("".join(r.choices("0123456789abcdef", k=400)) + i, text) for i, text in few]) < 1.1 * size(few)
+
+
+def test_keys_that_come_again_count_once(spark):
+    twice = spark.createDataFrame([("a", "w1 w2"), ("a", "w1 w2"), ("b", "w1 w1 w3")], "chunk_id string, text string")
+    index = Postings(spark, fresh_path(spark, "postings")).create(twice)
+    assert index.stats()["n"] == 2 and rows(index.frequencies(), "term", "df") == [("w1", 2), ("w2", 1), ("w3", 1)]
