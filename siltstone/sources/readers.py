@@ -6,6 +6,7 @@ import csv
 import functools
 import io
 import json
+import re
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -195,11 +196,20 @@ class _Tree(HTMLParser):
             texts.append(data)
 
 
-def selected_text(page: str | None, least: int = 200) -> str:
-    """Text of the first of article, main, .content, #content and body with more than ``least`` characters, else all of it."""
+#: An ampersand that begins no character reference ended by a semicolon: it stands for itself.
+_BARE = re.compile(r"&(?!(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);)")
+
+
+def _tree(page: str | None) -> _Tree:
     tree = _Tree()
-    tree.feed(page or "")
+    tree.feed(_BARE.sub("&amp;", page or ""))
     tree.close()
+    return tree
+
+
+def selected_text(page: str | None, least: int = 200) -> str:
+    """Text of the first of article, main, .content, #content and body with more than ``least`` characters, else all of it."""
+    tree = _tree(page)
     for s in tree.SELECTORS:
         text = " ".join(" ".join(tree.found.get(s, ())).split())
         if len(text) > least:
@@ -222,9 +232,7 @@ def page_backends(pages: DataFrame, key: str, html: str, least: int = 200) -> Da
         for b in batches:
             found = []
             for page in b[html]:
-                tree = _Tree()
-                tree.feed(page or "")
-                tree.close()
+                tree = _tree(page)
                 article = " ".join(" ".join(tree.found.get("article", ())).split())
                 whole = " ".join(" ".join(tree.every).split())
                 found.append((article, "article") if len(article) > least else (whole, "page") if whole else (None, None))

@@ -7,6 +7,7 @@ from siltstone.functions import extract as e
 from siltstone.functions import text as x
 from siltstone.functions import vectors as v
 from siltstone.functions import verify as check
+from siltstone.sources import readers
 
 
 @pytest.fixture(scope="module")
@@ -142,3 +143,11 @@ def test_hash_embedding_against_hashlib(spark):
         df = spark.createDataFrame([(1, " ".join(words))], "id long, text string")
         got = {r.idx: r.w for r in v.hash_embedding(df, "id", "text", dim, weighted).collect()}
         assert got == pytest.approx({i: w / norm for i, w in want.items() if w})
+
+
+def test_references_without_a_semicolon_stand_for_themselves(spark):
+    page = "<title>a &amp; b &amp</title><article>" + "x &amp; y&amp " * 30 + "</article>"
+    rows = spark.createDataFrame([(1, page), (2, "<p>a &amp; b&amp</p>")], "page_id long, html string")
+    want = {1: " ".join(["x & y&amp"] * 30), 2: "a & b&amp"}
+    assert {r.page_id: r.text for r in readers.main_texts(rows, "page_id", "html").collect()} == want
+    assert {r.page_id: r.text for r in readers.page_backends(rows, "page_id", "html").collect()} == want
