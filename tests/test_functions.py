@@ -151,3 +151,8 @@ def test_references_without_a_semicolon_stand_for_themselves(spark):
     want = {1: " ".join(["x & y&amp"] * 30), 2: "a & b&amp"}
     assert {r.page_id: r.text for r in readers.main_texts(rows, "page_id", "html").collect()} == want
     assert {r.page_id: r.text for r in readers.page_backends(rows, "page_id", "html").collect()} == want
+
+
+def test_sub_questions_are_parted_as_in_sql(spark):
+    rows = spark.createDataFrame([("and so what, or not",), ("éand b",), ("one and and two",), ("this and that; more",)], "q string")
+    assert [r[0] for r in rows.select(e.sub_questions(F.col("q"))).collect()] == [["and so what?", "or not?"], ["éand b"], ["one?", "and two?"], ["this?", "that?", "more?"]]
