@@ -73,10 +73,10 @@ def _centroids(sample: np.ndarray, k: int, seed: int = 5) -> np.ndarray:
 
 
 def create(vectors: DataFrame, path: str, key: str, dim: int, *carried: str, clusters: int | None = None) -> VectorIndex:
-    """Writes the index of ``vectors`` (key, idx, w, carried columns): idx null for dense rows; weights are made unit."""
+    """Writes the index of ``vectors`` (key, idx, w, carried columns): idx null for dense rows. Weights are kept as given (counts take little room) and made unit when read."""
     spark = vectors.sparkSession
     rows = vectors.select(key, "idx", "w", *carried)
-    rows.write.mode("overwrite").parquet(f"{path}/given")
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/given")
     rows = spark.read.schema(rows.schema).parquet(f"{path}/given")
     n = rows.count()
     k = clusters or max(1, min(MOST_CLUSTERS, CENTROID_FLOATS // dim, -(-n // CLUSTER)))
@@ -92,12 +92,11 @@ def create(vectors: DataFrame, path: str, key: str, dim: int, *carried: str, clu
             cosines = unit @ sent.value.T
             b["cluster"] = cosines.argmax(axis=1).astype(np.int32)
             b["cosine"] = cosines.max(axis=1)
-            b["w"] = [unit[i] if at is None else unit[i, np.asarray(at)] for i, at in enumerate(b["idx"])]
             yield b
 
     kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "w")
     placed = rows.mapInPandas(assign, f"{kinds}, w array<double>, cluster int, cosine double")
-    placed.hint("rebalance", "cluster").write.mode("overwrite").partitionBy("cluster").parquet(f"{path}/vectors")  # a cluster with many rows becomes several files
+    placed.hint("rebalance", "cluster").write.mode("overwrite").option("compression", "zstd").partitionBy("cluster").parquet(f"{path}/vectors")  # a cluster with many rows becomes several files
     tables.delete(spark, f"{path}/given")
     reach = {r["cluster"]: (r["reach"], r["n"]) for r in spark.read.parquet(f"{path}/vectors").groupBy("cluster").agg(F.min("cosine").alias("reach"), F.count(F.lit(1)).alias("n")).collect()} if n else {}  # a row a cluster
     meta = [(int(c), centres[c].tolist(), float(reach[c][0]), int(reach[c][1])) for c in sorted(reach)]
@@ -170,7 +169,7 @@ def _scorer(sent, key: str, dim: int, k: int, digits: int, shared: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, matrix = sent.value
         for batch in batches:
-            rows = _dense(batch["idx"], batch["w"], dim)
+            rows = _unit(_dense(batch["idx"], batch["w"], dim))
             pairs = (rows != 0).astype(np.float32) @ (matrix != 0).astype(np.float32) > 0 if shared else None
             yield blocks.best_of(batch[key].to_numpy(), np.round(rows @ matrix, digits), pairs, ids, key, k)
 

@@ -156,3 +156,11 @@ def test_references_without_a_semicolon_stand_for_themselves(spark):
 def test_sub_questions_are_parted_as_in_sql(spark):
     rows = spark.createDataFrame([("and so what, or not",), ("éand b",), ("one and and two",), ("this and that; more",)], "q string")
     assert [r[0] for r in rows.select(e.sub_questions(F.col("q"))).collect()] == [["and so what?", "or not?"], ["éand b"], ["one?", "and two?"], ["this?", "that?", "more?"]]
+
+
+def test_hash_vectors_join_rows_of_a_key_and_exchange_no_texts(spark):
+    rows = spark.createDataFrame([("a", "x y"), ("a", "x z"), ("b", None), ("c", "!"), (None, "x x")], "k string, t string")
+    once = spark.createDataFrame([("a", "x y x z"), (None, "x x")], "k string, t string")
+    got, want = (sorted(((r.k, r.idx, round(r.w, 12)) for r in v.hash_embedding(d, "k", "t", 64).collect()), key=repr) for d in (rows, once))
+    assert got == want and len(got) > 1
+    assert "Exchange" not in v.hash_embedding(once, "k", "t", 64)._jdf.queryExecution().executedPlan().toString()
