@@ -5,10 +5,11 @@ Every change writes one segment; nothing written before is touched:
 * ``forward``: the terms of each key, with a place (shard, place) that stands for it in blocks, and a bucket of the key by which rows are sorted, so that
   removing a key skips what lies in other buckets. A task writes the rows that it reads: no text is exchanged;
 * ``blocks``: the postings of a term, cut by impact into ``LEVELS`` levels, and each level into blocks of at most ``BLOCK`` postings (place, tf) of a shard.
-  They are made where the forward rows are read, so that lists of numbers are exchanged and not a row for each posting. The impact is what a posting adds to a score, but for the weight of the term: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean));
+  They are made and written where the forward rows are read, sorted by a bucket of the term, so nothing is exchanged for them and Parquet's statistics skip other buckets. The impact is what a posting adds to a score, but for the weight of the term: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean));
 * ``terms``: by term and level, by how many postings a segment changes their number (``n``, negative where keys went), so document frequencies are
   sums of deltas and are not counted again;
-* ``dead``: the keys that a segment removes or replaces: their postings of earlier segments no longer count;
+* ``dead``: the places of earlier segments (of) that a segment removes or replaces, as bits of words of 64 places: these no longer count. They are sent to
+  where forward rows are read, ``DEAD_WORDS`` words and their range of shards at a time, so that no terms are exchanged for a removal;
 * ``stats``: changes of the number of keys and of their total length, and the mean idf after the change. It is written last: a segment counts once it is there.
 
 The levels are those of the mean length at the time the index was made; a longer mean since then raises the bounds by its ratio.
@@ -21,6 +22,7 @@ blocks unread. It returns how many blocks that were. Where a batch asks so much
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,6 +46,8 @@ FIRST = 4
 #: Rows of question and posting from which a batch is scored as a product instead: each posting is then read once for all questions.
 PRODUCT_ROWS = 2_000_000
 SLACK = 1e-8
+#: Words of 64 places that are sent to the tasks together.
+DEAD_WORDS = 500_000
 #: Postings that a task turns into blocks together.
 TURNED = 2_000_000
 
@@ -178,8 +182,8 @@ class Postings:
         """The table's rows in finished segments."""
         reader = self.spark.read.option("basePath", f"{self.path}/{table}")
         if table in ("forward", "blocks"):  # a segment without rows has no files there
-            self._kind = kind = self._kind or self.spark.read.parquet(f"{self.path}/dead").schema[self.key].dataType.simpleString()
-            key = {"forward": f"{self.key} {kind}, shard int, place int, terms array<string>, tfs array<int>, dl long, bucket int, seg int", "blocks": "term string, level int, shard int, places array<int>, tfs array<int>, seg int, bucket int"}[table]
+            self._kind = kind = self._kind or self.spark.read.parquet(f"{self.path}/stats").first()["kind"]
+            key = {"forward": f"{self.key} {kind}, shard int, place int, terms array<string>, tfs array<int>, dl long, bucket int, seg int", "blocks": "term string, level int, shard int, places array<int>, tfs array<int>, bucket int, seg int"}[table]
             reader = reader.schema(key)
         return reader.parquet(*(f"{self.path}/{table}/seg={s}" for s in self.segments()))
 
@@ -213,13 +217,32 @@ class Postings:
         raw = self._raw(df, s["n"])
         return F.when(raw < 0, F.lit(s["mean_idf"] * EPSILON)).otherwise(raw)
 
-    def _alive(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (key, seg) that no later segment removed."""
+    def _alive(self, rows: DataFrame, stored: bool = True) -> DataFrame:
+        """``rows`` (seg, shard, place) that no later segment removed; ``stored``: rows of forward tables, which stay where they are read."""
         dead = self._read("dead")
         if dead.isEmpty():
             return rows
-        dead = dead.groupBy(self.key).agg(F.max("seg").alias("until"))  # what a key had before that is gone
-        return rows.join(dead, self.key, "left").filter(F.col("until").isNull() | (F.col("seg") >= F.col("until"))).drop("until")
+        found = [r.withColumn("bits", F.coalesce("bits", F.lit(0))).filter(F.getbit("bits", F.pmod("place", F.lit(64))) == 0) for r in self._marked(rows, dead, "left", stored)]
+        return functools.reduce(DataFrame.unionByName, found).drop("bits")
+
+    def _marked(self, rows: DataFrame, dead: DataFrame, how: str, stored: bool = True) -> list[DataFrame]:
+        """Ranges of ``rows`` (seg, shard, place) by shard, with the bits of their words in ``dead``."""
+        bits = dead.groupBy(F.col("of").alias("seg"), "shard", "word").agg(F.bit_or("bits").alias("bits"))
+        rows = rows.withColumn("word", F.floor(F.col("place") / 64).cast("int"))
+        if not stored:
+            return [rows.join(bits, ["seg", "shard", "word"], how).drop("word")]
+        sizes = sorted(dead.groupBy("shard").count().collect())  # a row a task that wrote
+        ends, n = [], 0
+        for shard, more in sizes:
+            if n and n + more > DEAD_WORDS:
+                ends.append(shard)
+                n = 0
+            n += more
+        out = []
+        for low, high in zip([None, *ends], [*ends, None], strict=True):
+            own = (F.lit(True) if low is None else F.col("shard") >= low) & (F.lit(True) if high is None else F.col("shard") < high)
+            out.append(rows.filter(own).join(F.broadcast(bits.filter(own)), ["seg", "shard", "word"], how).drop("word"))
+        return out
 
     # --- changing
 
@@ -238,10 +261,9 @@ class Postings:
         before = self.segments()
         seg = before[-1] + 1 if before else 0
 
-        def write(df: DataFrame, table: str, *by: str) -> DataFrame:
+        def write(df: DataFrame, table: str) -> DataFrame:
             path = f"{self.path}/{table}/seg={seg}"
-            writer = df.write.mode("overwrite").option("compression", "zstd")  # a segment that was left half-written is written again
-            (writer.partitionBy(*by) if by else writer).parquet(path)
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)  # a segment that was left half-written is written again
             return spark.read.schema(df.schema).parquet(path)
 
         kind = (chunks if chunks is not None else gone).schema[key].dataType.simpleString()
@@ -267,24 +289,28 @@ class Postings:
 
         block = forward.select("shard", "place", "terms", "tfs", "dl").mapInArrow(_turned(old["reference"]), "term string, level int, shard int, places array<int>, tfs array<int>")
         block = block.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int"))
-        block = write(block.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", F.desc("level")), "blocks", "bucket")
+        block = write(block.sortWithinPartitions("bucket", "term", F.desc("level")), "blocks")
         counts = block.groupBy("term", "level").agg(F.sum(F.size("places")).cast("long").alias("n"))
-        went = spark.createDataFrame([], f"{key} {kind}, dl long")
+        went = spark.createDataFrame([], "of int, shard int, word int, bits long, n long, dl long")
         if gone is not None and before:
             keys = gone.distinct().withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int"))
             touched = [r[0] for r in keys.select("bucket").distinct().collect()]
-            known = self._alive(self._read("forward").filter(F.col("bucket").isin(touched)).join(keys.select(key), key, "left_semi"))
-            known = checkpointed(known.select(key, "terms", "tfs", "dl"))
-            went = known.select(key, "dl")
-            counts = counts.unionByName(spread(known).groupBy("term", "level").agg((-F.count(F.lit(1))).cast("long").alias("n"))).groupBy("term", "level").agg(F.sum("n").alias("n")).filter("n <> 0")
-        write(went.select(key), "dead")
+            held = self._read("forward").filter(F.col("bucket").isin(touched))
+            known = self._alive(held.select(key, "dl", "seg", "shard", "place").join(keys.select(key), key, "left_semi"), False)  # keys and places only
+            bit = F.expr("shiftleft(1L, CAST(pmod(place, 64) AS INT))")
+            went = known.groupBy(F.col("seg").alias("of"), "shard", F.floor(F.col("place") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"), F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl"))
+        went = write(went, "dead")
+        lost = went.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).first()
+        if lost["n"]:
+            rows = functools.reduce(DataFrame.unionByName, self._marked(held, went, "inner"))
+            less = spread(rows.filter(F.getbit("bits", F.pmod("place", F.lit(64))) == 1)).groupBy("term", "level").agg((-F.count(F.lit(1))).cast("long").alias("n"))
+            counts = counts.unionByName(less).groupBy("term", "level").agg(F.sum("n").alias("n")).filter("n <> 0")
         change = write(counts, "terms")
-        lost = went.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).first()
         n = old["n"] + stats["n"] - lost["n"]
         every = change.select("term", "n") if not before else self._read("terms").select("term", "n").unionByName(change.select("term", "n"))
         mean_idf = every.groupBy("term").agg(F.sum("n").alias("df")).filter("df > 0").agg(F.avg(self._raw(F.col("df"), n))).first()[0] or 0.0
-        row = [(int(stats["n"] - lost["n"]), int(stats["total"] - lost["total"]), float(mean_idf), float(old["reference"]))]
-        write(spark.createDataFrame(row, "n long, total long, mean_idf double, reference double").coalesce(1), "stats")
+        row = [(int(stats["n"] - lost["n"]), int(stats["total"] - lost["total"]), float(mean_idf), float(old["reference"]), kind)]
+        write(spark.createDataFrame(row, "n long, total long, mean_idf double, reference double, kind string").coalesce(1), "stats")
         return self
 
     # --- searching
@@ -304,10 +330,12 @@ class Postings:
 
     def _postings(self, chosen: DataFrame, s: dict) -> DataFrame:
         """query_id, term, key, part of the postings of the chosen (query_id, term, w, least: the lowest level to read)."""
-        near = self._read("blocks").select("seg", "bucket", "term", "level", "shard", "places", "tfs").join(chosen.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")), ["bucket", "term"])
+        chosen = chosen.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int"))
+        touched = [r[0] for r in chosen.select("bucket").distinct().collect()]
+        near = self._read("blocks").filter(F.col("bucket").isin(touched)).select("seg", "bucket", "term", "level", "shard", "places", "tfs").join(chosen, ["bucket", "term"])
         each = near.filter("level >= least").select("query_id", "term", "w", "seg", "shard", F.explode(F.arrays_zip("places", "tfs")).alias("p")).select("query_id", "term", "w", "seg", "shard", F.col("p.places").alias("place"), F.col("p.tfs").alias("tf"))
         each = each.join(self._read("forward").select("seg", "shard", "place", self.key, "dl"), ["seg", "shard", "place"])
-        return self._alive(each.select("query_id", "term", "seg", self.key, (F.col("w") * impact(F.col("tf"), F.col("dl"), s["mean"])).alias("part"))).drop("seg")
+        return self._alive(each, False).select("query_id", "term", self.key, (F.col("w") * impact(F.col("tf"), F.col("dl"), s["mean"])).alias("part"))
 
     def search(self, questions: DataFrame, k: int, text: str = "question", keep_zero: bool = False, digits: int = 9) -> Found:
         """The best ``k`` keys of each question. Zero scores go unless kept; ties break by key."""
@@ -363,7 +391,7 @@ class Postings:
         able = seen.join(rest, "query_id").join(kth, "query_id", "left").filter(F.col("kth").isNull() | (F.col("sure") + F.col("rest") - F.col("known") + SLACK >= F.col("kth")))
         whole = able.filter("rest = 0").select("query_id", key, F.col("sure").alias("score"))
         open_ = able.filter("rest > 0").select("query_id", key)
-        fits = self._alive(self._read("forward").select(key, "terms", "tfs", "dl", "seg").join(open_, key)).select("query_id", key, "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
+        fits = self._alive(self._read("forward").select(key, "terms", "tfs", "dl", "seg", "shard", "place")).join(open_, key).select("query_id", key, "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
         exact = fits.select("query_id", key, F.col("p.terms").alias("term"), impact(F.col("p.tfs"), F.col("dl"), s["mean"]).alias("i")).join(asked, ["query_id", "term"])
         scored = whole.unionByName(exact.groupBy("query_id", key).agg(F.sum(F.col("w") * F.col("i")).alias("score"))).withColumn("score", F.round("score", digits))
         hits = fusion.top(scored if keep_zero else scored.filter("score <> 0"), ["query_id"], k, key=key)
@@ -383,7 +411,7 @@ class Postings:
 
     def _products(self, asked: DataFrame, s: dict, k: int | None, keep_zero: bool, digits: int) -> DataFrame:
         """query_id, key, score: the forward rows times each block of questions, where they are read; the best ``k`` of every batch of rows, or every pair."""
-        held = self._alive(self._read("forward").select(self.key, "terms", "tfs", "dl", "seg")).select(F.col(self.key).alias("key"), "terms", "tfs", "dl")
+        held = self._alive(self._read("forward").select(self.key, "terms", "tfs", "dl", "seg", "shard", "place")).select(F.col(self.key).alias("key"), "terms", "tfs", "dl")
         out = None
         for block in blocks.questions(asked.select("query_id", F.col("term").alias("place"), "w")):
             found = held.mapInArrow(_scorer(self.spark.sparkContext.broadcast(block), s["mean"], k, keep_zero, digits), f"query_id long, key {dict(held.dtypes)['key']}, score double")
@@ -393,7 +421,7 @@ class Postings:
     def compact(self, path: str) -> Postings:
         """What counts now, as the one segment of a new index below ``path``."""
         words = F.flatten(F.transform(F.arrays_zip("terms", "tfs"), lambda p: F.array_repeat(p["terms"], p["tfs"])))
-        alive = self._alive(self._read("forward").select(self.key, "terms", "tfs", "seg")).select(self.key, words.alias("text"))
+        alive = self._alive(self._read("forward").select(self.key, "terms", "tfs", "seg", "shard", "place")).select(self.key, words.alias("text"))
         Postings(self.spark, path, self.key, lambda c: c).create(alive)
         return Postings(self.spark, path, self.key, self.tokenizer)
 

@@ -34,7 +34,7 @@ _top = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)"
 for name in ("srt03_bm25_top_k", "win03_bm25_ranks"):
     query(name, f"WITH {_BM} SELECT query_id, chunk_id, {_top} AS rank FROM sc WHERE score <> 0 QUALIFY {_top} <= 10")(lambda t: retrieve.lexical(questions(t), stored.postings(t), 10).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank")))
 query("src34_index_terms", f"WITH {_BM} SELECT term, df, round(idf, 6) AS idf FROM te")(lambda t: bm25.build(chunks(t)).terms.select("term", "df", F.round("idf", 6).alias("idf")))
-query("snk12_index_remove", f"WITH {C.replace('FROM chunks0)', 'FROM chunks0 WHERE section <> ' + chr(39) + 'references' + chr(39) + ')')}, w AS (SELECT DISTINCT chunk_id, unnest({s_tokens('text')}) AS term FROM chunks) SELECT term, count(*) AS df FROM w GROUP BY 1")(lambda t: _own_postings(t, stored.chunks(t)).remove(stored.chunks(t).filter("section = 'references'")).frequencies())
+query("snk12_index_remove", f"WITH {C.replace('FROM chunks0)', 'FROM chunks0 WHERE section <> ' + chr(39) + 'references' + chr(39) + ')')}, w AS (SELECT DISTINCT chunk_id, unnest({s_tokens('text')}) AS term FROM chunks) SELECT term, count(*) AS df FROM w GROUP BY 1")(lambda t: _own_postings(t, chunks(t)).remove(chunks(t).filter("section = 'references'")).frequencies())
 
 
 def _own_postings(t, rows):
@@ -43,7 +43,7 @@ def _own_postings(t, rows):
 
 
 def _added(t):
-    c = stored.chunks(t)
+    c = chunks(t)
     fresh = c.filter("section IN ('references', 'table')").withColumn("text", F.concat("text", F.lit(" refreshed")))
     return _own_postings(t, c.filter("section <> 'table'")).add(fresh).frequencies()
 

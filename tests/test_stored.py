@@ -164,3 +164,21 @@ def test_keys_that_come_again_count_once(spark):
     twice = spark.createDataFrame([("a", "w1 w2"), ("a", "w1 w2"), ("b", "w1 w1 w3")], "chunk_id string, text string")
     index = Postings(spark, fresh_path(spark, "postings")).create(twice)
     assert index.stats()["n"] == 2 and rows(index.frequencies(), "term", "df") == [("w1", 2), ("w2", 1), ("w3", 1)]
+
+
+def test_a_removal_writes_and_sends_places_and_not_keys_or_terms(spark, monkeypatch):
+    r = random.Random(8)
+    long = {key: "".join(r.choices("0123456789abcdef", k=400)) + key for key, _ in corpus(8, 300)}
+    df = lambda data: spark.createDataFrame([(long[k], t) for k, t in data], "chunk_id string, text string").repartition(5, "chunk_id")
+    data = corpus(8, 300)
+    monkeypatch.setattr(postings, "DEAD_WORDS", 1)  # a range of shards for almost every word
+    index = Postings(spark, fresh_path(spark, "postings")).create(df(data))
+    index.remove(df(data[:120])).add(df([(k, t + " again") for k, t in data[100:150]])).remove(df(data[290:]))
+    assert sum(n for f, (n, _) in tables.files(spark, f"{index.path}/dead").items()) < 120 * 400
+    kept = [(k, t + " again" if 100 <= i < 150 else t) for i, (k, t) in enumerate(data) if 100 <= i < 290]
+    full = bm25.build(df(kept))
+    assert rows(index.terms().select("term", "df", F.round("idf", 9)), "*") == rows(full.terms.select("term", "df", F.round("idf", 9)), "*")
+    questions = asked(spark, 9, 4)
+    same_hits(index.search(questions, 4).hits, bm25.top(full, questions, 4))
+    monkeypatch.setattr(postings, "PRODUCT_ROWS", 0)
+    same_hits(index.search(questions, 4).hits, bm25.top(full, questions, 4))
