@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from siltstone import ports
@@ -66,9 +67,10 @@ def docx_bytes(text):
 def _docx_files(t):
     def run(batches):
         for b in batches:
-            yield b.assign(content=[docx_bytes(x) for x in b["text"]])[["path", "content"]]
+            for rows in readers._pieces((p.as_py(), docx_bytes(x.as_py())) for p, x in zip(b.column(0), b.column(1), strict=True)):
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["path", "content"])
 
-    return t("documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), F.regexp_replace("text", _ILLEGAL, "").alias("text")).mapInPandas(run, "path string, content binary")
+    return t("documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), F.regexp_replace("text", _ILLEGAL, "").alias("text")).mapInArrow(run, "path string, content binary")
 
 
 _docx_sql = f"array_to_string(list_filter(string_split(regexp_replace(text, '{_ILLEGAL}', '', 'g'), chr(10)), lambda l_: {s_strip('l_')} <> ''), chr(10))"

@@ -13,6 +13,7 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from siltstone.functions.extract import source_type
 from siltstone.functions.text import collapse, quality_by_spacing, quality_by_word_length
 from siltstone.ports import PageParser, PlainPages
 
+#: Bytes or characters of what is parsed and handed on together.
+PIECE = 2 << 20
 PAGES = "path string, page_number int, text string"
 #: Built-in benchmark cases where no dataset is given.
 DEFAULT_CASES = (("What is retrieval augmented generation?", "It grounds generation in retrieved text."), ("What does BM25 score?", "Term matches weighted by frequency and length."))
@@ -31,13 +34,34 @@ def files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select("path", "content")
 
 
-def _mapped(binary: DataFrame, parse) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pieces(rows: Iterator[tuple], size: int = PIECE) -> Iterator[list[tuple]]:
+    """Rows whose last value is a text or bytes, in lists of about ``size`` together."""
+    held, n = [], 0
+    for row in rows:
+        held.append(row)
+        n += len(row[-1]) + 64
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def _parsed(sources: DataFrame, reads: dict) -> DataFrame:
+    """Pages of (kind, path, content), each content read as its kind says; what a task holds besides the batch that it was given is bounded in bytes."""
+    kinds = pa.schema([("kind", pa.string()), ("path", pa.string()), ("page_number", pa.int32()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(p, n, t) for p, c in zip(b["path"], b["content"], strict=True) for n, t in parse(bytes(c))]
-            yield pd.DataFrame(rows, columns=["path", "page_number", "text"])
+            pages = ((k.as_py(), p.as_py(), n, t) for k, p, c in zip(*b.columns, strict=True) for n, t in reads[k.as_py()](c.as_py()))
+            for rows in _pieces(pages):
+                yield pa.RecordBatch.from_arrays([pa.array(x, k.type) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+    return sources.filter(F.col("kind").isin(*reads)).select("kind", F.col("path").cast("string").alias("path"), "content").mapInArrow(run, f"kind string, {PAGES}")
 
-    return binary.mapInPandas(run, PAGES)
+
+def _mapped(binary: DataFrame, parse) -> DataFrame:
+    return _parsed(binary.withColumn("kind", F.lit("")), {"": parse}).drop("kind")
 
 
 def documents(binary: DataFrame, parser: PageParser | None = None) -> DataFrame:
@@ -139,9 +163,7 @@ def dispatch(binary: DataFrame, parser: PageParser | None = None) -> DataFrame:
         "pdf": lambda c: [(n, t or "") for n, t in own.pages(c)], "url": lambda c: [(1, selected_text(c.decode("utf-8", "replace")))],
         "csv": lambda c: [(1, csv_bytes_text(c))], "json": lambda c: [(1, json_text(c))], "docx": lambda c: [(1, docx_text(c))],
     }
-    kinds = by_type(binary, "path")
-    parts = [_mapped(kinds.filter(F.col("kind") == kind), read).withColumn("kind", F.lit(kind)) for kind, read in reads.items()]
-    return functools.reduce(DataFrame.unionByName, parts).select("kind", "path", "page_number", "text")
+    return _parsed(by_type(binary, "path"), reads)  # one pass: a plan for each kind would make the sources again for each
 
 
 def paper_page(html: Column) -> Column:

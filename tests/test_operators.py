@@ -268,3 +268,14 @@ def test_longest_common_substring_on_long_lines(spark, tmp_path):
     own = [STATEMENTS[(2 + i) % len(STATEMENTS)] for i in range(len(lines))]
     want = [brute(a, f"{line} {a}".strip(" ")) for a, line in zip(own, lines, strict=True)]
     assert sorted(got) == sorted(want) and want[1:3] == [len(own[1]), len(own[2])]
+
+
+def test_sources_are_read_in_one_pass_and_handed_on_in_pieces(spark):
+    from siltstone.sources import readers
+
+    assert [len(p) for p in readers._pieces(((i, "x" * 1000) for i in range(10)), 3000)] == [3, 3, 3, 1]
+    assert list(readers._pieces(iter([]), 10)) == []
+    given = spark.createDataFrame([("a.pdf", b"one\ftwo"), ("b.json", b"{}"), ("c.json", b"no")], "path string, content binary")
+    read = readers.dispatch(given)
+    assert read._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 1
+    assert sorted(map(tuple, read.collect())) == [("json", "b.json", 1, "{}"), ("json", "c.json", 1, ""), ("pdf", "a.pdf", 1, "one"), ("pdf", "a.pdf", 2, "two")]
