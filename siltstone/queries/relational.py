@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from siltstone.operators import fusion, stores
+from siltstone.operators import fusion, stores, tables
 from siltstone.operators.chunking import extract_claims
 from siltstone.operators.tables import Bucketed
 from siltstone.queries.corpus import SQL_CHUNKS, SQL_HITS, SQL_PAPERS, chunks, hits, papers, s_sentences
@@ -162,14 +162,26 @@ def _stored_everywhere(t):
     return _store_counts(t, folder)
 
 
+#: Bytes of a file that arrives, about.
+ARRIVAL = 32 << 20
+
+
 def _ingested(t):
-    """Documents arrive in four files, one a batch; a second copy of the first file is a later batch of the same papers."""
+    """Documents arrive in four batches of files of a bounded size; a second copy of a fifth of them arrives later, as a batch of the same papers."""
     folder = fresh_path(t.spark, "stores")
     docs = t("documents")
-    docs.repartition(4, "doc_id").write.parquet(f"{folder}/in")
-    docs.filter(F.pmod("doc_id", F.lit(5)) == 0).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = streams.arrivals(t.spark, f"{folder}/in", ", ".join(f"{n} {k}" for n, k in docs.dtypes), 1)
-    fanout.ingest_batches(stream, _stores, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    size = sum(n for n, _ in tables.files(t.spark, f"{t.folder}/documents.parquet").values())
+
+    def arrive(rows):
+        """New files, taken by the stream that goes on where it ended before."""
+        before = len(tables.files(t.spark, f"{folder}/in")) if tables.exists(t.spark, f"{folder}/in") else 0
+        rows.write.mode("append").parquet(f"{folder}/in")
+        new = len(tables.files(t.spark, f"{folder}/in")) - before
+        stream = streams.arrivals(t.spark, f"{folder}/in", ", ".join(f"{n} {k}" for n, k in docs.dtypes), max(1, new if before else -(-new // 4)))
+        fanout.ingest_batches(stream, _stores, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+
+    arrive(docs.repartition(4 * max(1, -(-size // (4 * ARRIVAL))), "doc_id"))
+    arrive(docs.filter(F.pmod("doc_id", F.lit(5)) == 0))
     return _store_counts(t, f"{folder}/out")
 
 

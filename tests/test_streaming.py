@@ -85,3 +85,17 @@ def test_similarity_join_finds_every_pair(spark):
         scores = np.round(data @ data.T, 9)
         assert got == {(i, j) for i, j in np.argwhere(scores >= t).tolist()}
     assert similar.above(df.withColumnRenamed("key", "query_id").limit(0), df, "key", 0.9).count() == 0
+
+
+def test_batches_of_several_files_give_the_same_stores(spark, monkeypatch):
+    from siltstone.queries import QUERIES, relational
+    from siltstone.session import shared_dir
+
+    folder = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, QUERIES["str07_batch_ingest"](spark, folder).collect()))
+    monkeypatch.setattr(relational, "ARRIVAL", 8000)
+    made = []
+    monkeypatch.setattr(relational, "fresh_path", lambda s, name: made.append(fresh_path(s, name)) or made[-1])
+    assert sorted(map(tuple, QUERIES["str07_batch_ingest"](spark, folder).collect())) == want
+    assert made[0].startswith(shared_dir(spark)) and len(fanout.batches(spark, f"{made[0]}/out")) == 5
+    assert spark.read.parquet(f"{made[0]}/in").select(F.input_file_name()).distinct().count() > 10
