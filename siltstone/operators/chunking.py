@@ -116,9 +116,11 @@ def semantic_parts(text: Column, threshold: float = 0.7, least: int = 100) -> Co
         return F.array_distinct(F.regexp_extract_all(F.lower(s), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
 
     def step(s: Column, unit: Column) -> Column:
-        own = words(unit)
-        cut = (s["text"] != "") & (x.jaccard(s["last"], own) < threshold) & (F.length(s["text"]) >= least)
-        return F.struct(F.when(cut | (s["text"] == ""), unit).otherwise(F.concat(s["text"], F.lit(" "), unit)).alias("text"), own.alias("last"), F.when(cut, F.concat(s["out"], F.array(s["text"]))).otherwise(s["out"]).alias("out"))
+        def go(own: Column, cut: Column) -> Column:
+            return F.struct(F.when(cut | (s["text"] == ""), unit).otherwise(F.concat(s["text"], F.lit(" "), unit)).alias("text"), own.alias("last"), F.when(cut, F.concat(s["out"], F.array(s["text"]))).otherwise(s["out"]).alias("out"))
+
+        # words and the comparison are each bound once, and nothing is compared in a part that is too short to be cut
+        return x.let(words(unit), lambda own: x.let((s["text"] != "") & (F.length(s["text"]) >= least) & (x.jaccard(s["last"], own) < threshold), lambda cut: go(own, cut)))
 
     zero = F.struct(F.lit("").alias("text"), none().alias("last"), none().alias("out"))
     return x.merge_small(F.aggregate(units, zero, step, lambda s: F.concat(s["out"], F.array(s["text"]))), least)
@@ -143,7 +145,8 @@ def chunk_sections(documents: DataFrame, strategy: str = "section", size: int =
     else:
         column = {"recursive": lambda c: recursive_parts(c, size), "semantic": semantic_parts, "sliding": lambda c: sliding_parts(c, size, overlap)}[strategy](F.col("raw_text"))
         parts = documents.select("doc_id", F.lit(0).alias("at"), F.lit("Document").alias("section"), column.alias("parts"), F.lit(False).alias("is_caption"))
-    rows = parts.select("doc_id", "at", "section", "is_caption", F.posexplode("parts").alias("i", "raw")).withColumn("text", x.strip(F.col("raw"))).filter("text <> ''")
+    # of an outer explode Spark infers no filter on the size of ``parts``, for which it would make them a second time
+    rows = parts.select("doc_id", "at", "section", "is_caption", F.posexplode_outer("parts").alias("i", "raw")).filter(F.col("raw").rlike(r"\S")).withColumn("text", x.strip(F.col("raw")))
     group = Window.partitionBy("doc_id", "at").orderBy("i")
     order = Window.partitionBy("doc_id").orderBy("at", "i")
     start = F.sum(F.length("text") + 1).over(group) - F.length("text") - 1

@@ -97,6 +97,16 @@ def test_recursive_semantic_and_sliding(spark):
     assert chunking.chunk_sections(topical, "semantic").count() >= 2
 
 
+@pytest.mark.parametrize("strategy", ["recursive", "semantic", "sliding"])
+def test_parts_are_made_once(spark, tmp_path, strategy):
+    spark.createDataFrame([(1, "Cats sleep. Dogs bark."), (2, ""), (3, None), (4, " \n ")], "doc_id long, raw_text string").write.parquet(f"{tmp_path}/d")
+    got = chunking.chunk_sections(spark.read.parquet(f"{tmp_path}/d"), strategy)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(lower(") == (1 if strategy == "semantic" else 0)
+    assert not [line for line in plan.split("\n") if "Filter (" in line and "size(" in line]
+    assert {r.doc_id for r in got.collect()} == {1}
+
+
 def test_bm25_by_hand(spark):
     chunks = spark.createDataFrame([("a", "cat sat mat"), ("b", "cat cat dog"), ("c", "cat bird")], "chunk_id string, text string")
     q = spark.createDataFrame([(1, "cat dog dog")], "query_id long, question string")
