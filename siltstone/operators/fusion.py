@@ -6,6 +6,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.session import checkpointed
+
+#: Hits that are sent to the tasks together.
+SENT = 100_000
+
 
 def rank(hits: DataFrame, by: list[str], score: str = "score", key: str = "chunk_id", out: str = "rank") -> DataFrame:
     return hits.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), key)))
@@ -16,6 +21,18 @@ def top(hits: DataFrame, by: list[str], n: int, score: str = "score", key: str =
     return rank(hits, by, score, key).filter(F.col("rank") <= n)
 
 
+def bodies(hits: DataFrame, rows: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """``hits`` joined to ``rows`` by key. Hits are few: they are sent to where rows are read, SENT at a time, so rows (with their texts) are not exchanged. What is found is kept, as are hits: neither is made again by those who read it more than once."""
+    held = checkpointed(hits)
+    parts = max(1, -(-held.count() // SENT))
+    out = None
+    for i in range(parts):
+        own = held if parts == 1 else held.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == i)
+        found = F.broadcast(own).join(rows, key)
+        out = found if out is None else out.unionByName(found)
+    return checkpointed(out)
+
+
 def reciprocal_rank(hits: DataFrame, k: int = 60, weights: dict[str, float] | None = None) -> DataFrame:
     """query_id, chunk_id, doc_id, score, source: sum of weight / (k + rank) over the lists, source of the best hit."""
     weight = F.lit(1.0)

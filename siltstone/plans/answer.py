@@ -196,7 +196,7 @@ def reason(questions: DataFrame, chunks: DataFrame, index: bm25.Index, mode: str
     """query_id, answer: sub-questions answered in one batch and joined in order."""
     split = e.sub_questions if mode == "multihop" else e.query_variants if mode == "survey" else e.hops
     parts = questions.select(F.col("query_id").alias("parent"), F.posexplode(split(F.col("question"))).alias("i", "question")).withColumn("query_id", F.xxhash64("parent", "i"))
-    hits = retrieve.lexical(parts.select("query_id", "question"), index, k).join(chunks.select("chunk_id", "text"), "chunk_id")
+    hits = fusion.bodies(retrieve.lexical(parts.select("query_id", "question"), index, k), chunks.select("chunk_id", "text"))
     answers = extractive(parts.select("query_id", "question"), hits, 1).join(parts.select("query_id", "parent", "i", "question"), "query_id")
     return answers.groupBy(F.col("parent").alias("query_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "question", "answer"))), lambda r: F.concat(r["question"], F.lit(" "), r["answer"])), "\n").alias("answer"))
 

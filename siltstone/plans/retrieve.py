@@ -17,6 +17,7 @@ from siltstone.operators import blocks, bm25, fusion
 from siltstone.operators.postings import Postings
 from siltstone.operators.vector_index import VectorIndex
 from siltstone.ports import Generator, hypothetical
+from siltstone.session import checkpointed
 
 DIGITS = 9
 RRF_K, CLAIM_WEIGHT, TABLE_BOOST, CLAIM_BONUS = 60, 1.3, 1.2, 0.025
@@ -38,7 +39,7 @@ def lexical(questions: DataFrame, index: bm25.Index | Postings, k: int, keep_zer
 
 def by_claims(questions: DataFrame, claims: DataFrame, k: int, dim: int = 1024, vectors: VectorIndex | None = None) -> DataFrame:
     """query_id, chunk_id, rank, score, claim: the best claim of each chunk among the ``k`` best claims."""
-    best = dense(questions, vectors or claims, k, dim, "claim_id", "claim").join(claims.select("claim_id", "chunk_id", "claim"), "claim_id")
+    best = fusion.bodies(dense(questions, vectors or claims, k, dim, "claim_id", "claim"), claims.select("claim_id", "chunk_id", "claim"), "claim_id")
     return best.groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"), F.min_by("score", "rank").alias("score"), F.min_by("claim", "rank").alias("claim"))
 
 
@@ -70,7 +71,7 @@ def merged(questions: DataFrame, chunks: DataFrame, every: DataFrame, k: int = 1
     weight = F.when(F.col("list") == "claim", CLAIM_WEIGHT).otherwise(1.0)
     fused = every.groupBy("query_id", "chunk_id").agg(F.sum(weight / (F.col("rank") + RRF_K)).alias("fused"), F.max("claim").alias("claim"))
     asked = questions.select("query_id", "question", expanded_terms(F.col("question")).alias("terms"), intent_weights(F.col("question")).alias("intents"), is_table_question(F.col("question")).alias("tabular"))
-    rows = fused.join(body, "chunk_id").join(asked, "query_id")
+    rows = fusion.bodies(fused, body).join(asked, "query_id")
     bonus = F.coalesce(F.get(F.filter("intents", lambda r: r["section"] == F.lower("section")), F.lit(0))["weight"], F.lit(0.0))
     boosted = F.when(F.col("tabular") & (F.col("content_type") == "table"), F.col("fused") * TABLE_BOOST).otherwise(F.col("fused"))
     rows = rows.withColumn("bonus", bonus).withColumn("rrf_score", F.round(boosted + F.col("bonus"), DIGITS))
@@ -90,7 +91,7 @@ def merged(questions: DataFrame, chunks: DataFrame, every: DataFrame, k: int = 1
 def match_scores(questions: DataFrame, hits: DataFrame, papers: DataFrame) -> DataFrame:
     """query_id, paper_id, score over 0: how well a paper's title fits what the hits cite, and the question."""
     terms = F.filter(F.array_distinct(x.tokens(F.col("c"))), lambda w: (F.length(w) > 2) & ~w.rlike("^[0-9]+$"))
-    found = hits.select("query_id", F.explode(citations(F.col("text"))).alias("c")).distinct()
+    found = checkpointed(hits.select("query_id", F.explode(citations(F.col("text"))).alias("c")).distinct())
     asked = found.select("query_id").distinct().join(questions, "query_id")
     title = papers.select("paper_id", F.array_distinct(x.tokens(F.col("title"))).alias("title"))
     words = title.select("paper_id", F.explode("title").alias("w"))

@@ -270,9 +270,9 @@ CHAIN = rf"""WITH {_BM}, {P}, hi AS (SELECT query_id, chunk_id FROM sc WHERE sco
  ns AS (SELECT query_id, paper_id, chunk_id, round(CASE WHEN len(q) = 0 THEN 0.0 ELSE len(list_intersect(q, d)) / CAST(len(q) AS DOUBLE) END, 9) AS score FROM ne)
 SELECT query_id, paper_id, chunk_id, round(score, 6) AS score FROM ns WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id, paper_id ORDER BY score DESC, chunk_id) <= 2"""
 query("hlp01_paper_match", CHAIN[: CHAIN.index(" c3 AS (")].rstrip().rstrip(",") + " SELECT query_id, paper_id, round(score, 6) AS score FROM ss WHERE score > 0")(
-    lambda t: retrieve.match_scores(questions(t), retrieve.lexical(questions(t), stored.postings(t), 10).join(stored.chunks(t).select("chunk_id", "paper_id", "text"), "chunk_id"), _named_papers(t)).select("query_id", "paper_id", F.round("score", 6).alias("score"))
+    lambda t: retrieve.match_scores(questions(t), fusion.bodies(retrieve.lexical(questions(t), stored.postings(t), 10), chunks(t).select("chunk_id", "paper_id", "text")), _named_papers(t)).select("query_id", "paper_id", F.round("score", 6).alias("score"))
 )
-query("jn07_citation_chain", CHAIN)(lambda t: retrieve.cited(questions(t), retrieve.lexical(questions(t), stored.postings(t), 10).join(chunks(t).select("chunk_id", "paper_id", "text"), "chunk_id"), _named_papers(t), chunks(t)).withColumn("score", F.round("score", 6)))
+query("jn07_citation_chain", CHAIN)(lambda t: retrieve.cited(questions(t), fusion.bodies(retrieve.lexical(questions(t), stored.postings(t), 10), chunks(t).select("chunk_id", "paper_id", "text")), _named_papers(t), chunks(t)).withColumn("score", F.round("score", 6)))
 
 
 def _extractive_sql(scored: str) -> str:
@@ -288,8 +288,8 @@ def _extractive_sql(scored: str) -> str:
 
 
 D384 = D.replace("% 1024", "% 384")
-query("cmp27_extractive_query", f"WITH {D384}, {_extractive_sql('ds')} SELECT query_id, answer FROM an")(lambda t: answer.extractive(questions(t), retrieve.dense(questions(t), chunks(t), 5, 384).join(chunks(t).select("chunk_id", "text"), "chunk_id")).select("query_id", "answer"))
-query("cmp26_extractive_answer", f"WITH {_BM}, {_extractive_sql('(SELECT query_id, chunk_id, score FROM sc WHERE score <> 0)')} SELECT query_id, answer FROM an")(lambda t: answer.extractive(questions(t), retrieve.lexical(questions(t), stored.postings(t), 5).join(chunks(t).select("chunk_id", "text"), "chunk_id")).select("query_id", "answer"))
+query("cmp27_extractive_query", f"WITH {D384}, {_extractive_sql('ds')} SELECT query_id, answer FROM an")(lambda t: answer.extractive(questions(t), fusion.bodies(retrieve.dense(questions(t), chunks(t), 5, 384), chunks(t).select("chunk_id", "text"))).select("query_id", "answer"))
+query("cmp26_extractive_answer", f"WITH {_BM}, {_extractive_sql('(SELECT query_id, chunk_id, score FROM sc WHERE score <> 0)')} SELECT query_id, answer FROM an")(lambda t: answer.extractive(questions(t), fusion.bodies(retrieve.lexical(questions(t), stored.postings(t), 5), chunks(t).select("chunk_id", "text"))).select("query_id", "answer"))
 _ss, _sets = s_sentences("a.answer"), "len(list_intersect({0}, {1})) / CAST(greatest(len(list_distinct(list_concat({0}, {1}))), 1) AS DOUBLE)"
 _wa, _wb = f"list_distinct({s_words('lower(a.s)')})", f"list_distinct({s_words('lower(c.text)')})"
 CITED = f"""WITH {_BM}, {_extractive_sql('(SELECT query_id, chunk_id, score FROM sc WHERE score <> 0)')}, st2 AS (SELECT query_id, generate_subscripts({_ss}, 1) - 1 AS i, unnest({_ss}) AS s FROM an a),
@@ -301,12 +301,12 @@ query("cmp25_overview_answer")(lambda t: answer.overview(_hybrid(t, 8)))
 query("cmp38_answer_loop")(lambda t: answer.answer_batch(*_setup(t), vectors=stored.chunk_vectors(t), claim_vectors=stored.claim_vectors(t)))
 query("cmp39_adaptive_loop")(lambda t: answer.adaptive(questions(t), chunks(t), stored.postings(t), stores.entity_edges(chunks(t).select("paper_id", e.named_entities(F.col("text")).alias("e")), "paper_id", "e"), Passage()).withColumn("overall", F.round("overall", 6)))
 query("cmp39_adaptive_quality")(lambda t: answer.quality(questions(t), retrieve.advanced(questions(t), chunks(t), stored.postings(t))).select("query_id", *(F.round(c, 6).alias(c) for c in ("relevance", "diversity", "coverage", "completeness", "overall")), F.array_join("issues", "|").alias("issues")))
-query("cmp32_corrective_loop")(lambda t: answer.correct(questions(t), retrieve.lexical(questions(t), stored.postings(t), 10).join(chunks(t).select("chunk_id", "text"), "chunk_id")).select("query_id", "bad", "act"))
+query("cmp32_corrective_loop")(lambda t: answer.correct(questions(t), fusion.bodies(retrieve.lexical(questions(t), stored.postings(t), 10), chunks(t).select("chunk_id", "text"))).select("query_id", "bad", "act"))
 query("cmp34_reasoning_modes")(lambda t: answer.reason(questions(t), chunks(t), stored.postings(t)))
 
 
 def _answers(t):
-    hits_ = retrieve.lexical(questions(t), stored.postings(t), 5).join(chunks(t).select("chunk_id", F.col("paper_id").alias("doc_id"), "text"), "chunk_id")
+    hits_ = fusion.bodies(retrieve.lexical(questions(t), stored.postings(t), 5), chunks(t).select("chunk_id", F.col("paper_id").alias("doc_id"), "text"))
     return answer.extractive(questions(t), hits_), hits_
 
 
@@ -324,7 +324,7 @@ query("hlp10_response_doc_ids", f"WITH {H} SELECT query_id, array_to_string(list
 
 def _maxsim(t):
     """Token-level scores of each question's ten best chunks."""
-    hits_ = retrieve.lexical(questions(t), stored.postings(t), 10).select("query_id", "chunk_id").join(chunks(t).select("chunk_id", "text"), "chunk_id").join(questions(t).select("query_id", "question"), "query_id")
+    hits_ = fusion.bodies(retrieve.lexical(questions(t), stored.postings(t), 10).select("query_id", "chunk_id"), chunks(t).select("chunk_id", "text")).join(questions(t).select("query_id", "question"), "query_id")
     return v.max_sim(hits_.select("query_id", "chunk_id", x.unique_words(F.col("question")).alias("asked"), x.unique_words(F.col("text")).alias("held")), "chunk_id").withColumn("score", F.round("score", 5))
 
 
@@ -349,7 +349,7 @@ ADVANCED = rf"""WITH {_BM}, hi AS (SELECT query_id, chunk_id, text, {_top} AS po
  fl AS (SELECT *, regexp_matches(left(text, 200), '(?i)^\s*\[\d+\]|(^|[^\p{{L}}\p{{N}}_])et\s+al($|[^\p{{L}}\p{{N}}_])|doi:|arxiv:') AS ref FROM hi), us AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position) AS n FROM (SELECT *, bool_and(ref) OVER (PARTITION BY query_id) AS every FROM fl) WHERE every OR NOT ref),
  an AS (SELECT query_id, left(arg_min(trim(text), n), 120) AS said, least(count(*), 8) AS shown FROM us GROUP BY 1)
 SELECT query_id, CASE WHEN length(said) > 80 THEN shown || ' chunks say so.' ELSE said END AS answer, coalesce(length(said) > 80, false) AS echo, CASE WHEN length(said) > 80 THEN 2 ELSE 1 END AS attempts FROM questions LEFT JOIN an USING (query_id)"""
-query("cmp36_advanced_answer", ADVANCED)(lambda t: answer.advanced(questions(t), retrieve.lexical(questions(t), stored.postings(t), 10).withColumnRenamed("rank", "position").join(stored.chunks(t).select("chunk_id", "text"), "chunk_id"), Copier()).select("query_id", "answer", "echo", "attempts"))
+query("cmp36_advanced_answer", ADVANCED)(lambda t: answer.advanced(questions(t), fusion.bodies(retrieve.lexical(questions(t), stored.postings(t), 10).withColumnRenamed("rank", "position"), chunks(t).select("chunk_id", "text")), Copier()).select("query_id", "answer", "echo", "attempts"))
 
 
 # real configurations of retrieval, judged by the chunks that hold an item's first words

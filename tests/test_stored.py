@@ -194,3 +194,23 @@ def test_keys_are_sent_to_rows_for_some_buckets_at_a_time(spark, monkeypatch):
         held.replace(fresh, gone)
         want = [r for r in rows(data, "paper", "n") if r[0] not in {f"p{i}" for i in (*range(40), 50)}] + rows(fresh, "paper", "n")
         assert rows(held.read(), "paper", "n") == sorted(want, key=repr)
+
+
+def test_hits_meet_texts_where_texts_are_read(spark, tmp_path, monkeypatch):
+    from siltstone.operators import fusion
+
+    spark.range(300).select(F.concat(F.lit("c"), "id").alias("chunk_id"), F.lit("words").alias("text")).write.parquet(f"{tmp_path}/texts")
+    texts = spark.read.parquet(f"{tmp_path}/texts")
+    hits = spark.range(40).select((F.col("id") % 3).alias("query_id"), F.concat(F.lit("c"), (F.col("id") * 11).cast("string")).alias("chunk_id"))
+    want = sorted(tuple(r) for r in hits.join(texts, "chunk_id").collect())
+    for most in (7, 100_000):
+        monkeypatch.setattr(fusion, "SENT", most)
+        assert sorted(tuple(r) for r in fusion.bodies(hits, texts).collect()) == want
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(fusion, "checkpointed", lambda df: df)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = fusion.bodies(hits, texts)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
