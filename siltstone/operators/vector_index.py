@@ -1,7 +1,7 @@
 """A stored index of unit vectors, searched exactly by visiting clusters in the order of their bounds.
 
-Vectors are written once, in folders by cluster: rows of the key, the places that are not zero and their weights (no places where a vector
-is dense), and whatever columns a filter may ask for. Centroids come from a bounded sample; every vector then goes to the nearest one, and
+Vectors are written where they are read, without an exchange, sorted by cluster, so that Parquet's statistics skip other clusters: rows of the key, the places
+that are not zero and their weights (no places where a vector is dense), and whatever columns a filter may ask for. Centroids come from a bounded sample; every vector then goes to the nearest one, and
 a cluster's reach is the least cosine of a member to its centroid. By the triangle inequality of angles no member is nearer to a
 question than the angle to the centroid less the reach. A block of questions visits the clusters in the order of that bound, a
 few more each round, until no cluster left can hold one of the best ``k``. The texts are never read.
@@ -11,6 +11,7 @@ Where vectors have no clusters (hash embeddings of unlike texts are nearly ortho
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,6 +30,8 @@ SAMPLE, ROUNDS, MOST_CLUSTERS, CENTROID_FLOATS = 8192, 6, 1024, 4 << 20
 CLUSTER = 2048
 #: Clusters that a question visits in the first round; each round visits four times as many.
 FIRST = 2
+#: Bytes of a row group and rows of a page: what is skipped together.
+GROUP, PAGE = 8 << 20, 512
 #: Room for rounding: a bound that is so near to the k-th score still counts.
 SLACK = 1e-7
 
@@ -96,7 +99,8 @@ def create(vectors: DataFrame, path: str, key: str, dim: int, *carried: str, clu
 
     kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "w")
     placed = rows.mapInPandas(assign, f"{kinds}, w array<double>, cluster int, cosine double")
-    placed.hint("rebalance", "cluster").write.mode("overwrite").option("compression", "zstd").partitionBy("cluster").parquet(f"{path}/vectors")  # a cluster with many rows becomes several files
+    sorted_ = placed.sortWithinPartitions("cluster")
+    sorted_.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", GROUP).option("parquet.page.row.count.limit", PAGE).parquet(f"{path}/vectors")
     tables.delete(spark, f"{path}/given")
     reach = {r["cluster"]: (r["reach"], r["n"]) for r in spark.read.parquet(f"{path}/vectors").groupBy("cluster").agg(F.min("cosine").alias("reach"), F.count(F.lit(1)).alias("n")).collect()} if n else {}  # a row a cluster
     meta = [(int(c), centres[c].tolist(), float(reach[c][0]), int(reach[c][1])) for c in sorted(reach)]
@@ -105,6 +109,13 @@ def create(vectors: DataFrame, path: str, key: str, dim: int, *carried: str, clu
     return VectorIndex(spark, path)
 
 
+def _among(numbers: list[int]) -> Column:
+    """Whether the cluster is one of ``numbers`` (rising): ranges, which Parquet's statistics can answer for any number of them."""
+    ends = [i for i in range(len(numbers)) if i + 1 == len(numbers) or numbers[i + 1] != numbers[i] + 1]
+    starts = [0, *(i + 1 for i in ends[:-1])]
+    return functools.reduce(Column.__or__, [(F.col("cluster") >= numbers[a]) & (F.col("cluster") <= numbers[b]) for a, b in zip(starts, ends, strict=True)])
+
+
 class VectorIndex:
     """An index that ``create`` wrote."""
 
@@ -154,7 +165,7 @@ class VectorIndex:
             if not wanted:
                 break
             visited |= wanted
-            rows = self.rows().filter(F.col("cluster").isin([meta[c]["cluster"] for c in sorted(wanted)]))  # prunes the folders
+            rows = self.rows().filter(_among([meta[c]["cluster"] for c in sorted(wanted)]))
             if where is not None:
                 rows = rows.filter(where)
             scored = checkpointed(fusion.top(rows.select(self.key, "idx", "w").mapInPandas(_scorer(sent, self.key, self.dim, k, digits, shared), f"query_id long, {self.key} {kind}, score double"), ["query_id"], k, key=self.key).drop("rank"))
