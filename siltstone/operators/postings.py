@@ -5,7 +5,7 @@ Every change writes one segment; nothing written before is touched:
 * ``forward``: the terms of each key, with a place (shard, place) that stands for it in blocks, and a bucket of the key by which rows are sorted, so that
   removing a key skips what lies in other buckets. A task writes the rows that it reads: no text is exchanged;
 * ``blocks``: the postings of a term, cut by impact into ``LEVELS`` levels, and each level into blocks of at most ``BLOCK`` postings (place, tf) of a shard.
-  They are made and written where the forward rows are read, sorted by a bucket of the term, so nothing is exchanged for them and Parquet's statistics skip other buckets. The impact is what a posting adds to a score, but for the weight of the term: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean));
+  A search that reads blocks makes those that a segment lacks; products read forward rows alone and need none. They are made and written where the forward rows are read, sorted by a bucket of the term, so nothing is exchanged for them and Parquet's statistics skip other buckets. The impact is what a posting adds to a score, but for the weight of the term: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean));
 * ``terms``: by term and level, by how many postings a segment changes their number (``n``, negative where keys went), so document frequencies are
   sums of deltas and are not counted again;
 * ``dead``: the places of earlier segments (of) that a segment removes or replaces, as bits of words of 64 places: these no longer count. They are sent to
@@ -23,7 +23,8 @@ blocks unread. It returns how many blocks that were. Where a batch asks so much
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,6 +58,10 @@ def impact(tf, dl, mean: float):
     return tf * TOP / (tf + K1 * (1 - B + B * dl / mean))
 
 
+def _level(tf: np.ndarray, dl: np.ndarray, mean: float) -> np.ndarray:
+    return np.minimum(np.ceil(impact(tf, dl, mean) * LEVELS / TOP), LEVELS).astype(np.int32)
+
+
 def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat.astype(np.int32)))
 
@@ -89,7 +94,7 @@ def _turned(mean: float):
         sizes = pc.list_value_length(rows.column("terms")).to_numpy(zero_copy_only=False).astype(np.int64)
         shard, place, dl = (np.repeat(rows.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("shard", "place", "dl"))
         tf = rows.column("tfs").flatten().to_numpy(zero_copy_only=False)
-        level = np.minimum(np.ceil(impact(tf, dl, mean) * LEVELS / TOP), LEVELS).astype(np.int32)
+        level = _level(tf, dl, mean)
         coded = pc.dictionary_encode(rows.column("terms").flatten())
         term = coded.indices.to_numpy()
         order = np.lexsort((place, shard, -level, term))
@@ -116,6 +121,24 @@ def _turned(mean: float):
     return run
 
 
+def _leveled(mean: float):
+    """Forward rows (terms, tfs, dl) to how many postings a term has in a level (term, level, n), by batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False).astype(np.int64)
+            if not sizes.sum():
+                continue
+            dl = np.repeat(batch.column("dl").to_numpy(zero_copy_only=False), sizes)
+            level = _level(batch.column("tfs").flatten().to_numpy(zero_copy_only=False), dl, mean)
+            coded = pc.dictionary_encode(batch.column("terms").flatten())
+            each, n = np.unique(coded.indices.to_numpy().astype(np.int64) * (LEVELS + 1) + level, return_counts=True)
+            term, level = np.divmod(each, LEVELS + 1)
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(term)), pa.array(level.astype(np.int32)), pa.array(n.astype(np.int64))], ["term", "level", "n"])
+
+    return run
+
+
 def _scorer(sent, mean: float, k: int | None, keep_zero: bool, digits: int):
     """Forward rows (key, terms, tfs, dl) times the questions: the best ``k`` of a batch, or (None) every pair that shares a term."""
 
@@ -156,10 +179,14 @@ def _scorer(sent, mean: float, k: int | None, keep_zero: bool, digits: int):
 
 @dataclass(frozen=True)
 class Found:
-    """hits (query_id, key, score, rank); work (query_id, blocks_read, blocks_skipped)."""
+    """hits (query_id, key, score, rank); work (query_id, blocks_read, blocks_skipped), counted when it is asked for."""
 
     hits: DataFrame
-    work: DataFrame
+    counted: Callable[[], DataFrame]
+
+    @property
+    def work(self) -> DataFrame:
+        return self.counted()
 
 
 class Postings:
@@ -181,12 +208,27 @@ class Postings:
     def _read(self, table: str) -> DataFrame:
         """The table's rows in finished segments."""
         reader = self.spark.read.option("basePath", f"{self.path}/{table}")
+        if table == "blocks":
+            self._build()
         if table in ("forward", "blocks"):  # a segment without rows has no files there
             self._kind = kind = self._kind or self.spark.read.parquet(f"{self.path}/stats").first()["kind"]
             key = {"forward": f"{self.key} {kind}, shard int, place int, terms array<string>, tfs array<int>, dl long, bucket int, seg int", "blocks": "term string, level int, shard int, places array<int>, tfs array<int>, bucket int, seg int"}[table]
             reader = reader.schema(key)
         return reader.parquet(*(f"{self.path}/{table}/seg={s}" for s in self.segments()))
 
+    def _build(self) -> None:
+        """Makes the blocks of segments that have none yet; each appears whole, under a name of its own before."""
+        missing = [s for s in self.segments() if not tables.exists(self.spark, f"{self.path}/blocks/seg={s}")]
+        reference = self.stats()["reference"] if missing else 1.0
+        for seg in missing:
+            forward = self._read("forward").filter(F.col("seg") == seg).select("shard", "place", "terms", "tfs", "dl")
+            block = forward.mapInArrow(_turned(reference), "term string, level int, shard int, places array<int>, tfs array<int>")
+            block = block.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")).sortWithinPartitions("bucket", "term", F.desc("level"))
+            made = f"{self.path}/_making-{uuid.uuid4().hex}"
+            block.write.option("compression", "zstd").parquet(made)
+            if not tables.move(self.spark, made, f"{self.path}/blocks/seg={seg}"):  # another was first
+                tables.delete(self.spark, made)
+
     def segments(self) -> list[int]:
         if self._seen is not None:
             return self._seen
@@ -246,8 +288,9 @@ class Postings:
 
     # --- changing
 
-    def create(self, chunks: DataFrame, text: str = "text") -> Postings:
-        return self._change(chunks, None, text)
+    def create(self, chunks: DataFrame, text: str = "text", made: bool = True) -> Postings:
+        """``made``: with its blocks; else the first search that reads blocks makes them."""
+        return self._change(chunks, None, text, made)
 
     def add(self, chunks: DataFrame, text: str = "text") -> Postings:
         """Chunks are added; those known by key are replaced."""
@@ -256,7 +299,7 @@ class Postings:
     def remove(self, keys: DataFrame) -> Postings:
         return self._change(None, keys.select(self.key), "text")
 
-    def _change(self, chunks: DataFrame | None, gone: DataFrame | None, text: str) -> Postings:
+    def _change(self, chunks: DataFrame | None, gone: DataFrame | None, text: str, made: bool = True) -> Postings:
         spark, key = self.spark, self.key
         before = self.segments()
         seg = before[-1] + 1 if before else 0
@@ -287,10 +330,7 @@ class Postings:
             each = rows.select(key, "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(key, "dl", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
             return each.withColumn("level", level)
 
-        block = forward.select("shard", "place", "terms", "tfs", "dl").mapInArrow(_turned(old["reference"]), "term string, level int, shard int, places array<int>, tfs array<int>")
-        block = block.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int"))
-        block = write(block.sortWithinPartitions("bucket", "term", F.desc("level")), "blocks")
-        counts = block.groupBy("term", "level").agg(F.sum(F.size("places")).cast("long").alias("n"))
+        counts = forward.select("terms", "tfs", "dl").mapInArrow(_leveled(old["reference"]), "term string, level int, n long").groupBy("term", "level").agg(F.sum("n").alias("n"))
         went = spark.createDataFrame([], "of int, shard int, word int, bits long, n long, dl long")
         if gone is not None and before:
             keys = gone.distinct().withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int"))
@@ -311,6 +351,8 @@ class Postings:
         mean_idf = every.groupBy("term").agg(F.sum("n").alias("df")).filter("df > 0").agg(F.avg(self._raw(F.col("df"), n))).first()[0] or 0.0
         row = [(int(stats["n"] - lost["n"]), int(stats["total"] - lost["total"]), float(mean_idf), float(old["reference"]), kind)]
         write(spark.createDataFrame(row, "n long, total long, mean_idf double, reference double, kind string").coalesce(1), "stats")
+        if made:
+            self._build()
         return self
 
     # --- searching
@@ -397,7 +439,7 @@ class Postings:
         hits = fusion.top(scored if keep_zero else scored.filter("score <> 0"), ["query_id"], k, key=key)
         used = heads.join(chosen.select("query_id", "term", "least"), ["query_id", "term"])
         work = used.groupBy("query_id").agg(F.sum(F.when(F.col("level") >= F.col("least"), F.col("blocks")).otherwise(0)).alias("blocks_read"), F.sum(F.when(F.col("level") < F.col("least"), F.col("blocks")).otherwise(0)).alias("blocks_skipped"))
-        return Found(hits, work)
+        return Found(hits, lambda: work)
 
     def _rows(self, asked: DataFrame) -> int:
         """How many rows of a question and a posting of its terms there are."""
@@ -406,8 +448,12 @@ class Postings:
     def _product(self, asked: DataFrame, s: dict, k: int, keep_zero: bool, digits: int) -> Found:
         """The same hits for many questions of common terms."""
         hits = fusion.top(self._products(asked, s, k, keep_zero, digits), ["query_id"], k, key=self.key)
-        sizes = self._read("blocks").groupBy("term").agg(F.count(F.lit(1)).alias("blocks"))
-        return Found(hits, asked.join(sizes, "term").groupBy("query_id").agg(F.sum("blocks").alias("blocks_read"), F.lit(0).cast("long").alias("blocks_skipped")))
+
+        def work() -> DataFrame:
+            sizes = self._read("blocks").groupBy("term").agg(F.count(F.lit(1)).alias("blocks"))
+            return asked.join(sizes, "term").groupBy("query_id").agg(F.sum("blocks").alias("blocks_read"), F.lit(0).cast("long").alias("blocks_skipped"))
+
+        return Found(hits, work)
 
     def _products(self, asked: DataFrame, s: dict, k: int | None, keep_zero: bool, digits: int) -> DataFrame:
         """query_id, key, score: the forward rows times each block of questions, where they are read; the best ``k`` of every batch of rows, or every pair."""

@@ -50,6 +50,14 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> bool:
+    """Gives a folder another name, unless that is taken."""
+    where, fs = _fs(spark, path)
+    target = _fs(spark, to)[0]
+    fs.mkdirs(target.getParent())
+    return not fs.exists(target) and fs.rename(where, target)
+
+
 def version(spark: SparkSession, *paths: str) -> str:
     """A digest of the files below the paths: names, sizes and times of change."""
     return hashlib.md5(repr([sorted(files(spark, p).items()) for p in paths]).encode()).hexdigest()

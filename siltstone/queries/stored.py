@@ -13,7 +13,7 @@ from siltstone.queries import corpus
 
 DIM = 1024
 #: Changes with what is written, so that tables of an earlier layout are not taken for these.
-LAYOUT = 4
+LAYOUT = 5
 
 
 def _once(t, name: str, table: str, build) -> str:
@@ -25,7 +25,8 @@ def chunks(t) -> DataFrame:
 
 
 def claims(t) -> DataFrame:
-    return t.spark.read.parquet(_once(t, "claims", "documents", lambda path: chunking.extract_claims(chunks(t)).write.option("compression", "zstd").parquet(f"{path}/rows")) + "/rows")
+    """claim_id, chunk_id, claim."""
+    return t.spark.read.parquet(_once(t, "claims", "documents", lambda path: chunking.extract_claims(chunks(t)).select("claim_id", "chunk_id", "claim").write.option("compression", "zstd").parquet(f"{path}/rows")) + "/rows")
 
 
 def chunk_vectors(t) -> VectorIndex:
@@ -57,4 +58,4 @@ def embeddings(t) -> VectorIndex:
 
 
 def postings(t) -> Postings:
-    return Postings(t.spark, _once(t, "postings", "documents", lambda path: Postings(t.spark, path).create(corpus.chunks(t))))
+    return Postings(t.spark, _once(t, "postings", "documents", lambda path: Postings(t.spark, path).create(corpus.chunks(t), made=False)))

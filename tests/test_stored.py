@@ -214,3 +214,17 @@ def test_hits_meet_texts_where_texts_are_read(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_products_need_no_blocks(spark, monkeypatch):
+    from siltstone.operators import postings
+
+    data = spark.range(300).select(F.col("id").cast("string").alias("chunk_id"), F.concat_ws(" ", F.lit("word"), F.concat(F.lit("w"), F.col("id") % 7), F.concat(F.lit("v"), F.col("id") % 11)).alias("text"))
+    asked = spark.createDataFrame([(1, "w1 v2 word"), (2, "w3 v3")], "query_id long, question string")
+    index = Postings(spark, fresh_path(spark, "postings")).create(data, made=False)
+    hits = lambda: sorted(tuple(r) for r in index.search(asked, 5).hits.collect())
+    monkeypatch.setattr(postings, "PRODUCT_ROWS", 0)
+    want = hits()
+    assert want and not tables.exists(spark, f"{index.path}/blocks")
+    monkeypatch.setattr(postings, "PRODUCT_ROWS", 10**9)
+    assert hits() == want and tables.exists(spark, f"{index.path}/blocks/seg=0")
