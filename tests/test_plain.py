@@ -190,6 +190,33 @@ def test_chunk_strategies(spark, t, name):
         assert {r.strategy for r in got} == set(four) and all(r.strategy == of(r.doc_id) for r in got)
 
 
+def test_ablation_reads_texts_once(spark, t):
+    few = questions(t).filter("query_id % 20 = 0")
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    c = stored.chunks(t)
+    relevant = few.select("query_id", F.lit("none").alias("item"))
+    got = evaluate.ablation(few, relevant, c.withColumn("text", counted("text")), stored.claims(t), stored.postings(t), 10, stored.chunk_vectors(t), stored.claim_vectors(t)).collect()
+    assert len(got) == few.count() * len(evaluate.CONFIGURATIONS)
+    assert 0 < read.value <= c.count()
+
+
+def test_texts_that_hold_the_first_words(spark):
+    from siltstone.queries.composites import _holding
+
+    texts = [("a", "so the old man said"), ("b", "xthe old manx"), ("c", "the old  man"), ("d", "old man the"), ("e", None), ("f", "one"), ("g", "§ é ü then"), ("h", "the old man the old man"), ("i", "to be"), ("j", "yon to bed"), ("k", "the old\nman")]
+    asked = [(1, ["the", "old", "man"]), (2, ["one"]), (3, ["§", "é", "ü"]), (4, ["to", "be"]), (5, ["old", "man", "said"]), (6, ["the", "old", "man"])]
+    got = _holding(spark.createDataFrame(texts, "chunk_id string, text string"), spark.createDataFrame(asked, "query_id long, w array<string>").withColumn("words", F.array_join("w", " ")))
+    terms = lambda s: set(re.findall("[a-zA-Z0-9]+", s.lower()))
+    want = {(q, c) for q, w in asked for c, s in texts if s and " ".join(w) in s and terms(s) & terms(" ".join(w))}
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and {(1, "b"), (4, "j"), (6, "h")} <= want
+
+
 def test_ablation_runs_real_configurations(spark, t):
     few = questions(t).filter("query_id % 8 = 0")
     index, c, claims = stored.postings(t), stored.chunks(t), stored.claims(t)
