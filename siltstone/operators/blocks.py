@@ -20,8 +20,8 @@ from siltstone.operators import fusion
 QUESTIONS, PLACES = 256, 20_000
 #: Stands for a weight of zero, so that a shared place still makes a pair.
 NOTHING = 1e-300
-#: Numbers of one product of rows and questions.
-PRODUCT = 4 << 20
+#: Numbers of one product of rows and questions, and places that are multiplied as a dense block.
+PRODUCT, COMMON = 4 << 20, 256
 
 
 def top(asked: DataFrame, held: DataFrame, key: str, k: int, keep_zero: bool = True, digits: int = 9) -> DataFrame:
@@ -77,17 +77,30 @@ def questions(asked: DataFrame) -> Iterator[tuple[list, list, np.ndarray]]:
 
 
 def products(at: np.ndarray, w: np.ndarray, sizes: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    """Rows of weights (their places and weights one after the other) times the matrix."""
-    ends = np.cumsum(sizes)
-    out = np.zeros((len(sizes), matrix.shape[1]))
-    first = 0
-    while first < len(sizes):  # as many rows as fit into PRODUCT numbers, one at least
-        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + max(1, PRODUCT // max(1, matrix.shape[1])), "right")))
-        a, b = (ends[first - 1] if first else 0), ends[last - 1]
-        if b > a and matrix.shape[1]:
-            full = sizes[first:last] > 0
-            starts = (ends[first:last] - sizes[first:last] - a)[full]
-            out[first:last][full] = np.add.reduceat(w[a:b, None] * matrix[at[a:b]], starts, axis=0)
+    """Rows of weights (their places and weights one after the other) times the matrix: places that many questions have as a dense product, others by the questions that have them."""
+    n_asked = matrix.shape[1]
+    out = np.zeros((len(sizes), n_asked))
+    place, query = np.nonzero(matrix)
+    asks = np.bincount(place, minlength=len(matrix))
+    starts, weights = np.cumsum(asks) - asks, matrix[place, query]
+    common = np.sort(np.argsort(-asks, kind="stable")[:COMMON])
+    common = common[asks[common] > 1]
+    column = np.full(len(matrix), -1)
+    column[common] = np.arange(len(common))
+    ends, first = np.cumsum(sizes), 0
+    while first < len(sizes) and n_asked:  # as many rows as fit into PRODUCT numbers, one at least
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + max(1, PRODUCT // n_asked), "right")))
+        a, b, n = (ends[first - 1] if first else 0), ends[last - 1], last - first
+        row, own = np.repeat(np.arange(n), sizes[first:last]), column[at[a:b]]
+        held = own >= 0
+        if held.any():
+            out[first:last] = np.bincount(row[held] * len(common) + own[held], weights=w[a:b][held], minlength=n * len(common)).reshape(n, -1) @ matrix[common]
+        rare = np.flatnonzero(~held)
+        times = asks[at[a:b][rare]]
+        if times.sum():
+            which = np.repeat(rare, times)
+            found = np.repeat(starts[at[a:b][rare]] - (np.cumsum(times) - times), times) + np.arange(len(which))
+            out[first:last] += np.bincount(row[which] * n_asked + query[found], weights=w[a:b][which] * weights[found], minlength=n * n_asked).reshape(n, -1)
         first = last
     return out
 
@@ -106,6 +119,47 @@ def best_of(ids: np.ndarray, scores: np.ndarray, pairs: np.ndarray | None, queri
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], key: [], "score": []})
 
 
+class Best:
+    """The best ``k`` keys of each question among all rows that a task has seen; ties go to the lesser key. Rows below a question's k-th score so far are passed over together."""
+
+    def __init__(self, queries: list, k: int):
+        self.queries, self.k, self.kth = np.asarray(queries, np.int64), k, np.full(len(queries), -np.inf)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def open(self, scores: np.ndarray) -> np.ndarray:
+        """Which pairs of a row and a question can still count."""
+        return scores >= self.kth
+
+    def add(self, keys: np.ndarray, scores: np.ndarray, open_: np.ndarray) -> None:
+        k, n = self.k, len(scores)
+        if n > k and np.count_nonzero(open_) > 4 * k * len(self.queries):
+            open_ = open_ & (scores >= np.partition(np.where(open_, scores, -np.inf), n - k, axis=0)[n - k])
+        i, j = np.nonzero(open_)
+        if len(i):
+            self.parts.append((j, scores[i, j], keys[i]))
+            self.n += len(i)
+            if self.n > 4 * k * len(self.queries):
+                self._cut()
+
+    def _cut(self) -> None:
+        j, score, keys = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((keys.astype(str) if keys.dtype == object else keys, -score, j))
+        j, score, keys = j[order], score[order], keys[order]
+        place = np.arange(len(j)) - np.searchsorted(j, j)
+        self.kth[j[place == self.k - 1]] = score[place == self.k - 1]
+        self.parts = [tuple(x[place < self.k] for x in (j, score, keys))]
+        self.n = len(self.parts[0][0])
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Questions, keys and scores."""
+        if not self.n:
+            return np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
+        self._cut()
+        j, score, keys = self.parts[0]
+        return self.queries[j], keys, score
+
+
 def _scorer(sent, key: str, k: int, keep_zero: bool, digits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         queries, matrix = sent.value

@@ -140,13 +140,14 @@ def _leveled(mean: float):
 
 
 def _scorer(sent, mean: float, k: int | None, keep_zero: bool, digits: int):
-    """Forward rows (key, terms, tfs, dl) times the questions: the best ``k`` of a batch, or (None) every pair that shares a term."""
+    """Forward rows (key, terms, tfs, dl) times the questions: the best ``k`` of a task's rows, or (None) every pair that shares a term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, places, matrix = sent.value
         vocabulary = pa.array(places, pa.string())
         # terms shared, unless a product that is not zero says so already
         shares = (matrix != 0).astype(np.float64) if keep_zero or (k is None and (matrix < 0).any()) else None
+        best = None if k is None else blocks.Best(queries, k)
         for batch in batches:
             terms = batch.column(1)
             at = pc.fill_null(pc.index_in(terms.flatten().cast(pa.string()), value_set=vocabulary), -1).to_numpy()
@@ -165,14 +166,18 @@ def _scorer(sent, mean: float, k: int | None, keep_zero: bool, digits: int):
                 ids, asking, score = some[i], np.asarray(queries)[j], scores[i, j]
             else:
                 scores = np.round(scores, digits)
-                pairs = scores != 0 if shares is None else blocks.products(at, np.ones(len(at)), sizes[some], shares) > 0
-                keys = batch.column(0).take(pa.array(some)).to_numpy(zero_copy_only=False)
-                best = blocks.best_of(keys, scores, pairs, queries, "key", k)
-                yield pa.RecordBatch.from_arrays([pa.array(best["query_id"], pa.int64()), pa.array(best["key"], batch.column(0).type), pa.array(best["score"], pa.float64())], ["query_id", "key", "score"])
+                kind, open_ = batch.column(0).type, best.open(scores)
+                zero = open_ & (scores == 0)
+                if zero.any():  # a product that is not zero says that a term is shared
+                    open_ &= ~zero if shares is None else ~zero | (blocks.products(at, np.ones(len(at)), sizes[some], shares) > 0)
+                best.add(batch.column(0).take(pa.array(some)).to_numpy(zero_copy_only=False), scores, open_)
                 continue
             for a in range(0, len(ids), 100_000):
                 b = slice(a, a + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(asking[b].astype(np.int64)), batch.column(0).take(pa.array(ids[b])), pa.array(score[b])], ["query_id", "key", "score"])
+        if best is not None and best.n:
+            query, keys, score = best.rows()
+            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(keys, kind), pa.array(score)], ["query_id", "key", "score"])
 
     return run
 

@@ -6,7 +6,8 @@ a cluster's reach is the least cosine of a member to its centroid. By the triang
 question than the angle to the centroid less the reach. A block of questions visits the clusters in the order of that bound, a
 few more each round, until no cluster left can hold one of the best ``k``. The texts are never read.
 
-Where vectors have no clusters (hash embeddings of unlike texts are nearly orthogonal), bounds exclude little and most clusters are read.
+Where vectors have no clusters (hash embeddings of unlike texts are nearly orthogonal), bounds exclude little and most clusters are read. Such an index is made
+``flat``: all vectors are one cluster, so that none is compared with centroids, whose number grows with the table, and a search reads each vector once.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def _dense(idx, w, dim: int) -> np.ndarray:
     if not sum(sizes):
         return out
     every = np.concatenate(list(w)).astype(np.float64)
-    at = np.concatenate([np.arange(len(x)) if i is None else np.asarray(i) for i, x in zip(idx, w, strict=True)])
+    at = np.concatenate([np.arange(len(x)) if i is None else np.asarray(i, np.int64) for i, x in zip(idx, w, strict=True)])
     out[np.repeat(np.arange(len(w)), sizes), at] = every
     return out
 
@@ -62,6 +63,16 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(n > 0, n, 1.0)
 
 
+def _units(w) -> list[np.ndarray]:
+    """Weights of rows made unit before they are spread."""
+    sizes = [len(x) for x in w]
+    if not sum(sizes):
+        return list(w)
+    every, row = np.concatenate(list(w)).astype(np.float64), np.repeat(np.arange(len(sizes)), sizes)
+    n = np.sqrt(np.bincount(row, weights=every * every, minlength=len(sizes)))
+    return np.split(every / np.where(n > 0, n, 1.0)[row], np.cumsum(sizes)[:-1])
+
+
 def _centroids(sample: np.ndarray, k: int, seed: int = 5) -> np.ndarray:
     """Spherical k-means over a sample: means of the nearest, made unit, a few times."""
     rng = np.random.default_rng(seed)
@@ -75,10 +86,14 @@ def _centroids(sample: np.ndarray, k: int, seed: int = 5) -> np.ndarray:
     return found
 
 
-def create(vectors: DataFrame, path: str, key: str, dim: int, *carried: str, clusters: int | None = None) -> VectorIndex:
+def create(vectors: DataFrame, path: str, key: str, dim: int, *carried: str, clusters: int | None = None, flat: bool = False) -> VectorIndex:
     """Writes the index of ``vectors`` (key, idx, w, carried columns): idx null for dense rows. Weights are kept as given (counts take little room) and made unit when read."""
     spark = vectors.sparkSession
     rows = vectors.select(key, "idx", "w", *carried)
+    if flat:
+        rows.withColumn("cluster", F.lit(0)).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/vectors")
+        n = spark.read.parquet(f"{path}/vectors").count()
+        return _described(spark, path, key, dim, [(0, [0.0] * dim, -1.0, n)] if n else [])
     rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/given")
     rows = spark.read.schema(rows.schema).parquet(f"{path}/given")
     n = rows.count()
@@ -104,6 +119,10 @@ def create(vectors: DataFrame, path: str, key: str, dim: int, *carried: str, clu
     tables.delete(spark, f"{path}/given")
     reach = {r["cluster"]: (r["reach"], r["n"]) for r in spark.read.parquet(f"{path}/vectors").groupBy("cluster").agg(F.min("cosine").alias("reach"), F.count(F.lit(1)).alias("n")).collect()} if n else {}  # a row a cluster
     meta = [(int(c), centres[c].tolist(), float(reach[c][0]), int(reach[c][1])) for c in sorted(reach)]
+    return _described(spark, path, key, dim, meta)
+
+
+def _described(spark: SparkSession, path: str, key: str, dim: int, meta: list) -> VectorIndex:
     spark.createDataFrame(meta, "cluster int, centroid array<double>, reach double, n long").coalesce(1).write.mode("overwrite").parquet(f"{path}/clusters")
     spark.createDataFrame([(json.dumps({"key": key, "dim": dim}),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
     return VectorIndex(spark, path)
@@ -179,9 +198,16 @@ class VectorIndex:
 def _scorer(sent, key: str, dim: int, k: int, digits: int, shared: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, matrix = sent.value
+        best = blocks.Best(ids, k)
         for batch in batches:
-            rows = _unit(_dense(batch["idx"], batch["w"], dim))
-            pairs = (rows != 0).astype(np.float32) @ (matrix != 0).astype(np.float32) > 0 if shared else None
-            yield blocks.best_of(batch[key].to_numpy(), np.round(rows @ matrix, digits), pairs, ids, key, k)
+            rows = _dense(batch["idx"], _units(batch["w"]), dim)
+            scores = np.round(rows @ matrix, digits)
+            open_ = best.open(scores)
+            if shared and (open_ & (scores == 0)).any():  # a product that is not zero says that a place is shared
+                open_ &= (rows != 0).astype(np.float32) @ (matrix != 0).astype(np.float32) > 0
+            best.add(batch[key].to_numpy(), scores, open_)
+        query, keys, score = best.rows()
+        if len(query):
+            yield pd.DataFrame({"query_id": query, key: keys, "score": score})
 
     return run

@@ -13,7 +13,7 @@ from siltstone.queries import corpus
 
 DIM = 1024
 #: Changes with what is written, so that tables of an earlier layout are not taken for these.
-LAYOUT = 5
+LAYOUT = 6
 
 
 def _once(t, name: str, table: str, build) -> str:
@@ -34,14 +34,14 @@ def chunk_vectors(t) -> VectorIndex:
 
     def build(path: str) -> None:
         held = corpus.chunks(t).withColumn("own", F.struct("doc_id", "chunk_id"))  # no join for what a filter asks
-        vector_index.create(v.hash_vectors(held, "own", "text", DIM, unit=False).select("own.*", "idx", "w"), path, "chunk_id", DIM, "doc_id")
+        vector_index.create(v.hash_vectors(held, "own", "text", DIM, unit=False).select("own.*", "idx", "w"), path, "chunk_id", DIM, "doc_id", flat=True)
 
     return VectorIndex(t.spark, _once(t, "chunk-vectors", "documents", build))
 
 
 def claim_vectors(t) -> VectorIndex:
     def build(path: str) -> None:
-        vector_index.create(v.hash_vectors(claims(t), "claim_id", "claim", DIM, unit=False), path, "claim_id", DIM)
+        vector_index.create(v.hash_vectors(claims(t), "claim_id", "claim", DIM, unit=False), path, "claim_id", DIM, flat=True)
 
     return VectorIndex(t.spark, _once(t, "claim-vectors", "documents", build))
 

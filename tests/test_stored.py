@@ -228,3 +228,42 @@ def test_products_need_no_blocks(spark, monkeypatch):
     assert want and not tables.exists(spark, f"{index.path}/blocks")
     monkeypatch.setattr(postings, "PRODUCT_ROWS", 10**9)
     assert hits() == want and tables.exists(spark, f"{index.path}/blocks/seg=0")
+
+
+def test_a_flat_index_is_exact_and_compares_no_vector_with_centroids(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    data = [(np.sort(rng.choice(64, rng.integers(0, 7), replace=False)), rng.choice([-1.0, 1.0, 2.0], 6)) for _ in range(700)]
+    rows = [(i, at.tolist(), w[: len(at)].tolist()) for i, (at, w) in enumerate(data)]
+    monkeypatch.setattr(vector_index, "_centroids", None)  # not called
+    index = vector_index.create(spark.createDataFrame(rows, "vec_id long, idx array<int>, w array<double>"), fresh_path(spark, "v"), "vec_id", 64, flat=True)
+    asked = spark.createDataFrame([(10, [1, 5, 9, 30], [1.0, -1.0, 1.0, 1.0]), (11, [2], [-1.0]), (12, [], [])], "query_id long, idx array<int>, w array<double>")
+    unit = lambda idx, w: np.bincount(np.array(idx, int), weights=np.array(w, float), minlength=64) / (np.linalg.norm(w) or 1.0)
+    found = index.search(asked, 12, shared=True)
+    assert found.clusters == 1 and found.read == [1]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found.hits.collect())
+    want = []
+    for q in asked.collect():
+        scores = sorted((-float(np.round(unit(q.idx, q.w) @ unit(idx, w), 9)) + 0.0, i) for i, idx, w in rows if set(idx) & set(q.idx))
+        want += [(q.query_id, n, i, -s + 0.0) for n, (s, i) in enumerate(scores[:12], 1)]
+    assert [x[:3] for x in got] == [x[:3] for x in want] and [x[3] for x in got] == pytest.approx([x[3] for x in want])
+
+
+def test_products_and_the_best_of_a_task_are_those_of_every_batch(monkeypatch):
+    from siltstone.operators import blocks
+
+    rng = np.random.default_rng(9)
+    matrix = np.where(rng.random((40, 6)) < rng.random((40, 1)), rng.integers(-2, 3, (40, 6)), 0).astype(float)
+    monkeypatch.setattr(blocks, "COMMON", 7)
+    monkeypatch.setattr(blocks, "PRODUCT", 200)
+    best, every = blocks.Best([5, 6, 7, 8, 9, 10], 3), []
+    for b in range(30):
+        rows = [rng.choice(40, rng.integers(0, 9), replace=False) for _ in range(25)]
+        at, sizes = np.concatenate(rows).astype(np.int64), np.array([len(x) for x in rows])
+        w = rng.integers(1, 4, len(at)).astype(float)
+        scores = blocks.products(at, w, sizes, matrix)
+        assert scores == pytest.approx(np.array([sum((x * matrix[p] for p, x in zip(r, w[sizes[:i].sum() :], strict=False)), np.zeros(6)) for i, r in enumerate(rows)]))
+        keys = np.array([f"k{rng.integers(10**9)}" for _ in rows], object)
+        best.add(keys, scores, best.open(scores))
+        every += [(5 + j, -scores[i, j], keys[i]) for i in range(25) for j in range(6)]
+    got = sorted(zip(*(x.tolist() for x in best.rows()), strict=True))
+    assert got == sorted((q, k, -s) for j in range(5, 11) for q, s, k in sorted(x for x in every if x[0] == j)[:3])
