@@ -267,3 +267,16 @@ def test_products_and_the_best_of_a_task_are_those_of_every_batch(monkeypatch):
         every += [(5 + j, -scores[i, j], keys[i]) for i in range(25) for j in range(6)]
     got = sorted(zip(*(x.tolist() for x in best.rows()), strict=True))
     assert got == sorted((q, k, -s) for j in range(5, 11) for q, s, k in sorted(x for x in every if x[0] == j)[:3])
+
+
+def test_a_task_yields_its_best_rows_once(spark):
+    from siltstone.operators import blocks
+
+    class Sent:
+        value = ([4, 5], np.array([[1.0, 0.5], [0.0, 2.0]]))
+
+    import pandas as pd
+
+    batches = [pd.DataFrame({"row": [f"r{b}{i}" for i in range(9)], "_i": [[i % 2] for i in range(9)], "w": [[float(b + i)] for i in range(9)]}) for b in range(8)]
+    out = list(blocks._scorer(Sent, "row", 2, False, 9)(iter(batches)))
+    assert len(out) == 1 and sorted(map(tuple, out[0].to_numpy().tolist())) == [(4, "r68", 14.0), (4, "r78", 15.0), (5, "r67", 26.0), (5, "r77", 28.0)]
